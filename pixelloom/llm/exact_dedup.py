@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     one = F.lit(1).cast("long")
     straight = flagged.where("NOT _maybe").select("_key", "_digest", F.col("_key").alias("keep_id"), one.alias("group_size"))
     maybe = flagged.where("_maybe").select("_key", "_digest")
-    groups = maybe.groupBy("_digest").agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(maybe.groupBy("_digest").agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     settled = maybe.join(groups, "_digest").select("_key", "_digest", "keep_id", "group_size")
     return straight.unionByName(settled).select(
         F.col("_key").alias(key), "keep_id", "group_size", F.col("_key").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_digest").alias("text_sha256")
