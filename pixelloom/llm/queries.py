@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
 from .exact_dedup import exact_dedup
+from .html_extract import extract_text
+from .media import media_digests
+from .minhash import near_duplicates
 from .mixing import mix_sources
+from .packing import pack_documents
 from .url_filter import canonical, filter_urls, url_host
 
 
@@ -27,6 +31,14 @@ URL_RULES = (
 LISTED_LABELS = ("cheap-pills", "free-bets")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     bad = F.arrays_overlap(F.split(url_host(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_LABELS)))
@@ -34,17 +46,29 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed, URL_RULES)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), (1, 2, 3), 3)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
+    "op4_media": op4_media,
     "op5_mixing": op5_mixing,
+    "op6_html": op6_html,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
