@@ -12,6 +12,8 @@ from .media import media_digests
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
+from .secrets import scan_secrets, secret_digests
+from .toxicity import score_toxicity
 from .url_filter import canonical, filter_urls, url_host
 
 
@@ -62,6 +64,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_packing": op2_packing,
@@ -70,6 +80,8 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_html": op6_html,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_secrets": op10_secrets,
 }
 
 def _rules_sql(index: int) -> str:
