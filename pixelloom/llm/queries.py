@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .secrets import scan_secrets, secret_digests
+from .suffix_dedup import remove_repeats
 from .toxicity import score_toxicity
 from .url_filter import canonical, filter_urls, url_host
 
@@ -60,6 +61,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_mixing": op5_mixing,
     "op6_html": op6_html,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
