@@ -24,6 +24,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the smallest node that node reaches; nodes that are their own root are left out."""
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         now = stored(_star(_star(now, True), False), "edges")
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

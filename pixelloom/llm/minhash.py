@@ -6,9 +6,11 @@ the number of equal bit groups, corrected for chance collisions. Pairs whose est
 are ruled out (five standard errors); all others are confirmed on the full sets.
 
 Texts with equal sets form one class, and only a class's representative (its smallest id) goes on, so a group of copies costs
-one row. Candidates do not pair up all members of a bucket: first every member meets the bucket's leader, of these pairs each
-document tries its best one, and confirmed links merge components. Then only pairs that join different components remain;
-they are tried best first, and at last all that remain are confirmed. No link between different texts is dropped.
+one row. Candidates do not pair up all members of a bucket: first every member meets the bucket's leader, and each document
+tries its best leader; confirmed links merge components. Then a bucket's strays, whose component is not its leader's, meet
+the members of other components: each stray tries its best candidate of each component, and where that one fails, all others
+of that component. No link between different texts is dropped. Buckets of up to SMALL members meet by a join; larger
+ones are compared in blocks of bounded size, which put out only each stray's best candidate, or its confirmed link.
 
 Cases: texts without words have an empty set and are linked with nothing. Texts with fewer words than a shingle have the whole
 sequence as their only shingle. Rows with a null id are linked with nothing and have a null component. Rows that repeat an
@@ -35,7 +37,7 @@ MARGIN = 0.17
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 18
 BROADCAST_IDS = 1 << 20
-MERGE_ROUNDS = 4
+SMALL, BLOCK = 48, 2048
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -212,67 +214,151 @@ class Linker:
         return joined.where(100 * both >= self.percent * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
-def _merged(edges: list[DataFrame]) -> DataFrame:
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    return components(every, "a", "b")
-
-
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    ca, cb = (comps.select(F.col("node").alias(x), F.col("root").alias(f"_c{x}")) for x in "ab")
-    joined = pairs.join(ca, "a", "left").join(cb, "b", "left")
-    return joined.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b", "est")
+def rooted(parents: DataFrame) -> DataFrame:
+    """(node, root) of (node, parent) with parent < node, by jumping to the parent's parent until nothing moves."""
+    now = stored(parents, "parents")
+    while True:
+        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        now = stored(now.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "parents")
+        moved = not now.where("moved").isEmpty()
+        now = now.select("node", "parent")
+        if not moved:
+            return now.withColumnRenamed("parent", "root")
+
+
+def _matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(kind).reshape(-1, width)
+
+
+def equal_groups(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimate for packed signatures, as in estimate()."""
+    x = a ^ b
+    step = 1
+    while step < BITS:
+        x |= x >> np.uint64(step)
+        step *= 2
+    unequal = np.bitwise_count(x & np.uint64(int("0001" * PER_WORD, 2))).sum(axis=-1, dtype=np.int64)
+    return (1 - unequal / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def best_of_block(block: pa.Table, low: float) -> pa.Table:
+    """(stray, comp, other, est): of each stray of a block, its best candidate in each other component."""
+    side = block.column("stray").to_numpy(zero_copy_only=False)
+    key, comp, sig = block.column("key").to_numpy(), block.column("comp").to_numpy(), _matrix(block.column("sig"), WORDS, np.uint64)
+    x, y = np.flatnonzero(side), np.flatnonzero(~side)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for i in range(0, len(x), 64):
+        part = x[i : i + 64]
+        est = equal_groups(sig[part][:, None], sig[y][None])
+        row, col = np.nonzero((est >= low) & (comp[part][:, None] != comp[y][None]))
+        value, of = est[row, col], comp[y][col]
+        order = np.lexsort((key[y][col], -value, of, row))
+        row, col, value, of = row[order], col[order], value[order], of[order]
+        fresh = np.append(True, (row[1:] != row[:-1]) | (of[1:] != of[:-1]))[: len(row)]
+        for o, v in zip(out, (key[part][row], of, key[y][col], value), strict=True):
+            o.append(v[fresh])
+    names = ("stray", "comp", "other", "est")
+    kinds = (np.int64, np.int64, np.int64, np.float64)
+    return pa.table({n: np.concatenate([np.empty(0, k), *o]) for n, o, k in zip(names, out, kinds, strict=True)})
+
+
+def links_of_block(block: pa.Table, low: float, percent: int) -> pa.Table:
+    """(a, b): of each stray, the first confirmed link into each component that is open to it, best estimates first. A pair is
+    judged in the bucket of its first common band only."""
+    side = block.column("stray").to_numpy(zero_copy_only=False)
+    key, comp, sig = block.column("key").to_numpy(), block.column("comp").to_numpy(), _matrix(block.column("sig"), WORDS, np.uint64)
+    bands, bucket = _matrix(block.column("bands"), BANDS, np.int64), block.column("bucket")[0].as_py()
+    sets, opens = block.column("members"), block.column("open")
+    y, found = np.flatnonzero(~side), []
+    members = {int(j): sets[int(j)].values.to_numpy() for j in np.flatnonzero(side)}
+    for i in np.flatnonzero(side):
+        est = equal_groups(sig[i][None], sig[y])
+        first = (bands[i][None] == bands[y]).argmax(axis=1)
+        for of in opens[int(i)].as_py() or ():
+            near = np.flatnonzero((est >= low) & (comp[y] == of) & (bands[i][first] == bucket))
+            for j in y[near[np.argsort(-est[near], kind="stable")]]:
+                if int(j) not in members:
+                    members[int(j)] = sets[int(j)].values.to_numpy()
+                a, b = members[int(i)], members[int(j)]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    found.append((min(key[i], key[j]), max(key[i], key[j])))
+                    break
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows (bucket, many, key, stray, ...) dealt into blocks (bucket, sb, mb): each stray meets each member of its bucket in one
+    block. A stray is also one of the members that other strays meet."""
+    n = F.ceil(F.col("many") / BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("key"), n).cast("int"), F.sequence(F.lit(0), n - 1)
+    strays = rows.where("stray").withColumn("sb", own).withColumn("mb", F.explode(every))
+    others = rows.withColumn("stray", F.lit(False)).withColumn("mb", own).withColumn("sb", F.explode(every))
+    return strays.unionByName(others)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row: components of 100 * intersection >= percent * union."""
+    """(key, n_shingles, component_id, kept) of every row: components of 100 * intersection >= percent * union. Ids are integers."""
     low = percent / 100 - MARGIN
-    sketched = stored(sketch(docs, width, key, text), "sketched")
-    classes = sketched.where("n > 0 AND key IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("key").alias("rep"))
-    classes = stored(classes, "classes")
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    sketched = stored(sketch(docs, width, "key", "text"), "sketched")
+    classes = stored(sketched.where("n > 0 AND key IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("key").alias("rep")), "classes")
     reps = stored(sketched.join(classes.select(F.col("rep").alias("key"), "f1", "f2", "n"), ["key", "f1", "f2", "n"], "left_semi").dropDuplicates(["key"]).select("key", "sig", "bands"), "reps")
-    rows = stored(reps.select("key", F.explode("bands").alias("bucket")), "buckets")
-    shared = stored(rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
-    members = stored(rows.join(shared, "bucket").select("bucket", "lead", "key"), "members")
+    rows = reps.select("key", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    members = stored(rows.join(stored(shared, "shared"), "bucket").select("bucket", "lead", "many", "key"), "members")
     sigs = reps.select("key", "sig")
-    sa, sb = (sigs.select(F.col("key").alias(x), F.col("sig").alias(f"_s{x}")) for x in "ab")
-    linker = Linker(docs, width, percent, key, text)
+    linker = Linker(docs, width, percent, "key", "text")
 
+    sa, sb = (sigs.select(F.col("key").alias(x), F.col("sig").alias(f"_s{x}")) for x in "ab")
     stars = members.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
     stars = stars.join(sb, "b").join(sa, "a").select("a", "b", estimate(F.col("_sa"), F.col("_sb")).alias("est")).where(F.col("est") >= low)
-    stars = stored(stars, "stars")
-    best = stars.groupBy("b").agg(F.max(F.struct("est", "a")).alias("_x")).select("_x.a", "b", "_x.est")
-    edges = [stored(linker.confirmed(stored(best, "pairs")), "links")]
-    comps = _merged(edges)
+    best = stored(stars.groupBy("b").agg(F.max(F.struct("est", "a")).alias("_x")).select("_x.a", "b"), "pairs")
+    comps = rooted(linker.confirmed(best).select(F.col("b").alias("node"), F.col("a").alias("parent")))
 
-    # In a bucket, whoever is not in the leader's component meets all members of other components.
+    # The members of buckets with strays, with their components
     known = comps.withColumnRenamed("node", "key")
-    placed = members.join(known, "key", "left").select("bucket", "lead", "key", F.coalesce("root", "key").alias("comp"))
-    placed = placed.join(known.select(F.col("key").alias("lead"), F.col("root").alias("_home")), "lead", "left")
-    placed = stored(placed.select("bucket", "key", "comp", (F.col("comp") != F.coalesce("_home", "lead")).alias("stray")), "placed")
-    mixed = stored(placed.groupBy("bucket").agg(F.max("stray").alias("stray")).where("stray").select("bucket"), "mixed")
+    placed = members.join(known, "key", "left").join(comps.select(F.col("node").alias("lead"), F.col("root").alias("_home")), "lead", "left")
+    placed = placed.select("bucket", "many", "key", F.coalesce("root", "key").alias("comp"), F.coalesce("_home", "lead").alias("_home"))
+    placed = stored(placed.select("bucket", "many", "key", "comp", (F.col("comp") != F.col("_home")).alias("stray")), "placed")
+    mixed = placed.where("stray").select("bucket").distinct()
     open_ = stored(placed.join(mixed, "bucket", "left_semi").join(sigs, "key"), "open")
-    x, y = open_.where("stray").alias("x"), open_.alias("y")
+    small, large = open_.where(F.col("many") <= SMALL), open_.where(F.col("many") > SMALL)
+
+    x, y = small.where("stray").alias("x"), small.alias("y")
     passing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= low)
-    met = x.join(y, passing).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), estimate(F.col("x.sig"), F.col("y.sig")).alias("est"))
-    tried = best.select("a", "b")
-    pending = stored(met.distinct().join(tried, ["a", "b"], "left_anti"), "pending")
-    for last in (*[False] * MERGE_ROUNDS, True):
-        n = pending.count()
-        if not n:
-            break
-        now = pending
-        if not last:
-            ends = pending.select("a", "b", "est", F.explode(F.array("a", "b")).alias("end"))
-            now = ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("_x")).select("_x.a", "_x.b", "_x.est").distinct()
-        now = stored(now, "pairs")
-        edges.append(stored(linker.confirmed(now), "links"))
-        comps = _merged(edges)
-        pending = stored(_across(pending.join(now.select("a", "b"), ["a", "b"], "left_anti"), comps), "pending")
-
-    of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("_component"))
+    met = x.join(y, passing).select(F.col("x.key").alias("stray"), F.col("y.comp").alias("comp"), F.col("y.key").alias("other"), estimate(F.col("x.sig"), F.col("y.sig")).alias("est"))
+    met = stored(met.distinct(), "met")
+
+    def compare(block: pa.Table) -> pa.Table:
+        return best_of_block(block, low)
+
+    def link(block: pa.Table) -> pa.Table:
+        return links_of_block(block, low, percent)
+
+    tops = _blocks(large).groupBy("bucket", "sb", "mb").applyInArrow(compare, "stray long, comp long, other long, est double")
+    top = met.unionByName(tops).groupBy("stray", "comp").agg(F.max(F.struct("est", "other")).alias("_x")).select("stray", "comp", "_x.other")
+    top = stored(top.select("stray", "comp", "other", F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")), "top")
+    second = stored(linker.confirmed(top.select("a", "b").distinct()), "links")
+    failed = stored(top.join(second, ["a", "b"], "left_anti").select("stray", "comp", "a", "b"), "failed")
+
+    # Where a stray's best candidate of a component failed: all others
+    rest = met.join(failed.select("stray", "comp"), ["stray", "comp"]).select(F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")).distinct()
+    third = linker.confirmed(stored(rest.join(failed.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
+    still = failed.groupBy(F.col("stray").alias("key")).agg(F.collect_list("comp").alias("open"))
+    hard = large.join(still, "key", "left").withColumn("stray", F.col("stray") & F.col("open").isNotNull())
+    hard = stored(hard.join(hard.where("stray").select("bucket").distinct(), "bucket", "left_semi"), "hard")
+    texts = _chosen(docs, stored(hard.select("key").distinct(), "ids"), "key").dropDuplicates(["key"])
+    hard = hard.join(reps.select("key", "bands"), "key").join(full_sets(texts, width, "key", "text"), "key")
+    fourth = _blocks(hard).groupBy("bucket", "sb", "mb").applyInArrow(link, "a long, b long")
+
+    later = second.unionByName(third).unionByName(fourth)
+    ca, cb = (known.select(F.col("key").alias(i), F.col("root").alias(f"_r{i}")) for i in "ab")
+    later = later.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+    merged = components(later, "a", "b").select(F.col("node").alias("_first"), F.col("root").alias("_last"))
+    first = F.coalesce("root", "rep")
+    of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", first.alias("_first"))
+    of_class = of_class.join(merged, "_first", "left").select("f1", "f2", "n", F.coalesce("_last", "_first").alias("_component"))
     found = sketched.select("key", "n", "f1", "f2").join(stored(of_class, "named"), ["f1", "f2", "n"], "left")
     component = F.coalesce(F.when(F.col("key").isNotNull(), F.col("_component")), F.col("key"))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
