@@ -116,11 +116,11 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
 class SecretModel:
     def __init__(self, samples: int = SAMPLES, recall: float = RECALL, seed: int = 3) -> None:
         found = labelled_findings(samples, seed)
-        texts, labels = [[windowed(t, a, b)] for t, a, b, _ in found], np.array([x[3] for x in found])
+        windows, labels = [windowed(t, a, b) for t, a, b, _ in found], np.array([x[3] for x in found])
         back = np.arange(len(found)) % 10 >= 8
         self.cnn = TextCnn((CHARS,), dim=12, widths=(2, 3, 5), filters=16, seed=seed)
-        self.cnn.fit([t for t, x in zip(texts, back, strict=True) if not x], labels[~back], EPOCHS, seed=seed)
-        held = self.logits([t[0] for t, x in zip(texts, back, strict=True) if x])
+        self.cnn.fit([np.concatenate(windows)], np.cumsum(list(map(len, windows))), labels, np.flatnonzero(~back), EPOCHS, seed=seed)
+        held = self.logits([w for w, x in zip(windows, back, strict=True) if x])
         true = np.sort(held[labels[back] == 1])
         self.threshold = float(true[int((1 - recall) * len(true))])
         self.recall = float((true >= self.threshold).mean())

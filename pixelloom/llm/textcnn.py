@@ -59,42 +59,45 @@ class TextCnn:
         pooled = np.maximum.reduceat(self.responses(laid, padding)[1], starts, axis=0)
         return (np.maximum(pooled + self.bias, 0) @ self.out + self.shift).astype(np.float64)
 
-    def fit(self, texts: list[list[np.ndarray]], labels: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.1, seed: int = 1, least: int = 1) -> None:
-        """texts: for each text its tokens by table. AdaGrad on the logistic loss; both classes weigh the same.
-        Entries that fewer than `least` of the texts hold count as padding, here and later: they can't be learnt, only memorised."""
+    def fit(self, ids: list[np.ndarray], ends: np.ndarray, labels: np.ndarray, chosen_from: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.1, seed: int = 1, least: int = 1) -> None:
+        """ids: for each table the tokens of all texts, one behind the other; ends: where each text ends; chosen_from: numbers of
+        the texts to learn from. AdaGrad on the logistic loss; both classes weigh the same. Entries that fewer than `least` of
+        the texts hold count as padding, here and later: they can't be learnt, only memorised."""
+        begins = np.append(0, ends[:-1])
         for k, (t, size) in enumerate(zip(self.tables, self.sizes, strict=True)):
             held = np.zeros(size + 1, np.int64)
-            for x in texts:
-                held[np.unique(x[k])] += 1
+            for i in chosen_from:
+                held[np.unique(ids[k][begins[i] : ends[i]])] += 1
             t[held < least] = 0
-            texts = [[*x[:k], np.where(held[x[k]] < least, size, x[k]), *x[k + 1 :]] for x in texts]
+            ids[k] = np.where(held[ids[k]] < least, size, ids[k]).astype(np.int32)
         rng = np.random.default_rng(seed)
-        weights = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
+        share = labels[chosen_from].mean()
+        weights = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
         params = [self.kernel, self.bias, self.out]
         sums = [np.full_like(p, 0.01) for p in params]
         table_sums = [np.full((len(t), 1), 0.01, np.float32) for t in self.tables]
         shift_sum, f = 0.01, self.filters
         for _ in range(epochs):
-            order = rng.permutation(len(texts))
+            order = rng.permutation(chosen_from)
             for b in range(0, len(order), batch):
                 chosen = order[b : b + batch]
-                ids = [np.concatenate([texts[i][k] for i in chosen]) for k in range(len(self.tables))]
-                laid, starts, padding = self.slots(ids, np.array([len(texts[i][0]) for i in chosen]))
+                own = [np.concatenate([x[begins[i] : ends[i]] for i in chosen]) for x in ids]
+                laid, starts, padding = self.slots(own, (ends - begins)[chosen])
                 vectors, found = self.responses(laid, padding)
-                ends = np.append(starts[1:], len(found))
-                top = np.stack([a + found[a:e].argmax(axis=0) for a, e in zip(starts, ends, strict=True)])
+                stops = np.append(starts[1:], len(found))
+                top = np.stack([a + found[a:e].argmax(axis=0) for a, e in zip(starts, stops, strict=True)])
                 act = np.maximum(np.take_along_axis(found, top, axis=0) + self.bias, 0)
                 p = 1 / (1 + np.exp(-np.clip(act @ self.out + self.shift, -30, 30)))
                 g = ((p - labels[chosen]) * weights[chosen] / len(chosen)).astype(np.float32)
                 d = g[:, None] * self.out * (act > 0)
                 d_kernel, rows, moves, at = np.zeros_like(self.kernel), [], [], 0
                 for i, width in enumerate(self.widths):
-                    own, slot = d[:, i * f : (i + 1) * f], top[:, i * f : (i + 1) * f]
+                    part, slot = d[:, i * f : (i + 1) * f], top[:, i * f : (i + 1) * f]
                     for j in range(width):
                         cols = slice(at + j * f, at + (j + 1) * f)
-                        d_kernel[:, cols] = np.einsum("bfd,bf->df", vectors[slot + j], own)
+                        d_kernel[:, cols] = np.einsum("bfd,bf->df", vectors[slot + j], part)
                         rows.append((slot + j).ravel())
-                        moves.append((own[:, :, None] * self.kernel[:, cols].T[None]).reshape(-1, vectors.shape[1]))
+                        moves.append((part[:, :, None] * self.kernel[:, cols].T[None]).reshape(-1, vectors.shape[1]))
                     at += width * f
                 rows, moves = np.concatenate(rows), np.concatenate(moves)
                 for t, s, size, x in zip(self.tables, table_sums, self.sizes, laid, strict=True):
