@@ -38,7 +38,7 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH, GRAM = 50, 24
 CHUNK = 1 << 18
 #: Bytes of text in a group, anchors dealt into a bucket, bytes of segments dealt into a shard.
-GROUP_BYTES, BUCKET_ANCHORS, SHARD_BYTES = 8 << 20, 1 << 20, 6 << 20
+GROUP_BYTES, BUCKET_ANCHORS, SHARD_BYTES = 4 << 20, 1 << 19, 3 << 20
 HOT_DOCS = 1 << 14
 BROADCAST_IDS = 1 << 20
 SEPARATOR = np.uint8(255)  # never occurs in UTF-8
