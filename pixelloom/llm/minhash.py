@@ -8,9 +8,10 @@ are ruled out (five standard errors); all others are confirmed on the full sets.
 Texts with equal sets form one class, and only a class's representative (its smallest id) goes on, so a group of copies costs
 one row. Candidates do not pair up all members of a bucket: first every member meets the bucket's leader, and each document
 tries its best leader; confirmed links merge components. Then a bucket's strays, whose component is not its leader's, meet
-the members of other components: each stray tries its best candidate of each component, and where that one fails, all others
-of that component. No link between different texts is dropped. Buckets of up to SMALL members meet by a join; larger
-ones are compared in blocks of bounded size, which put out only each stray's best candidate, or its confirmed link.
+the members of other components, and each tries its best candidate. With the components merged again, the strays that are left
+meet all members of other components. No link between different texts is dropped. Buckets of up to SMALL members meet by a
+join; larger ones are compared in blocks of bounded size, which put out only each stray's best candidate, and in the end
+only confirmed links, one for each stray and component.
 
 Cases: texts without words have an empty set and are linked with nothing. Texts with fewer words than a shingle have the whole
 sequence as their only shingle. Rows with a null id are linked with nothing and have a null component. Rows that repeat an
@@ -242,41 +243,39 @@ def equal_groups(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_of_block(block: pa.Table, low: float) -> pa.Table:
-    """(stray, comp, other, est): of each stray of a block, its best candidate in each other component."""
+    """(stray, other, est): of each stray of a block, its best candidate in another component."""
     side = block.column("stray").to_numpy(zero_copy_only=False)
     key, comp, sig = block.column("key").to_numpy(), block.column("comp").to_numpy(), _matrix(block.column("sig"), WORDS, np.uint64)
-    x, y = np.flatnonzero(side), np.flatnonzero(~side)
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for i in range(0, len(x), 64):
+    order = np.argsort(key, kind="stable")
+    x, y = order[side[order]], order[~side[order]]
+    out: list[list[np.ndarray]] = [[], [], []]
+    for i in range(0, len(x) if len(y) else 0, 64):
         part = x[i : i + 64]
-        est = equal_groups(sig[part][:, None], sig[y][None])
-        row, col = np.nonzero((est >= low) & (comp[part][:, None] != comp[y][None]))
-        value, of = est[row, col], comp[y][col]
-        order = np.lexsort((key[y][col], -value, of, row))
-        row, col, value, of = row[order], col[order], value[order], of[order]
-        fresh = np.append(True, (row[1:] != row[:-1]) | (of[1:] != of[:-1]))[: len(row)]
-        for o, v in zip(out, (key[part][row], of, key[y][col], value), strict=True):
-            o.append(v[fresh])
-    names = ("stray", "comp", "other", "est")
-    kinds = (np.int64, np.int64, np.int64, np.float64)
-    return pa.table({n: np.concatenate([np.empty(0, k), *o]) for n, o, k in zip(names, out, kinds, strict=True)})
+        est = np.where(comp[part][:, None] != comp[y][None], equal_groups(sig[part][:, None], sig[y][None]), -1.0)
+        top = est.argmax(axis=1)
+        value = est[np.arange(len(part)), top]
+        for o, v in zip(out, (key[part], key[y][top], value), strict=True):
+            o.append(v[value >= low])
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table({n: np.concatenate([np.empty(0, k), *o]) for n, o, k in zip(("stray", "other", "est"), out, kinds, strict=True)})
 
 
 def links_of_block(block: pa.Table, low: float, percent: int) -> pa.Table:
-    """(a, b): of each stray, the first confirmed link into each component that is open to it, best estimates first. A pair is
-    judged in the bucket of its first common band only."""
+    """(a, b): of each stray, the first confirmed link into each other component, best estimates first. A pair is judged in the
+    bucket of its first common band only."""
     side = block.column("stray").to_numpy(zero_copy_only=False)
     key, comp, sig = block.column("key").to_numpy(), block.column("comp").to_numpy(), _matrix(block.column("sig"), WORDS, np.uint64)
     bands, bucket = _matrix(block.column("bands"), BANDS, np.int64), block.column("bucket")[0].as_py()
-    sets, opens = block.column("members"), block.column("open")
+    sets = block.column("members").combine_chunks()
     y, found = np.flatnonzero(~side), []
     members = {int(j): sets[int(j)].values.to_numpy() for j in np.flatnonzero(side)}
     for i in np.flatnonzero(side):
         est = equal_groups(sig[i][None], sig[y])
         first = (bands[i][None] == bands[y]).argmax(axis=1)
-        for of in opens[int(i)].as_py() or ():
-            near = np.flatnonzero((est >= low) & (comp[y] == of) & (bands[i][first] == bucket))
-            for j in y[near[np.argsort(-est[near], kind="stable")]]:
+        near = np.flatnonzero((est >= low) & (comp[y] != comp[i]) & (bands[i][first] == bucket))
+        for of in np.unique(comp[y[near]]):
+            own = near[comp[y[near]] == of]
+            for j in y[own[np.argsort(-est[own], kind="stable")]]:
                 if int(j) not in members:
                     members[int(j)] = sets[int(j)].values.to_numpy()
                 a, b = members[int(i)], members[int(j)]
@@ -297,6 +296,27 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return strays.unionByName(others)
 
 
+def _with_strays(placed: DataFrame) -> DataFrame:
+    """placed (bucket, many, key, comp, home) plus stray, of the buckets that have strays."""
+    marked = stored(placed.withColumn("stray", F.col("comp") != F.col("home")), "placed")
+    return stored(marked.join(marked.where("stray").select("bucket").distinct(), "bucket", "left_semi"), "strays")
+
+
+def _met(placed: DataFrame, sigs: DataFrame, low: float) -> DataFrame:
+    """(stray, other, est): pairs of small buckets that join different components and whose estimate is not too low."""
+    small = placed.where(F.col("many") <= SMALL).join(sigs, "key")
+    x, y = small.where("stray").alias("x"), small.alias("y")
+    est = estimate(F.col("x.sig"), F.col("y.sig"))
+    passing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (est >= low)
+    return stored(x.join(y, passing).select(F.col("x.key").alias("stray"), F.col("y.key").alias("other"), est.alias("est")).distinct(), "met")
+
+
+def _between(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """links (a, b) as links of components (node, root)."""
+    ca, cb = (comps.select(F.col("node").alias(i), F.col("root").alias(f"_r{i}")) for i in "ab")
+    return links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: components of 100 * intersection >= percent * union. Ids are integers."""
     low = percent / 100 - MARGIN
@@ -319,16 +339,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     # The members of buckets with strays, with their components
     known = comps.withColumnRenamed("node", "key")
     placed = members.join(known, "key", "left").join(comps.select(F.col("node").alias("lead"), F.col("root").alias("_home")), "lead", "left")
-    placed = placed.select("bucket", "many", "key", F.coalesce("root", "key").alias("comp"), F.coalesce("_home", "lead").alias("_home"))
-    placed = stored(placed.select("bucket", "many", "key", "comp", (F.col("comp") != F.col("_home")).alias("stray")), "placed")
-    mixed = placed.where("stray").select("bucket").distinct()
-    open_ = stored(placed.join(mixed, "bucket", "left_semi").join(sigs, "key"), "open")
-    small, large = open_.where(F.col("many") <= SMALL), open_.where(F.col("many") > SMALL)
-
-    x, y = small.where("stray").alias("x"), small.alias("y")
-    passing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= low)
-    met = x.join(y, passing).select(F.col("x.key").alias("stray"), F.col("y.comp").alias("comp"), F.col("y.key").alias("other"), estimate(F.col("x.sig"), F.col("y.sig")).alias("est"))
-    met = stored(met.distinct(), "met")
+    placed = placed.select("bucket", "many", "key", F.coalesce("root", "key").alias("comp"), F.coalesce("_home", "lead").alias("home"))
+    placed = _with_strays(placed)
 
     def compare(block: pa.Table) -> pa.Table:
         return best_of_block(block, low)
@@ -336,29 +348,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     def link(block: pa.Table) -> pa.Table:
         return links_of_block(block, low, percent)
 
-    tops = _blocks(large).groupBy("bucket", "sb", "mb").applyInArrow(compare, "stray long, comp long, other long, est double")
-    top = met.unionByName(tops).groupBy("stray", "comp").agg(F.max(F.struct("est", "other")).alias("_x")).select("stray", "comp", "_x.other")
-    top = stored(top.select("stray", "comp", "other", F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")), "top")
-    second = stored(linker.confirmed(top.select("a", "b").distinct()), "links")
-    failed = stored(top.join(second, ["a", "b"], "left_anti").select("stray", "comp", "a", "b"), "failed")
-
-    # Where a stray's best candidate of a component failed: all others
-    rest = met.join(failed.select("stray", "comp"), ["stray", "comp"]).select(F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")).distinct()
-    third = linker.confirmed(stored(rest.join(failed.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
-    still = failed.groupBy(F.col("stray").alias("key")).agg(F.collect_list("comp").alias("open"))
-    hard = large.join(still, "key", "left").withColumn("stray", F.col("stray") & F.col("open").isNotNull())
-    hard = stored(hard.join(hard.where("stray").select("bucket").distinct(), "bucket", "left_semi"), "hard")
-    texts = _chosen(docs, stored(hard.select("key").distinct(), "ids"), "key").dropDuplicates(["key"])
-    hard = hard.join(reps.select("key", "bands"), "key").join(full_sets(texts, width, "key", "text"), "key")
-    fourth = _blocks(hard).groupBy("bucket", "sb", "mb").applyInArrow(link, "a long, b long")
-
-    later = second.unionByName(third).unionByName(fourth)
-    ca, cb = (known.select(F.col("key").alias(i), F.col("root").alias(f"_r{i}")) for i in "ab")
-    later = later.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
-    merged = components(later, "a", "b").select(F.col("node").alias("_first"), F.col("root").alias("_last"))
+    tops = _blocks(placed.where(F.col("many") > SMALL).join(sigs, "key")).groupBy("bucket", "sb", "mb").applyInArrow(compare, "stray long, other long, est double")
+    top = _met(placed, sigs, low).unionByName(tops).groupBy("stray").agg(F.max(F.struct("est", "other")).alias("_x")).select("stray", "_x.other")
+    top = stored(top.select(F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")).distinct(), "pairs")
+    second = components(_between(linker.confirmed(top), comps), "a", "b").withColumnsRenamed({"node": "comp", "root": "_new"})
+
+    # With these merged: all that still join different components
+    placed = placed.join(second, "comp", "left").join(second.withColumnsRenamed({"comp": "home", "_new": "_newhome"}), "home", "left")
+    placed = _with_strays(placed.select("bucket", "many", "key", F.coalesce("_new", "comp").alias("comp"), F.coalesce("_newhome", "home").alias("home")))
+    rest = _met(placed, sigs, low).select(F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")).distinct()
+    third = linker.confirmed(stored(rest.join(top, ["a", "b"], "left_anti"), "pairs"))
+    large = stored(placed.where(F.col("many") > SMALL).join(reps, "key"), "large")
+    texts = _chosen(docs, stored(large.select("key").distinct(), "ids"), "key").dropDuplicates(["key"])
+    large = large.join(full_sets(texts, width, "key", "text"), "key")
+    fourth = _blocks(large).groupBy("bucket", "sb", "mb").applyInArrow(link, "a long, b long")
+    new = second.select(F.col("comp").alias("node"), F.col("_new").alias("root"))
+    later = _between(_between(third.unionByName(fourth), comps), new)
+    merged = components(later, "a", "b").select(F.col("node").alias("_second"), F.col("root").alias("_third"))
+
     first = F.coalesce("root", "rep")
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", first.alias("_first"))
-    of_class = of_class.join(merged, "_first", "left").select("f1", "f2", "n", F.coalesce("_last", "_first").alias("_component"))
+    of_class = of_class.join(second.withColumnRenamed("comp", "_first"), "_first", "left").select("f1", "f2", "n", F.coalesce("_new", "_first").alias("_second"))
+    of_class = of_class.join(merged, "_second", "left").select("f1", "f2", "n", F.coalesce("_third", "_second").alias("_component"))
     found = sketched.select("key", "n", "f1", "f2").join(stored(of_class, "named"), ["f1", "f2", "n"], "left")
     component = F.coalesce(F.when(F.col("key").isNotNull(), F.col("_component")), F.col("key"))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
