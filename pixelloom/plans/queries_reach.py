@@ -13,6 +13,7 @@ from ..operators import reach as rc
 from ..operators import sets as st
 from ..operators import windows as wn
 from ..sources import fixtures as fx
+from ..streaming import events as ev
 from .catalogue import LOG, RECTANGLES, SHEET, TILES, bucket_sql, col, query, sql_byte, sql_half_up
 
 AT = ["image_id", "x", "y"]
@@ -230,3 +231,23 @@ def history_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ST9 ST11 ST13b", "SELECT props, min(event_id) AS seq FROM events GROUP BY props")
 def once_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.once(fx.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq"), "props", "seq")
+
+
+# --- the same on streams -------------------------------------------------------------------------------------------------
+
+
+@query("ST3 ST5 stream", "SELECT user_id AS session, max(event_id) AS seq, arg_max(event_type, event_id) AS stage FROM events GROUP BY user_id")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.run_to_table(ev.latest(ev.event_stream(spark, sf_dir), "session", "seq", "stage"), "complete", "session")
+
+
+@query("ST4 stream", f"""WITH {LOG}, g AS (SELECT session, seq, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 600000000 THEN 1 ELSE 0 END AS f FROM log WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+b AS (SELECT *, sum(f) OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT session, max(ts) AS ts, arg_max(seq, ts) AS seq, count(*) AS n FROM b GROUP BY session, burst""")
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bursts = ev.run_to_table(ev.debounced(ev.event_stream(spark, sf_dir), "session", 600_000, "seq"), "complete", "session")
+    return bursts.withColumn("ts", col("ts").cast("timestamp_ntz"))
+
+
+@query("ST6 stream")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.run_to_table(ev.replayed(ev.event_stream(spark, sf_dir)), "update", "session")
