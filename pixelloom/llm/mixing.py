@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def word_count(text: Column) -> Column:
