@@ -16,19 +16,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node in reach; nodes that are their own root are left out."""
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while not now.isEmpty():
-        now = stored(_star(_star(now, True), False), "edges")
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
-            break
-        mark = found
+    before, mark = None, _mark(now)
+    while mark[0] and mark != before:
+        now = stored(_star(_star(now, True), False).distinct(), "edges")
+        before, mark = mark, _mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
