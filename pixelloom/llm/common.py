@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.shared import shared_folder, stored
+
+__all__ = ["LOWER", "UPPER", "WORD", "lowered", "mixed64", "power_of_two", "shared_folder", "ship", "stored"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word, as the contracts define it: a run without blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -24,28 +24,6 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="pixelloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write a table into the shared folder and read it again. It goes when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lowered(text: Column) -> Column:
     """A-Z in lower case, all else untouched; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -3,7 +3,7 @@
 Each text's set of word shingles gets HASHES minima. Bands of them, hashed, are the buckets for candidate generation; of each
 minimum only the low BITS bits are kept, packed into 64-bit words, and the similarity of a candidate pair is estimated from
 the number of equal bit groups, corrected for chance collisions. Pairs whose estimate is more than MARGIN below the threshold
-are ruled out (five standard errors); all others are confirmed on the full sets.
+are ruled out (over four standard errors); all others are confirmed on the full sets.
 
 Texts with equal sets form one class, and only a class's representative (its smallest id) goes on, so a group of copies costs
 one row. Candidates do not pair up all members of a bucket: first every member meets the bucket's leader, and each document
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mixed64, ship, stored
-from .graph import components
+from ..operators.graph import components
+from .common import mixed64, ship, stored
 
-BANDS, ROWS, BITS = 32, 4, 4
+BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
 PER_WORD = 64 // BITS
 WORDS = HASHES // PER_WORD
-MARGIN = 0.17
+MARGIN = 0.18
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 18
 BROADCAST_IDS = 1 << 20
@@ -206,8 +206,8 @@ class Linker:
         self.docs, self.width, self.percent, self.key, self.text = docs.select(key, text), width, percent, key, text
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        ids = stored(pairs.select(F.col("a").alias(self.key)).union(pairs.select(F.col("b").alias(self.key))).distinct(), "ids")
-        texts = _chosen(self.docs, ids, self.key).dropDuplicates([self.key])
+        ids = pairs.select(F.explode(F.array("a", "b")).alias(self.key))
+        texts = _chosen(self.docs, ids, self.key)
         sets = stored(full_sets(texts, self.width, self.key, self.text), "sets")
         left, right = sets.select(F.col("key").alias("a"), F.col("members").alias("_a")), sets.select(F.col("key").alias("b"), F.col("members").alias("_b"))
         joined = pairs.select("a", "b").join(right, "b").join(left, "a")
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sketched = stored(sketch(docs, width, "key", "text"), "sketched")
     classes = stored(sketched.where("n > 0 AND key IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("key").alias("rep")), "classes")
-    reps = stored(sketched.join(classes.select(F.col("rep").alias("key"), "f1", "f2", "n"), ["key", "f1", "f2", "n"], "left_semi").dropDuplicates(["key"]).select("key", "sig", "bands"), "reps")
+    reps = stored(sketched.join(classes.select(F.col("rep").alias("key"), "f1", "f2", "n"), ["key", "f1", "f2", "n"], "left_semi").select("key", "sig", "bands"), "reps")
     rows = reps.select("key", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
     members = stored(rows.join(stored(shared, "shared"), "bucket").select("bucket", "lead", "many", "key"), "members")
