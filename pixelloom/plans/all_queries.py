@@ -1,6 +1,6 @@
 """All queries of the catalogue; importing the modules registers them."""
 
-from . import queries_pixels, queries_reach, queries_regions  # noqa: F401
+from . import queries_more, queries_pixels, queries_reach, queries_regions  # noqa: F401
 from .catalogue import INVENTORY, ORACLES, QUERIES
 
 __all__ = ["INVENTORY", "ORACLES", "QUERIES"]
