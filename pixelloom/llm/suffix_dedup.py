@@ -16,8 +16,8 @@ size, and each group, bucket and shard exchanges packed arrays, not a row for ea
 5. Windows whose smallest document is smaller than their own are covered; covered bytes are cut from the text.
 
 Cases: null text counts as empty; texts shorter than LENGTH bytes lose nothing. Matches never cross documents. Rows that repeat
-an id and its text don't cover each other; rows with a null id lose nothing and cover nothing. Ids are integers. Texts are
-handled whole, one chunk of bounded size at a time (a longer text is a chunk of its own).
+an id, with the same text or others, don't cover each other; rows with a null id lose nothing and cover nothing. Ids are
+integers. Texts are handled whole, one chunk of bounded size at a time (a longer text is a chunk of its own).
 """
 
 from __future__ import annotations
@@ -358,12 +358,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     sized = stored(sized, "digests")
     fit = sized.where(f"key IS NOT NULL AND n_bytes >= {LENGTH}")
     repeated = stored(fit.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("digest", "first"), "repeated")
-    copies = stored(fit.join(repeated, "digest").where("key > first").select("key", "n_bytes"), "copies")
+    copies = stored(fit.join(repeated, "digest").where("key > first").select("key", "digest", "n_bytes"), "copies")
     total = fit.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     groups, buckets, shards = 1 + total // GROUP_BYTES, 1 + total * 2 // (LENGTH - GRAM + 2) // BUCKET_ANCHORS, 1 + total // SHARD_BYTES
 
-    gone = copies.select("key").distinct()
-    texts = rows.where((F.col("key").isNotNull()) & (F.octet_length("text") >= LENGTH)).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "key", "left_anti")
+    # an id may also stand for other texts, which stay: the text goes by id and digest
+    gone = copies.select("key", F.unhex("digest").alias("sha")).distinct()
+    texts = rows.where((F.col("key").isNotNull()) & (F.octet_length("text") >= LENGTH)).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    texts = texts.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["key", "sha"], "left_anti")
     texts = texts.select(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("group"), "key", "text", F.crc32("text").alias("digest"))
 
     def anchors(t: pa.Table) -> pa.Table:

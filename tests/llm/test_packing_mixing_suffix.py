@@ -156,6 +156,17 @@ def test_remove_repeats(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_remove_repeats_of_an_id_with_other_texts(spark):
+    a, b = ("".join(random.Random(seed).choice("abcdefgh ") for _ in range(300)) for seed in (1, 2))
+    rows = [(3, a), (5, a), (5, b), (5, a[:200] + b[:100]), (7, b), (7, b), (7, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], SCHEMA)
+    for most in (1 << 20, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(suffix_dedup, "BROADCAST_IDS", most)
+            found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect())
+        assert found == brute_repeats(rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(500)]
