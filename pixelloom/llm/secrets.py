@@ -1,9 +1,10 @@
 """Secret scans: fixed base patterns, and a character convolutional network in numpy over every other candidate.
 
-A candidate is a run of 16 or more key characters that holds a digit; the network reads it whole, with LEFT characters before
-and RIGHT behind it. It is trained on labelled findings, made by a seeded generator: credentials of many forms and things
-that look like them (identifiers, dates, paths, versions, numbers), in running text. The threshold is the highest one at
-which at least RECALL of the held-back credentials are found.
+A candidate is a run of 16 or more key characters, or of 12 or more behind a label; the network reads it whole, with LEFT
+characters before and RIGHT behind it. Left out are only runs that one base hit covers whole; where a hit covers a part, both
+are reported. It is trained on labelled findings, made by a seeded generator: credentials of many forms, with and without
+digits or long hex pieces, and things that look like them (words, identifiers, dates, paths, versions, numbers), in running
+text. The threshold is the highest one at which at least RECALL of the held-back credentials are found.
 
 Cases: null counts as empty. Texts without candidates (every base hit of the kinds access and hex is inside one) cost one
 scan. Rows are handled one by one, whole, in Arrow batches; candidates are scored together for each batch.
@@ -32,7 +33,10 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "network")
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+LONG_RUN = 16
+#: A label, as it stands before a run of fewer characters than LONG_RUN or within it.
+_LABEL = re.compile(r"""(?:[:=]|\b(?:bearer|basic|credentials?|key|token|secret|password|passphrase))["']?\s{0,2}["']?\Z""", re.I)
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")  # a run of the hex pattern that is long enough
 LEFT, RIGHT = 24, 8
 CHARS = 130
@@ -40,6 +44,15 @@ RECALL = 0.98
 SAMPLES, EPOCHS = 3000, 6
 
 
+def key_runs(text: str) -> list[re.Match]:
+    """The candidates of a text."""
+
+    def labelled(m: re.Match) -> bool:
+        return "=" in m[0].rstrip("=") or _LABEL.search(text[max(0, m.start() - LEFT) : m.start()]) is not None
+
+    return [m for m in _RUN.finditer(text) if m.end() - m.start() >= LONG_RUN or labelled(m)]
+
+
 def base_spans(text: str, candidates: list[re.Match]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base hits. candidates: the key character runs, which contain all hits but those of assign."""
     found = []
@@ -66,19 +79,32 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label): n findings with context."""
     rng = random.Random(seed)
     alnum = string.ascii_letters + string.digits
+    hexes = "0123456789abcdef"
     pick = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
-    syllables = "an the er on re ing tion ou ver que men to is la de st in or ich en ge os mi ka ra".split()
+    syllables = (
+        "an the er on re ing tion ou ver que men to is la de st in or ich en ge os mi ka ra al be ble ly th sh wh ness ment ful over under inter com pre pro con dis trans un ist ism ity "
+        "sch ung heit keit lich schaft ein aus auf durch gegen bung tz pf eu ei ie recht stadt wirt arbeit bund zeit sprach stelle haft los mal frei vor nach zu chen burg welt "
+        "eau eur euse elle oire aine eux ait oi ant ence ique isme ette ale ser par sur contre entre "
+        "cion dad mente ado ido ero era illo ar ir con des gua lla rro ncia bre tar dor esa ismo"
+    ).split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     number = lambda a, b: str(rng.randint(a, b))
     date = lambda: f"{rng.randint(1990, 2035)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+    prefixes = ("ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "glpat-", "npm_", "hf_")
+    words = lambda sep, a, b: sep.join(word() for _ in range(rng.randint(a, b)))
     secret = (
-        lambda: pick(alnum, 20, 64),
+        lambda: pick(alnum, 16, rng.choice((20, 64))),
         lambda: pick(alnum + "+/", 24, 80) + rng.choice(("", "=", "==")),
-        lambda: rng.choice(("ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "glpat-", "npm_", "hf_")) + pick(alnum, 20, 40),
+        lambda: rng.choice(prefixes) + pick(alnum, 20, 40),
         lambda: "eyJ" + pick(alnum + "_-", 20, 40) + "." + pick(alnum + "_-", 30, 80) + "." + pick(alnum + "_-", 20, 43),
         lambda: pick("ABCDEF0123456789", 32, 40),
         lambda: pick(alnum + "-_", 32, 48),
+        lambda: pick(string.ascii_letters, 16, rng.choice((20, 40))),
+        lambda: pick(rng.choice((string.ascii_lowercase, string.ascii_uppercase)), 16, rng.choice((20, 40))),
+        lambda: rng.choice(prefixes) + pick(hexes, 16, 40),
+        lambda: words("/", 1, 3) + "/" + pick(hexes, 16, 32) + "/" + pick(alnum, 20, 40),
     )
+    secret_by_label = (lambda: words(rng.choice("-_."), 4, 6), lambda: pick(rng.choice((alnum, string.ascii_letters)), 12, 15))
     plain = (
         lambda: "/".join(word() for _ in range(rng.randint(3, 6))) + "/" + number(1, 9999),
         lambda: "_".join(word() for _ in range(rng.randint(2, 5))) + "_" + number(1, 99),
@@ -95,16 +121,30 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: "978-" + "-".join(number(1, 99999) for _ in range(3)) + "-" + number(0, 9) + "-" + word(),
         lambda: rng.choice((word(), "mail", "www", "m")) + number(1, 99) + "." + word() + word() + rng.choice((".com", ".org", ".net", ".example.com")),
         lambda: ".".join(number(0, 255) for _ in range(4)) + "/" + number(8, 32) + "-" + ".".join(number(0, 255) for _ in range(4)),
+        lambda: words("", 4, 7) + rng.choice(("", "", ".")),
+        lambda: words("", 4, 7).title() + rng.choice(("", "", ".")),
+        lambda: words("", 4, 7).upper() + rng.choice(("", "", ".")),
+        lambda: words(rng.choice("-_./"), 2, 6) + rng.choice(("", ".", ".html", ".jpg", ".com")),
+        lambda: "".join(word().title() for _ in range(rng.randint(2, 5))),
+        lambda: rng.choice("=-_.") * rng.randint(16, 60),
+        lambda: words("/", 1, 3) + "/" + pick(hexes, 16, 40) + rng.choice((".jpg", ".png", ".js", ".css")),
     )
-    lead = ("key = \"", "secret: ", "Authorization: Bearer ", "token ", "export KEY=", "credential '", "auth=")
+    plain_by_label = (lambda: words("", 2, 4), lambda: words(rng.choice("-_./"), 2, 3), lambda: word() + "-" + number(1, 99999), lambda: date() + "T" + number(10, 23))
+    lead = ("key = \"", "secret: ", "Authorization: Bearer ", "token ", "export KEY=", "credential '", "auth=", "passphrase: ", "password '")
+    field = ("name: ", "title: ", "author = ", "id: ", "lang=", "class=\"", "city: ", "version = ", "date: ", "file: '")
     out = []
     for i in range(n):
         label = i % 2
-        token = rng.choice(secret if label else plain)()
-        while not (_CANDIDATE.fullmatch(token) and any(c.isdigit() for c in token)):
-            token = rng.choice(secret if label else plain)()
-        before = " ".join(word() for _ in range(rng.randint(0, 6))) + " "
-        if rng.random() < (0.6 if label else 0.1):
+        by_label = rng.random() < 0.25
+        makers = (secret_by_label if label else plain_by_label) if by_label else secret if label else plain
+        while True:
+            token = rng.choice(makers)()
+            if _RUN.fullmatch(token) and (by_label or len(token) >= LONG_RUN):
+                break
+        before = words(" ", 0, 6) + " "
+        if by_label:
+            before += rng.choice(lead if label else field)
+        elif rng.random() < (0.6 if label else 0.1 if any(c.isdigit() for c in token) else 0):
             before += rng.choice(lead)
         if not label and token.endswith((".com", ".org", ".net")) and rng.random() < 0.7:
             before += word() + "." + number(1, 99) + "@"
@@ -133,14 +173,14 @@ class SecretModel:
 
 
 def scan(texts: list[str], model: SecretModel) -> list[list[tuple[int, int, str]]]:
-    """All spans of each text: the base ones, and the candidates apart from them that the network takes."""
+    """All spans of each text: the base ones, and the candidates not within one of them that the network takes."""
     out, windows, where = [], [], []
     for i, text in enumerate(texts):
-        candidates = list(_CANDIDATE.finditer(text))
+        candidates = key_runs(text)
         base = base_spans(text, candidates)
         out.append(base)
         for c in candidates:
-            if any("0" <= x <= "9" for x in c[0]) and not any(a < c.end() and c.start() < b for a, b, _ in base):
+            if not any(a <= c.start() and c.end() <= b for a, b, _ in base):
                 windows.append(windowed(text, *c.span()))
                 where.append((i, *c.span()))
     for (i, a, b), logit in zip(where, model.logits(windows), strict=True):

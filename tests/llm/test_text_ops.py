@@ -112,6 +112,29 @@ def test_secret_network():
     assert (logits[labels == 1] >= model.threshold).mean() > 0.93 and (logits[labels == 0] >= model.threshold).mean() < 0.07
 
 
+def test_every_candidate_is_scored():
+    model = secrets.SecretModel()
+    rng = random.Random(11)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters, hexes = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+    keys = {
+        "letters": ["a note with " + pick(letters, rng.choice((16, 20, 32))) + " in it" for _ in range(100)],
+        "passphrase": ["passphrase: " + "-".join(rng.choice(("over", "tion", "menting", "stelle", "rando")) + rng.choice(("la", "ing", "mi")) for _ in range(5)) + "\nand so on" for _ in range(100)],
+        "short": ["credential '" + pick(letters, 14) + "' in it" for _ in range(100)],
+        "embedded hex": ["the files la/ment/" + pick(hexes, 20) + "/" + pick(letters + "0123456789", 30) + " are" for _ in range(100)],
+        "prefix and hex": ["use sk_live_" + pick(hexes, 24) + " for it" for _ in range(100)],
+    }
+    for name, texts in keys.items():
+        hits = [any(k == "network" and text[a:b] in text.split() + text.split("'") for a, b, k in spans) for text, spans in zip(texts, secrets.scan(texts, model), strict=True)]
+        assert sum(hits) >= 85, (name, sum(hits))
+    both = secrets.scan(["use sk_live_0123456789abcdef01234567 for it"], model)[0]
+    assert [k for *_, k in both] == ["network", "hex"]
+    words = ["and the " + w + " of it" for w in ("internationalisation", "Straßenverkehrsordnungen", "overcompensations", "well-known-places", "recommendations.", "incomprehensible", "responsabilidades", "constitutionnellement")]
+    assert sum(k == "network" for spans in secrets.scan(words, model) for *_, k in spans) <= 1
+    labelled = [t[a:b] for t, a, b, x in secrets.labelled_findings(3000, 5) if x]
+    assert any(not re.search("[0-9]", t) for t in labelled) and any(re.search("[0-9a-f]{16}", t) and not re.fullmatch("[0-9a-f]+", t) for t in labelled)
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
