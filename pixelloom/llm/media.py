@@ -1,7 +1,8 @@
 """Media columns: ISO base media files, written from payloads and read by walking their boxes.
 
-media_columns() turns a binary column into codec, time scale, duration, sample count and the byte ranges of the keyframes.
-It reads box headers and sample tables (stsd, stts, stss, stsz, stsc, stco/co64, mdhd) only; the media data are not decoded.
+media_columns() turns a binary column into codec, time scale, duration, sample count and the byte ranges of the keyframes of
+each track, and of the main one (the first video track, else the first track). It reads box headers, sample tables (stsd, stts,
+stss, stsz, stsc, stco/co64, mdhd) and movie fragments (trex, tfhd, trun) only; the media data are not decoded.
 raw_video_file() stores bytes losslessly as uncompressed 8x8 RGB frames of 192 bytes, a keyframe every KEY_EVERY frames,
 and stored_payload() gets them back by the chunk and size tables.
 
@@ -31,7 +32,10 @@ TIME_SCALE, FRAME_TICKS = 25_000, 1_000
 #: Boxes that hold boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
 
-MEDIA_SCHEMA = "codec string, time_scale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>, error string"
+MEDIA_SCHEMA = (
+    "codec string, time_scale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>, "
+    "tracks array<struct<track_id:long,handler:string,codec:string,time_scale:long,duration:long,n_samples:long,keyframes:array<struct<start:long,end:long>>>>, error string"
+)
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -107,41 +111,123 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         start += size
 
 
-def sample_tables(data: bytes) -> dict:
-    """Of the first track: codec, time scale, duration, sizes (one number if all are equal), chunk runs and offsets, keys."""
-    found: dict = {}
-    for path, a, b in walk(data):
-        if path[:2] != (b"moov", b"trak") or path[-1] in found and path[-1] != b"trak":
+def _table(data: bytes, at: int, form: str) -> list[tuple]:
+    """Entries of a table that begins with their number."""
+    n = struct.unpack_from(">I", data, at)[0]
+    return list(struct.iter_unpack(form, data[at + 4 : at + 4 + n * struct.calcsize(form)]))
+
+
+def track_tables(data: bytes) -> list[dict]:
+    """Of each track: id, handler, codec, time scale, duration, sizes (one number if all are equal), chunk runs and offsets, keys, and
+    fragments: (offset, size, is a keyframe) of each sample in movie fragments."""
+    tracks: list[dict] = []
+    defaults: dict[int, tuple] = {}
+    boxes = list(walk(data))
+    for path, a, _ in boxes:
+        if path == (b"moov", b"trak"):
+            tracks.append({"id": len(tracks) + 1, "fragments": []})
+        elif path == (b"moov", b"mvex", b"trex"):
+            defaults[struct.unpack_from(">I", data, a + 4)[0]] = struct.unpack_from(">III", data, a + 12)
+        if path[:2] != (b"moov", b"trak"):
             continue
-        kind = path[-1]
-        found[kind] = True
-        if kind == b"mdhd":
+        found, kind = tracks[-1], path[-1]
+        if path[2:] == (b"tkhd",):
+            found["id"] = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+        elif path[2:] == (b"mdia", b"hdlr"):
+            found["handler"] = data[a + 8 : a + 12].decode("latin-1")
+        elif path[2:] == (b"mdia", b"mdhd"):
             form, at = (">IQ", a + 20) if data[a] == 1 else (">II", a + 12)
             found["time_scale"], found["duration"] = struct.unpack_from(form, data, at)
+        elif path[2:-1] != (b"mdia", b"minf", b"stbl"):
+            continue
         elif kind == b"stsd":
-            found["codec"] = data[a + 12 : a + 16].decode("latin-1")
+            found["codec"] = data[a + 12 : a + 16].decode("latin-1") if struct.unpack_from(">I", data, a + 4)[0] else None
         elif kind == b"stts":
-            n = struct.unpack_from(">I", data, a + 4)[0]
-            found["stts"] = list(struct.iter_unpack(">II", data[a + 8 : a + 8 + 8 * n]))
+            found["stts"] = _table(data, a + 4, ">II")
         elif kind == b"stss":
-            n = struct.unpack_from(">I", data, a + 4)[0]
-            found["keys"] = struct.unpack_from(f">{n}I", data, a + 8)
+            found["keys"] = tuple(k for (k,) in _table(data, a + 4, ">I"))
         elif kind == b"stsz":
             each, n = struct.unpack_from(">II", data, a + 4)
             found["n"], found["sizes"] = n, each or struct.unpack_from(f">{n}I", data, a + 12)
         elif kind == b"stsc":
-            n = struct.unpack_from(">I", data, a + 4)[0]
-            found["runs"] = list(struct.iter_unpack(">III", data[a + 8 : a + 8 + 12 * n]))
+            found["runs"] = _table(data, a + 4, ">III")
         elif kind in (b"stco", b"co64"):
-            n = struct.unpack_from(">I", data, a + 4)[0]
-            found["chunks"] = struct.unpack_from(f">{n}{'I' if kind == b'stco' else 'Q'}", data, a + 8)
-    if "n" not in found or "chunks" not in found or "runs" not in found:
+            found["chunks"] = tuple(c for (c,) in _table(data, a + 4, ">I" if kind == b"stco" else ">Q"))
+    add_fragments(data, boxes, {t["id"]: t for t in tracks}, defaults)
+    for t in tracks:
+        if not {"n", "chunks", "runs"} <= t.keys():
+            if not t["fragments"] or {"n", "chunks", "runs"} & t.keys():
+                raise ValueError("no sample tables")
+            t |= {"n": 0, "sizes": 0, "chunks": (), "runs": []}
+        if t["fragments"]:
+            t["duration"] = sum(n * ticks for n, ticks in t.get("stts", ())) + t.pop("ticks")
+    if not tracks:
         raise ValueError("no sample tables")
-    return found
+    return tracks
+
+
+def add_fragments(data: bytes, boxes: list[tuple], tracks: dict[int, dict], defaults: dict[int, tuple]) -> None:
+    """Puts the samples of all movie fragments to those of their tracks."""
+    track, moof, top, after = None, 0, 0, 0  # begin of the fragment, end of the last outermost box, end of the last traf's data
+    for path, a, b in boxes:
+        if len(path) == 1:
+            if path == (b"moof",):
+                track, moof, after = None, top, top
+            top = b
+        elif path == (b"moof", b"traf", b"tfhd"):
+            flags, track_id = struct.unpack_from(">II", data, a)
+            if track_id not in tracks:
+                raise ValueError(f"fragment of an unknown track {track_id}")
+            track = tracks[track_id]
+            at = a + 8
+            base = after if not flags & 0x20000 else moof
+            if flags & 1:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 if flags & 2 else 0
+            ticks, size, marks = defaults.get(track_id, (0, 0, 0))
+            if flags & 8:
+                ticks, at = struct.unpack_from(">I", data, at)[0], at + 4
+            if flags & 0x10:
+                size, at = struct.unpack_from(">I", data, at)[0], at + 4
+            if flags & 0x20:
+                marks = struct.unpack_from(">I", data, at)[0]
+            after = base
+        elif path == (b"moof", b"traf", b"trun"):
+            if track is None:
+                raise ValueError("fragment run without a header")
+            flags, n = struct.unpack_from(">II", data, a)
+            at, offset, first = a + 8, after, None
+            if flags & 1:
+                offset, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            if flags & 4:
+                first, at = struct.unpack_from(">I", data, at)[0], at + 4
+            fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+            if at + 4 * n * len(fields) > b or n > len(data):
+                raise ValueError("truncated fragment run")
+            for i in range(n):
+                own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at), strict=True))
+                at += 4 * len(fields)
+                mark = first if i == 0 and first is not None else own.get(0x400, marks)
+                length = own.get(0x200, size)
+                track["fragments"].append((offset, length, not mark & 0x10000))
+                track["ticks"] = track.get("ticks", 0) + own.get(0x100, ticks)
+                offset += length
+            after = offset
+
+
+def main_track(tracks: list[dict]) -> dict:
+    return next((t for t in tracks if t.get("handler") == "vide"), tracks[0])
+
+
+def sample_tables(data: bytes) -> dict:
+    """Tables of the main track."""
+    return main_track(track_tables(data))
 
 
 def chunk_samples(t: dict) -> list[tuple[int, int]]:
     """(offset, samples) of each chunk."""
+    if not t["chunks"]:
+        return []
     ends = [r[0] - 1 for r in t["runs"][1:]] + [len(t["chunks"])]
     counts = [r[1] for r, end in zip(t["runs"], ends, strict=True) for _ in range(r[0] - 1, end)]
     return list(zip(t["chunks"], counts, strict=True))
@@ -158,7 +244,7 @@ def keyframe_ranges(t: dict) -> list[tuple[int, int]]:
                 out.append((offset, offset + size))
             offset += size
         at += count
-    return out
+    return out + [(offset, offset + size) for offset, size, key in t["fragments"] if key]
 
 
 def stored_payload(data: bytes, t: dict) -> bytes:
@@ -167,19 +253,27 @@ def stored_payload(data: bytes, t: dict) -> bytes:
         size = count * sizes if isinstance(sizes, int) else sum(sizes[at : at + count])
         parts.append(data[offset : offset + size])
         at += count
+    parts += [data[offset : offset + size] for offset, size, _ in t["fragments"]]
     return b"".join(parts)
 
 
 def media_row(data: bytes | None) -> tuple:
     """One row of MEDIA_SCHEMA."""
     if data is None:
-        return (None, None, None, None, None, "no file")
+        return (*[None] * 6, "no file")
     try:
-        t = sample_tables(data)
-        ranges = [{"start": a, "end": b} for a, b in keyframe_ranges(t)]
-        return (t.get("codec"), t.get("time_scale"), t.get("duration"), t["n"], ranges, None)
+        tracks = track_tables(data)
+        main = tracks.index(main_track(tracks))
+        rows = [
+            {
+                "track_id": t["id"], "handler": t.get("handler"), "codec": t.get("codec"), "time_scale": t.get("time_scale"), "duration": t.get("duration"),
+                "n_samples": t["n"] + len(t["fragments"]), "keyframes": [{"start": a, "end": b} for a, b in keyframe_ranges(t)],
+            }
+            for t in tracks
+        ]
+        return (*(rows[main][k] for k in ("codec", "time_scale", "duration", "n_samples", "keyframes")), rows, None)
     except (ValueError, struct.error, IndexError) as e:
-        return (None, None, None, None, None, f"damaged: {e}"[:200])
+        return (*[None] * 6, f"damaged: {e}"[:200])
 
 
 def _arrow(rows: list[tuple], names: list[str], types: list[pa.DataType], lead: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
@@ -188,7 +282,9 @@ def _arrow(rows: list[tuple], names: list[str], types: list[pa.DataType], lead:
 
 
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_MEDIA = (["codec", "time_scale", "duration", "n_samples", "keyframes", "error"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), _RANGES, pa.string()])
+_COLUMNS = [("codec", pa.string()), ("time_scale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _RANGES)]
+_TRACKS = pa.list_(pa.struct([("track_id", pa.int64()), ("handler", pa.string()), *_COLUMNS]))
+_MEDIA = ([*(n for n, _ in _COLUMNS), "tracks", "error"], [*(t for _, t in _COLUMNS), _TRACKS, pa.string()])
 
 
 def media_columns(files: DataFrame, key: str, content: str) -> DataFrame:

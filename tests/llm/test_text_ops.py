@@ -48,6 +48,71 @@ def test_other_media_files(spark):
     assert [found[i].codec for i in (1, 2, 3, 4)] == [None] * 4 and all(found[i].error for i in (1, 2, 3, 4))
 
 
+def _track(track_id, handler, codec, sizes, chunks, runs, keys):
+    box, full = media.box, media.full_box
+    numbers = lambda values: struct.pack(f">I{len(values)}I", len(values), *values)
+    tables = [
+        full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))),
+        full(b"stts", struct.pack(">I", bool(sizes)), struct.pack(">II", len(sizes), 10) if sizes else b""),
+        full(b"stsz", bytes(4), numbers(sizes)),
+        full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)),
+        full(b"stco", numbers(chunks)),
+    ]
+    if keys is not None:
+        tables.append(full(b"stss", numbers(keys)))
+    mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000 * track_id, 10 * len(sizes), 0, 0))
+    hdlr = full(b"hdlr", bytes(4), handler, bytes(12), b"x\0")
+    minf = box(b"minf", full(b"hdlr", b"dhlr", b"alis", bytes(12), b"y\0"), box(b"stbl", *tables))
+    return box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, track_id, 0, 0)), box(b"mdia", mdhd, hdlr, minf))
+
+
+def test_media_of_two_tracks(spark):
+    def file(base):
+        sound = _track(1, b"soun", b"mp4a", [3, 4, 5], [base, base + 100], [(1, 2, 1), (2, 1, 1)], None)
+        video = _track(2, b"vide", b"avc1", [20, 30, 40, 5], [base + 10, base + 110], [(1, 2, 1)], [1, 3])
+        return media.box(b"ftyp", b"isom", bytes(4)) + media.box(b"moov", sound, video) + media.box(b"mdat", bytes(200))
+
+    base = len(file(0)) - 200
+    df = spark.createDataFrame([(0, bytearray(file(base)))], "doc_id long, media binary")
+    r = media.media_columns(df, "doc_id", "media").first()
+    video = (2, "vide", "avc1", 2000, 40, 4, [(base + 10, base + 30), (base + 110, base + 150)])
+    sound = (1, "soun", "mp4a", 1000, 30, 3, [(base, base + 3), (base + 3, base + 7), (base + 100, base + 105)])
+    assert [(*t[:6], [tuple(k) for k in t.keyframes]) for t in r.tracks] == [sound, video]
+    assert (r.codec, r.time_scale, r.duration, r.n_samples, [tuple(k) for k in r.keyframes], r.error) == (*video[2:], None)
+
+
+def test_media_in_fragments(spark):
+    box, full = media.box, media.full_box
+    flagged = lambda kind, flags, *parts: box(kind, struct.pack(">I", flags), *parts)
+    trex = [full(b"trex", struct.pack(">IIIII", i, 1, 7, size, 0x10000 if i == 2 else 0)) for i, size in ((1, 6), (2, 0))]
+    moov = box(b"moov", _track(1, b"soun", b"mp4a", [], [], [], None), _track(2, b"vide", b"avc1", [], [], [], None), box(b"mvex", *trex))
+    start = len(moov)
+
+    def moof(data_at):
+        sound = box(b"traf", flagged(b"tfhd", 0x20000, struct.pack(">I", 1)), flagged(b"trun", 1, struct.pack(">Ii", 2, data_at)))
+        runs = flagged(b"trun", 0x305, struct.pack(">IiI", 3, data_at + 12, 0), struct.pack(">6I", 5, 50, 6, 20, 7, 30)), flagged(b"trun", 0x600, struct.pack(">I4I", 2, 9, 0, 8, 0x10000))
+        video = box(b"traf", flagged(b"tfhd", 0x20008, struct.pack(">II", 2, 4)), *runs)
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), sound, video)
+
+    at = len(moof(0)) + 8
+    first = moov + moof(at) + box(b"mdat", bytes(12 + 100 + 17))
+    # second fragment: an absolute base, then a run that follows the data of the traf before
+    far = len(first)
+    chained = lambda base: box(b"moof", box(b"traf", flagged(b"tfhd", 1, struct.pack(">IQ", 1, base)), flagged(b"trun", 0, struct.pack(">I", 3))), box(b"traf", flagged(b"tfhd", 0x30, struct.pack(">III", 2, 11, 0)), flagged(b"trun", 0, struct.pack(">I", 1))))
+    base = far + len(chained(0)) + 8
+    data = first + chained(base) + box(b"mdat", bytes(18 + 11))
+    unknown = data.replace(struct.pack(">4sII", b"tfhd", 0x30, 2), struct.pack(">4sII", b"tfhd", 0x30, 9))
+    df = spark.createDataFrame([(0, bytearray(data)), (1, bytearray(unknown))], "doc_id long, media binary")
+    r, bad = sorted(media.media_columns(df, "doc_id", "media").collect(), key=lambda r: r.doc_id)
+    a = start + at
+    sound, video = r.tracks
+    assert [tuple(k) for k in sound.keyframes] == [(a, a + 6), (a + 6, a + 12), (base, base + 6), (base + 6, base + 12), (base + 12, base + 18)]
+    assert [tuple(k) for k in video.keyframes] == [(a + 12, a + 62), (a + 112, a + 121), (base + 18, base + 29)]
+    assert (sound.n_samples, sound.duration, video.n_samples, video.duration) == (5, 35, 6, 5 + 6 + 7 + 4 + 4 + 7)
+    assert (r.codec, r.n_samples, r.keyframes, r.error) == ("avc1", 6, video.keyframes, None)
+    assert bad.codec is None and "unknown track" in bad.error
+
+
 def test_html(spark):
     prose = "The cat and the dog are in the house of the man that was here, and it is for them to be with us as they are."
     page = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><p>{prose}</p></header><nav><a href=x>Home</a></nav>
