@@ -1,10 +1,12 @@
 """HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass 1 decides each block by link density, length and stop-word density; text
-inside navigation, headers, footers, asides, forms and elements whose class, id or role names an advert, menu, notice or
-comment list is decided at once. Pass 2 gives each ambiguous short block the label of its nearest decided neighbour: within
-an article only text passes on its label, elsewhere both do, and on a tie the text stays. A page without any decided block
-keeps its blocks; where a page marks an article, text outside it goes.
+inside navigation, headers, footers and asides is decided at once. So is text in forms and in elements whose class, id or role
+names an advert, menu, notice or comment list and nothing else, unless nothing else of the page stays; these marks end at an article
+or main element. A name that is only the end of a longer one (entry-header) makes pass 1 stricter. Pass 2 gives each ambiguous
+short block the label of its nearest decided neighbour: within an article only text passes on its label, elsewhere both do, and
+on a tie the text stays. A page without any decided block keeps its blocks. Where the articles of a page hold at least half of
+the text kept, text outside them goes; else only articles without decided text go.
 
 Cases: null and empty pages, and pages without text, give an empty text. Unclosed and wrongly nested tags are tolerated.
 Repeated pages give repeated rows. Pages are handled one by one, whole, in Arrow batches.
@@ -25,7 +27,7 @@ from .common import ship
 #: Elements whose whole content goes.
 DROPPED = frozenset("script style noscript template head iframe object svg math canvas select option button textarea audio video".split())
 #: Elements whose blocks are boilerplate.
-BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that name boilerplate.
@@ -34,6 +36,12 @@ NAMES = frozenset(
     "footer foot header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
     "disqus reply replies respond related recommended recommendations share sharing social toolbar pagination pager widget search complementary contentinfo banner".split()
 )
+#: Words that may stand beside them, words that negate them, and names of a title block where they are in an article.
+PLACES = frozenset("site page top bottom left right main primary secondary global inner outer box bar list item items link links slot unit container wrapper wrap block section area body row col panel form text icon icons".split())
+NEGATED = frozenset("no non has have with without hide hides hidden show shows is not".split())
+TITLES = frozenset("header head masthead banner".split())
+#: How far an element's mark goes: a name makes pass 1 stricter, a name or form drops its blocks, a tag does so for good.
+FREE, HINTED, NAMED, TAGGED = range(4)
 STOP_WORDS = frozenset(
     "the of and to in is that it was for on are as with be at by this have from or an not but which they you his her he she we their has had were been one all there who what when "
     "de la le les des du et un une en que qui est pour dans sur au aux par pas plus ne ce il elle avec sont ou son sa ses "
@@ -49,18 +57,29 @@ _SPACE = re.compile(r"\s+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
-def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def mark(tag: str, attrs: str, in_article: bool) -> int:
     if tag in BOILERPLATE or (tag == "header" and not in_article):
-        return True
+        return TAGGED
     if tag in ("html", "body", "main", "article"):
-        return False
-    return bool(attrs) and any(not NAMES.isdisjoint(re.split(r"[^a-z]+", (a or b or c).lower())) for a, b, c in _NAMED.findall(attrs))
+        return FREE
+    level = NAMED if tag == "form" else FREE
+    for values in _NAMED.findall(attrs) if attrs else ():
+        for token in "".join(values).lower().split():
+            parts = [p for p in re.split(r"[^a-z]+", token) if p]
+            named = [p for p in parts if p in NAMES and not (in_article and p in TITLES)]
+            if not named or not NEGATED.isdisjoint(parts):
+                continue
+            if all(p in NAMES or p in PLACES for p in parts):
+                level = max(level, NAMED)
+            elif parts[-1] in NAMES:
+                level = max(level, HINTED)
+    return level
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, boilerplate, article number or 0) of each block with text, in page order."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
+def blocks(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters in links, mark, article number or 0) of each block with text, in page order."""
+    out: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, mark, article
     parts: list[str] = []
     linked = links = articles = 0
     skip = ""
@@ -70,7 +89,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((text, linked, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0))
+                out.append((text, linked, *(stack[-1][1:] if stack else (FREE, 0))))
             parts.clear()
         linked = 0
 
@@ -99,7 +118,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:  # breaks no block, unless its class makes it boilerplate
-            opened = any(s[0] == tag for s in stack) if closing else is_boilerplate(tag, m["attrs"], bool(stack and stack[-1][2]))
+            opened = any(s[0] == tag for s in stack) if closing else mark(tag, m["attrs"], bool(stack and stack[-1][2])) >= NAMED
             if not opened:
                 continue
         flush()
@@ -111,19 +130,20 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         elif tag not in VOID and not m["attrs"].endswith("/"):
             if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-            top = stack[-1] if stack else ("", False, 0)
+            top = stack[-1] if stack else ("", FREE, 0)
             article = top[2]
             if tag in ("article", "main") and not article:
                 articles += 1
                 article = articles
-            stack.append((tag, top[1] or is_boilerplate(tag, m["attrs"], bool(article)), article))
+            above = FREE if tag in ("article", "main") and top[1] != TAGGED else top[1]
+            stack.append((tag, max(above, mark(tag, m["attrs"], bool(article))), article))
     flush()
     return out
 
 
-def first_pass(text: str, linked: int, boilerplate: bool) -> bool | None:
+def first_pass(text: str, linked: int, level: int) -> bool | None:
     """True: text, False: boilerplate, None: ambiguous."""
-    if boilerplate or linked > LINKS * len(text):
+    if level >= NAMED or linked > (LINKS / 2 if level else LINKS) * len(text):
         return False
     words = text.split()
     density = sum(_EDGE.sub("", w).lower() in STOP_WORDS for w in words) / len(words)
@@ -131,7 +151,7 @@ def first_pass(text: str, linked: int, boilerplate: bool) -> bool | None:
         return None
     if density >= HIGH or (density >= LOW and len(text) >= LONG):
         return True
-    return True if len(text) >= LONG else None
+    return True if len(text) >= LONG and not level else None
 
 
 def second_pass(labels: list[bool | None], groups: list[int]) -> list[bool]:
@@ -159,10 +179,16 @@ def second_pass(labels: list[bool | None], groups: list[int]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    labels = [first_pass(text, linked, bad) for text, linked, bad, _ in found]
-    kept = second_pass(labels, [article for *_, article in found])
-    inside = any(article and keep for (*_, article), keep in zip(found, kept, strict=True))
-    return "\n\n".join(text for (text, _, _, article), keep in zip(found, kept, strict=True) if keep and (article or not inside))
+    articles = [article for *_, article in found]
+    labels = [first_pass(text, linked, level) for text, linked, level, _ in found]
+    kept = second_pass(labels, articles)
+    if True not in kept and any(level == NAMED for *_, level, _ in found):  # names alone don't empty a page
+        labels = [first_pass(text, linked, HINTED if level == NAMED else level) for text, linked, level, _ in found]
+        kept = second_pass(labels, articles) if True in labels else kept
+    inside, outside = (sum(len(b[0]) for b, keep in zip(found, kept, strict=True) if keep and bool(b[3]) == x) for x in (True, False))
+    solid = {article for article, label in zip(articles, labels, strict=True) if label}
+    stays = (lambda article: article) if inside >= outside and inside else (lambda article: not article or not outside or article in solid)
+    return "\n\n".join(text for (text, *_, article), keep in zip(found, kept, strict=True) if keep and stays(article))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:

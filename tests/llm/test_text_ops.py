@@ -128,6 +128,19 @@ def test_html(spark):
     assert found[1] == ("u", 0) and found[2] == (None, 0) and found[3][1] == found[None][1] == len(main_text(page))
 
 
+def test_html_names_and_articles():
+    prose = "The cat and the dog are in the house of the man that was here, and it is for them to be with us as they are."
+    for name in ("content has-sidebar", "no-ads", "layout-nav", "sidebar", "with-comments"):
+        assert main_text(f'<div class="{name}"><article><h1>Title</h1><p>{prose}</p></article></div>') == f"Title\n\n{prose}", name
+        assert main_text(f'<div class="{name}"><h1>Title</h1><p>{prose}</p></div>').endswith(prose), name
+    assert main_text(f'<div class="ad">{prose}</div><article><h1>Title</h1><p>Few words.</p></article>') == "Title\n\nFew words."
+    assert main_text(f"<form><main><p>{prose}</p></main></form>") == prose
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{prose}</p></article>') == f"Title\n\n{prose}"
+    cards = "".join(f"<article><h3>Card {i}</h3><p>More on this.</p></article>" for i in range(3))
+    assert main_text(f"<div><p>{prose}</p><p>{prose * 3}</p></div>{cards}") == f"{prose}\n\n{prose * 3}"
+    assert main_text(f'<div><p>{prose}</p></div><div class="cookie-bar">{prose}</div><nav><article><p>{prose}</p></article></nav>') == prose
+
+
 def test_url_rules(spark):
     urls = [None, "no url", "http://a.org/x", "HTTP://Example.ORG/es/1", "https://m.example.org/en/12?x", "https://x.com/fr/2#a", "https://com/de/", "https://notexample.org/es/", "ftp://b.net/p?q", "http://www.b.net/p/?utm_source=1&q", "x://y://z/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
