@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import bucket_key, despilled, distance2, key_alpha
-from ..functions.numeric import half_up
+from ..functions.numeric import clamp, half_up, percentile_95, pick, upper_middle
 from ..plans.shared import stored
 from .graph import components
 from .windows import IMAGE, touching
@@ -79,6 +79,38 @@ def flood_border(px: DataFrame, background: tuple[int, int, int], solid: float,
     return joined.select(IMAGE, "x", "y", *parts, F.when(clear, col("_a")).otherwise(col("a")).alias("a"))
 
 
+def whole_border(px: DataFrame) -> DataFrame:
+    """(image_id, r, g, b) of every pixel of each side; corners count on both sides."""
+    w = Window.partitionBy(IMAGE)
+    sides = [(col(c) == v).cast("int") for c in "xy" for v in (F.lit(0), F.max(c).over(w))]
+    times = px.select(IMAGE, *"rgb", sum(sides[1:], sides[0]).alias("_times")).where("_times > 0")
+    return times.select(IMAGE, *"rgb", F.explode(F.array_repeat(F.lit(1), col("_times"))).alias("_side")).drop("_side")
+
+
+def uniform_background(px: DataFrame, clear: float = 0.05, uniform: float = 0.85) -> DataFrame:
+    """(image_id, x, y, a): of images with less than `clear` transparent pixels and more than `uniform` of the border within 45 of
+    its median colour, what the border reaches within a tolerance measured on it goes, then two passes of neighbours within 52.
+    All else keeps its alpha."""
+    border = stored(whole_border(px), "border")
+    parts = [pick(c, upper_middle(), [IMAGE])(border.select(IMAGE, c)).withColumnRenamed(c, f"m{c}") for c in "rgb"]
+    median = stored(parts[0].join(parts[1], IMAGE).join(parts[2], IMAGE), "median")
+    d2 = distance2([col(c) for c in "rgb"], [col(f"m{c}") for c in "rgb"])
+    far = border.join(median, IMAGE).select(IMAGE, F.sqrt(d2.cast("double")).alias("d"))
+    near = far.groupBy(IMAGE).agg((F.count_if(col("d") < 45) / F.count(F.lit(1))).alias("near"))
+    p95 = pick("d", percentile_95(), [IMAGE])(far)
+    opaque = px.groupBy(IMAGE).agg((F.count_if(col("a") < 128) / F.count(F.lit(1))).alias("clear"))
+    fit = near.join(opaque, IMAGE).where((col("near") > uniform) & (col("clear") < clear)).join(p95, IMAGE).join(median, IMAGE)
+    fit = fit.select(IMAGE, "mr", "mg", "mb", clamp(half_up(col("d") * 1.3) + 4, 10, 34).alias("tol"))
+    # images that don't fit have no distance, so that every comparison with it fails
+    px = stored(on_border(px).join(fit, IMAGE, "left").select(IMAGE, "x", "y", "a", "edge", "tol", d2.alias("d2")), "distances")
+    core = px.where((col("a") != 0) & (col("d2") < col("tol") * col("tol"))).select(IMAGE, "x", "y", "edge")
+    core = reached(core, col("edge")).select(IMAGE, "x", "y", F.lit(True).alias("_hit"))
+    px = px.join(core, [IMAGE, "x", "y"], "left").withColumn("a", F.when(F.coalesce("_hit", F.lit(False)), 0).otherwise(col("a")))
+    for _ in range(2):
+        px = px.withColumn("_t", touching(px, col("a") == 0)).withColumn("a", F.when((col("a") > 0) & col("_t") & (col("d2") < 52 * 52), 0).otherwise(col("a")))
+    return px.select(IMAGE, "x", "y", "a")
+
+
 def flood_same(px: DataFrame, seed: tuple[int, int], tolerance: float) -> DataFrame:
     """(image_id, x, y): contiguous visible pixels within the tolerance (inclusive) of the seed's colour."""
     at = px.where((col("x") == seed[0]) & (col("y") == seed[1])).select(IMAGE, *(col(c).alias(f"_{c}") for c in "rgb"))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.color import distance2
 from ..operators import editlog as ed
 from ..operators import graph as gr
 from ..operators import joins as jn
 from ..operators import reach as rc
 from ..operators import sets as st
-from ..operators import windows as wn
 from ..sources import fixtures as fx
 from ..streaming import events as ev
 from .catalogue import LOG, RECTANGLES, SHEET, TILES, bucket_sql, col, query, sql_byte, sql_half_up
@@ -113,14 +111,7 @@ def thin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S15")
 def adaptive_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the border reaches within a tolerance, then two passes of neighbours within a wider one."""
-    d2 = distance2([col(c) for c in "rgb"], [F.lit(v) for v in (128, 128, 128)])
-    px = rc.on_border(fx.sheet(spark, sf_dir)).withColumn("d2", d2)
-    core = rc.reached(px.where(col("d2") < 34 * 34).select(*AT, "edge"), col("edge")).select(*AT, F.lit(True).alias("_hit"))
-    px = px.join(core, AT, "left").withColumn("a", F.when(F.coalesce("_hit", F.lit(False)), 0).otherwise(255))
-    for _ in range(2):
-        px = px.withColumn("_t", wn.touching(px, col("a") == 0)).withColumn("a", F.when((col("a") > 0) & col("_t") & (col("d2") < 52 * 52), 0).otherwise(col("a")))
-    return px.select(*AT, "a")
+    return rc.uniform_background(fx.sheet(spark, sf_dir))
 
 
 @query("S17")

@@ -193,3 +193,45 @@ def test_plan(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+def brute_uniform(img):
+    """{(x, y): alpha}: the flood of a uniform background, pixel by pixel."""
+    w, h = max(x for x, _ in img) + 1, max(y for _, y in img) + 1
+    border = [img[p] for x in range(w) for p in ((x, 0), (x, h - 1))] + [img[p] for y in range(h) for p in ((0, y), (w - 1, y))]
+    median = [sorted(c[k] for c in border)[len(border) // 2] for k in range(3)]
+    d2 = lambda c: sum((c[k] - median[k]) ** 2 for k in range(3))
+    alpha = {p: c[3] for p, c in img.items()}
+    if sum(a < 128 for a in alpha.values()) >= len(img) * 0.05 or sum(d2(c) < 45 * 45 for c in border) / len(border) <= 0.85:
+        return alpha
+    p95 = sorted(d2(c) ** 0.5 for c in border)[min(len(border) - 1, int(len(border) * 0.95))]
+    tol = max(10, min(34, int(p95 * 1.3 + 0.5) + 4))
+    near = lambda x, y: [p for p in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)) if p in img]
+    todo = [p for p in img if p[0] in (0, w - 1) or p[1] in (0, h - 1)]
+    while todo:
+        p = todo.pop()
+        if alpha[p] and d2(img[p]) < tol * tol:
+            alpha[p] = 0
+            todo += near(*p)
+    for _ in range(2):
+        for p in [p for p in img if alpha[p] and d2(img[p]) < 52 * 52 and any(alpha[q] == 0 for q in near(*p))]:
+            alpha[p] = 0
+    return alpha
+
+
+def test_uniform_background(spark):
+    rng = random.Random(7)
+    images = []
+    for back, noise, clear in (((250, 240, 10), 2, 0.0), ((20, 20, 30), 14, 0.01), ((128, 128, 128), 90, 0.0), ((200, 200, 200), 2, 0.2)):
+        img = {}
+        for x in range(16):
+            for y in range(14):
+                base, spread = ((back[0] // 2 + 40, 90, 60), 30) if 4 <= x <= 11 and 4 <= y <= 9 else (back, noise)
+                value = [max(0, min(255, v + rng.randint(-spread, spread) + (22 if (x, y) == (3, 5) else 0))) for v in base]
+                img[x, y] = (*value, 0 if rng.random() < clear else rng.randint(130, 255))
+        images.append(img)
+    df = spark.createDataFrame([(i, *p, *c) for i, img in enumerate(images) for p, c in img.items()], PX)
+    found = {(r.image_id, r.x, r.y): r.a for r in reach.uniform_background(df).collect()}
+    wanted = [brute_uniform(img) for img in images]
+    assert found == {(i, *p): a for i, alpha in enumerate(wanted) for p, a in alpha.items()}
+    assert [sum(alpha[p] != img[p][3] for p in img) > 30 for alpha, img in zip(wanted, images, strict=True)] == [True, True, False, False]
