@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.color import bucket_key, despilled, distance2, key_alpha
 from ..functions.numeric import clamp, half_up, percentile_95, pick, upper_middle
 from ..plans.shared import stored
-from .graph import components
+from .graph import components, greedy
+from .joins import nearest
 from .windows import IMAGE, touching
 
 
@@ -111,6 +112,27 @@ def uniform_background(px: DataFrame, clear: float = 0.05, uniform: float = 0.85
     return px.select(IMAGE, "x", "y", "a")
 
 
+def accents(px: DataFrame, palette: DataFrame, least: int = 200, share: float = 0.0012) -> DataFrame:
+    """(image_id, comp, area, r, g, b): components of opaque pixels further than 48 from every palette colour (idx, r, g, b), of at
+    least `least` pixels and `share` of the opaque ones, with their mean colour, if that is 32 or more from the palette and from
+    those taken before it, in the order of first pixels. Images without palette take any colour."""
+    opaque = stored(px.where(col("a") >= 128).select(IMAGE, "x", "y", *"rgb"), "opaque")
+    bare = opaque.join(palette.select(IMAGE).distinct(), IMAGE, "left_anti")
+    far = nearest(opaque, palette).where(col("d2") > 48 * 48).select(*opaque.columns).unionByName(bare).withColumn("_one", F.lit(1))
+    groups = labelled(far, "_one").groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), *(half_up(F.avg(c)).alias(c) for c in "rgb"))
+    totals = opaque.groupBy(IMAGE).agg(F.greatest(F.lit(least), half_up(F.count(F.lit(1)) * share)).alias("_least"))
+    large = stored(groups.join(totals, IMAGE).where(col("area") >= col("_least")).select(IMAGE, "comp", "area", *"rgb"), "large")
+    d2 = distance2([col(c) for c in "rgb"], [col(f"_{c}") for c in "rgb"])
+    known = large.join(palette.select(IMAGE, *(col(c).alias(f"_{c}") for c in "rgb")), IMAGE).where(d2 < 32 * 32).select(IMAGE, "comp")
+    fresh = stored(large.join(known, [IMAGE, "comp"], "left_anti"), "fresh")
+    node = F.struct(IMAGE, "comp").alias("node")
+    other = fresh.select(IMAGE, col("comp").alias("_comp"), *(col(c).alias(f"_{c}") for c in "rgb"))
+    clash = fresh.join(other, IMAGE).where((col("comp") < col("_comp")) & (d2 < 32 * 32))
+    clash = clash.select(node.alias("better"), F.struct(col(IMAGE), col("_comp").alias("comp")).alias("worse"))
+    kept = greedy(fresh.select(node, node.alias("rank")), clash).where("kept").select(f"node.{IMAGE}", "node.comp")
+    return fresh.join(kept, [IMAGE, "comp"], "left_semi")
+
+
 def flood_same(px: DataFrame, seed: tuple[int, int], tolerance: float) -> DataFrame:
     """(image_id, x, y): contiguous visible pixels within the tolerance (inclusive) of the seed's colour."""
     at = px.where((col("x") == seed[0]) & (col("y") == seed[1])).select(IMAGE, *(col(c).alias(f"_{c}") for c in "rgb"))

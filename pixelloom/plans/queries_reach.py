@@ -120,10 +120,7 @@ def accent_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.aggregates import palette
 
     px = fx.sheet(spark, sf_dir)
-    far = jn.nearest(px, palette(px, bits=2, top=6)).where("d2 > 48 * 48 AND a >= 128").withColumn("one", F.lit(1))
-    mean = lambda c: F.floor(F.avg(c) + 0.5).cast("int").alias(c)
-    groups = rc.labelled(far.select(*AT, "r", "g", "b", "one"), "one").groupBy("image_id", "comp").agg(F.count(F.lit(1)).alias("area"), *(mean(c) for c in "rgb"))
-    return groups.where("area >= 20").select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area", "r", "g", "b")
+    return rc.accents(px, palette(px)).select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area", "r", "g", "b")
 
 
 @query("T4 H12", f"""WITH RECURSIVE {RECTANGLES}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, cand_no) AS k FROM boxes),

@@ -235,3 +235,48 @@ def test_uniform_background(spark):
     wanted = [brute_uniform(img) for img in images]
     assert found == {(i, *p): a for i, alpha in enumerate(wanted) for p, a in alpha.items()}
     assert [sum(alpha[p] != img[p][3] for p in img) > 30 for alpha, img in zip(wanted, images, strict=True)] == [True, True, False, False]
+
+
+def brute_accents(img, palette):
+    """[(y, x, area, r, g, b)] of one image, pixel by pixel."""
+    d2 = lambda a, b: sum((u - v) ** 2 for u, v in zip(a[:3], b[:3], strict=True))
+    far = {p for p, c in img.items() if c[3] >= 128 and all(d2(c, e) > 48 * 48 for e in palette)}
+    least = max(200, int(sum(c[3] >= 128 for c in img.values()) * 0.0012 + 0.5))
+    known, out = list(palette), []
+    for y, x in sorted((y, x) for x, y in far):
+        if (x, y) not in far:
+            continue
+        todo, comp = [(x, y)], []
+        far.discard((x, y))
+        while todo:
+            p = todo.pop()
+            comp.append(p)
+            for q in ((p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1)):
+                if q in far:
+                    far.discard(q)
+                    todo.append(q)
+        mean = tuple(int(sum(img[p][k] for p in comp) / len(comp) + 0.5) for k in range(3))
+        if len(comp) >= least and all(d2(mean, e) >= 32 * 32 for e in known):
+            known.append(mean)
+            out.append((y, x, len(comp), *mean))
+    return out
+
+
+def test_accents(spark):
+    def image(w, h, parts):
+        img = {(x, y): (250, 250, 250, 255) for x in range(w) for y in range(h)}
+        for x0, y0, x1, y1, color in parts:
+            img |= {(x, y): color(x, y) for x in range(x0, x1) for y in range(y0, y1)}
+        return img
+
+    red, blue, like_blue = (lambda x, y: (200, x, 20, 255)), (lambda x, y: (10, 20, 220, 255)), (lambda x, y: (14, 28, 200, 255))
+    striped = lambda x, y: ((120, 250, 250, 255), (250, 120, 250, 255))[x % 2]  # noqa: E731  # its mean is near the palette's third colour
+    palette = [(250, 250, 250), (185, 185, 250)]
+    small = image(60, 50, [(2, 2, 20, 16, red), (30, 2, 45, 18, blue), (30, 25, 48, 40, like_blue), (2, 25, 12, 40, blue), (14, 20, 28, 45, striped)])
+    large = image(480, 400, [(5, 5, 20, 20, red), (100, 100, 116, 115, blue)])  # 225 and 240 pixels, of which 0.12 % are 230
+    df = spark.createDataFrame([(i, *p, *c) for i, img in enumerate((small, large)) for p, c in img.items()], PX)
+    colors = spark.createDataFrame([(i, k, *c) for i in range(2) for k, c in enumerate(palette)], "image_id long, idx int, r int, g int, b int")
+    found = reach.accents(df, colors).collect()
+    wanted = [(i, *row) for i, img in enumerate((small, large)) for row in brute_accents(img, palette)]
+    assert sorted((r.image_id, r.comp.y, r.comp.x, r.area, r.r, r.g, r.b) for r in found) == sorted(wanted)
+    assert [sum(w[0] == i for w in wanted) for i in range(2)] == [2, 1]
