@@ -18,7 +18,7 @@ col = F.col
 
 
 def query(items: str, sql: str | None = None):
-    """Registers a function under its name; items: inventory numbers that it covers."""
+    """Registers a function under its name; items: inventory numbers that it covers as a whole."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f

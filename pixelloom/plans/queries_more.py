@@ -18,19 +18,19 @@ def region_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.refined_edges(fx.tiles(spark, sf_dir), col("a") >= 200, r=2)
 
 
-@query("S26", f"""WITH {TILES}, c AS (SELECT image_id, x - dx AS x, y - dy AS y, CASE WHEN a >= 128 THEN k ELSE 0 END AS code FROM px, (VALUES (0, 0, 1), (1, 0, 2), (1, 1, 4), (0, 1, 8)) t(dx, dy, k))
+@query("", f"""WITH {TILES}, c AS (SELECT image_id, x - dx AS x, y - dy AS y, CASE WHEN a >= 128 THEN k ELSE 0 END AS code FROM px, (VALUES (0, 0, 1), (1, 0, 2), (1, 1, 4), (0, 1, 8)) t(dx, dy, k))
 SELECT image_id, x, y, CAST(sum(code) AS INT) AS code FROM c GROUP BY image_id, x, y HAVING sum(code) NOT IN (0, 15)""")
 def contour_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.contour_cells(fx.tiles(spark, sf_dir))
 
 
-@query("S26 D22", f"""WITH {TILES}, c AS (SELECT image_id, x - dx AS x, y - dy AS y, CASE WHEN a >= 128 THEN k ELSE 0 END AS code FROM px, (VALUES (0, 0, 1), (1, 0, 2), (1, 1, 4), (0, 1, 8)) t(dx, dy, k)),
+@query("D22", f"""WITH {TILES}, c AS (SELECT image_id, x - dx AS x, y - dy AS y, CASE WHEN a >= 128 THEN k ELSE 0 END AS code FROM px, (VALUES (0, 0, 1), (1, 0, 2), (1, 1, 4), (0, 1, 8)) t(dx, dy, k)),
 n AS (SELECT image_id, sum(code) AS code FROM c GROUP BY image_id, x, y HAVING sum(code) NOT IN (0, 15)) SELECT image_id, sum(CASE WHEN code IN (5, 10) THEN 2 ELSE 1 END)::BIGINT AS segments FROM n GROUP BY image_id""")
 def contour_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.contour_length(ct.contour_cells(fx.tiles(spark, sf_dir)))
 
 
-@query("S29", f"""WITH {TILES}, b AS (SELECT p.image_id, p.x, p.y, list_sort(list(q.a)) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)
+@query("", f"""WITH {TILES}, b AS (SELECT p.image_id, p.x, p.y, list_sort(list(q.a)) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)
 SELECT image_id, x, y, v[len(v) // 2 + 1] AS v FROM b""")
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.median_filtered(fx.tiles(spark, sf_dir))

@@ -86,7 +86,7 @@ def region_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.holes(fx.tiles(spark, sf_dir), col("r") >= 120)
 
 
-@query("S21", f"""WITH RECURSIVE {SHEET}, src AS (SELECT *, {bucket_sql(3)} AS l FROM px WHERE a >= 128), {walk_sql('src', label='l')}
+@query("", f"""WITH RECURSIVE {SHEET}, src AS (SELECT *, {bucket_sql(3)} AS l FROM px WHERE a >= 128), {walk_sql('src', label='l')}
 SELECT image_id, c[1] AS cy, c[2] AS cx, count(*) AS area FROM comps GROUP BY image_id, c HAVING count(*) FILTER (x BETWEEN 8 AND 30 AND y BETWEEN 8 AND 60) >= count(*) * 0.6e0 AND count(*) FILTER (x BETWEEN 8 AND 30 AND y BETWEEN 8 AND 60) > 0""")
 def figures_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.figures_in(fx.sheet(spark, sf_dir), (8, 8, 30, 60), bits=3).select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area")

@@ -470,12 +470,12 @@ def palette_agglomerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.agglomerated(ag.palette(fx.tiles(spark, sf_dir), share=0.0), 48, 6)
 
 
-@query("J14 S25")
+@query("J14")
 def feature_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.nearest_marked(fx.tiles(spark, sf_dir), 200)
 
 
-@query("D18 O2 O3 §3.1")
+@query("O2 O3")
 def image_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_plan(fx.tiles(spark, sf_dir), Options(background=(255, 255, 255)))
 
