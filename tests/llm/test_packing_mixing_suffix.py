@@ -59,6 +59,21 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_keeps_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 3)
+    big = 2**60 + 1
+    rows = [(None, "a b", "en", "s"), (None, "c d e", "en", "s"), (big, "a b", "en", None), (big + 1, None, "en", "s"), (big, "other text", "en", "s")]
+    df = spark.createDataFrame(rows + [(None, "x y", "en", "s")] * 40 + [(5, "x  y", "en", "s")] * 7, "doc_id long, text string, lang string, source string")
+    for shards in (1, 10, 1000):
+        found = packing.pack_documents(df, capacity=8, quota=3, rows_per_shard=shards).collect()
+        assert Counter((r.doc_id, r.n_words) for r in found) == Counter({(None, 2): 41, (None, 3): 1, (big, 2): 2, (big + 1, 0): 1, (5, 2): 7})
+        assert sorted(r.copy for r in found if r.doc_id == 5) == list(range(7))
+        assert max(Counter((r.bin_id, r.cluster) for r in found if r.bin_id is not None).values()) == 1
+    named = spark.createDataFrame([("b", "one two", "s", None), ("b", "one two", "s", 7), (None, "one", "s", 7)], "doc_id string, text string, source string, group int")
+    found = packing.pack_documents(named, capacity=100, quota=9, cluster="group").collect()
+    assert Counter(r.doc_id for r in found) == Counter({"b": 2, None: 1}) and len({r.bin_id for r in found}) == 2
+
+
 def test_search_finds_the_tightest_bin():
     """Each piece goes into a bin with the residual that a plain search over all compatible bins finds, given the same bins."""
     rng = random.Random(3)
