@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import shared_folder, stored
 
-__all__ = ["LOWER", "UPPER", "WORD", "lowered", "mixed64", "power_of_two", "shared_folder", "ship", "stored"]
+__all__ = ["LOWER", "UPPER", "WORD", "fresh", "lowered", "mixed64", "power_of_two", "shared_folder", "ship", "stored"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -29,6 +29,17 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def power_of_two(x: float, least: int, most: int) -> int:
     n = least
     while n < x and n < most:

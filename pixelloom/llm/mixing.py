@@ -10,7 +10,8 @@ spreads over as many buckets as its rows need. As finish times rise within a sou
 order: one cut-off row for each source decides, and no text is shuffled.
 
 Cases: null text has size 0; a source of size 0 gets target 0 and takes nothing. Rows that repeat an id are ordered
-together and share their fate. The order depends on the id and the seed only. Empty tables give empty results.
+together and share their fate. The order depends on the id and the seed only. Empty tables give empty results. mixed_documents
+keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, fresh, stored
 
 ROWS_PER_BUCKET = 2_000
 
@@ -101,7 +102,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents of the mix with all their columns, repeated as often as they are taken."""
     sizes = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    cuts = source_cuts(sizes, weights, max_repeats, seed).select(F.col("source").alias("_source"), "cut")
-    times = epochs_taken(F.col("cut"), shuffled(F.col(key), seed), F.col(key))
-    joined = docs.join(cuts, docs[source].eqNullSafe(F.col("_source"))).withColumn("_times", times).where("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    kin, cut, times, copy = fresh(docs.columns, "kin", "cut", "times", "copy")
+    cuts = source_cuts(sizes, weights, max_repeats, seed).select(F.col("source").alias(kin), F.col("cut").alias(cut))
+    taken = epochs_taken(F.col(cut), shuffled(F.col(key), seed), F.col(key))
+    joined = docs.join(cuts, docs[source].eqNullSafe(F.col(kin))).withColumn(times, taken).where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
