@@ -1,16 +1,19 @@
 """Exact dedup with two Bloom passes, DataFrame functions only.
 
-Pass 1 inserts the hash of every text into a blocked filter whose cells count insertions up to two; the cells hit twice
-form a second filter. Pass 2 tests every row against it: a text that occurs twice hits twice-filled cells only, so a row
-that fails the test is unique and passes straight through; only the possibly repeated rows shuffle, and grouping by the
-SHA-256 of the normalised text removes the filter's false positives.
+Pass 1 inserts the hash of every text into a blocked counting filter: a block is one long with CELLS counters of three bits, and
+a count of its texts on top. Each text adds one number to its block, so partial sums combine before the shuffle, and no more
+rows than blocks leave a task. A block of eight texts or more overflows (as one with a hot group of copies does) and counts
+as hit twice everywhere. Cells hit twice form the second filter. Pass 2 tests every row against it: a text that occurs twice
+hits twice-filled cells only, so a row that fails the test is unique and passes straight through; only the possibly repeated
+rows (of unique ones about 1.5 %) shuffle, and grouping by the SHA-256 of the normalised text removes false positives.
 
-The filter has at most MAX_BLOCKS rows of 16 bytes; up to that it is broadcast and sized to the rows. Inputs of more than
-BROADCAST_ROWS rows join it by shuffling (row id, hash) only.
+The filter has one to two blocks for each row, whatever the number of rows. Of these only blocks with cells hit twice are kept; they
+are broadcast up to FILTER_ROWS of them, and joined by block beyond.
 
 Cases: null text counts as empty, and all empty texts are one group. A null id is smaller than any other. Rows that
 repeat an id within a group share their fate in exact_dedup (all are kept if the id is the largest); drop_exact_copies
-leaves one row. Empty tables give empty results. Other columns are never read by exact_dedup.
+leaves one row. Empty tables give empty results. Other columns are never read by exact_dedup; drop_exact_copies keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,67 +21,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, power_of_two, stored
+from .common import fresh, lowered, power_of_two, stored
 
-MAX_BLOCKS = 1 << 21
-BROADCAST_ROWS = 1 << 25
+CELLS = 20
+#: Lowest bit of each counter, and the step of a block's count of texts: the eighth one overflows.
+ONES = sum(1 << 3 * i for i in range(CELLS))
+TEXT = 1 << 60
+MAX_BLOCKS = 1 << 40
+FILTER_ROWS = 1 << 21
 
 
 def text_digest(text: Column) -> Column:
-    return F.sha2(lowered(text), 256)
+    return F.unhex(F.sha2(lowered(text), 256))
 
 
-def _cells(digest: Column, blocks: int) -> tuple[Column, Column, Column]:
-    """Block, and two different bits of its 64, of a digest."""
+def _places(digest: Column, blocks: int) -> tuple[Column, Column]:
+    """Block of a digest, and a word with the lowest bits of its two counters there."""
     h = F.xxhash64(digest)
-    first = F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63))
-    second = F.pmod(first + 1 + F.pmod(F.shiftrightunsigned(h, 46), F.lit(63)), F.lit(64))
-    return h.bitwiseAND(F.lit(blocks - 1)), first.cast("int"), second.cast("int")
+    high = F.shiftrightunsigned(h, 40)
+    first = F.pmod(high, F.lit(CELLS))
+    second = F.pmod(first + 1 + F.pmod(F.floor(high / CELLS), F.lit(CELLS - 1)), F.lit(CELLS))
+    bit = lambda cell: F.call_function("shiftleft", F.lit(1).cast("long"), (3 * cell).cast("int"))
+    return h.bitwiseAND(F.lit(blocks - 1)), bit(first) + bit(second)
 
 
-def _bit(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+def repeat_filter(digests: DataFrame, digest: Column, blocks: int) -> DataFrame:
+    """(block, twice) of the blocks with cells that two or more digests hit."""
+    block, word = _places(digest, blocks)
+    sums = digests.select(block.alias("block"), (word + F.lit(TEXT)).alias("word")).groupBy("block").agg(F.try_sum("word").alias("sums"))
+    twice = F.shiftright("sums", 1).bitwiseOR(F.shiftright("sums", 2)).bitwiseAND(F.lit(ONES))
+    return sums.select("block", F.coalesce(twice, F.lit(ONES)).alias("twice")).where("twice <> 0")
 
 
-def repeat_filter(digests: DataFrame, blocks: int) -> DataFrame:
-    """(_block, _word) of the cells that two or more digests hit: at most `blocks` rows."""
-    block, first, second = _cells(F.col("_digest"), blocks)
-    cells = digests.select(block.alias("_block"), F.explode(F.array(first, second)).alias("_cell"))
-    twice = cells.groupBy("_block", "_cell").count().where("count >= 2")
-    return twice.groupBy("_block").agg(F.bit_or(_bit(F.col("_cell"))).alias("_word"))
-
-
-def flag_possible_repeats(rows: DataFrame, digests: DataFrame) -> DataFrame:
-    """rows (with a column _digest) plus the boolean _maybe: false means that no other row has this digest."""
-    n = digests.count()
-    blocks = power_of_two(n / 4, 1024, MAX_BLOCKS)
-    seen = repeat_filter(digests, blocks)
-    block, first, second = _cells(F.col("_digest"), blocks)
-    mask = _bit(first).bitwiseOR(_bit(second))
-    hit = F.coalesce(F.col("_word"), F.lit(0).cast("long")).bitwiseAND(mask) == mask
-    joined = rows.withColumn("_block", block).join(F.broadcast(seen) if n <= BROADCAST_ROWS else seen, "_block", "left")
-    return joined.withColumn("_maybe", hit).drop("_block", "_word")
+def flag_possible_repeats(rows: DataFrame, digest: Column, digests: DataFrame, n: int, flag: str) -> DataFrame:
+    """rows plus the boolean `flag`: false means that no other of the n `digests` equals a row's."""
+    blocks = power_of_two(n, 1024, MAX_BLOCKS)
+    block_name, twice_name = fresh(rows.columns, "block", "twice")
+    seen = stored(repeat_filter(digests, digest, blocks).withColumnsRenamed({"block": block_name, "twice": twice_name}), "filter")
+    block, word = _places(digest, blocks)
+    hit = F.coalesce(F.col(twice_name).bitwiseAND(word) == word, F.lit(False))
+    joined = rows.withColumn(block_name, block).join(F.broadcast(seen) if seen.count() <= FILTER_ROWS else seen, block_name, "left")
+    return joined.withColumn(flag, hit).drop(block_name, twice_name)
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) of every row; of equal texts the largest key stays."""
-    digests = stored(docs.select(F.col(key).alias("_key"), text_digest(F.col(text)).alias("_digest")), "digests")
-    flagged = flag_possible_repeats(digests, digests.select("_digest"))
+    digests = stored(docs.select(F.col(key).alias("key"), text_digest(F.col(text)).alias("digest")), "digests")
+    flagged = flag_possible_repeats(digests, F.col("digest"), digests, digests.count(), "maybe")
     one = F.lit(1).cast("long")
-    straight = flagged.where("NOT _maybe").select("_key", "_digest", F.col("_key").alias("keep_id"), one.alias("group_size"))
-    maybe = flagged.where("_maybe").select("_key", "_digest")
-    groups = stored(maybe.groupBy("_digest").agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    settled = maybe.join(groups, "_digest").select("_key", "_digest", "keep_id", "group_size")
-    return straight.unionByName(settled).select(
-        F.col("_key").alias(key), "keep_id", "group_size", F.col("_key").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_digest").alias("text_sha256")
-    )
+    straight = flagged.where("NOT maybe").select("key", "digest", F.col("key").alias("keep_id"), one.alias("group_size"))
+    maybe = flagged.where("maybe").select("key", "digest")
+    groups = stored(maybe.groupBy("digest").agg(F.max("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    settled = maybe.join(groups, "digest").select("key", "digest", "keep_id", "group_size")
+    sha = F.lower(F.hex("digest"))
+    return straight.unionByName(settled).select(F.col("key").alias(key), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: unique texts pass straight, the others meet by digest."""
-    digest = text_digest(F.col(text))
-    flagged = flag_possible_repeats(docs.withColumn("_digest", digest), docs.select(digest.alias("_digest")))
-    straight = flagged.where("NOT _maybe").select(*docs.columns)
-    row = F.struct(*docs.columns)
-    best = flagged.where("_maybe").groupBy("_digest").agg(F.max_by(row, F.struct(key, text)).alias("_row"))
-    return straight.unionByName(best.select("_row.*"))
+    digest, maybe, row = fresh(docs.columns, "digest", "maybe", "row")
+    hashed = docs.withColumn(digest, text_digest(F.col(text)))
+    flagged = flag_possible_repeats(hashed, F.col(digest), hashed.select(digest), docs.count(), maybe)
+    straight = flagged.where(~F.col(maybe)).select(*docs.columns)
+    best = flagged.where(F.col(maybe)).groupBy(digest).agg(F.max_by(F.struct(*docs.columns), F.struct(key, text)).alias(row))
+    return straight.unionByName(best.select(f"{row}.*"))
