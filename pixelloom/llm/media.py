@@ -6,8 +6,10 @@ stss, stsz, stsc, stco/co64, mdhd) and movie fragments (trex, tfhd, trun) only;
 raw_video_file() stores bytes losslessly as uncompressed 8x8 RGB frames of 192 bytes, a keyframe every KEY_EVERY frames,
 and stored_payload() gets them back by the chunk and size tables.
 
-Cases: null or damaged files give null columns and an error text; a null or empty payload is one frame of blanks. Boxes with
-64-bit sizes, boxes up to the end of the file and unknown boxes are handled. Each row is handled alone, whole, in Arrow
+Cases: null or damaged files give null columns and an error text; so do boxes nested more than MAX_DEPTH deep, tables that
+are longer than their box or don't agree, and samples beyond the file, so no count in a file can make a task grow. A null or
+empty payload is one frame of blanks. Boxes with 64-bit sizes, boxes up to the end of the file and unknown boxes are handled; a
+duration marked as unknown is null. Each row is handled alone, whole, in Arrow
 batches; repeated rows give repeated results.
 """
 
@@ -29,6 +31,7 @@ FRAME = 192
 FRAMES_PER_CHUNK = 16
 KEY_EVERY = 12
 TIME_SCALE, FRAME_TICKS = 25_000, 1_000
+MAX_DEPTH = 16
 #: Boxes that hold boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
 
@@ -91,10 +94,13 @@ def raw_video_file(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(base), box(b"mdat", payload)))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, body start, body end) of each box, depth first."""
-    end = len(data) if end is None else end
-    while start < end:
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start == end:
+            continue
         if end - start < 8:
             raise ValueError("truncated box header")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -105,16 +111,37 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box size {size} at byte {start}")
-        yield (*path, kind), start + head, start + size
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            if len(path) == MAX_DEPTH:
+                raise ValueError(f"boxes nested more than {MAX_DEPTH} deep")
+            todo.append((start + head, start + size, (*path, kind)))
+        yield (*path, kind), start + head, start + size
+
 
+def _table(data: bytes, at: int, end: int, form: str) -> list[tuple]:
+    """Entries of a table that begins with their number, in a box that ends at `end`."""
+    stop = at + 4 + struct.unpack_from(">I", data, at)[0] * struct.calcsize(form)
+    if stop > end:
+        raise ValueError("table longer than its box")
+    return list(struct.iter_unpack(form, data[at + 4 : stop]))
 
-def _table(data: bytes, at: int, form: str) -> list[tuple]:
-    """Entries of a table that begins with their number."""
-    n = struct.unpack_from(">I", data, at)[0]
-    return list(struct.iter_unpack(form, data[at + 4 : at + 4 + n * struct.calcsize(form)]))
+
+def _known(ticks: int, bits: int) -> int | None:
+    """A duration; all bits set mean that it is not known, and no real one has 64 bits."""
+    return None if ticks == (1 << bits) - 1 or ticks >> 63 else ticks
+
+
+def check_tables(t: dict, size: int) -> None:
+    """Raises ValueError unless a track's tables agree and its samples lie in the file of `size` bytes."""
+    firsts = [r[0] for r in t["runs"]]
+    if any(a >= b for a, b in zip([0, *firsts], [*firsts, len(t["chunks"]) + 1], strict=True)) or (firsts[:1] or [1]) != [1]:
+        raise ValueError("chunk runs out of order")
+    ends = [*firsts[1:], len(t["chunks"]) + 1]
+    if sum((end - r[0]) * r[1] for r, end in zip(t["runs"], ends, strict=False)) != t["n"]:
+        raise ValueError("chunks and samples disagree")
+    if (t["n"] * t["sizes"] if isinstance(t["sizes"], int) else sum(t["sizes"])) > size:
+        raise ValueError("more sample bytes than the file has")
 
 
 def track_tables(data: bytes) -> list[dict]:
@@ -123,7 +150,7 @@ def track_tables(data: bytes) -> list[dict]:
     tracks: list[dict] = []
     defaults: dict[int, tuple] = {}
     boxes = list(walk(data))
-    for path, a, _ in boxes:
+    for path, a, b in boxes:
         if path == (b"moov", b"trak"):
             tracks.append({"id": len(tracks) + 1, "fragments": []})
         elif path == (b"moov", b"mvex", b"trex"):
@@ -137,28 +164,30 @@ def track_tables(data: bytes) -> list[dict]:
             found["handler"] = data[a + 8 : a + 12].decode("latin-1")
         elif path[2:] == (b"mdia", b"mdhd"):
             form, at = (">IQ", a + 20) if data[a] == 1 else (">II", a + 12)
-            found["time_scale"], found["duration"] = struct.unpack_from(form, data, at)
+            found["time_scale"], ticks = struct.unpack_from(form, data, at)
+            found["duration"] = _known(ticks, 64 if data[a] == 1 else 32)
         elif path[2:-1] != (b"mdia", b"minf", b"stbl"):
             continue
         elif kind == b"stsd":
             found["codec"] = data[a + 12 : a + 16].decode("latin-1") if struct.unpack_from(">I", data, a + 4)[0] else None
         elif kind == b"stts":
-            found["stts"] = _table(data, a + 4, ">II")
+            found["stts"] = _table(data, a + 4, b, ">II")
         elif kind == b"stss":
-            found["keys"] = tuple(k for (k,) in _table(data, a + 4, ">I"))
+            found["keys"] = tuple(k for (k,) in _table(data, a + 4, b, ">I"))
         elif kind == b"stsz":
             each, n = struct.unpack_from(">II", data, a + 4)
-            found["n"], found["sizes"] = n, each or struct.unpack_from(f">{n}I", data, a + 12)
+            found["n"], found["sizes"] = n, each or tuple(x for (x,) in _table(data, a + 8, b, ">I"))
         elif kind == b"stsc":
-            found["runs"] = _table(data, a + 4, ">III")
+            found["runs"] = _table(data, a + 4, b, ">III")
         elif kind in (b"stco", b"co64"):
-            found["chunks"] = tuple(c for (c,) in _table(data, a + 4, ">I" if kind == b"stco" else ">Q"))
+            found["chunks"] = tuple(c for (c,) in _table(data, a + 4, b, ">I" if kind == b"stco" else ">Q"))
     add_fragments(data, boxes, {t["id"]: t for t in tracks}, defaults)
     for t in tracks:
         if not {"n", "chunks", "runs"} <= t.keys():
             if not t["fragments"] or {"n", "chunks", "runs"} & t.keys():
                 raise ValueError("no sample tables")
             t |= {"n": 0, "sizes": 0, "chunks": (), "runs": []}
+        check_tables(t, len(data))
         if t["fragments"]:
             t["duration"] = sum(n * ticks for n, ticks in t.get("stts", ())) + t.pop("ticks")
     if not tracks:
@@ -169,6 +198,7 @@ def track_tables(data: bytes) -> list[dict]:
 def add_fragments(data: bytes, boxes: list[tuple], tracks: dict[int, dict], defaults: dict[int, tuple]) -> None:
     """Puts the samples of all movie fragments to those of their tracks."""
     track, moof, top, after = None, 0, 0, 0  # begin of the fragment, end of the last outermost box, end of the last traf's data
+    left = len(data)  # bytes that further samples may have
     for path, a, b in boxes:
         if len(path) == 1:
             if path == (b"moof",):
@@ -202,8 +232,10 @@ def add_fragments(data: bytes, boxes: list[tuple], tracks: dict[int, dict], defa
             if flags & 4:
                 first, at = struct.unpack_from(">I", data, at)[0], at + 4
             fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
-            if at + 4 * n * len(fields) > b or n > len(data):
+            if at + 4 * n * len(fields) > b:
                 raise ValueError("truncated fragment run")
+            if not fields and n * max(1, size) > left:
+                raise ValueError("more sample bytes than the file has")
             for i in range(n):
                 own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at), strict=True))
                 at += 4 * len(fields)
@@ -212,6 +244,9 @@ def add_fragments(data: bytes, boxes: list[tuple], tracks: dict[int, dict], defa
                 track["fragments"].append((offset, length, not mark & 0x10000))
                 track["ticks"] = track.get("ticks", 0) + own.get(0x100, ticks)
                 offset += length
+                left -= max(1, length) if not fields else length
+            if left < 0:
+                raise ValueError("more sample bytes than the file has")
             after = offset
 
 
@@ -233,7 +268,7 @@ def chunk_samples(t: dict) -> list[tuple[int, int]]:
     return list(zip(t["chunks"], counts, strict=True))
 
 
-def keyframe_ranges(t: dict) -> list[tuple[int, int]]:
+def keyframe_ranges(t: dict, file_size: int) -> list[tuple[int, int]]:
     """Byte ranges of the sync samples, all samples where the file has no table of them."""
     sizes, out, at = t["sizes"], [], 0
     keys = {k - 1 for k in t["keys"]} if "keys" in t else None
@@ -244,7 +279,10 @@ def keyframe_ranges(t: dict) -> list[tuple[int, int]]:
                 out.append((offset, offset + size))
             offset += size
         at += count
-    return out + [(offset, offset + size) for offset, size, key in t["fragments"] if key]
+    out += [(offset, offset + size) for offset, size, key in t["fragments"] if key]
+    if any(not 0 <= a <= b <= file_size for a, b in out):
+        raise ValueError("samples beyond the end of the file")
+    return out
 
 
 def stored_payload(data: bytes, t: dict) -> bytes:
@@ -267,7 +305,7 @@ def media_row(data: bytes | None) -> tuple:
         rows = [
             {
                 "track_id": t["id"], "handler": t.get("handler"), "codec": t.get("codec"), "time_scale": t.get("time_scale"), "duration": t.get("duration"),
-                "n_samples": t["n"] + len(t["fragments"]), "keyframes": [{"start": a, "end": b} for a, b in keyframe_ranges(t)],
+                "n_samples": t["n"] + len(t["fragments"]), "keyframes": [{"start": a, "end": b} for a, b in keyframe_ranges(t, len(data))],
             }
             for t in tracks
         ]
@@ -319,7 +357,7 @@ def digest_row(data: bytes) -> tuple:
     media = raw_video_file(padded(data))
     t = sample_tables(media)
     payload = stored_payload(media, t)
-    ranges = keyframe_ranges(t)
+    ranges = keyframe_ranges(t, len(media))
     shown = hashlib.sha256(",".join(f"{a}-{b}" for a, b in ranges).encode()).hexdigest()[:16]
     feature = f"codec={t['codec'].strip()};time_scale={t['time_scale']};duration={t['duration']};samples={t['n']};keyframes={len(ranges)};first={ranges[0][0]}-{ranges[0][1]};ranges={shown}"
     return (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
