@@ -8,15 +8,17 @@ short block the label of its nearest decided neighbour: within an article only t
 on a tie the text stays. A page without any decided block keeps its blocks. Where the articles of a page hold at least half of
 the text kept, text outside them goes; else only articles without decided text go.
 
-Cases: null and empty pages, and pages without text, give an empty text. Unclosed and wrongly nested tags are tolerated.
-Repeated pages give repeated rows. Pages are handled one by one, whole, in Arrow batches.
+Cases: null and empty pages, and pages without text, give an empty text. Unclosed and wrongly nested tags are tolerated, and quotes
+that are never closed hide no text; the time is linear in the page. Empty tables give none, repeated pages repeated rows; other
+columns are not read. Pages are handled one by one, whole, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,9 +53,13 @@ STOP_WORDS = frozenset(
 #: Pass 1: more than LINKS of a block's characters in links is boilerplate; at least LONG characters, or MEDIUM with enough stop words, is text.
 LINKS, SHORT, LONG, LOW, HIGH = 0.5, 70, 200, 0.10, 0.20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)")
+#: The end of a tag, or a quote that opens a value (one that stands elsewhere is a character like any other).
+_STOP = re.compile(r">|=\s*[\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+#: Where an element that goes as a whole ends.
+_END = {tag: re.compile(rf"</{tag}\s*>" + (r"|<body[\s>]" if tag == "head" else ""), re.I) for tag in DROPPED}
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -76,13 +82,49 @@ def mark(tag: str, attrs: str, in_article: bool) -> int:
     return level
 
 
+def tokens(page: str) -> Generator[tuple[str, str, str, int], int | None, None]:
+    """(kind, tag, what it holds, end) of each piece of a page: text, open or close. Comments and declarations give none. A reader may
+    send the place to go on at. Each search that fails is made once, so the time is linear in the page whatever its markup."""
+    at, n, quoted = 0, len(page), True
+    closed = page.rfind(">") + 1  # no tag ends beyond
+    while at < n:
+        begin = page.find("<", at)
+        begin = n if begin < 0 else begin
+        if begin > at:
+            at = (yield "text", "", page[at:begin], begin) or begin
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            end, after = (n, n) if end < 0 else (end, end + 3)
+            at = (yield "text", "", page[at + 9 : end], after) or after
+        elif page.startswith(("<!", "<?"), at) and at < closed:
+            at = page.find(">", at) + 1
+        elif at < closed and (m := _TAG.match(page, at)):
+            end = -1
+            if quoted:  # values may hold a >, unless a quote is never closed
+                stop = _STOP.search(page, m.end())
+                while stop and stop[0] != ">":
+                    shut = page.find(stop[0][-1], stop.end())
+                    stop = _STOP.search(page, shut + 1) if shut >= 0 else None
+                end = stop.start() if stop else -1
+                quoted = end >= 0
+            end = page.find(">", m.end()) if end < 0 else end
+            at = (yield "close" if m[1] else "open", m[2].lower(), page[m.end() : end], end + 1) or end + 1
+        else:
+            at = (yield "text", "", "<", at + 1) or at + 1
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
     """(text, characters in links, mark, article number or 0) of each block with text, in page order."""
     out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int, int]] = []  # tag, mark, article
+    opened: Counter = Counter()  # how often each tag is in the stack
+    unclosed: set[str] = set()
     parts: list[str] = []
     linked = links = articles = 0
-    skip = ""
 
     def flush() -> None:
         nonlocal linked
@@ -93,54 +135,66 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             parts.clear()
         linked = 0
 
-    at = 0
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        text, tag = m["text"] or m["cdata"], (m["tag"] or "").lower()
-        if text:
-            text = html.unescape(text)
-            parts.append(text)
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    stream = tokens(page)
+    token = next(stream, None)
+    while token:
+        (kind, tag, content, at), go = token, None
+        if kind == "text":
+            content = html.unescape(content)
+            parts.append(content)
             if links:
-                linked += len(text)
-            continue
-        if not tag:
-            continue
-        closing = bool(m["close"])
-        if tag in DROPPED and not closing:
-            if not m["attrs"].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body[\s>]" if tag == "head" else ""), re.I).search(page, at)
-                at = len(page) if end is None else end.start() if end[0][1] != "/" else end.end()
+                linked += len(content)
+        elif tag in DROPPED and kind == "open":
+            if not content.endswith("/"):
+                end = None if tag in unclosed else _END[tag].search(page, at)
+                if end is None:
+                    unclosed.add(tag)
+                go = len(page) if end is None else end.start() if end[0][1] != "/" else end.end()
             parts.append(" ")
-            continue
-        if tag == "br":
+        elif tag == "br":
             parts.append(" ")
-            continue
-        if tag == "a":
-            links = 0 if closing else 1
-        if tag in INLINE:  # breaks no block, unless its class makes it boilerplate
-            opened = any(s[0] == tag for s in stack) if closing else mark(tag, m["attrs"], bool(stack and stack[-1][2])) >= NAMED
-            if not opened:
-                continue
-        flush()
-        links = 0
-        if closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-        elif tag not in VOID and not m["attrs"].endswith("/"):
-            if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            top = stack[-1] if stack else ("", FREE, 0)
-            article = top[2]
-            if tag in ("article", "main") and not article:
-                articles += 1
-                article = articles
-            above = FREE if tag in ("article", "main") and top[1] != TAGGED else top[1]
-            stack.append((tag, max(above, mark(tag, m["attrs"], bool(article))), article))
+        else:
+            if tag == "a":
+                links = int(kind == "open")
+            level = mark(tag, content, bool(stack and stack[-1][2])) if kind == "open" else FREE
+            # an inline tag breaks no block, unless its class makes it boilerplate
+            if tag not in INLINE or (opened[tag] if kind == "close" else level >= NAMED):
+                flush()
+                links = 0
+                if kind == "close":
+                    if opened[tag]:
+                        while pop() != tag:
+                            pass
+                elif tag not in VOID and not content.endswith("/"):
+                    if tag in ("p", "li") and stack and stack[-1][0] == tag:
+                        pop()
+                    top = stack[-1] if stack else ("", FREE, 0)
+                    article = top[2]
+                    if tag in ("article", "main") and not article:
+                        articles += 1
+                        article = articles
+                        level = mark(tag, content, True)
+                    above = FREE if tag in ("article", "main") and top[1] != TAGGED else top[1]
+                    stack.append((tag, max(above, level), article))
+                    opened[tag] += 1
+        token = _after(stream, go)
     flush()
     return out
 
 
+def _after(stream: Generator, place: int | None) -> tuple | None:
+    """The next token, from a place or from the end of the last one."""
+    try:
+        return stream.send(place)
+    except StopIteration:
+        return None
+
+
 def first_pass(text: str, linked: int, level: int) -> bool | None:
     """True: text, False: boilerplate, None: ambiguous."""
     if level >= NAMED or linked > (LINKS / 2 if level else LINKS) * len(text):
