@@ -11,7 +11,7 @@ tries its best leader; confirmed links merge components. Then a bucket's strays,
 the members of other components, and each tries its best candidate. With the components merged again, the strays that are left
 meet all members of other components. No link between different texts is dropped. Buckets of up to SMALL members meet by a
 join; larger ones are compared in blocks of bounded size, which put out only each stray's best candidate, and in the end
-only confirmed links, one for each stray and component.
+only confirmed links, one for each stray and component; full sets go only to the rows that are near enough to another.
 
 Cases: texts without words have an empty set and are linked with nothing. Texts with fewer words than a shingle have the whole
 sequence as their only shingle. Rows with a null id are linked with nothing and have a null component. Rows that repeat an
@@ -38,7 +38,7 @@ MARGIN = 0.18
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 18
 BROADCAST_IDS = 1 << 20
-SMALL, BLOCK = 48, 2048
+SMALL, BLOCK = 48, 1024
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -260,25 +260,44 @@ def best_of_block(block: pa.Table, low: float) -> pa.Table:
     return pa.table({n: np.concatenate([np.empty(0, k), *o]) for n, o, k in zip(("stray", "other", "est"), out, kinds, strict=True)})
 
 
-def links_of_block(block: pa.Table, low: float, percent: int) -> pa.Table:
-    """(a, b): of each stray, the first confirmed link into each other component, best estimates first. A pair is judged in the
-    bucket of its first common band only."""
+def near_in_block(block: pa.Table, low: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(stray, others, estimates) by place: of each stray, the members of other components that are near enough. A pair is judged
+    in the bucket of its first common band only."""
     side = block.column("stray").to_numpy(zero_copy_only=False)
-    key, comp, sig = block.column("key").to_numpy(), block.column("comp").to_numpy(), _matrix(block.column("sig"), WORDS, np.uint64)
+    comp, sig = block.column("comp").to_numpy(), _matrix(block.column("sig"), WORDS, np.uint64)
     bands, bucket = _matrix(block.column("bands"), BANDS, np.int64), block.column("bucket")[0].as_py()
-    sets = block.column("members").combine_chunks()
-    y, found = np.flatnonzero(~side), []
-    members = {int(j): sets[int(j)].values.to_numpy() for j in np.flatnonzero(side)}
+    y = np.flatnonzero(~side)
     for i in np.flatnonzero(side):
         est = equal_groups(sig[i][None], sig[y])
-        first = (bands[i][None] == bands[y]).argmax(axis=1)
-        near = np.flatnonzero((est >= low) & (comp[y] != comp[i]) & (bands[i][first] == bucket))
-        for of in np.unique(comp[y[near]]):
-            own = near[comp[y[near]] == of]
-            for j in y[own[np.argsort(-est[own], kind="stable")]]:
-                if int(j) not in members:
-                    members[int(j)] = sets[int(j)].values.to_numpy()
-                a, b = members[int(i)], members[int(j)]
+        near = np.flatnonzero((est >= low) & (comp[y] != comp[i]))
+        near = near[bands[i][(bands[i][None] == bands[y[near]]).argmax(axis=1)] == bucket]
+        yield int(i), y[near], est[near]
+
+
+def candidates_of_block(block: pa.Table, low: float) -> pa.Table:
+    """The rows (bucket, sb, mb, key, comp, stray) of a block that are near enough to another: those whose sets are needed."""
+    wanted = np.zeros(len(block), bool)
+    for i, others, _ in near_in_block(block, low):
+        wanted[others] = True
+        wanted[i] |= len(others) > 0
+    return block.select(["bucket", "sb", "mb", "key", "comp", "stray"]).filter(pa.array(wanted))
+
+
+def links_of_block(block: pa.Table, low: float, percent: int) -> pa.Table:
+    """(a, b): of each stray, the first confirmed link into each other component, best estimates first."""
+    key, comp, sets, found = block.column("key").to_numpy(), block.column("comp").to_numpy(), block.column("members").combine_chunks(), []
+    members: dict[int, np.ndarray] = {}
+
+    def members_of(i: int) -> np.ndarray:
+        if i not in members:
+            members[i] = sets[i].values.to_numpy()
+        return members[i]
+
+    for i, others, est in near_in_block(block, low):
+        for of in np.unique(comp[others]):
+            own = comp[others] == of
+            for j in others[own][np.argsort(-est[own], kind="stable")]:
+                a, b = members_of(i), members_of(int(j))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     found.append((min(key[i], key[j]), max(key[i], key[j])))
@@ -287,19 +306,21 @@ def links_of_block(block: pa.Table, low: float, percent: int) -> pa.Table:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """rows (bucket, many, key, stray, ...) dealt into blocks (bucket, sb, mb): each stray meets each member of its bucket in one
-    block. A stray is also one of the members that other strays meet."""
-    n = F.ceil(F.col("many") / BLOCK).cast("int")
-    own, every = F.pmod(F.xxhash64("key"), n).cast("int"), F.sequence(F.lit(0), n - 1)
-    strays = rows.where("stray").withColumn("sb", own).withColumn("mb", F.explode(every))
-    others = rows.withColumn("stray", F.lit(False)).withColumn("mb", own).withColumn("sb", F.explode(every))
+    """rows (bucket, many, strays, key, stray, ...) dealt into blocks (bucket, sb, mb): each stray meets each member of its bucket in
+    one block. A stray is also one of the members that other strays meet. Members are repeated once for each block of strays, of
+    which a bucket with few strays has one."""
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("key"), parts(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    strays = rows.where("stray").withColumn("sb", own("strays")).withColumn("mb", every("many"))
+    others = rows.withColumn("stray", F.lit(False)).withColumn("mb", own("many")).withColumn("sb", every("strays"))
     return strays.unionByName(others)
 
 
 def _with_strays(placed: DataFrame) -> DataFrame:
-    """placed (bucket, many, key, comp, home) plus stray, of the buckets that have strays."""
-    marked = stored(placed.withColumn("stray", F.col("comp") != F.col("home")), "placed")
-    return stored(marked.join(marked.where("stray").select("bucket").distinct(), "bucket", "left_semi"), "strays")
+    """placed (bucket, many, key, comp, home) plus stray, of the buckets that have strays, and their number."""
+    marked = stored(placed.select("bucket", "many", "key", "comp", "home", (F.col("comp") != F.col("home")).alias("stray")), "placed")
+    return stored(marked.join(marked.where("stray").groupBy("bucket").agg(F.count(F.lit(1)).alias("strays")), "bucket"), "strays")
 
 
 def _met(placed: DataFrame, sigs: DataFrame, low: float) -> DataFrame:
@@ -345,6 +366,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     def compare(block: pa.Table) -> pa.Table:
         return best_of_block(block, low)
 
+    def candidates(block: pa.Table) -> pa.Table:
+        return candidates_of_block(block, low)
+
     def link(block: pa.Table) -> pa.Table:
         return links_of_block(block, low, percent)
 
@@ -358,10 +382,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     placed = _with_strays(placed.select("bucket", "many", "key", F.coalesce("_new", "comp").alias("comp"), F.coalesce("_newhome", "home").alias("home")))
     rest = _met(placed, sigs, low).select(F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")).distinct()
     third = linker.confirmed(stored(rest.join(top, ["a", "b"], "left_anti"), "pairs"))
-    large = stored(placed.where(F.col("many") > SMALL).join(reps, "key"), "large")
-    texts = _chosen(docs, stored(large.select("key").distinct(), "ids"), "key").dropDuplicates(["key"])
-    large = large.join(full_sets(texts, width, "key", "text"), "key")
-    fourth = _blocks(large).groupBy("bucket", "sb", "mb").applyInArrow(link, "a long, b long")
+    large = _blocks(placed.where(F.col("many") > SMALL).join(reps, "key")).groupBy("bucket", "sb", "mb")
+    near = stored(large.applyInArrow(candidates, "bucket long, sb int, mb int, key long, comp long, stray boolean"), "near")
+    texts = _chosen(docs, stored(near.select("key").distinct(), "ids"), "key").dropDuplicates(["key"])
+    near = near.join(reps, "key").join(full_sets(texts, width, "key", "text"), "key")
+    fourth = near.groupBy("bucket", "sb", "mb").applyInArrow(link, "a long, b long")
     new = second.select(F.col("comp").alias("node"), F.col("_new").alias("root"))
     later = _between(_between(third.unionByName(fourth), comps), new)
     merged = components(later, "a", "b").select(F.col("node").alias("_second"), F.col("root").alias("_third"))
