@@ -34,24 +34,25 @@ def _scatter(into: list[list], found: np.ndarray, s: np.ndarray) -> None:
             into[symbol].append(part)
 
 
-def _bucket(given: list, wanted: np.ndarray, s: np.ndarray, symbol: int, rest: np.ndarray) -> tuple[np.ndarray, list]:
-    """One bucket's induced suffixes in order, wave by wave, and what it and `rest` (the bucket's others) induce elsewhere."""
-    waves, out = [], []
-    wave = np.concatenate(given) if given else rest[:0]
-    while len(wave):
-        waves.append(wave)
-        before = wave[wave > 0] - 1
-        before = before[wanted[before]]
-        same = s[before] == symbol
-        out.append(before[~same])
-        wave = before[same]
-    before = rest[rest > 0] - 1
-    out.append(before[wanted[before]])
-    return (np.concatenate(waves) if waves else rest[:0]), out
+def _bucket(given: list, wanted: np.ndarray, s: np.ndarray, symbol: int, rest: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, list]:
+    """One bucket's induced suffixes in order, and what it and `rest` (the bucket's others) induce elsewhere. A suffix induces those
+    before it in its run of one symbol (back: how many there are) within the bucket: first each one's nearest, then the next."""
+    own = np.concatenate(given) if given else rest[:0]
+    times = back[own] + 1
+    if len(own) and times.max() > 1:
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        own = (np.repeat(own, times) - step)[np.argsort(step, kind="stable")]
+    out = []
+    for suffixes in (own, rest):
+        before = suffixes[suffixes > 0] - 1
+        out.append(before[wanted[before] & (s[before] != symbol)])
+    return own, out
 
 
 def _induce(s: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The order of all suffixes, from the LMS suffixes in an order that is right within each symbol."""
+    back = np.arange(len(s))
+    back -= np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), back, 0))
     given: list[list] = [[] for _ in range(size)]
     starts: list[list] = [[] for _ in range(size)]
     _scatter(starts, lms, s)
@@ -60,7 +61,7 @@ def _induce(s: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> n
     given[s[-1]].append(np.array([len(s) - 1], lms.dtype))
     larger: list[np.ndarray] = []
     for symbol in range(size):
-        own, out = _bucket(given[symbol], ~smaller, s, symbol, firsts[symbol]) if given[symbol] or len(firsts[symbol]) else (empty, [])
+        own, out = _bucket(given[symbol], ~smaller, s, symbol, firsts[symbol], back) if given[symbol] or len(firsts[symbol]) else (empty, [])
         larger.append(own)
         if out:
             _scatter(given, np.concatenate(out), s)
@@ -68,7 +69,7 @@ def _induce(s: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> n
     parts: list[np.ndarray] = []
     for symbol in range(size - 1, -1, -1):
         backwards = larger[symbol][::-1]
-        own, out = _bucket(given[symbol], smaller, s, symbol, backwards) if given[symbol] or len(backwards) else (empty, [])
+        own, out = _bucket(given[symbol], smaller, s, symbol, backwards, back) if given[symbol] or len(backwards) else (empty, [])
         if out:
             _scatter(given, np.concatenate(out), s)
         parts += [own, backwards]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -132,6 +133,15 @@ def test_suffix_array():
                 assert found[j] == k
 
 
+def test_suffix_array_of_runs():
+    begin = time.perf_counter()
+    order = suffix_array(np.full(5_000_000, 97, np.uint8))
+    assert (order == np.arange(5_000_000)[::-1]).all()
+    s = (b"a" * 3000 + b"b" * 2999 + b"c" + b"b" * 500 + b"a" * 700) * 2
+    assert list(suffix_array(np.frombuffer(s, np.uint8))) == sorted(range(len(s)), key=lambda i: s[i:])
+    assert time.perf_counter() - begin < 10
+
+
 def brute_repeats(rows, length=50):
     first = {}
     data = [(i, (t or "").encode()) for i, t in rows]
