@@ -3,8 +3,8 @@
 A candidate is a run of 16 or more key characters, or of 12 or more behind a label; the network reads it whole, with LEFT
 characters before and RIGHT behind it. Left out are only runs that one base hit covers whole; where a hit covers a part, both
 are reported. It is trained on labelled findings, made by a seeded generator: credentials of many forms, with and without
-digits or long hex pieces, and things that look like them (words, identifiers, dates, paths, versions, numbers), in running
-text. The threshold is the highest one at which at least RECALL of the held-back credentials are found.
+digits or long hex pieces, and things that look like them (words, identifiers, dates, paths, versions, numbers, addresses of
+mail, hosts and pages), in running text. The threshold is the highest one at which at least RECALL of the held-back credentials are found.
 
 Cases: null counts as empty. Texts without candidates (every base hit of the kinds access and hex is inside one) cost one
 scan. Rows are handled one by one, whole, in Arrow batches; candidates are scored together for each batch.
@@ -41,7 +41,7 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}")  # a run of the hex pattern that is lon
 LEFT, RIGHT = 24, 8
 CHARS = 130
 RECALL = 0.98
-SAMPLES, EPOCHS = 3000, 6
+SAMPLES, EPOCHS = 4000, 7
 
 
 def key_runs(text: str) -> list[re.Match]:
@@ -91,6 +91,7 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     number = lambda a, b: str(rng.randint(a, b))
     date = lambda: f"{rng.randint(1990, 2035)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
     prefixes = ("ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "glpat-", "npm_", "hf_")
+    ends = (".com", ".org", ".net", ".de", ".example.com")
     words = lambda sep, a, b: sep.join(word() for _ in range(rng.randint(a, b)))
     secret = (
         lambda: pick(alnum, 16, rng.choice((20, 64))),
@@ -128,6 +129,10 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: "".join(word().title() for _ in range(rng.randint(2, 5))),
         lambda: rng.choice("=-_.") * rng.randint(16, 60),
         lambda: words("/", 1, 3) + "/" + pick(hexes, 16, 40) + rng.choice((".jpg", ".png", ".js", ".css")),
+        lambda: rng.choice(("www.", "m.", "")) + words(".", 2, 3) + rng.choice(ends),
+        lambda: "//" + rng.choice(("www.", "")) + words(".", 1, 2) + rng.choice(ends) + "/" + words("/", 1, 2) + rng.choice(("", "-" + word(), "/" + number(1, 9999), "_" + word() + ".html")),
+        lambda: words(".", 1, 2) + "." + words("", 2, 3) + "@",
+        lambda: words("", 1, 2) + number(1, 99) + rng.choice("._-") + words("", 2, 3) + "@",
     )
     plain_by_label = (lambda: words("", 2, 4), lambda: words(rng.choice("-_./"), 2, 3), lambda: word() + "-" + number(1, 99999), lambda: date() + "T" + number(10, 23))
     lead = ("key = \"", "secret: ", "Authorization: Bearer ", "token ", "export KEY=", "credential '", "auth=", "passphrase: ", "password '")
@@ -139,6 +144,7 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         makers = (secret_by_label if label else plain_by_label) if by_label else secret if label else plain
         while True:
             token = rng.choice(makers)()
+            token, mail = token.rstrip("@"), token.endswith("@")
             if _RUN.fullmatch(token) and (by_label or len(token) >= LONG_RUN):
                 break
         before = words(" ", 0, 6) + " "
@@ -146,9 +152,11 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             before += rng.choice(lead if label else field)
         elif rng.random() < (0.6 if label else 0.1 if any(c.isdigit() for c in token) else 0):
             before += rng.choice(lead)
-        if not label and token.endswith((".com", ".org", ".net")) and rng.random() < 0.7:
+        if not label and token.endswith(ends) and not token.startswith("//") and rng.random() < 0.5:
             before += word() + "." + number(1, 99) + "@"
-        after = rng.choice((" ", "\n", ". ", ", ", "\" ")) + " ".join(word() for _ in range(3))
+        if token.startswith("//"):
+            before += rng.choice(("https:", "http:"))
+        after = "@" + words(".", 2, 3) + rng.choice(ends) if mail else rng.choice((" ", "\n", ". ", ", ", "\" ")) + " ".join(word() for _ in range(3))
         out.append((before + token + after, len(before), len(before) + len(token), label))
     return out
 

@@ -191,11 +191,13 @@ def test_secrets(spark):
     df = spark.createDataFrame([(i, t, 0.0, "x") for i, t in enumerate(texts)], DOCS)
     model = secrets.SecretModel()
     found = {r.doc_id: r for r in secrets.secret_digests(secrets.scan_secrets(df, model=model)).collect()}
+    label = "|".join("".join(f"[{c}{c.upper()}]" for c in word) for word in ("password", "passwd", "secret", "token", "api_key", "apikey")).replace("[__]", "_")
+    assign = re.compile("(" + label + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for i, t in enumerate(texts):
         t = t or ""
-        base = [(m.start(), 0, "assign", m.end()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 12]
-        base += [(m.start(), 1, "access", m.end()) for m in secrets.ACCESS.finditer(t) if len(m[0]) >= 18]
-        base += [(m.start(), 2, "hex", m.end()) for m in secrets.HEX.finditer(t) if len(m[0]) >= 16]
+        base = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        base += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        base += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base))
         assert found[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [found[i].n_assign, found[i].n_access, found[i].n_hex] == [sum(x[2] == k for x in base) for k in ("assign", "access", "hex")]
@@ -234,6 +236,35 @@ def test_every_candidate_is_scored():
     assert any(not re.search("[0-9]", t) for t in labelled) and any(re.search("[0-9a-f]{16}", t) and not re.fullmatch("[0-9a-f]+", t) for t in labelled)
 
 
+def test_secrets_planted_in_documents(spark):
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    model, rng = secrets.SecretModel(), random.Random(5)
+    digits, hexes = "0123456789", "0123456789abcdef"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    both = letters + letters.upper() + digits
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = [
+        lambda: "ghp_" + pick(both, 36), lambda: pick(both + "+/", 40), lambda: "sk_live_" + pick(both, 24), lambda: f"xoxb-{pick(digits, 12)}-{pick(digits, 12)}-{pick(both, 24)}", lambda: "AIza" + pick(both + "-_", 35),
+        lambda: f"eyJ{pick(both, 30)}.eyJ{pick(both, 50)}.{pick(both + '-_', 43)}", lambda: pick(hexes.upper(), 40), lambda: pick(both + "+/", 43) + "=", lambda: pick(both, 20), lambda: pick(letters + letters.upper(), 24), lambda: "SG." + pick(both, 22) + "." + pick(both, 43),
+    ]
+    found = {i: 0 for i in range(len(kinds))}
+    for i, kind in enumerate(kinds):
+        for _ in range(80):
+            words = rng.choice(docs).split(" ")
+            at, key = rng.randrange(len(words) + 1), kind()
+            left = " ".join(words[:at])
+            spans = secrets.scan([f"{left} {key} {' '.join(words[at:])}"], model)[0]
+            found[i] += any(a <= len(left) + 1 and len(left) + 1 + len(key) <= b for a, b, _ in spans)
+    assert min(found.values()) >= 0.9 * 80 * 0.95 and sum(found.values()) >= 0.95 * 80 * len(kinds), found
+    runs = sum(len(secrets.key_runs(t)) for t in docs)
+    taken = sum(k == "network" for spans in secrets.scan(docs, model) for *_, k in spans)
+    assert taken <= 0.02 * runs
+    names = [w for t in docs for w in re.findall("[A-Za-z]{5,}", t)]
+    w = lambda: rng.choice(names)
+    plain = [f"{rng.choice(docs)[:100]} {x} and" for _ in range(200) for x in (f"{w()}.{w()}@{w()}.example.com", f"www.{w()}{w()}.{w()}.com", f"https://{w()}.example.com/{w()}/{w()}-{w()}/{rng.randint(1, 9999)}", f"{w()}{w()}{w()}"[:26])]
+    assert sum(k == "network" for spans in secrets.scan(plain, model) for *_, k in spans) <= 0.04 * len(plain)
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
