@@ -100,3 +100,8 @@ def range_split(total: Column, parts: int) -> Column:
     """Contiguous ranges [start, end) of 0..total in `parts` parts: an array of (part, start, end)."""
     at = lambda i: F.floor(i * total / parts).cast("long")
     return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(i.alias("part"), at(i).alias("start"), at(i + 1).alias("end")))
+
+
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since 1970 of a time without zone, the same in every session."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))

@@ -3,11 +3,14 @@ partial aggregation; ties are broken by pixel order, so that results do not depe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import bin_24, bucket_key, distance2, exact_key
 from ..functions.numeric import half_up, pick, ratio, upper_middle
+from .windows import border_ring, sized
 
 IMAGE = "image_id"
 
@@ -28,10 +31,8 @@ def histogram_stats(hist: DataFrame) -> DataFrame:
 
 def outside_box(px: DataFrame, low: float = 0.225, high: float = 0.775) -> DataFrame:
     """Pixels outside the central box; sizes are those of each image."""
-    w = Window.partitionBy(IMAGE)
-    sized = px.withColumns({"_w": F.max("x").over(w) + 1, "_h": F.max("y").over(w) + 1})
     inside = (col("x") >= col("_w") * low) & (col("x") < col("_w") * high) & (col("y") >= col("_h") * low) & (col("y") < col("_h") * high)
-    return sized.where(~inside).drop("_w", "_h")
+    return sized(px).where(~inside).drop("_w", "_h", "_n")
 
 
 def color_cardinality(px: DataFrame, bits: int = 4, above: int = 16) -> DataFrame:
@@ -41,8 +42,6 @@ def color_cardinality(px: DataFrame, bits: int = 4, above: int = 16) -> DataFram
 
 def sampled_border(px: DataFrame) -> DataFrame:
     """(image_id, r, g, b) of every step-th pixel of each side; corners count on both sides."""
-    w = Window.partitionBy(IMAGE)
-    sized = px.withColumns({"_w": F.max("x").over(w) + 1, "_h": F.max("y").over(w) + 1})
     step = F.greatest(F.lit(1), F.floor(2 * (col("_w") + col("_h")) / 240)).cast("int")
     sides = F.array_compact(
         F.array(
@@ -52,7 +51,7 @@ def sampled_border(px: DataFrame) -> DataFrame:
             F.when((col("x") == col("_w") - 1) & (col("y") % step == 0), 4),
         )
     )
-    return sized.select(IMAGE, "r", "g", "b", F.explode(sides).alias("side"))
+    return sized(px).select(IMAGE, "r", "g", "b", F.explode(sides).alias("side"))
 
 
 def border_median(px: DataFrame) -> DataFrame:
@@ -129,6 +128,30 @@ def region_shapes(regions: DataFrame) -> DataFrame:
     return stats.select(IMAGE, "region_id", "area", cx.alias("cx"), cy.alias("cy"), ratio(col("bw"), col("bh")).alias("aspect"), ratio(col("area"), col("bw") * col("bh")).alias("fill"), F.round(col("s2") / col("area") - cx * cx - cy * cy, 6).alias("moment"))
 
 
+def circles(regions: DataFrame, least: int, aspect_from: float, aspect_to: float, fill_from: float, fill_to: float, deviation: float, error: float) -> DataFrame:
+    """(image_id, region_id, area, cx, cy, r): the regions (image_id, region_id, x, y) that are circles by aspect, fill, the spread of
+    the border's distance from the centre, and the radius that follows from the area."""
+    key = [IMAGE, "region_id"]
+    n = F.count(F.lit(1))
+    stats = regions.groupBy(*key).agg(n.alias("area"), (F.sum("x") / n).alias("cx"), (F.sum("y") / n).alias("cy"), (F.max("x") - F.min("x") + 1).alias("bw"), (F.max("y") - F.min("y") + 1).alias("bh"))
+    distance = F.sqrt((col("x") - col("cx")) * (col("x") - col("cx")) + (col("y") - col("cy")) * (col("y") - col("cy")))
+    border = border_ring(regions, tuple(key)).join(stats, key).select(*key, distance.alias("d")).groupBy(*key).agg(F.avg("d").alias("m"), F.avg(col("d") * col("d")).alias("m2"))
+    radius = F.sqrt(col("area") / F.lit(math.pi))
+    aspect, fill = col("bw") / col("bh"), col("area") / (col("bw") * col("bh"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), col("m2") - col("m") * col("m"))) / col("m")
+    fits = (aspect > aspect_from) & (aspect < aspect_to) & (fill > fill_from) & (fill < fill_to) & (spread < deviation) & (F.abs(col("m") - radius) / radius < error)
+    found = stats.where(col("area") >= least).join(border, key).where(fits)
+    return found.select(*key, "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round((col("m") + radius) / 2, 6).alias("r"))
+
+
+def clean_flag(near: DataFrame, off: int = 30, fraction: float = 0.12, least_side: int = 600) -> DataFrame:
+    """(image_id, fraction, clean) of pixels with the distance d2 to their palette: few opaque ones are off, and the image is not small."""
+    opaque = F.count_if(col("a") >= 128)
+    share = F.count_if((col("a") >= 128) & (col("d2") > off * off)) / F.greatest(F.lit(1), opaque)
+    found = near.groupBy(IMAGE).agg(share.alias("_s"), (F.greatest(F.max("x"), F.max("y")) + 1).alias("_d"))
+    return found.select(IMAGE, F.round("_s", 9).alias("fraction"), ((col("_s") < fraction) & (col("_d") >= least_side)).alias("clean"))
+
+
 def thin_colors(labels: DataFrame, core: DataFrame, area: float = 0.05, kept: float = 0.35) -> DataFrame:
     """Labels that cover less than `area` of the image and lose more than 1 - `kept` of it by erosion (core: what is left)."""
     full = labels.groupBy(IMAGE, "label").agg(F.count(F.lit(1)).alias("cnt")).withColumn("total", F.sum("cnt").over(Window.partitionBy(IMAGE)))

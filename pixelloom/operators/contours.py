@@ -62,7 +62,10 @@ def texture_restored(px: DataFrame, original: DataFrame, flat_below: float = 8.0
 
 
 def timed_out(events: DataFrame, key: str, limit_seconds: int) -> DataFrame:
-    """(key, seq, late): events that came more than the limit after the key's event before, and would have met a timeout."""
-    w = Window.partitionBy(key).orderBy("ts", "seq")
+    """(key, seq, answered): events after which their key stayed silent for longer than the limit, up to its next event or, where none
+    ever came, up to the newest time of all events."""
     micros = F.unix_micros(col("ts").cast("timestamp"))
-    return events.withColumn("late", micros - F.lag(micros).over(w) > limit_seconds * 1_000_000).where("late").select(key, "seq", "late")
+    w = Window.partitionBy(key).orderBy("ts", "seq")
+    now = events.agg(F.max(micros).alias("_now"))
+    waits = events.select(key, "seq", micros.alias("_at"), F.lead(micros).over(w).alias("_next")).join(F.broadcast(now))
+    return waits.where(F.coalesce("_next", "_now") - col("_at") > limit_seconds * 1_000_000).select(key, "seq", col("_next").isNotNull().alias("answered"))

@@ -54,6 +54,27 @@ def last_kept(events: DataFrame, key: str, order: str, most: int = 20) -> DataFr
     return events.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
+def ticks(events: DataFrame, key: str, order: str, step: int, most: int) -> DataFrame:
+    """(key, order, done): after each tick of a job, its progress so far, `step` for a tick and `most` at the end."""
+    w = Window.partitionBy(key).orderBy(order)
+    return events.select(key, order, F.least(F.lit(most), F.row_number().over(w) * step).cast("long").alias("done"))
+
+
+#: Status of a job after each kind of event; any other kind means that it is being processed.
+STATUS = {"signup": "pending", "purchase": "done", "error": "error"}
+
+
+def statuses(events: DataFrame, key: str, order: str, kind: str) -> DataFrame:
+    """(key, status, attempts, errors) of each job: pending, processing, done or error after its last event. An attempt begins where a
+    job that was not being processed is."""
+    status = F.lit("processing")
+    for k, v in STATUS.items():
+        status = F.when(F.col(kind) == k, v).otherwise(status)
+    marked = events.select(key, order, status.alias("_s")).withColumn("_b", F.lag("_s").over(Window.partitionBy(key).orderBy(order)))
+    begun = (F.col("_s") == "processing") & ~F.col("_b").eqNullSafe(F.lit("processing"))
+    return marked.groupBy(key).agg(F.max_by("_s", order).alias("status"), F.count_if(begun).alias("attempts"), F.count_if(F.col("_s") == "error").alias("errors"))
+
+
 def once(events: DataFrame, key: str, order: str) -> DataFrame:
     """The first event of each key."""
     return events.groupBy(key).agg(F.min(order).alias(order))

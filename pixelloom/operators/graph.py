@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import stored
+from ..plans.shared import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,20 +28,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before, mark = None, _mark(now)
     while mark[0] and mark != before:
-        now = stored(_star(_star(now, True), False).distinct(), "edges")
+        last, now = now, stored(_star(_star(now, True), False).distinct(), "edges")
+        discard(last)
         before, mark = mark, _mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def greedy(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(node, kept): in order of rank, a node stays unless one that stays, of better rank, conflicts with it.
-    nodes: (node, rank), ranks distinct. conflicts: (better, worse). A round settles every node whose better neighbours are
-    settled; the rounds are as many as the longest chain of alternating decisions, not as the nodes."""
-    state = stored(nodes.select("node", F.lit(None).cast("boolean").alias("kept")), "greedy")
-    conflicts = stored(conflicts.select("better", "worse"), "conflicts")
-    while not state.where("kept IS NULL").isEmpty():
-        above = conflicts.join(state.withColumnRenamed("node", "better"), "better").groupBy(F.col("worse").alias("node"))
-        seen = above.agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("beaten"), F.bool_or(F.col("kept").isNull()).alias("waiting"))
-        decided = F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waiting", F.lit(False)), True)
-        state = stored(state.join(seen, "node", "left").select("node", F.coalesce("kept", decided).alias("kept")), "greedy")
-    return state
+    nodes: (node, rank), ranks distinct. conflicts: (better, worse). A round keeps every open node without an open better neighbour
+    and drops its worse ones; settled nodes and their conflicts are left out of the next round. The rounds are as many as the
+    longest chain of alternating decisions, not as the nodes."""
+    every = stored(nodes.select("node"), "nodes")
+    known = conflicts.join(every.withColumnRenamed("node", "better"), "better", "left_semi")
+    open_, conflicts = stored(every, "open"), stored(known.select("better", "worse").distinct(), "conflicts")
+    chosen: list[DataFrame] = []
+    while not open_.isEmpty():
+        kept = stored(open_.join(conflicts.select(F.col("worse").alias("node")).distinct(), "node", "left_anti"), "kept")
+        chosen.append(kept)
+        beaten = conflicts.join(kept.withColumnRenamed("node", "better"), "better", "left_semi").select(F.col("worse").alias("node")).distinct()
+        left = stored(open_.join(kept, "node", "left_anti").join(beaten, "node", "left_anti"), "open")
+        rest = conflicts.join(left.withColumnRenamed("node", "better"), "better", "left_semi").join(left.withColumnRenamed("node", "worse"), "worse", "left_semi")
+        rest = stored(rest.select("better", "worse"), "conflicts")
+        discard(open_, conflicts)
+        open_, conflicts = left, rest
+    if not chosen:
+        return every.withColumn("kept", F.lit(True))
+    kept = chosen[0]
+    for part in chosen[1:]:
+        kept = kept.union(part)
+    return every.join(kept.withColumn("kept", F.lit(True)), "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -1,5 +1,5 @@
-"""Joins between rasters, palettes, histograms, boxes and edits. Palettes travel as one array for each image, so that the nearest
-colour is an expression and not a join that multiplies pixels."""
+"""Joins between rasters, palettes, histograms, boxes and edits. The nearest colour is looked for once for each different colour of
+an image, and masks meet as words of 64 pixels, after their boxes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import bin_24, distance2
+from ..plans.shared import stored
 from .windows import IMAGE
 
 AT = [IMAGE, "x", "y"]
@@ -28,11 +29,13 @@ def with_frequency(px: DataFrame, hist: DataFrame) -> DataFrame:
 
 
 def nearest(px: DataFrame, palette: DataFrame) -> DataFrame:
-    """px plus label and d2: the nearest palette entry (idx, r, g, b; a few dozen for each image), the lowest index on a tie."""
-    entries = palette.groupBy(IMAGE).agg(F.array_sort(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("_p"))
-    d2 = lambda e: distance2([col(c) for c in "rgb"], [e["r"], e["g"], e["b"]])
-    best = F.array_min(F.transform("_p", lambda e: F.struct(d2(e).alias("d2"), e["idx"].alias("idx"))))
-    return px.join(entries, IMAGE).withColumn("_b", best).select(*px.columns, col("_b.idx").alias("label"), col("_b.d2").alias("d2"))
+    """px plus label and d2: the nearest palette entry (idx, r, g, b; a few dozen for each image), the lowest index on a tie.
+    Each different colour of an image meets the palette once, with partial minima before the shuffle."""
+    key = [IMAGE, "r", "g", "b"]
+    entries = palette.select(IMAGE, "idx", *(col(c).alias(f"_{c}") for c in "rgb"))
+    d2 = distance2([col(c) for c in "rgb"], [col(f"_{c}") for c in "rgb"])
+    best = px.select(*key).distinct().join(entries, IMAGE).groupBy(*key).agg(F.min(F.shiftleft(d2.cast("long"), 32) + col("idx")).alias("_b"))
+    return px.join(best, key).select(*px.columns, col("_b").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("label"), F.shiftright("_b", 32).cast("int").alias("d2"))
 
 
 def edited(px: DataFrame, edits: DataFrame) -> DataFrame:
@@ -41,29 +44,37 @@ def edited(px: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.select(*AT, *(F.coalesce(f"t{c}", c).alias(c) for c in "rgb"), "a")
 
 
-def overlapping(boxes: DataFrame, cell: int = 32) -> DataFrame:
-    """(a, b): pairs of boxes (cand_no, x0, y0, x1, y1, inclusive) that overlap, a < b. Boxes are dealt into the grid cells that
-    they cover, and a pair is put out only in the cell of its common upper left corner."""
+def overlapping(boxes: DataFrame, cell: int = 32, groups: tuple[str, ...] = ()) -> DataFrame:
+    """(groups, a, b, common, joint): pairs of boxes (cand_no, x0, y0, x1, y1, inclusive) that overlap, a < b. Boxes are dealt into the
+    grid cells that they cover, and a pair is put out only in the cell of its common upper left corner. groups: columns, such as
+    the image, of which boxes must have the same."""
     span = lambda lo, hi: F.sequence(F.floor(col(lo) / cell), F.floor(col(hi) / cell))
     dealt = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    b = dealt.select("cx", "cy", *(col(c).alias(f"b_{c}") for c in ("cand_no", "x0", "y0", "x1", "y1")))
-    met = dealt.join(b, ["cx", "cy"]).where("cand_no < b_cand_no AND x0 <= b_x1 AND b_x0 <= x1 AND y0 <= b_y1 AND b_y0 <= y1")
+    b = dealt.select(*groups, "cx", "cy", *(col(c).alias(f"b_{c}") for c in ("cand_no", "x0", "y0", "x1", "y1")))
+    met = dealt.join(b, [*groups, "cx", "cy"]).where("cand_no < b_cand_no AND x0 <= b_x1 AND b_x0 <= x1 AND y0 <= b_y1 AND b_y0 <= y1")
     left, top = F.greatest("x0", "b_x0"), F.greatest("y0", "b_y0")
     width, height = F.least("x1", "b_x1") - left + 1, F.least("y1", "b_y1") - top + 1
     own = met.where((F.floor(left / cell) == col("cx")) & (F.floor(top / cell) == col("cy")))
     area = lambda p: (col(f"{p}x1") - col(f"{p}x0") + 1) * (col(f"{p}y1") - col(f"{p}y0") + 1)
     common = width * height
-    return own.select(col("cand_no").alias("a"), col("b_cand_no").alias("b"), common.alias("common"), (area("") + area("b_") - common).alias("joint"))
+    return own.select(*groups, col("cand_no").alias("a"), col("b_cand_no").alias("b"), common.alias("common"), (area("") + area("b_") - common).alias("joint"))
 
 
 def iou_pairs(masks: DataFrame, above: float) -> DataFrame:
-    """(a, b, common, joint) of pixel masks (cand_no, x, y) with common / joint > above: an equi-join on the pixel."""
-    area = masks.groupBy("cand_no").agg(F.count(F.lit(1)).alias("area"))
-    sized = masks.join(area, "cand_no")
-    other = sized.select("x", "y", col("cand_no").alias("b"), col("area").alias("area_b"))
-    met = sized.withColumnRenamed("cand_no", "a").join(other, ["x", "y"]).where("a < b").groupBy("a", "b", "area", "area_b").agg(F.count(F.lit(1)).alias("common"))
-    met = met.withColumn("joint", col("area") + col("area_b") - col("common"))
-    return met.where(col("common") > col("joint") * above).select("a", "b", "common", "joint")
+    """(image_id, a, b, common, joint) of pixel masks (image_id, cand_no, x, y) of one image with common / joint > above. Boxes that
+    overlap come first; common pixels are counted on words of 8 x 8 pixels."""
+    key = [IMAGE, "cand_no"]
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (col("y") % 8 * 8 + col("x") % 8).cast("int")))
+    words = stored(masks.groupBy(*key, F.floor(col("x") / 8).cast("int").alias("tx"), F.floor(col("y") / 8).cast("int").alias("ty")).agg(word.alias("w"), *(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max)))), "words")
+    boxes = stored(words.groupBy(*key).agg(*(f(f"{c}{i}").alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))), F.sum(F.bit_count("w")).alias("area")), "boxes")
+    area_a, area_b = (boxes.select(IMAGE, col("cand_no").alias(c), col("area").alias(f"area_{c}")) for c in "ab")
+    pairs = overlapping(boxes, groups=(IMAGE,)).select(IMAGE, "a", "b").join(area_a, [IMAGE, "a"]).join(area_b, [IMAGE, "b"])
+    pairs = pairs.where(F.least("area_a", "area_b") > F.greatest("area_a", "area_b") * above)
+    wa, wb = (words.select(IMAGE, col("cand_no").alias(c), "tx", "ty", col("w").alias(f"_{c}")) for c in "ab")
+    met = pairs.join(wa, [IMAGE, "a"]).join(wb, [IMAGE, "b", "tx", "ty"])
+    met = met.groupBy(IMAGE, "a", "b", "area_a", "area_b").agg(F.sum(F.bit_count(col("_a").bitwiseAND(col("_b")))).alias("common"))
+    met = met.withColumn("joint", col("area_a") + col("area_b") - col("common"))
+    return met.where(col("common") > col("joint") * above).select(IMAGE, "a", "b", "common", "joint")
 
 
 def rescaled(px: DataFrame, labels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
@@ -73,12 +84,17 @@ def rescaled(px: DataFrame, labels: DataFrame, width: int, height: int, to_width
     return keyed.join(at, [IMAGE, "_x", "_y"], "left").select(*px.columns, "region_id")
 
 
-def smallest_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """points (px, py) with the smallest box (box_id, x0, y0, x1, y1) around each; few boxes, which travel as one array."""
-    every = boxes.agg(F.array_sort(F.collect_list(F.struct(((col("x1") - col("x0")) * (col("y1") - col("y0"))).alias("size"), "box_id", "x0", "y0", "x1", "y1"))).alias("_b"))
-    inside = lambda b: (col("px") >= b["x0"]) & (col("px") < b["x1"]) & (col("py") >= b["y0"]) & (col("py") < b["y1"])
-    found = F.try_element_at(F.filter("_b", inside), F.lit(1))
-    return points.join(F.broadcast(every)).withColumn("box_id", found["box_id"]).drop("_b")
+def smallest_box(points: DataFrame, boxes: DataFrame, cell: int = 64) -> DataFrame:
+    """points (px, py) with the smallest box (box_id, x0, y0, x1, y1; upper ends excluded) around each, the lower number on a tie, null
+    where there is none. Boxes are dealt into the grid cells that they cover, and a point looks in its own cell only."""
+    span = lambda lo, hi: F.sequence(F.floor(col(lo) / cell), F.floor((col(hi) - 1) / cell))
+    size = (col("x1") - col("x0")) * (col("y1") - col("y0"))
+    dealt = boxes.where(size > 0).select(size.alias("_size"), "box_id", "x0", "y0", "x1", "y1", F.explode(span("x0", "x1")).alias("_cx"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"))
+    dealt = dealt.withColumn("_cy", F.explode(span("_y0", "_y1"))).drop("_y0", "_y1")
+    places = points.select("px", "py").distinct().withColumns({"_cx": F.floor(col("px") / cell), "_cy": F.floor(col("py") / cell)})
+    inside = (col("px") >= col("x0")) & (col("px") < col("x1")) & (col("py") >= col("y0")) & (col("py") < col("y1"))
+    best = places.join(dealt, ["_cx", "_cy"]).where(inside).groupBy("px", "py").agg(F.min(F.struct("_size", "box_id")).alias("_m"))
+    return points.join(best, ["px", "py"], "left").select(*points.columns, col("_m.box_id").alias("box_id"))
 
 
 def first_of(masks: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.color import bucket_key, despilled, distance2, key_alpha
 from ..functions.numeric import clamp, half_up, percentile_95, pick, upper_middle
-from ..plans.shared import stored
+from ..plans.shared import discard, stored
 from .graph import components, greedy
 from .joins import nearest
-from .windows import IMAGE, touching
+from .windows import IMAGE, sized, touching
 
 
 def col(name: str) -> Column:
@@ -49,11 +49,19 @@ def reached(px: DataFrame, seeds: Column, diagonal: bool = False) -> DataFrame:
     return comps.join(hit, [IMAGE, "comp"], "left_semi").select(*px.columns)
 
 
+def with_reach(px: DataFrame, passable: Column, seeds: Column, diagonal: bool = False) -> DataFrame:
+    """px plus hit: whether a pixel is passable and its component of passable pixels holds a seed. The flag comes by component, so
+    pixels are not joined with pixels."""
+    comps = stored(labelled(px.withColumn("_open", F.when(passable, 1)).withColumn("_seed", seeds), "_open", diagonal), "comps")
+    found = comps.where("_open = 1 AND _seed").select(IMAGE, "comp").distinct().withColumn("_hit", F.lit(True))
+    joined = comps.join(found, [IMAGE, "comp"], "left")
+    return joined.select(*px.columns, (col("_open").isNotNull() & F.coalesce("_hit", F.lit(False))).alias("hit"))
+
+
 def on_border(px: DataFrame) -> DataFrame:
     """px plus edge: whether a pixel is on its image's border."""
-    w = Window.partitionBy(IMAGE)
-    edge = (col("x") == 0) | (col("y") == 0) | (col("x") == F.max("x").over(w)) | (col("y") == F.max("y").over(w))
-    return px.withColumn("edge", edge)
+    edge = (col("x") == 0) | (col("y") == 0) | (col("x") == col("_w") - 1) | (col("y") == col("_h") - 1)
+    return sized(px).select(*px.columns, edge.alias("edge"))
 
 
 def flood_color(px: DataFrame, seed: tuple[int, int], near: int = 12, fringe: int = 95) -> DataFrame:
@@ -71,20 +79,17 @@ def flood_border(px: DataFrame, background: tuple[int, int, int], solid: float,
     """(image_id, x, y, r, g, b, a): what the border reaches through pixels nearer than `cut` to the background fades and loses its
     tint. Each pixel is judged by its own colour, so the order of the flood does not matter. Pixels that stop the flood stay."""
     d = F.sqrt(distance2([col(c) for c in "rgb"], [F.lit(v) for v in background]).cast("double"))
-    px = stored(on_border(px).withColumn("_d", d), "distances")
-    hit = reached(px.where(col("_d") < cut), col("edge")).select(IMAGE, "x", "y", F.lit(True).alias("_hit"))
-    joined = px.join(hit, [IMAGE, "x", "y"], "left").withColumn("_k", key_alpha(col("_d"), solid, cut))
+    joined = with_reach(on_border(px).withColumn("_d", d), col("_d") < cut, col("edge")).withColumn("_k", key_alpha(col("_d"), solid, cut))
     joined = joined.withColumn("_a", half_up(col("_k") * 255))
-    clear = F.coalesce("_hit", F.lit(False)) & (col("_a") < col("a"))
+    clear = col("hit") & (col("_a") < col("a"))
     parts = [F.when(clear, despilled(col(c), col("_k"), F.lit(v))).otherwise(col(c)).alias(c) for c, v in zip("rgb", background, strict=True)]
     return joined.select(IMAGE, "x", "y", *parts, F.when(clear, col("_a")).otherwise(col("a")).alias("a"))
 
 
 def whole_border(px: DataFrame) -> DataFrame:
     """(image_id, r, g, b) of every pixel of each side; corners count on both sides."""
-    w = Window.partitionBy(IMAGE)
-    sides = [(col(c) == v).cast("int") for c in "xy" for v in (F.lit(0), F.max(c).over(w))]
-    times = px.select(IMAGE, *"rgb", sum(sides[1:], sides[0]).alias("_times")).where("_times > 0")
+    sides = [(col(c) == v).cast("int") for c, end in (("x", "_w"), ("y", "_h")) for v in (F.lit(0), col(end) - 1)]
+    times = sized(px).select(IMAGE, *"rgb", sum(sides[1:], sides[0]).alias("_times")).where("_times > 0")
     return times.select(IMAGE, *"rgb", F.explode(F.array_repeat(F.lit(1), col("_times"))).alias("_side")).drop("_side")
 
 
@@ -103,10 +108,8 @@ def uniform_background(px: DataFrame, clear: float = 0.05, uniform: float = 0.85
     fit = near.join(opaque, IMAGE).where((col("near") > uniform) & (col("clear") < clear)).join(p95, IMAGE).join(median, IMAGE)
     fit = fit.select(IMAGE, "mr", "mg", "mb", clamp(half_up(col("d") * 1.3) + 4, 10, 34).alias("tol"))
     # images that don't fit have no distance, so that every comparison with it fails
-    px = stored(on_border(px).join(fit, IMAGE, "left").select(IMAGE, "x", "y", "a", "edge", "tol", d2.alias("d2")), "distances")
-    core = px.where((col("a") != 0) & (col("d2") < col("tol") * col("tol"))).select(IMAGE, "x", "y", "edge")
-    core = reached(core, col("edge")).select(IMAGE, "x", "y", F.lit(True).alias("_hit"))
-    px = px.join(core, [IMAGE, "x", "y"], "left").withColumn("a", F.when(F.coalesce("_hit", F.lit(False)), 0).otherwise(col("a")))
+    px = on_border(px).join(fit, IMAGE, "left").select(IMAGE, "x", "y", "a", "edge", "tol", d2.alias("d2"))
+    px = with_reach(px, (col("a") != 0) & (col("d2") < col("tol") * col("tol")), col("edge")).withColumn("a", F.when(col("hit"), 0).otherwise(col("a")))
     for _ in range(2):
         px = px.withColumn("_t", touching(px, col("a") == 0)).withColumn("a", F.when((col("a") > 0) & col("_t") & (col("d2") < 52 * 52), 0).otherwise(col("a")))
     return px.select(IMAGE, "x", "y", "a")
@@ -143,18 +146,16 @@ def flood_same(px: DataFrame, seed: tuple[int, int], tolerance: float) -> DataFr
 
 def holes(px: DataFrame, region: Column) -> DataFrame:
     """(image_id, x, y): opaque pixels outside the region which the border can't reach without crossing it."""
-    outside = stored(on_border(px).where(~region).select(IMAGE, "x", "y", "edge", "a"), "outside")
-    free = reached(outside, col("edge")).select(IMAGE, "x", "y")
-    return outside.where(col("a") >= 128).join(free, [IMAGE, "x", "y"], "left_anti").select(IMAGE, "x", "y")
+    marked = with_reach(on_border(px), ~region, col("edge"))
+    return marked.where(~region & (col("a") >= 128) & ~col("hit")).select(IMAGE, "x", "y")
 
 
 def significant(px: DataFrame, above: int, least: int, share: float, grow: int) -> DataFrame:
     """(image_id, x, y): visible pixels no further than `grow` (in either direction) from a component of eight neighbours that is
     large enough; images without one keep all."""
-    w = Window.partitionBy(IMAGE)
-    sized = px.withColumn("_n", F.count(F.lit(1)).over(w)).where(col("a") > above).withColumn("_one", F.lit(1))
-    comps = stored(labelled(sized, "_one", diagonal=True), "comps")
-    large = comps.groupBy(IMAGE, "comp", "_n").count().where(col("count") >= F.greatest(F.lit(least), col("_n") * share)).select(IMAGE, "comp")
+    comps = stored(labelled(px.where(col("a") > above).withColumn("_one", F.lit(1)), "_one", diagonal=True), "comps")
+    totals = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n"))
+    large = comps.groupBy(IMAGE, "comp").count().join(totals, IMAGE).where(col("count") >= F.greatest(F.lit(least), col("_n") * share)).select(IMAGE, "comp")
     large = stored(large, "large")
     core = comps.join(large, [IMAGE, "comp"], "left_semi")
     span = lambda c: F.explode(F.sequence(col(c) - grow, col(c) + grow))
@@ -165,22 +166,23 @@ def significant(px: DataFrame, above: int, least: int, share: float, grow: int)
 
 def border_islands(px: DataFrame, share: float = 0.03, alpha: int = 128) -> DataFrame:
     """(image_id, comp, area): opaque components that touch the border, are smaller than `share` of the image and not its largest."""
-    w = Window.partitionBy(IMAGE)
-    marked = on_border(px.withColumn("_n", F.count(F.lit(1)).over(w))).where(col("a") >= alpha).withColumn("_one", F.lit(1))
-    comps = labelled(marked, "_one").groupBy(IMAGE, "comp", "_n").agg(F.count(F.lit(1)).alias("area"), F.bool_or("edge").alias("touches"))
-    ranked = comps.withColumn("_k", F.row_number().over(w.orderBy(F.desc("area"), "comp")))
-    return ranked.where("touches AND _k > 1").where(col("area") < col("_n") * share).select(IMAGE, "comp", "area")
+    marked = on_border(px).where(col("a") >= alpha).withColumn("_one", F.lit(1))
+    comps = stored(labelled(marked, "_one").groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.bool_or("edge").alias("touches")), "comps")
+    largest = comps.groupBy(IMAGE).agg(F.min(F.struct((-col("area")).alias("n"), "comp")).alias("_m"))
+    totals = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n"))
+    joined = comps.join(largest, IMAGE).join(totals, IMAGE)
+    return joined.where(col("touches") & (col("comp") != col("_m.comp")) & (col("area") < col("_n") * share)).select(IMAGE, "comp", "area")
 
 
 def enclosed_background(px: DataFrame, background: tuple[int, int, int], near: int = 42, share: float = 0.0015, ring: int = 6, other: float = 0.02) -> DataFrame:
     """(image_id, comp, area): small components near the background colour with hardly any other candidate pixel around them
     (in their box widened by `ring`)."""
     d2 = distance2([col(c) for c in "rgb"], [F.lit(v) for v in background])
-    w = Window.partitionBy(IMAGE)
-    candidate = px.withColumn("_n", F.count(F.lit(1)).over(w)).where((d2 < near * near) & (col("a") > 0)).withColumn("_one", F.lit(1))
+    candidate = px.where((d2 < near * near) & (col("a") > 0)).withColumn("_one", F.lit(1))
     comps = stored(labelled(candidate, "_one"), "comps")
-    boxes = comps.groupBy(IMAGE, "comp", "_n").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    boxes = boxes.where(col("area") <= col("_n") * share)
+    totals = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n"))
+    boxes = comps.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    boxes = boxes.join(totals, IMAGE).where(col("area") <= col("_n") * share)
     rows = boxes.withColumn("y", F.explode(F.sequence(col("y0") - ring, col("y1") + ring)))
     others = comps.select(IMAGE, "y", "x", col("comp").alias("_c"))
     seen = rows.join(others, [IMAGE, "y"]).where((col("x") >= col("x0") - ring) & (col("x") <= col("x1") + ring) & (col("_c") != col("comp")))
@@ -208,19 +210,24 @@ def grown(mask: DataFrame, px: DataFrame, passes: int) -> DataFrame:
 
 
 def merged_thin(labels: DataFrame, thin: list[int], most: int = 40) -> DataFrame:
-    """(image_id, x, y, label): pixels with a thin label take, pass by pass, the most frequent label of their settled neighbours;
-    ties go to the first in the order left, right, up, down."""
-    state = stored(labels.select(IMAGE, "x", "y", F.when(~col("label").isin(thin), col("label")).alias("label"), col("label").alias("_old")), "labels")
+    """(image_id, x, y, label): pixels with a thin label take, pass by pass, the most frequent label of their settled neighbours. On a
+    tie that label wins which reaches the number first in the order left, right, up, down. With a column `a`, pixels that are
+    not opaque (a < 128) neither change nor count; nor do pixels without label."""
+    opaque = (col("a") >= 128) if "a" in labels.columns else F.lit(True)
+    open_ = opaque & col("label").isin(thin)
+    state = labels.select(IMAGE, "x", "y", F.when(opaque & ~open_, col("label")).alias("label"), open_.alias("_open"), col("label").alias("_old"))
+    state = last = stored(state, "labels")
     w, h = Window.partitionBy(IMAGE, "y").orderBy("x"), Window.partitionBy(IMAGE, "x").orderBy("y")
+    beside = lambda f, o, c, d: F.when(f(c).over(o) == col(c) + d, f("label").over(o))
     for _ in range(most):
-        near = F.array(F.lag("label").over(w), F.lead("label").over(w), F.lag("label").over(h), F.lead("label").over(h))
-        step = state.withColumn("_n", near)
-        known = F.array_compact("_n")
-        votes = F.transform(known, lambda v, i: F.struct(F.size(F.filter(known, lambda o: o == v)).alias("n"), (-i).alias("i"), v.alias("v")))
-        step = step.withColumn("_w", F.array_max(votes)["v"])
-        step = stored(step.select(IMAGE, "x", "y", F.coalesce("label", "_w").alias("label"), "_old", (col("label").isNull() & col("_w").isNotNull()).alias("_moved")), "labels")
-        moved = not step.where("_moved").isEmpty()
-        state = step.drop("_moved")
+        known = F.array_compact(F.array(beside(F.lag, w, "x", -1), beside(F.lead, w, "x", 1), beside(F.lag, h, "y", -1), beside(F.lead, h, "y", 1)))
+        step = state.withColumn("_n", known)
+        votes = F.transform("_n", lambda v, i: F.struct(F.size(F.filter(F.slice("_n", F.lit(1), i + 1), lambda o: o == v)).alias("n"), (-i).alias("i"), v.alias("v")))
+        taken = F.when(col("_open"), F.array_max(votes)["v"])
+        step = step.select(IMAGE, "x", "y", F.coalesce("label", taken).alias("label"), (col("_open") & taken.isNull()).alias("_open"), "_old", (col("_open") & taken.isNotNull()).alias("_moved"))
+        step = stored(step, "labels")
+        discard(last)
+        state, last, moved = step.drop("_moved"), step, not step.where("_moved").isEmpty()
         if not moved:
             break
     return state.select(IMAGE, "x", "y", F.coalesce("label", "_old").alias("label"))

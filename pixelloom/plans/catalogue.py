@@ -60,6 +60,12 @@ RESIDUE = f"""px AS (SELECT image_id, x, y, {_LIFT}, CASE WHEN k < 4 THEN 0 WHEN
         1 + CAST(i // 16 AS INT) + 4 * CAST(vec_id // 16 AS INT) AS region_id FROM embeddings, range(64) t(i))))"""
 RECTANGLES = """boxes AS (SELECT cand_no, x0, y0, x0 + 4 + s % 16 AS x1, y0 + 4 + (7 * s) % 16 AS y1, score
   FROM (SELECT p_partkey AS cand_no, (p_partkey * 37) % 240 AS x0, (p_partkey * 91) % 240 AS y0, p_size::BIGINT AS s, p_retailprice AS score FROM part))"""
+MASKS = "masks AS (SELECT label::BIGINT AS image_id, image_id AS cand_no, x, y, embedding[1]::DOUBLE AS score FROM tile JOIN embeddings ON vec_id = image_id WHERE a >= 128)"
+MASKS = f"{TILES.replace('px AS', 'tile AS')}, {MASKS}"
+DECODED = """decoded AS (SELECT label::BIGINT AS image_id, vec_id AS point, k::INT AS k, 0.8e0 + embedding[CAST(k AS INT) + 1]::DOUBLE AS iou, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, embedding[CAST((i + k * 16) % 64 AS INT) + 1]::DOUBLE AS logit
+  FROM embeddings, range(4) a(k), range(64) b(i))"""
+DISCS = """discs AS (SELECT s_suppkey::BIGINT AS image_id, 1 AS region_id, x::INT AS x, y::INT AS y FROM supplier, range(61) a(x), range(61) b(y)
+  WHERE (x - 30) * (x - 30) * (CASE WHEN s_suppkey % 4 = 0 THEN 9 ELSE 16 END) + (y - 30) * (y - 30) * 16 <= (6 + s_suppkey % 20) * (6 + s_suppkey % 20) * 16)"""
 LOG = "log AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS op, ts, value FROM events)"
 LUMA = "0.299e0 * r + 0.587e0 * g + 0.114e0 * b"
 

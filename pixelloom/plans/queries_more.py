@@ -62,6 +62,7 @@ def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").select("p_partkey", wanted.alias("kind")).join(F.broadcast(registry), "kind")
 
 
-@query("ST10", f"""WITH {LOG}, g AS (SELECT session, seq, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session ORDER BY ts, seq)) > 3600000000 AS late FROM log) SELECT session, seq, late FROM g WHERE late""")
+@query("ST10", f"""WITH {LOG}, g AS (SELECT session, seq, epoch_us(ts) AS t0, lead(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts, seq) AS next, max(epoch_us(ts)) OVER () AS now FROM log)
+SELECT session, seq, next IS NOT NULL AS answered FROM g WHERE coalesce(next, now) - t0 > 3600000000""")
 def timed_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.timed_out(fx.edit_log(spark, sf_dir), "session", 3600)

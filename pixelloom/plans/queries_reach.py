@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import editlog as ed
-from ..operators import graph as gr
-from ..operators import joins as jn
+from ..operators import everything as ey
 from ..operators import reach as rc
 from ..operators import sets as st
 from ..sources import fixtures as fx
 from ..streaming import events as ev
-from .catalogue import LOG, RECTANGLES, SHEET, TILES, bucket_sql, col, query, sql_byte, sql_half_up
+from .catalogue import DECODED, LOG, MASKS, SHEET, TILES, bucket_sql, col, query, sql_byte, sql_half_up
+from .queries_regions import IOU
+from .shared import stored
 
 AT = ["image_id", "x", "y"]
 
@@ -123,20 +125,55 @@ def accent_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.accents(px, palette(px)).select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area", "r", "g", "b")
 
 
-@query("T4 H12", f"""WITH RECURSIVE {RECTANGLES}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, cand_no) AS k FROM boxes),
-e AS (SELECT a.k AS worse, list(b.k) AS better FROM ranked a JOIN ranked b ON b.k < a.k AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
-  WHERE (least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) * (least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) > 0.3e0 * ((a.x1 - a.x0 + 1) * (a.y1 - a.y0 + 1) + (b.x1 - b.x0 + 1) * (b.y1 - b.y0 + 1) - (least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) * (least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1)) GROUP BY 1),
-o AS (SELECT r.k, coalesce(e.better, []::BIGINT[]) AS better FROM ranked r LEFT JOIN e ON e.worse = r.k),
-g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(g.kept, o.better) THEN g.kept ELSE list_append(g.kept, o.k) END FROM g JOIN o ON o.k = g.k + 1)
-SELECT cand_no, list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), k) AS kept FROM ranked""")
+# --- masks: suppression, and segment everything ----------------------------------------------------------------------------
+
+
+def _nms_sql(ranked: str, above: float) -> str:
+    """kept(image_id, cand_no, kept) from `ranked` (a SELECT of image_id, cand_no, score) and iou(image_id, a, b, common, joint)."""
+    return f"""ranked AS MATERIALIZED (SELECT image_id, cand_no, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, cand_no) AS k FROM ({ranked})),
+clash AS MATERIALIZED (SELECT i.image_id, greatest(p.k, q.k) AS worse, list(least(p.k, q.k)) AS better FROM iou i JOIN ranked p ON p.image_id = i.image_id AND p.cand_no = a JOIN ranked q ON q.image_id = i.image_id AND q.cand_no = b WHERE common > joint * {above}e0 GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT r.image_id, r.k, coalesce(c.better, []::BIGINT[]) AS better FROM ranked r LEFT JOIN clash c ON c.image_id = r.image_id AND c.worse = r.k),
+g AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::BIGINT[] AS chosen FROM ranked UNION ALL
+  SELECT o.image_id, o.k, CASE WHEN list_has_any(g.chosen, o.better) THEN g.chosen ELSE list_append(g.chosen, o.k) END FROM g JOIN o ON o.image_id = g.image_id AND o.k = g.k + 1),
+kept AS (SELECT r.image_id, r.cand_no, list_contains(c.chosen, r.k) AS kept FROM ranked r JOIN (SELECT image_id, arg_max(chosen, k) AS chosen FROM g GROUP BY 1) c USING (image_id))"""
+
+
+@query("T4 H12", f"WITH RECURSIVE {MASKS}, {IOU}, {_nms_sql('SELECT DISTINCT image_id, cand_no, score FROM masks', 0.45)} SELECT * FROM kept")
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = fx.rectangles(spark, sf_dir)
-    clash = jn.overlapping(boxes).where("common > joint * 0.3")
-    score = boxes.select("cand_no", F.struct((-col("score")).alias("s"), "cand_no").alias("rank"))
-    sides = clash.join(score.select(col("cand_no").alias("a"), col("rank").alias("ra")), "a").join(score.select(col("cand_no").alias("b"), col("rank").alias("rb")), "b")
-    first = col("ra") < col("rb")
-    conflicts = sides.select(F.when(first, col("a")).otherwise(col("b")).alias("better"), F.when(first, col("b")).otherwise(col("a")).alias("worse"))
-    return gr.greedy(score.select(col("cand_no").alias("node"), "rank"), conflicts).select(col("node").alias("cand_no"), "kept")
+    masks = fx.masks(spark, sf_dir)
+    return ey.suppressed(masks, masks.select("image_id", "cand_no", "score").distinct(), 0.45)
+
+
+#: Limits of the query: predicted overlap, offset and share of stability, area, overlap of masks.
+_LIMITS = (0.75, 0.02, 0.65, 20.0, 0.45)
+_EVERYTHING = f"""{DECODED}, stats AS (SELECT image_id, point, k, max(iou) AS iou, count(*) FILTER (logit > {_LIMITS[1]}e0) AS hi, count(*) FILTER (logit > -{_LIMITS[1]}e0) AS lo, count(*) FILTER (logit > 0) AS area,
+  min(x) FILTER (logit > 0) AS x0, min(y) FILTER (logit > 0) AS y0, max(x) FILTER (logit > 0) AS x1, max(y) FILTER (logit > 0) AS y1 FROM decoded GROUP BY 1, 2, 3),
+fit AS (SELECT *, iou * (hi::DOUBLE / lo) AS score FROM stats WHERE k > 0 AND iou >= {_LIMITS[0]}e0 AND lo > 0 AND hi::DOUBLE / lo >= {_LIMITS[2]}e0 AND area >= {_LIMITS[3]}e0),
+best AS MATERIALIZED (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY image_id, point ORDER BY score DESC, k) = 1),
+masks AS MATERIALIZED (SELECT d.image_id, d.point AS cand_no, x, y FROM decoded d SEMI JOIN best b ON b.image_id = d.image_id AND b.point = d.point AND b.k = d.k WHERE logit > 0), {IOU},
+{_nms_sql('SELECT image_id, point AS cand_no, score FROM best', _LIMITS[4])},
+every AS (SELECT b.image_id, (row_number() OVER (PARTITION BY b.image_id ORDER BY b.score DESC, b.point) - 1)::INT AS idx, b.point, b.k, b.score, b.area, b.x0, b.y0, b.x1, b.y1 FROM best b SEMI JOIN (SELECT * FROM kept WHERE kept) c ON c.image_id = b.image_id AND c.cand_no = b.point)"""
+
+
+def _everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    decoded = stored(fx.decoded(spark, sf_dir), "decoded")
+    return decoded, ey.everything(decoded, *_LIMITS)
+
+
+@query("M5 M4 A18 stage", f"WITH RECURSIVE {_EVERYTHING} SELECT * REPLACE (round(score, 9) AS score) FROM every")
+def segment_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _everything(spark, sf_dir)[1].withColumn("score", F.round("score", 9))
+
+
+@query("IO15 D5", f"""WITH RECURSIVE {_EVERYTHING}, tops AS (SELECT d.image_id, d.x, d.y, min({{'area': e.area, 'idx': e.idx}}) AS m FROM decoded d JOIN every e ON e.image_id = d.image_id AND e.point = d.point AND e.k = d.k WHERE d.logit > 0 GROUP BY ALL)
+SELECT p.image_id, p.x, p.y, coalesce(m.idx + 1, 0)::INT AS label, least(255, coalesce(m.idx + 1, 0))::INT AS grey FROM (SELECT DISTINCT image_id, x, y FROM decoded) p LEFT JOIN tops USING (image_id, x, y)""")
+def label_map_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ey.label_map(*_everything(spark, sf_dir))
+
+
+@query("IO16", f"""WITH RECURSIVE {_EVERYTHING} SELECT image_id, '{{"count":' || count(*) || ',"masks":[' || string_agg('{{"idx":' || idx || ',"point":' || point || ',"k":' || k || ',"area":' || area || ',"bbox":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || ']}}', ',' ORDER BY idx) || ']}}' AS summary FROM every GROUP BY image_id""")
+def everything_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ey.summary(_everything(spark, sf_dir)[1])
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------------
@@ -189,14 +226,28 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.latest(fx.progress_events(spark, sf_dir).withColumnRenamed("job", "session"), "session", "seq", "stage")
 
 
-@query("ST1 ST12", "SELECT user_id AS job, max(event_id) AS seq, arg_max(event_type, event_id) AS stage, arg_max(least(1e0, value / 500), event_id) AS progress FROM events GROUP BY user_id")
+@query("ST1", "SELECT user_id AS job, max(event_id) AS seq, arg_max(event_type, event_id) AS stage, arg_max(least(1e0, value / 500), event_id) AS progress FROM events GROUP BY user_id")
 def progress_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.latest(fx.progress_events(spark, sf_dir), "job", "seq", "stage", "progress")
 
 
-@query("ST2", "SELECT event_type AS stage, least(5000, count(*) * 3)::BIGINT AS ticks FROM events GROUP BY 1")
+@query("ST2", "SELECT user_id AS job, event_id AS seq, least(200, 32 * row_number() OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS done FROM events")
 def capped_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.progress_events(spark, sf_dir).groupBy("stage").agg(F.least(F.lit(5000), F.count(F.lit(1)) * 3).cast("long").alias("ticks"))
+    return ed.ticks(fx.progress_events(spark, sf_dir), "job", "seq", 32, 200)
+
+
+_STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ed.STATUS.items()) + " ELSE 'processing' END"
+
+
+@query("ST12", f"""WITH s AS (SELECT user_id AS job, event_id AS seq, {_STATUS_SQL} AS status FROM events), p AS (SELECT *, lag(status) OVER (PARTITION BY job ORDER BY seq) AS before FROM s)
+SELECT job, arg_max(status, seq) AS status, count(*) FILTER (status = 'processing' AND before IS DISTINCT FROM 'processing') AS attempts, count(*) FILTER (status = 'error') AS errors FROM p GROUP BY job""")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ed.statuses(fx.progress_events(spark, sf_dir), "job", "seq", "stage")
+
+
+@query("F21", "SELECT event_id, epoch_us(ts) // 1000 AS millis FROM events")
+def epoch_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "events").select("event_id", tx.epoch_millis(col("ts")).alias("millis"))
 
 
 @query("ST4", f"""WITH {LOG}, g AS (SELECT session, seq, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 600000000 THEN 1 ELSE 0 END AS f FROM log WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),

@@ -12,7 +12,7 @@ from ..operators import joins as jn
 from ..operators import palettes as pl
 from ..operators import windows as wn
 from ..sources import fixtures as fx
-from .catalogue import BIN, LUMA, MEDIAN, PALETTE, RECTANGLES, RESIDUE, SHEET, SIZED, STATUS, TILES, bucket_sql, col, d2_sql, query, sql_even
+from .catalogue import BIN, DISCS, LUMA, MASKS, MEDIAN, PALETTE, RECTANGLES, RESIDUE, SHEET, SIZED, STATUS, TILES, bucket_sql, col, d2_sql, query, sql_even
 from .image_plan import Options, features, run_plan
 from .residue import residue_regions as residue
 
@@ -91,12 +91,36 @@ def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.bounding_box(fx.tiles(spark, sf_dir), 200)
 
 
-@query("A10", f"""WITH {RESIDUE}, s AS (SELECT image_id, region_id, count(*) AS area, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x::BIGINT * x + y::BIGINT * y)::BIGINT AS s2, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh FROM px WHERE a > 128 GROUP BY 1, 2)
+@query("", f"""WITH {RESIDUE}, s AS (SELECT image_id, region_id, count(*) AS area, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x::BIGINT * x + y::BIGINT * y)::BIGINT AS s2, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh FROM px WHERE a > 128 GROUP BY 1, 2)
 SELECT image_id, region_id, area, sx::DOUBLE / area AS cx, sy::DOUBLE / area AS cy, bw::DOUBLE / bh AS aspect, area::DOUBLE / (bw * bh) AS fill, round(s2::DOUBLE / area - (sx::DOUBLE / area) * (sx::DOUBLE / area) - (sy::DOUBLE / area) * (sy::DOUBLE / area), 6) AS moment FROM s""")
 def region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.region_shapes(fx.residue_raster(spark, sf_dir).where("a > 128"))
 
 
+#: Least area, then limits of aspect (both), fill (both), border deviation and radius error, for a mask and for a component.
+CIRCLES = {"mask": (200, 0.93, 1.07, 0.74, 0.83, 0.045, 0.06), "component": (0, 0.91, 1.1, 0.73, 0.84, 0.055, 0.07)}
+
+
+def _circle_sql(kind: str) -> str:
+    least, a0, a1, f0, f1, dev, err = CIRCLES[kind]
+    return f"""WITH {DISCS}, s AS (SELECT image_id, region_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy, (max(x) - min(x) + 1)::DOUBLE AS bw, (max(y) - min(y) + 1)::DOUBLE AS bh FROM discs GROUP BY 1, 2),
+n AS (SELECT *, coalesce(lag(x) OVER w = x - 1, false) AND coalesce(lead(x) OVER w = x + 1, false) AND coalesce(lag(y) OVER h = y - 1, false) AND coalesce(lead(y) OVER h = y + 1, false) AS core FROM discs
+  WINDOW w AS (PARTITION BY image_id, region_id, y ORDER BY x), h AS (PARTITION BY image_id, region_id, x ORDER BY y)),
+d AS (SELECT image_id, region_id, avg(d) AS m, avg(d * d) AS m2 FROM (SELECT n.image_id, n.region_id, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM n JOIN s USING (image_id, region_id) WHERE NOT core) GROUP BY 1, 2),
+f AS (SELECT *, sqrt(area / pi()) AS radius, sqrt(greatest(0e0, m2 - m * m)) / m AS dev FROM s JOIN d USING (image_id, region_id) WHERE area >= {least})
+SELECT image_id, region_id, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round((m + radius) / 2, 6) AS r FROM f WHERE bw / bh > {a0}e0 AND bw / bh < {a1}e0 AND area / (bw * bh) > {f0}e0 AND area / (bw * bh) < {f1}e0 AND dev < {dev}e0 AND abs(m - radius) / radius < {err}e0"""
+
+
+@query("A10", _circle_sql("mask"))
+def circle_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ag.circles(fx.discs(spark, sf_dir), *CIRCLES["mask"])
+
+
+@query("A10", _circle_sql("component"))
+def circle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ag.circles(fx.discs(spark, sf_dir), *CIRCLES["component"])
+
+
 @query("A11 T1", f"WITH {SHEET}, {PALETTE} SELECT * FROM palette")
 def palette_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.palette(fx.sheet(spark, sf_dir))
@@ -145,10 +169,10 @@ def stability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("stability", F.when(col("lo") == 0, 0.0).otherwise(col("hi") / col("lo")))
 
 
-@query("A23", "SELECT brand, members, pos FROM (SELECT p_brand AS brand, array_to_string(list(p_partkey ORDER BY p_partkey)[1:3], ',') AS members, min(p_partkey) AS pos FROM part GROUP BY p_brand)")
+@query("A23", "SELECT brand, members, pos FROM (SELECT p_brand AS brand, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS members, min(p_partkey) AS pos FROM part GROUP BY p_brand)")
 def group_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = fx.table(spark, sf_dir, "part").groupBy(col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list("p_partkey")).alias("m"), F.min("p_partkey").alias("pos"))
-    return grouped.select("brand", F.array_join(F.slice("m", 1, 3), ",").alias("members"), "pos")
+    return grouped.select("brand", F.array_join("m", ",").alias("members"), "pos")
 
 
 @query("A24 A25 A27b", """SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS done, sum(CAST(floor(value * 100 + 0.5e0) AS BIGINT))::BIGINT AS cents FROM events GROUP BY user_id""")
@@ -187,6 +211,10 @@ def residue_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(px, px, px)
 
 
+IOU = """areas AS (SELECT image_id, cand_no, count(*) AS area FROM masks GROUP BY 1, 2),
+met AS (SELECT p.image_id, p.cand_no AS a, q.cand_no AS b, count(*) AS common FROM masks p JOIN masks q ON q.image_id = p.image_id AND p.x = q.x AND p.y = q.y AND p.cand_no < q.cand_no GROUP BY 1, 2, 3),
+iou AS (SELECT m.image_id, a, b, common, na.area + nb.area - common AS joint FROM met m JOIN areas na ON na.image_id = m.image_id AND na.cand_no = a JOIN areas nb ON nb.image_id = m.image_id AND nb.cand_no = b)"""
+
 # --- joins ---------------------------------------------------------------------------------------------------------------
 
 
@@ -211,7 +239,13 @@ def nearest_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.nearest(px, ag.palette(px)).select(*AT, "label", "d2")
 
 
-@query("J4 A21", f"WITH {SHEET}, {PALETTE}, {_NEAREST} SELECT image_id, count(*) FILTER (a >= 128) AS opaque, count(*) FILTER (a >= 128 AND best.d2 > 48 * 48) AS far FROM near GROUP BY image_id")
+@query("A21", f"WITH {SHEET}, {PALETTE}, {_NEAREST} SELECT image_id, round(count(*) FILTER (a >= 128 AND best.d2 > 30 * 30)::DOUBLE / greatest(1, count(*) FILTER (a >= 128)), 9) AS fraction, count(*) FILTER (a >= 128 AND best.d2 > 30 * 30)::DOUBLE / greatest(1, count(*) FILTER (a >= 128)) < 0.12e0 AND greatest(max(x), max(y)) + 1 >= 600 AS clean FROM near GROUP BY image_id")
+def clean_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = fx.sheet(spark, sf_dir)
+    return ag.clean_flag(jn.nearest(px, ag.palette(px)))
+
+
+@query("J4", f"WITH {SHEET}, {PALETTE}, {_NEAREST} SELECT image_id, count(*) FILTER (a >= 128) AS opaque, count(*) FILTER (a >= 128 AND best.d2 > 48 * 48) AS far FROM near GROUP BY image_id")
 def far_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = fx.sheet(spark, sf_dir)
     near = jn.nearest(px, ag.palette(px))
@@ -225,12 +259,9 @@ def bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.overlapping(fx.rectangles(spark, sf_dir))
 
 
-@query("J6 D4", f"""WITH {TILES}, m AS (SELECT image_id AS cand_no, x, y FROM px WHERE a >= 128), n AS (SELECT cand_no, count(*) AS area FROM m GROUP BY 1),
-i AS (SELECT p.cand_no AS a, q.cand_no AS b, count(*) AS common FROM m p JOIN m q ON p.x = q.x AND p.y = q.y AND p.cand_no < q.cand_no GROUP BY 1, 2)
-SELECT a, b, common, joint FROM (SELECT a, b, common, na.area + nb.area - common AS joint FROM i JOIN n na ON na.cand_no = a JOIN n nb ON nb.cand_no = b) WHERE common > joint * 0.5e0""")
+@query("J6 D4", f"""WITH {MASKS}, {IOU} SELECT image_id, a, b, common, joint FROM iou WHERE common > joint * 0.45e0""")
 def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = fx.tiles(spark, sf_dir).where("a >= 128").select(col("image_id").alias("cand_no"), "x", "y")
-    return jn.iou_pairs(masks, 0.5)
+    return jn.iou_pairs(fx.masks(spark, sf_dir), 0.45)
 
 
 @query("J7 J8", f"""WITH {SHEET}, labels AS (SELECT image_id, CAST(x // 2 AS INT) AS lx, CAST(y // 2 AS INT) AS ly, CAST(r // 16 AS INT) AS region_id FROM px WHERE x % 2 = 0 AND y % 2 = 0)
@@ -365,9 +396,9 @@ def progress_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(col("seq").alias("event_id"), ((col("i") + col("progress")) / col("n")).alias("progress"))
 
 
-@query("W11 H11", "SELECT vec_id, CAST(k - 1 AS INT) AS k, v FROM (SELECT vec_id, unnest(range(1, 5)) AS k, embedding FROM embeddings), LATERAL (SELECT CAST(embedding[k] AS DOUBLE) AS v) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, k) = 1")
+@query("W11 H11", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS k, list_max(embedding)::DOUBLE AS v FROM embeddings")
 def best_per_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = F.transform(F.slice("embedding", 1, 4), lambda v, k: F.struct(v.cast("double").alias("v"), (-k).alias("k")))
+    entries = F.transform("embedding", lambda v, k: F.struct(v.cast("double").alias("v"), (-k).alias("k")))
     best = F.array_max(entries)
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", (-best["k"]).alias("k"), best["v"].alias("v"))
 
@@ -424,9 +455,13 @@ def snap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.snapped_alpha(fx.tiles(spark, sf_dir), r=1, window=2)
 
 
-@query("S6 H3", f"""WITH {TILES}, n AS (SELECT p.image_id, p.x, p.y, p.r, p.g, p.b, p.a, {', '.join(f'sum(q.{c}) FILTER (q.a > p.a + 8) AS s{c}, sum(q.{c}) FILTER (q.a > p.a) AS w{c}' for c in 'rgb')},
- count(*) FILTER (q.a > p.a + 8) AS ns, count(*) FILTER (q.a > p.a) AS nw FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 AND (q.x <> p.x OR q.y <> p.y) GROUP BY ALL)
-SELECT image_id, x, y, {', '.join(f'CASE WHEN a > 0 AND a < 250 AND ns > 0 THEN CAST(s{c} // ns AS INT) WHEN a > 0 AND a < 250 AND nw > 0 THEN CAST(w{c} // nw AS INT) ELSE {c} END AS {c}' for c in 'rgb')}, a FROM n""")
+def _fringe_sql(src: str, out: str) -> str:
+    return f"""{out}_n AS (SELECT p.image_id, p.x, p.y, p.r, p.g, p.b, p.a, {', '.join(f'sum(q.{c}) FILTER (q.a > p.a + 8) AS s{c}, sum(q.{c}) FILTER (q.a > p.a) AS w{c}' for c in 'rgb')},
+ count(*) FILTER (q.a > p.a + 8) AS ns, count(*) FILTER (q.a > p.a) AS nw FROM {src} p JOIN {src} q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 AND (q.x <> p.x OR q.y <> p.y) GROUP BY ALL),
+{out} AS (SELECT image_id, x, y, {', '.join(f'CASE WHEN a > 0 AND a < 250 AND ns > 0 THEN CAST(s{c} // ns AS INT) WHEN a > 0 AND a < 250 AND nw > 0 THEN CAST(w{c} // nw AS INT) ELSE {c} END AS {c}' for c in 'rgb')}, a FROM {out}_n)"""
+
+
+@query("S6 H3", f"WITH {TILES}, {_fringe_sql('px', 'f1')}, {_fringe_sql('f1', 'f2')} SELECT * FROM f2")
 def defringe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.defringed(fx.tiles(spark, sf_dir))
 
@@ -442,7 +477,19 @@ def border_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.border_ring(fx.sheet(spark, sf_dir).where("a >= 128").select(*AT))
 
 
-@query("S24", f"""WITH {TILES}, s AS (SELECT image_id, x, y FROM px WHERE a > 200), d AS (SELECT p.image_id, p.x, p.y, min(greatest(abs(p.x - s.x), abs(p.y - s.y)) + least(abs(p.x - s.x), abs(p.y - s.y)) * (sqrt(2e0) - 1)) AS d FROM px p JOIN s USING (image_id) GROUP BY ALL)
+_OUTLINE = f"""WITH {TILES}, e AS (SELECT image_id, greatest(1, CAST(floor(greatest(max(x) + 1, max(y) + 1) * 40 / 100e0 * 0.05e0 + 0.5e0) AS INT)) AS b, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY 1),
+g AS (SELECT image_id, b, u::INT - (b + CAST(ceil(b * 0.6e0) AS INT)) AS x, v::INT - (b + CAST(ceil(b * 0.6e0) AS INT)) AS y FROM e, range(20) s(u), range(20) t(v) WHERE u < w + 2 * (b + ceil(b * 0.6e0)) AND v < h + 2 * (b + ceil(b * 0.6e0))),
+s AS (SELECT image_id, x AS sx, y AS sy FROM px WHERE a >= 128), d AS (SELECT g.image_id, g.x, g.y, g.b, min(greatest(abs(g.x - sx), abs(g.y - sy)) + least(abs(g.x - sx), abs(g.y - sy)) * 0.4142136e0) AS d FROM g LEFT JOIN s ON s.image_id = g.image_id AND abs(g.x - sx) <= b AND abs(g.y - sy) <= b GROUP BY ALL),
+o AS (SELECT d.image_id, d.x, d.y, coalesce(d.d <= d.b, false) AS band, p.r, p.g, p.b, coalesce(p.a, 0) AS a FROM d LEFT JOIN px p USING (image_id, x, y))
+SELECT image_id, x, y, {', '.join(f"CASE WHEN band THEN CAST(floor(coalesce({c}, 0) * (a / 255e0) + {v} * (1 - a / 255e0) + 0.5e0) AS INT) ELSE coalesce({c}, 0) END AS {c}" for c, v in zip('rgb', (10, 200, 30)))}, CASE WHEN band OR a >= 128 THEN 255 ELSE 0 END AS a FROM o"""
+
+
+@query("S24", _OUTLINE)
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.outlined(fx.tiles(spark, sf_dir), 40, (10, 200, 30))
+
+
+@query("", f"""WITH {TILES}, s AS (SELECT image_id, x, y FROM px WHERE a > 200), d AS (SELECT p.image_id, p.x, p.y, min(greatest(abs(p.x - s.x), abs(p.y - s.y)) + least(abs(p.x - s.x), abs(p.y - s.y)) * (sqrt(2e0) - 1)) AS d FROM px p JOIN s USING (image_id) GROUP BY ALL)
 SELECT image_id, x, y, round(d, 6) AS d FROM d WHERE d <= 3""")
 def distance_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.distance_band(fx.tiles(spark, sf_dir), 3, 200)

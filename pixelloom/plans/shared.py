@@ -22,10 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, written and read again; executors that are lost later don't matter. The table goes when the JVM ends."""
+    """df, written and read again; executors that are lost later don't matter. The table goes by
+    discard(), or when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave, once nothing reads them any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

@@ -74,6 +74,30 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("cand_no"), x0.alias("x0"), y0.alias("y0"), (x0 + 4 + s % 16).alias("x1"), (y0 + 4 + 7 * s % 16).alias("y1"), F.col("p_retailprice").alias("score"))
 
 
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, cand_no, x, y, score): each embedding is a candidate mask of 8 x 8 pixels on the image of its label."""
+    found = tiles(spark, sf_dir).where("a >= 128").select(F.col("image_id").alias("cand_no"), "x", "y")
+    about = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cand_no"), F.col("label").cast("long").alias("image_id"), F.element_at("embedding", 1).cast("double").alias("score"))
+    return found.join(about, "cand_no").select("image_id", "cand_no", "x", "y", "score")
+
+
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, point, k, iou, x, y, logit): four candidates for each point (embedding) on the image of its label, 8 x 8 logits each."""
+    at = lambda i: F.element_at("embedding", i.cast("int")).cast("double")
+    cells = table(spark, sf_dir, "embeddings").select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    cells = cells.select("*", (F.lit(0.8) + at(F.col("k") + 1)).alias("iou"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    logit = at(F.pmod(F.col("i") + F.col("k") * 16, F.lit(64)) + 1)
+    return cells.select(F.col("label").cast("long").alias("image_id"), F.col("vec_id").alias("point"), "k", "iou", (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), logit.alias("logit"))
+
+
+def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, region_id, x, y): for each supplier a disc, every fourth one stretched, on 61 x 61 pixels."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id"), (6 + F.col("s_suppkey") % 20).alias("_r"), F.when(F.col("s_suppkey") % 4 == 0, 9).otherwise(16).alias("_k"))
+    grid = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("y"))
+    inside = (F.col("x") - 30) * (F.col("x") - 30) * F.col("_k") + (F.col("y") - 30) * (F.col("y") - 30) * 16 <= F.col("_r") * F.col("_r") * 16
+    return grid.where(inside).select("image_id", F.lit(1).alias("region_id"), "x", "y")
+
+
 def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, seq, op, event_id, ts): error is undo, signup is redo, all else an edit."""
     kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")

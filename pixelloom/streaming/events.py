@@ -65,6 +65,36 @@ def replayed(events: DataFrame) -> DataFrame:
     return events.groupBy("session").applyInPandasWithState(fold, "session long, standing int, redoable int, last_edit long", "stacks string", "update", "NoTimeout")
 
 
+def silent(events: DataFrame, key: str, limit_seconds: int, late: str = "1 minute") -> DataFrame:
+    """(key, seq, answered): as operators.contours.timed_out, as soon as the watermark is past the limit; a key that never says anything
+    again is told of too. Each key has its last event as state, which goes with the timeout."""
+    limit = limit_seconds * 1000
+
+    def watch(name: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        out = []
+        last = state.get if state.exists else None
+        if state.hasTimedOut:
+            out.append((name[0], last[1], False))
+            state.remove()
+        else:
+            for ts, seq in pd.concat(list(parts)).sort_values(["_ms", "seq"])[["_ms", "seq"]].itertuples(index=False):
+                if last is not None and ts - last[0] > limit:
+                    out.append((name[0], last[1], True))
+                last = (int(ts), int(seq))
+            due = last[0] + limit + 1
+            if due > state.getCurrentWatermarkMs():
+                state.update(last)
+                state.setTimeoutTimestamp(due)
+            else:
+                out.append((name[0], last[1], False))
+                state.remove()
+        yield pd.DataFrame(out, columns=[key, "seq", "answered"])
+
+    kind = events.schema[key].dataType.simpleString()
+    timed = events.withWatermark("ts", late).withColumn("_ms", F.unix_millis("ts"))
+    return timed.groupBy(key).applyInPandasWithState(watch, f"{key} {kind}, seq long, answered boolean", "at long, seq long", "append", "EventTimeTimeout")
+
+
 def run_to_table(stream: DataFrame, mode: str, key: str) -> DataFrame:
     """Runs over all files there are. complete: the last trigger's table; update: each key's last row; append: all rows."""
     spark = stream.sparkSession
