@@ -66,6 +66,10 @@ DECODED = """decoded AS (SELECT label::BIGINT AS image_id, vec_id AS point, k::I
   FROM embeddings, range(4) a(k), range(64) b(i))"""
 DISCS = """discs AS (SELECT s_suppkey::BIGINT AS image_id, 1 AS region_id, x::INT AS x, y::INT AS y FROM supplier, range(61) a(x), range(61) b(y)
   WHERE (x - 30) * (x - 30) * (CASE WHEN s_suppkey % 4 = 0 THEN 9 ELSE 16 END) + (y - 30) * (y - 30) * 16 <= (6 + s_suppkey % 20) * (6 + s_suppkey % 20) * 16)"""
+FRAMED = f"""{TILES.replace('px AS', 'tile AS')}, px AS (SELECT image_id, x, y, {', '.join(f'CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 THEN {c} ELSE 120 + {c} // 16 END::INT AS {c}' for c in 'rgb')},
+  CASE WHEN image_id % 10 = 0 AND x < 3 THEN 0 ELSE 255 END AS a FROM tile)"""
+_PATCH = lambda k: "CASE (y // 40) % 5 " + " ".join(f"WHEN {i} THEN {c[k]}" for i, c in enumerate(fx.PATCH_COLORS)) + " END"
+PATCHES = f"""{SHEET.replace('px AS', 'sheet AS')}, px AS (SELECT image_id, x, y, {', '.join(f'CASE WHEN x BETWEEN 8 AND 31 AND y % 40 BETWEEN 4 AND 19 THEN {_PATCH(k)} + {c} // 32 ELSE 240 + {c} // 32 END::INT AS {c}' for k, c in enumerate('rgb'))}, 255 AS a FROM sheet)"""
 LOG = "log AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS op, ts, value FROM events)"
 LUMA = "0.299e0 * r + 0.587e0 * g + 0.114e0 * b"
 

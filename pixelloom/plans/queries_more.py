@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import contours as ct
 from ..operators import sets as st
 from ..sources import fixtures as fx
-from .catalogue import LOG, SHEET, TILES, col, query
+from .catalogue import LOG, LUMA, SHEET, TILES, col, query, sql_half_up
+from .queries_regions import sums_sql
 
 AT = ["image_id", "x", "y"]
 
 
-@query("S7")
+@query("S7", f"""WITH {TILES}, m AS (SELECT *, CASE WHEN a >= 200 THEN 1e0 ELSE 0e0 END AS m FROM px), {sums_sql(['m'], 'm', 'g', 1)},
+i AS (SELECT image_id, x, y, CASE WHEN t_m / n > 0.05e0 THEN 1e0 ELSE 0e0 END AS p, ({LUMA}) / 255e0 AS i FROM g), j AS (SELECT *, i * i AS ii, i * p AS ip FROM i), {sums_sql(['i', 'p', 'ii', 'ip'], 'j', 'k', 2)},
+l AS (SELECT image_id, x, y, i, t_i / n AS mi, t_p / n AS mp, (t_ip / n - t_i / n * (t_p / n)) / (t_ii / n - t_i / n * (t_i / n) + 4e-4) AS ka FROM k), o AS (SELECT image_id, x, y, i, ka, mp - ka * mi AS kb FROM l), {sums_sql(['ka', 'kb'], 'o', 'q', 2)},
+t AS (SELECT image_id, x, y, least(1e0, greatest(0e0, round((t_ka / n * i + t_kb / n - {0.5 - 0.16!r}e0) / 0.32e0, 9))) AS t FROM q) SELECT image_id, x, y, {sql_half_up('t * t * (3 - 2 * t) * 255')} AS alpha FROM t""")
 def region_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.refined_edges(fx.tiles(spark, sf_dir), col("a") >= 200, r=2)
 
@@ -36,7 +40,8 @@ def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.median_filtered(fx.tiles(spark, sf_dir))
 
 
-@query("S32 H20")
+@query("S32 H20", f"""WITH {TILES}, l AS (SELECT *, {LUMA} AS l FROM px), {sums_sql(['l'], 'l', 'g', 1)}, f AS (SELECT *, CASE WHEN abs(l - t_l / n) < 8 THEN (1 - abs(l - t_l / n) / 8e0) * 0.35e0 ELSE 0e0 END AS f FROM g)
+SELECT f.image_id, f.x, f.y, {', '.join(f"{sql_half_up(f'round(f.{c} * (1 - f) + o.{c} * f, 6)')} AS {c}" for c in 'rgb')} FROM f JOIN px o ON o.image_id = f.image_id AND o.x = 7 - f.x AND o.y = f.y""")
 def texture_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = fx.tiles(spark, sf_dir)
     return ct.texture_restored(px, px.withColumn("x", 7 - col("x")))

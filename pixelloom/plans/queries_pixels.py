@@ -186,7 +186,15 @@ def hsl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select(*AT, *(F.round(f"_{k}", 6).alias(k) for k in h), *(v.alias(c) for v, c in zip(back, "rgb", strict=True)))
 
 
-@query("PF21 A13")
+_TH, _TS, _TL = (80 - 40) / (200 - 40) / 6, (200 / 255 - 40 / 255) / (200 / 255 + 40 / 255), (200 / 255 + 40 / 255) / 2
+_LIGHT = "(greatest(r / 255e0, g / 255e0, b / 255e0) + least(r / 255e0, g / 255e0, b / 255e0)) / 2"
+
+
+@query("PF21 A13", f"""WITH {TILES}, d AS (SELECT image_id, {bucket_sql(5)} AS key, count(*) AS cnt, min({{'y': y, 'x': x, 'r': r, 'g': g, 'b': b}}) AS first FROM px WHERE a >= 128 GROUP BY 1, 2),
+m AS (SELECT image_id, first.r AS r, first.g AS g, first.b AS b FROM d QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY cnt DESC, first) = 1), k AS (SELECT image_id, greatest(0.001e0, least(0.999e0, {_LIGHT})) AS bl FROM m),
+l AS (SELECT px.*, bl, {_LIGHT} AS l FROM px JOIN k USING (image_id)), n AS (SELECT *, least(1e0, greatest(0e0, CASE WHEN l <= bl THEN {_TL!r}e0 * l / bl ELSE {_TL!r}e0 + (1 - {_TL!r}e0) * (l - bl) / (1 - bl) END)) AS n FROM l),
+q AS (SELECT *, CASE WHEN n < 0.5e0 THEN n * (1 + {_TS!r}e0) ELSE n + {_TS!r}e0 - n * {_TS!r}e0 END AS q FROM n), p AS (SELECT *, 2 * n - q AS p FROM q)
+SELECT image_id, x, y, {sql_half_up('q * 255')} AS r, {sql_half_up(f'(p + (q - p) * 6 * {_TH!r}e0) * 255')} AS g, {sql_half_up('p * 255')} AS b, a FROM p""")
 def colorize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tile recoloured: hue and saturation of a target, lightness compressed around the tile's dominant colour."""
     px = fx.tiles(spark, sf_dir)

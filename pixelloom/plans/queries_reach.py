@@ -12,7 +12,7 @@ from ..operators import reach as rc
 from ..operators import sets as st
 from ..sources import fixtures as fx
 from ..streaming import events as ev
-from .catalogue import DECODED, LOG, MASKS, SHEET, TILES, bucket_sql, col, query, sql_byte, sql_half_up
+from .catalogue import DECODED, FRAMED, LOG, MASKS, PATCHES, SHEET, TILES, bucket_sql, col, query, sql_byte, sql_half_up
 from .queries_regions import IOU
 from .shared import stored
 
@@ -29,6 +29,13 @@ def walk_sql(src: str, diagonal: bool = False, label: str = "1") -> str:
 comps AS (SELECT image_id, x, y, min((sy, sx)) AS c FROM walk GROUP BY ALL)"""
 
 
+def step_walk_sql(src: str) -> str:
+    """As walk_sql for four neighbours and one label, with a join on the neighbour's place."""
+    return f"""walk AS (SELECT image_id, x, y, x AS sx, y AS sy FROM {src} UNION
+  SELECT q.image_id, q.x, q.y, r.sx, r.sy FROM walk r CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dx, dy) JOIN {src} q ON q.image_id = r.image_id AND q.x = r.x + dx AND q.y = r.y + dy WHERE (q.y, q.x) > (r.sy, r.sx)),
+comps AS (SELECT image_id, x, y, min((sy, sx)) AS c FROM walk GROUP BY ALL)"""
+
+
 def flood_sql(src: str, seed: str) -> str:
     return f"""flood AS (SELECT image_id, x, y FROM {src} WHERE {seed} UNION SELECT q.image_id, q.x, q.y FROM flood r JOIN {src} q ON q.image_id = r.image_id AND abs(q.x - r.x) + abs(q.y - r.y) = 1)"""
 
@@ -105,24 +112,54 @@ def wand_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.flood_same(fx.sheet(spark, sf_dir), (20, 20), 80.0)
 
 
-@query("S18")
+_THIN = "(0, 1, 6, 7)"
+
+
+@query("S18", f"""WITH RECURSIVE {SHEET}, l AS (SELECT image_id, x, y, a >= 128 AS opaque, CAST(r // 32 AS INT) AS old FROM px),
+s AS (SELECT 0 AS pass, image_id, x, y, CASE WHEN opaque AND old NOT IN {_THIN} THEN old END AS label, opaque AND old IN {_THIN} AS open, old FROM l UNION ALL
+ SELECT pass + 1, image_id, x, y, coalesce(label, CASE WHEN open THEN list_max(list_transform(range(1, len(n) + 1), lambda i: {{'n': len(list_filter(n[1:i], lambda v: v = n[i])), 'i': -i, 'v': n[i]}})).v END), open AND len(n) = 0, old FROM (
+  SELECT *, list_filter([lag(label) OVER w, lead(label) OVER w, lag(label) OVER h, lead(label) OVER h], lambda v: v IS NOT NULL) AS n FROM s WHERE pass < 40 WINDOW w AS (PARTITION BY image_id, y ORDER BY x), h AS (PARTITION BY image_id, x ORDER BY y)))
+SELECT image_id, x, y, coalesce(label, old) AS label FROM s WHERE pass = 40""")
 def thin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = fx.sheet(spark, sf_dir).select(*AT, F.floor(col("r") / 32).cast("int").alias("label"))
+    labels = fx.sheet(spark, sf_dir).select(*AT, "a", F.floor(col("r") / 32).cast("int").alias("label"))
     return rc.merged_thin(labels, [0, 1, 6, 7])
 
 
-@query("S15")
+_NEXT_TO_CLEAR = "(coalesce(lag(a) OVER w = 0, false) OR coalesce(lead(a) OVER w = 0, false) OR coalesce(lag(a) OVER h = 0, false) OR coalesce(lead(a) OVER h = 0, false))"
+_NB = "WINDOW w AS (PARTITION BY image_id, y ORDER BY x), h AS (PARTITION BY image_id, x ORDER BY y)"
+
+
+@query("S15", f"""WITH RECURSIVE {FRAMED}, z AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h, count(*) FILTER (a < 128)::DOUBLE / count(*) AS clear FROM px GROUP BY 1),
+border AS (SELECT p.image_id, r, g, b FROM px p JOIN z USING (image_id), range(4) t(side) WHERE (side = 0 AND x = 0) OR (side = 1 AND x = w - 1) OR (side = 2 AND y = 0) OR (side = 3 AND y = h - 1)),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, {', '.join(f'row_number() OVER (PARTITION BY image_id ORDER BY {c}) - 1 AS i{c}' for c in 'rgb')} FROM border),
+median AS (SELECT image_id, {', '.join(f'max(CASE WHEN i{c} = n // 2 THEN {c} END) AS m{c}' for c in 'rgb')} FROM ranked GROUP BY 1),
+far AS (SELECT image_id, sqrt(((r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb))::DOUBLE) AS d FROM border JOIN median USING (image_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM far),
+fit AS (SELECT image_id, least(34, greatest(10, {sql_half_up('max(d) FILTER (i = least(n - 1, CAST(floor(n * 0.95e0) AS BIGINT))) * 1.3e0')} + 4)) AS tol FROM placed JOIN z USING (image_id) GROUP BY image_id HAVING count(*) FILTER (d < 45)::DOUBLE / count(*) > 0.85e0 AND max(clear) < 0.05e0),
+dist AS (SELECT p.*, x = 0 OR y = 0 OR x = w - 1 OR y = h - 1 AS edge, tol, (r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb) AS d2 FROM px p JOIN z USING (image_id) JOIN median USING (image_id) JOIN fit USING (image_id)),
+src AS (SELECT * FROM dist WHERE a <> 0 AND d2 < tol * tol), {flood_sql('src', 'edge')},
+p0 AS (SELECT d.image_id, d.x, d.y, d.d2, CASE WHEN f.x IS NULL THEN d.a ELSE 0 END AS a FROM dist d LEFT JOIN flood f USING (image_id, x, y)),
+p1 AS (SELECT image_id, x, y, d2, CASE WHEN a > 0 AND d2 < 52 * 52 AND {_NEXT_TO_CLEAR} THEN 0 ELSE a END AS a FROM p0 {_NB}),
+p2 AS (SELECT image_id, x, y, CASE WHEN a > 0 AND d2 < 52 * 52 AND {_NEXT_TO_CLEAR} THEN 0 ELSE a END AS a FROM p1 {_NB})
+SELECT image_id, x, y, coalesce(p2.a, px.a) AS a FROM px LEFT JOIN p2 USING (image_id, x, y)""")
 def adaptive_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rc.uniform_background(fx.sheet(spark, sf_dir))
+    return rc.uniform_background(fx.framed(spark, sf_dir))
+
+
+_NEAR_KNOWN = lambda a, b, limit: " + ".join(f"({a}{c} - {b}{c}) * ({a}{c} - {b}{c})" for c in "rgb") + f" < {limit} * {limit}"
 
 
-@query("S17")
+@query("S17", f"""WITH RECURSIVE {PATCHES}, pal(r, g, b) AS (VALUES {', '.join(map(str, fx.PATCH_PALETTE))}), src AS MATERIALIZED (SELECT * FROM px WHERE a >= 128 AND NOT EXISTS (SELECT 1 FROM pal q WHERE {' + '.join(f'(px.{c} - q.{c}) * (px.{c} - q.{c})' for c in 'rgb')} <= 48 * 48)),
+{step_walk_sql('src')}, big AS (SELECT c.image_id, c.c, count(*) AS area, {', '.join(sql_half_up(f'avg({c})') + f' AS {c}' for c in 'rgb')} FROM comps c JOIN src USING (image_id, x, y) GROUP BY 1, 2 HAVING count(*) >= greatest(200, (SELECT {sql_half_up('count(*) * 0.0012e0')} FROM px WHERE a >= 128))),
+fresh AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c) AS k FROM big WHERE NOT EXISTS (SELECT 1 FROM pal q WHERE {_NEAR_KNOWN('big.', 'q.', 32)})),
+o AS MATERIALIZED (SELECT f.image_id, f.k, list(e.k) FILTER (e.k IS NOT NULL) AS better FROM fresh f LEFT JOIN fresh e ON e.image_id = f.image_id AND e.k < f.k AND {_NEAR_KNOWN('e.', 'f.', 32)} GROUP BY 1, 2),
+g AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::BIGINT[] AS chosen FROM fresh UNION ALL SELECT o.image_id, o.k, CASE WHEN coalesce(list_has_any(g.chosen, o.better), false) THEN g.chosen ELSE list_append(g.chosen, o.k) END FROM g JOIN o ON o.image_id = g.image_id AND o.k = g.k + 1)
+SELECT f.image_id, c[1] AS cy, c[2] AS cx, area, r, g, b FROM fresh f JOIN (SELECT image_id, arg_max(chosen, k) AS chosen FROM g GROUP BY 1) t USING (image_id) WHERE list_contains(chosen, f.k)""")
 def accent_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, cy, cx, area, r, g, b): large components far from every palette colour, with their mean colour."""
-    from ..operators.aggregates import palette
-
-    px = fx.sheet(spark, sf_dir)
-    return rc.accents(px, palette(px)).select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area", "r", "g", "b")
+    px = fx.patches(spark, sf_dir)
+    palette = spark.createDataFrame([(0, i, *c) for i, c in enumerate(fx.PATCH_PALETTE)], "image_id long, idx int, r int, g int, b int")
+    return rc.accents(px, palette).select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area", "r", "g", "b")
 
 
 # --- masks: suppression, and segment everything ----------------------------------------------------------------------------
@@ -216,7 +253,13 @@ def mask_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- edit logs and events ------------------------------------------------------------------------------------------------
 
 
-@query("ST6 ST8 D15")
+@query("ST6 ST8 D15", f"""WITH RECURSIVE {LOG}, n AS MATERIALIZED (SELECT session, seq, op, row_number() OVER (PARTITION BY session ORDER BY seq) AS k FROM log),
+f AS (SELECT DISTINCT session, 0::BIGINT AS k, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM log UNION ALL
+ SELECT n.session, n.k, CASE WHEN op = 'edit' THEN list_append(done, seq) WHEN op = 'undo' AND len(done) > 0 THEN list_slice(done, 1, len(done) - 1) WHEN op = 'redo' AND len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END,
+  CASE WHEN op = 'edit' THEN []::BIGINT[] WHEN op = 'undo' AND len(done) > 0 THEN list_append(undone, done[-1]) WHEN op = 'redo' AND len(undone) > 0 THEN list_slice(undone, 1, len(undone) - 1) ELSE undone END
+ FROM f JOIN n ON n.session = f.session AND n.k = f.k + 1),
+e AS (SELECT session, arg_max(done, k) AS done, arg_max(undone, k) AS undone FROM f GROUP BY 1)
+SELECT session, {', '.join(f"(SELECT count(*)::INT FROM log l WHERE l.session = e.session AND op = '{op}') AS {op}s" for op in ('edit', 'undo', 'redo'))}, len(done)::INT AS standing, len(undone)::INT AS redoable, done[-1] AS last_edit FROM e""")
 def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.replayed(fx.edit_log(spark, sf_dir))
 

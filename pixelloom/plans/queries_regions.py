@@ -434,13 +434,16 @@ def erode_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.eroded_alpha(fx.sheet(spark, sf_dir), 2).select(*AT, "a")
 
 
-def _guided_sql(r: int, eps: float) -> str:
-    def sums(names: list[str], src: str, out: str) -> str:
-        wx = f"(PARTITION BY image_id, y ORDER BY x RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
-        wy = f"(PARTITION BY image_id, x ORDER BY y RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
-        one = f"SELECT *, {', '.join(f'sum({v}) OVER {wx} AS s_{v}' for v in names)}, count(*) OVER {wx} AS nn FROM {src}"
-        return f"{out} AS (SELECT * EXCLUDE ({', '.join('s_' + v for v in names)}, nn), {', '.join(f'sum(s_{v}) OVER {wy} AS t_{v}' for v in names)}, sum(nn) OVER {wy} AS n FROM ({one}))"
+def sums_sql(names: list[str], src: str, out: str, r: int) -> str:
+    """out: src plus t_<name>, the sums over the box of radius r, and n, its pixels."""
+    wx = f"(PARTITION BY image_id, y ORDER BY x RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+    wy = f"(PARTITION BY image_id, x ORDER BY y RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+    one = f"SELECT *, {', '.join(f'sum({v}) OVER {wx} AS s_{v}' for v in names)}, count(*) OVER {wx} AS nn FROM {src}"
+    return f"{out} AS (SELECT * EXCLUDE ({', '.join('s_' + v for v in names)}, nn), {', '.join(f'sum(s_{v}) OVER {wy} AS t_{v}' for v in names)}, sum(nn) OVER {wy} AS n FROM ({one}))"
+
 
+def _guided_sql(r: int, eps: float) -> str:
+    sums = lambda names, src, out: sums_sql(names, src, out, r)
     return f"""l0 AS (SELECT *, {LUMA} AS l FROM px), l1 AS (SELECT *, l * l AS ll, l * a AS la, a::DOUBLE AS ad FROM l0), {sums(['l', 'll', 'la', 'ad'], 'l1', 'l2')},
 l3 AS (SELECT image_id, x, y, l, n, t_l / n AS ml, t_ll / n AS mll, t_la / n AS mla, t_ad / n AS ma FROM l2), l4 AS (SELECT *, (mla - ml * ma) / (mll - ml * ml + {eps!r}e0) AS ka FROM l3), l5 AS (SELECT image_id, x, y, l, ka, ma - ka * ml AS kb FROM l4), {sums(['ka', 'kb'], 'l5', 'l6')}"""
 
@@ -450,7 +453,10 @@ def guided_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.guided_alpha(fx.tiles(spark, sf_dir), 2)
 
 
-@query("S5")
+@query("S5", f"""WITH {TILES}, b0 AS (SELECT image_id, x, y, CASE WHEN a >= 160 THEN 1 ELSE 0 END AS v FROM px), {_extreme('min', 'v', 'x', 1, 'b0', 'b1')}, {_extreme('min', 'v', 'y', 1, 'b1', 'b2')}, {_extreme('max', 'v', 'x', 1, 'b2', 'b3')}, {_extreme('max', 'v', 'y', 1, 'b3', 'b4')},
+m AS (SELECT p.image_id, p.x, p.y, p.a, b4.v AS body, CASE WHEN p.a <= 95 THEN 1 ELSE 0 END AS void FROM px p JOIN b4 USING (image_id, x, y)), {sums_sql(['body', 'void'], 'm', 'g', 2)},
+k AS (SELECT image_id, x, y, a / 255e0 AS t, least(1e0, (t_body::DOUBLE / n) * (t_void::DOUBLE / n) / 0.25e0) AS k FROM g)
+SELECT image_id, x, y, round(t + (least(1e0, greatest(0e0, (t - 0.5e0) * 10e0 + 0.5e0)) - t) * k * k, 6) AS alpha FROM k""")
 def snap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.snapped_alpha(fx.tiles(spark, sf_dir), r=1, window=2)
 
@@ -517,7 +523,8 @@ def palette_agglomerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.agglomerated(ag.palette(fx.tiles(spark, sf_dir), share=0.0), 48, 6)
 
 
-@query("J14")
+@query("J14", f"""WITH {TILES}, s AS (SELECT image_id, x AS sx, y AS sy FROM px WHERE a > 200), m AS (SELECT p.image_id, p.x, p.y, min({{'d': abs(p.x - sx) + abs(p.y - sy), 'ny': sy, 'nx': sx}}) AS m FROM px p JOIN s USING (image_id) GROUP BY ALL)
+SELECT image_id, x, y, m.d AS d, m.nx AS nx, m.ny AS ny FROM m""")
 def feature_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.nearest_marked(fx.tiles(spark, sf_dir), 200)
 
@@ -527,7 +534,10 @@ def image_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_plan(fx.tiles(spark, sf_dir), Options(background=(255, 255, 255)))
 
 
-@query("M5 F15 A18 stage")
+@query("F15 stage", """WITH s AS (SELECT DISTINCT p_size, p_size * 20 AS w, p_size * 13 AS h FROM part), o AS (SELECT *, CAST(floor(512 / 1500e0 * least(w, h)) AS INT) AS o FROM s),
+c AS (SELECT *, CAST(ceil((o + w) / 2e0) AS INT) AS cw, CAST(ceil((o + h) / 2e0) AS INT) AS ch FROM o),
+b AS (SELECT p_size, 0 AS layer, 0 AS x0, 0 AS y0, w AS x1, h AS y1 FROM s UNION ALL SELECT p_size, 1, (cw - o) * i, (ch - o) * j, least(w, (cw - o) * i + cw), least(h, (ch - o) * j + ch) FROM c, range(2) t(i), range(2) u(j))
+SELECT p_size, layer, CAST(floor(x0 + (i + 0.5e0) / 8 * (x1 - x0) + 0.5e0) AS INT) AS x, CAST(floor(y0 + (j + 0.5e0) / 8 * (y1 - y0) + 0.5e0) AS INT) AS y FROM b, range(8) t(i), range(8) u(j)""")
 def everything_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each crop of an 8 x 8 grid, for the fan-out of decodes: (part, layer, x, y)."""
     sizes = fx.table(spark, sf_dir, "part").select("p_size").distinct()

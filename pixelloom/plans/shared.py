@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,21 @@ def discard(*tables: DataFrame) -> None:
         sc = table.sparkSession.sparkContext
         where = sc._jvm.org.apache.hadoop.fs.Path(table._stored_at)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs of this thread within the block can be cancelled by cancel(), from any thread."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stops the jobs with a tag, and streaming queries of that name; what they have written so far stays out of any table."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+    for q in spark.streams.active:
+        if q.name == tag:
+            q.stop()

@@ -74,6 +74,28 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("cand_no"), x0.alias("x0"), y0.alias("y0"), (x0 + 4 + s % 16).alias("x1"), (y0 + 4 + 7 * s % 16).alias("y1"), F.col("p_retailprice").alias("score"))
 
 
+def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles with a background of almost one colour around their inner 4 x 4 pixels; every tenth one is clear on one side."""
+    inner = F.col("x").between(2, 5) & F.col("y").between(2, 5)
+    plain = lambda c: F.when(inner, F.col(c)).otherwise(F.lit(120) + F.floor(F.col(c) / 16).cast("int")).alias(c)
+    clear = (F.col("image_id") % 10 == 0) & (F.col("x") < 3)
+    return tiles(spark, sf_dir).select("image_id", "x", "y", plain("r"), plain("g"), plain("b"), F.when(clear, 0).otherwise(255).alias("a"))
+
+
+#: Colours of the patches in turn (the second and third are alike, the fifth is near the palette), and the palette.
+PATCH_COLORS = ((200, 10, 20), (10, 20, 220), (14, 28, 200), (10, 180, 40), (180, 180, 243))
+PATCH_PALETTE = ((243, 243, 243), (130, 185, 250))
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet as a light ground with a patch of 24 x 16 pixels every 40 rows."""
+    inside = F.col("x").between(8, 31) & (F.col("y") % 40).between(4, 19)
+    colors = F.array(*(F.array(*map(F.lit, c)) for c in PATCH_COLORS))
+    patch = F.element_at(colors, F.floor(F.col("y") / 40).cast("int") % 5 + 1)
+    part = lambda k, c: F.when(inside, F.element_at(patch, k + 1)).otherwise(240) + F.floor(F.col(c) / 32).cast("int")
+    return sheet(spark, sf_dir).select("image_id", "x", "y", *(part(k, c).alias(c) for k, c in enumerate("rgb")), F.lit(255).alias("a"))
+
+
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, cand_no, x, y, score): each embedding is a candidate mask of 8 x 8 pixels on the image of its label."""
     found = tiles(spark, sf_dir).where("a >= 128").select(F.col("image_id").alias("cand_no"), "x", "y")

@@ -7,9 +7,11 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def _png_info(data: bytes) -> tuple:
-    head = dict(list(_chunks(data[:65536])))
+    head = dict(takewhile(lambda c: c[0] != b"IDAT", _chunks(data)))
     width, height, _, kind = struct.unpack_from(">IIBB", head[b"IHDR"])
     dpi = None
     if b"pHYs" in head and head[b"pHYs"][8] == 1:
@@ -165,6 +167,29 @@ def embedding_headers(found: DataFrame, magic: bytes = MAGIC) -> DataFrame:
     return found.select("path", F.when(F.substring("content", 1, len(magic)) == F.lit(magic), header).alias("header"))
 
 
+def embedding_headers_of(spark: SparkSession, path: str, magic: bytes = MAGIC, first: int = 1024) -> DataFrame:
+    """(path, header) of the embedding files at a path. Spark lists the files without their content; each task then reads the first
+    bytes of its files, and more only where a header is longer. For stores that pyarrow reads too."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name in b["path"]:
+                store, at = fs.FileSystem.from_uri(name)
+                with store.open_input_file(at) as f:
+                    data, start = f.read(first), len(magic) + 4
+                    header = None
+                    if data[: len(magic)] == magic and len(data) >= start:
+                        n = struct.unpack_from("<I", data, len(magic))[0]
+                        data += f.read(max(0, start + n - len(data)))
+                        header = data[start : start + n].decode()
+                rows.append((name, header))
+            yield pd.DataFrame(rows, columns=["path", "header"])
+
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.mapInPandas(read, "path string, header string")
+
+
 def embeddings(found: DataFrame, magic: bytes = MAGIC) -> DataFrame:
     """(path, tensor, dims, data): the tensors of embedding files."""
 

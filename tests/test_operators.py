@@ -2,12 +2,18 @@
 
 import json
 import random
+import struct
+import time
+import zlib
 
 import numpy as np
+from pyspark import InheritableThread
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pixelloom.functions import numeric as nm
-from pixelloom.operators import editlog, graph, palettes, reach, sets, windows
+from pixelloom.operators import contours, editlog, everything, graph, joins, palettes, reach, sets, windows
+from pixelloom.plans import shared
 from pixelloom.plans.image_plan import Options, run_plan
 from pixelloom.sources import formats
 from pixelloom.streaming import events as ev
@@ -147,6 +153,14 @@ def test_images(spark, tmp_path):
     a = info["a.png"]
     assert (a.format, a.width, a.height, a.channels, a.has_alpha, round(a.dpi), a.size_bytes) == ("png", 5, 7, 4, True, 300, len(data))
     assert info["b.bin"].format is None
+    # chunks behind a long profile count too
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    cut = data.index(b"pHYs") - 4
+    plain = data[:25] + b"\x02" + data[26:cut]
+    (tmp_path / "c.png").write_bytes(plain + chunk(b"iCCP", bytes(200_000)) + chunk(b"pHYs", struct.pack(">IIB", 3937, 3937, 1)) + chunk(b"tRNS", bytes(6)) + data[data.index(b"IDAT") - 4 :])
+    c = formats.image_info(formats.files(spark, str(tmp_path / "c.png"))).first()
+    assert (c.channels, c.has_alpha, round(c.dpi)) == (3, True, 100)
+    (tmp_path / "c.png").unlink()
     rows = formats.decoded(formats.files(spark, str(tmp_path / "a.png"))).withColumn("image_id", F.lit(9).cast("long"))
     assert rows.count() == 35
     again = formats.encoded(rows).first()
@@ -159,6 +173,10 @@ def test_embedding_files(spark, tmp_path):
     found = formats.files(spark, str(tmp_path))
     header = json.loads(formats.embedding_headers(found).first().header)
     assert header == {"model": "m", "dims": [2, 3], "posDims": [4]}
+    (tmp_path / "long.emb").write_bytes(formats.embedding_file({"model": "m" * 5000}, a, b))
+    (tmp_path / "none.emb").write_bytes(b"SAM")
+    heads = {r.path.rsplit("/", 1)[1]: r.header and len(json.loads(r.header)["model"]) for r in formats.embedding_headers_of(spark, str(tmp_path)).collect()}
+    assert heads == {"e.emb": 1, "long.emb": 5000, "none.emb": None}
     tensors = {r.tensor: (list(r.dims), list(r.data)) for r in formats.embeddings(found).collect()}
     assert tensors == {0: ([2, 3], a.ravel().tolist()), 1: ([4], b.tolist())}
 
@@ -184,6 +202,81 @@ def test_thin_merge(spark):
     assert found[(1, 1)] == 1 and found[(2, 1)] == 2
 
 
+def test_thin_merge_ties(spark):
+    """Left A, right B, up B, down A: B is the first to reach two. Clear pixels neither change nor count."""
+    cross = lambda left, right, up, down: {(0, 1): left, (2, 1): right, (1, 0): up, (1, 2): down, (1, 1): 9}
+    rows = [(i, x, y, v, 255) for i, votes in enumerate((("A", "B", "B", "A"), ("A", "B", "A", "B"), ("B", "A", "C", "D"))) for (x, y), v in cross(*({"A": 1, "B": 2, "C": 3, "D": 4}[v] for v in votes)).items()]
+    rows += [(3, *p, v, 0 if p == (0, 1) else 255) for p, v in cross(1, 2, 3, 4).items()] + [(4, *p, v, 0 if p == (1, 1) else 255) for p, v in cross(1, 2, 3, 4).items()]
+    rows += [(5, x, 0, 9 if x % 3 else 1, 255) for x in range(7)] + [(6, 0, 0, 9, 255), (6, 1, 0, None, 255)]
+    df = spark.createDataFrame(rows, "image_id long, x int, y int, label int, a int")
+    found = {(r.image_id, r.x, r.y): r.label for r in reach.merged_thin(df, [9]).collect()}
+    assert [found[i, 1, 1] for i in range(5)] == [2, 1, 2, 2, 9]
+    assert [found[5, x, 0] for x in range(7)] == [1] * 7 and found[6, 0, 0] == 9 and found[6, 1, 0] is None
+
+
+def test_silent_jobs(spark, tmp_path):
+    rows = [("a", 1, 0), ("a", 2, 50), ("a", 3, 500), ("b", 4, 10), ("c", 5, 900), ("c", 6, 1000)]
+    df = spark.createDataFrame([(k, seq, f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}") for k, seq, t in rows], "job string, seq long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    wanted = {("a", 2, True), ("a", 3, False), ("b", 4, False), ("c", 5, True)}
+    assert {tuple(r) for r in contours.timed_out(df, "job", 90).collect()} == wanted
+    for i in range(2):  # the newest events come in a file of their own, so that the watermark has passed the limit of the others
+        df.where("seq >= 5" if i else "seq < 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    found = ev.run_to_table(ev.silent(stream, "job", 90, "1 second"), "append", "job")
+    assert {tuple(r) for r in found.select("job", "seq", "answered").collect()} == wanted
+
+
+def test_cancel(spark):
+    failed = []
+
+    def work():
+        with shared.cancellable(spark, "slow"):
+            try:
+                spark.range(0, 1 << 40, 1, 4).selectExpr("sum(id * id % 7)").collect()
+            except Exception as e:
+                failed.append(e)
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    for _ in range(100):
+        time.sleep(0.2)
+        shared.cancel(spark, "slow")
+        if not thread.is_alive():
+            break
+    thread.join(10)
+    assert failed and not thread.is_alive() and spark.range(5).count() == 5
+
+
+def test_mask_suppression(spark):
+    rng = random.Random(3)
+    masks = {(i % 3, i): {(rng.randrange(20), rng.randrange(17)) for _ in range(rng.randint(5, 250))} for i in range(40)}
+    for i in range(40, 60):  # close copies of others, of which the better one stays
+        image, of = i % 3, i - 39 - (i - 39 - i) % 3
+        base = masks[image, next(c for m, c in masks if m == image and c >= of % 30)]
+        masks[image, i] = set(rng.sample(sorted(base), max(1, len(base) * 4 // 5)))
+    scores = {k: rng.randrange(5) for k in masks}
+    overlap = lambda a, b: len(a & b) / len(a | b)
+    kept = []
+    for key in sorted(masks, key=lambda k: (-scores[k], k[1])):
+        if not any(k[0] == key[0] and overlap(masks[k], masks[key]) > 0.5 for k in kept):
+            kept.append(key)
+    px = spark.createDataFrame([(*k, x, y) for k, m in masks.items() for x, y in m], "image_id long, cand_no long, x int, y int")
+    found = everything.suppressed(px, spark.createDataFrame([(*k, s) for k, s in scores.items()], "image_id long, cand_no long, score int"), 0.5)
+    rows = {(r.image_id, r.cand_no): r.kept for r in found.collect()}
+    assert rows == {k: k in kept for k in masks} and not all(rows.values())
+    pairs = {(r.image_id, r.a, r.b): (r.common, r.joint) for r in joins.iou_pairs(px, 0.2).collect()}
+    assert pairs == {(i, a, b): (len(masks[i, a] & masks[i, b]), len(masks[i, a] | masks[i, b])) for i, a in masks for j, b in masks if i == j and a < b and overlap(masks[i, a], masks[i, b]) > 0.2}
+
+
+def test_smallest_box(spark):
+    rng = random.Random(9)
+    boxes = [(i, x, y, x + rng.randint(0, 150), y + rng.randint(0, 90)) for i in range(60) for x, y in [(rng.randint(-80, 200), rng.randint(-80, 200))]]
+    points = [(rng.randint(-100, 300), rng.randint(-100, 300)) for _ in range(200)]
+    inside = lambda p: [((x1 - x0) * (y1 - y0), i) for i, x0, y0, x1, y1 in boxes if x0 <= p[0] < x1 and y0 <= p[1] < y1]
+    found = joins.smallest_box(spark.createDataFrame(points, "px int, py int"), spark.createDataFrame(boxes, "box_id int, x0 int, y0 int, x1 int, y1 int")).collect()
+    assert sorted(map(str, found)) == sorted(map(str, ([Row(px=p[0], py=p[1], box_id=min(inside(p))[1] if inside(p) else None) for p in points])))
+
+
 def test_plan(spark):
     px = raster(spark, ["....", ".##.", ".##.", "...."])
     out = run_plan(px, Options(matte="crisp"))
