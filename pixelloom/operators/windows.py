@@ -3,6 +3,9 @@ as many tasks as it has rows or columns. tiles_with_halo() cuts larger images in
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,6 +234,58 @@ def bilinear(px: DataFrame, value: str, factor: int) -> DataFrame:
     return sized.select(IMAGE, "x", "y", F.round("v", 6).alias("v"))
 
 
+def _convolved(px: DataFrame, value: str, weights: dict[int, float], axis: str) -> Column:
+    """Weighted sum of the neighbours at the given offsets along an axis; beyond the border the edge pixel is repeated."""
+    o = along(axis)
+    every = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = lambda k: col(value) if k == 0 else F.coalesce(F.lag(value, -k).over(o), F.first(value).over(every)) if k < 0 else F.coalesce(F.lead(value, k).over(o), F.last(value).over(every))
+    total = F.lit(0.0)
+    for k, w in sorted(weights.items()):
+        total = total + at(k) * F.lit(w)
+    return total
+
+
+def gaussian_weights(sigma: float) -> dict[int, float]:
+    """Weights of the offsets up to three sigmas, with sum 1."""
+    r = math.ceil(3 * sigma)
+    raw = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)}
+    return {k: w / sum(raw.values()) for k, w in raw.items()}
+
+
+def lanczos_weights(factor: int, phase: int, lobes: int = 3) -> dict[int, float]:
+    """Weights of the offsets from a pixel for one of the `factor` finer pixels that it becomes, with sum 1."""
+    t = (phase + 0.5) / factor - 0.5
+    sinc = lambda v: 1.0 if v == 0 else math.sin(math.pi * v) / (math.pi * v)
+    raw = {k: sinc(k - t) * sinc((k - t) / lobes) for k in range(-lobes, lobes + 1) if abs(k - t) < lobes}
+    return {k: w / sum(raw.values()) for k, w in raw.items()}
+
+
+def blurred_mask(px: DataFrame, value: str, sigma: float, at: int = 128) -> DataFrame:
+    """(image_id, x, y, v): 255 where the value, blurred (sigma above 0), reaches `at`, else 0."""
+    v = px.select(IMAGE, "x", "y", col(value).cast("double").alias("v"))
+    for axis in "xy" if sigma > 0 else "":
+        v = v.withColumn("v", _convolved(v, "v", gaussian_weights(sigma), axis))
+    return v.select(IMAGE, "x", "y", F.when(F.round("v", 6) >= at, 255).otherwise(0).alias("v"))
+
+
+def lanczos(px: DataFrame, value: str, factor: int) -> DataFrame:
+    """(image_id, x, y, v): a byte value on a grid `factor` times finer."""
+    v = px.select(IMAGE, "x", "y", col(value).cast("double").alias("v"))
+    for axis in "xy":
+        parts = v.withColumns({f"_{k}": _convolved(v, "v", lanczos_weights(factor, k), axis) for k in range(factor)})
+        fine = F.inline(F.array(*(F.struct((col(axis) * factor + k).alias("p"), col(f"_{k}").alias("v")) for k in range(factor))))
+        v = parts.select(IMAGE, *(c for c in "xy" if c != axis), fine).withColumnRenamed("p", axis)
+    return v.select(IMAGE, "x", "y", store_byte(F.round("v", 6)).alias("v"))
+
+
+def tiled(px: DataFrame, stencil: Callable[[DataFrame], DataFrame], tile: int = 256, halo: int = 16) -> DataFrame:
+    """stencil(px), tile by tile: each tile with its halo is an image of its own, so one large image spreads over tasks also where a
+    stencil takes an image whole; of the results each tile's own pixels are put back. The stencil must keep the column core and
+    look no further than the halo."""
+    dealt = tiles_with_halo(px, tile, halo).withColumn(IMAGE, F.struct(col(IMAGE).alias("image"), "tile_x", "tile_y")).drop("tile_x", "tile_y")
+    return stencil(dealt).where("core").withColumn(IMAGE, col(f"{IMAGE}.image")).drop("core")
+
+
 def tiles_with_halo(px: DataFrame, tile: int = 256, halo: int = 16) -> DataFrame:
     """px repeated for each tile that needs it: tile_x, tile_y, and core (whether the pixel is the tile's own)."""
     span = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((col(c) - halo) / tile)).cast("int"), F.floor((col(c) + halo) / tile).cast("int"))

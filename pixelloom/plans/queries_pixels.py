@@ -393,3 +393,53 @@ def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = tx.version_numbers(F.concat(F.lit("v"), F.concat_ws(".", (s % 3).cast("string"), (s % 7).cast("string"), (k % 11).cast("string"))))
     b = tx.version_numbers(F.concat_ws(".", (s % 2).cast("string"), (s % 5).cast("string"), F.lit("4")))
     return fx.table(spark, sf_dir, "part").select("p_partkey", F.when(a > b, 1).when(a < b, -1).otherwise(0).alias("newer"))
+
+
+@query("F19", """SELECT vec_id, list_slice(list_sort(embedding), 1, 3)[2]::DOUBLE AS second, len(list_filter(embedding, lambda v: v > 0)) AS positive, len(list_distinct(list_transform(embedding, lambda v: CAST(floor(v::DOUBLE * 20) AS INT)))) AS steps,
+ len(list_filter(embedding, lambda v: v > 0.3e0)) > 0 AS some_high, len(list_filter(embedding, lambda v: v < -0.4e0)) = 0 AS none_low, list_sum(list_transform(embedding, lambda v: CAST(floor(v::DOUBLE * 1000) AS BIGINT)))::BIGINT AS total FROM embeddings""")
+def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = col("embedding")
+    thousandths = F.transform(e, lambda v: F.floor(v.cast("double") * 1000).cast("long"))
+    return fx.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.slice(F.array_sort(e), 1, 3)[1].cast("double").alias("second"), F.size(F.filter(e, lambda v: v > 0)).alias("positive"),
+        F.size(F.array_distinct(F.transform(e, lambda v: F.floor(v.cast("double") * 20).cast("int")))).alias("steps"), F.exists(e, lambda v: v.cast("double") > 0.3).alias("some_high"), F.forall(e, lambda v: v.cast("double") >= -0.4).alias("none_low"),
+        F.aggregate(thousandths, F.lit(0).cast("long"), lambda s, v: s + v).alias("total"),
+    )
+
+
+@query("F20", """SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY first) AS counts FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY user_id""")
+def count_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each kind came, in the order of first sight."""
+    counts = fx.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    entries = F.array_sort(F.collect_list(F.struct("first", F.concat_ws(":", "event_type", "n").alias("e"))))
+    return counts.groupBy("user_id").agg(F.array_join(F.transform(entries, lambda x: x["e"]), ",").alias("counts"))
+
+
+#: Colour spaces by turns, and the file types that are taken.
+_SPACES = ("srgb", "b-w", "cmyk", "lab")
+_TYPES, _ACCEPTED = ("image/png", "image/jpeg", "image/webp", "image/gif", "text/plain"), ("image/png", "image/jpeg", "image/webp")
+
+
+@query("PF16", f"""WITH s AS (SELECT p_partkey, {list(_SPACES)}[CAST(p_size % 4 AS INT) + 1] AS source FROM part) SELECT p_partkey, source, CASE WHEN source = 'cmyk' THEN 'srgb' ELSE source END AS target, source = 'cmyk' AS converted FROM s""")
+def color_space_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only images in CMYK are converted; the conversion itself is a codec's."""
+    source = F.element_at(F.array(*map(F.lit, _SPACES)), (col("p_size") % 4).cast("int") + 1)
+    cmyk = col("source") == "cmyk"
+    return fx.table(spark, sf_dir, "part").select("p_partkey", source.alias("source")).select("*", F.when(cmyk, "srgb").otherwise(col("source")).alias("target"), cmyk.alias("converted"))
+
+
+#: Steps in their order, and the option that shows them (none: always).
+_STEPS = (("analyze", None), ("upscale-input", "upscale"), ("remove-bg", None), ("clean-halo", "halo"), ("auto-crop", "crop"), ("bg-fill", "fill"), ("export", None))
+_OPTIONS = (("upscale", 2), ("halo", 3), ("crop", 5), ("fill", 7))
+
+
+@query("PF33", f"""WITH p AS (SELECT p_partkey, list_filter([{', '.join(f"CASE WHEN p_partkey % {n} = 0 THEN '{o}' END" for o, n in _OPTIONS)}], lambda v: v IS NOT NULL) AS options FROM part WHERE list_contains({list(_ACCEPTED)}, {list(_TYPES)}[CAST(p_partkey % 5 AS INT) + 1])),
+s(pos, step, needs) AS (VALUES {', '.join(f"({i}, '{s}', {repr(o) if o else 'NULL'})" for i, (s, o) in enumerate(_STEPS))}) SELECT p_partkey, pos, step FROM p JOIN s ON needs IS NULL OR list_contains(options, needs)""")
+def visible_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that the options of each accepted file show."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (col("p_partkey") % 5).cast("int") + 1)
+    options = F.array_compact(F.array(*(F.when(col("p_partkey") % n == 0, o) for o, n in _OPTIONS)))
+    steps = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(s).alias("step"), F.lit(o).cast("string").alias("needs")) for i, (s, o) in enumerate(_STEPS)))
+    files = fx.table(spark, sf_dir, "part").where(kind.isin(*_ACCEPTED)).select("p_partkey", options.alias("options"))
+    shown = F.filter(steps, lambda s: s["needs"].isNull() | F.array_contains("options", s["needs"]))
+    return files.select("p_partkey", F.inline(shown)).drop("needs")

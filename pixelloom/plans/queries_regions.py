@@ -515,6 +515,35 @@ def tile_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("pixels"), F.count_if("core").alias("core"))
 
 
+def _taps_sql(weights: dict[int, float], axis: str, value: str) -> str:
+    other = "y" if axis == "x" else "x"
+    o, every = f"(PARTITION BY image_id, {other} ORDER BY {axis})", f"(PARTITION BY image_id, {other})"
+    at = lambda k: value if k == 0 else f"coalesce(lag({value}, {-k}) OVER {o}, arg_min({value}, {axis}) OVER {every})" if k < 0 else f"coalesce(lead({value}, {k}) OVER {o}, arg_max({value}, {axis}) OVER {every})"
+    return " + ".join(f"{at(k)} * {w!r}::DOUBLE" for k, w in sorted(weights.items()))
+
+
+@query("S29", f"""WITH {TILES}, v AS (SELECT image_id, x, y, a::DOUBLE AS v FROM px), h AS (SELECT image_id, x, y, {_taps_sql(wn.gaussian_weights(1.0), 'x', 'v')} AS v FROM v), t AS (SELECT image_id, x, y, {_taps_sql(wn.gaussian_weights(1.0), 'y', 'v')} AS v FROM h)
+SELECT image_id, x, y, CASE WHEN round(v, 6) >= 128 THEN 255 ELSE 0 END AS v FROM t""")
+def blur_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.blurred_mask(fx.tiles(spark, sf_dir), "a", 1.0)
+
+
+def _lanczos_sql(axis: str, src: str, out: str) -> str:
+    other = "y" if axis == "x" else "x"
+    taps = ", ".join(f"{_taps_sql(wn.lanczos_weights(2, k), axis, 'v')} AS v{k}" for k in range(2))
+    return f"{out} AS (SELECT image_id, {other}, 2 * {axis} + k AS {axis}, CASE WHEN k = 0 THEN v0 ELSE v1 END AS v FROM (SELECT *, {taps} FROM {src}), (VALUES (0), (1)) t(k))"
+
+
+@query("S29", f"WITH {TILES}, v AS (SELECT image_id, x, y, a::DOUBLE AS v FROM px), {_lanczos_sql('x', 'v', 'h')}, {_lanczos_sql('y', 'h', 't')} SELECT image_id, x, y, {sql_even('round(v, 6)')} AS v FROM t")
+def lanczos_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.lanczos(fx.tiles(spark, sf_dir), "a", 2)
+
+
+@query("S31", f"WITH {SHEET}, src AS (SELECT * FROM px), {_box('a', 3)} SELECT image_id, x, y, (s / n)::DOUBLE AS mean FROM (SELECT image_id, x, y, s::DOUBLE AS s, n::DOUBLE AS n FROM by_)")
+def tiled_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.tiled(fx.sheet(spark, sf_dir), lambda px: wn.box_mean(px, "a", 3, "mean"), 32, 4).select(*AT, "mean")
+
+
 # --- grouped Python and plans --------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from pixelloom.functions import numeric as nm
 from pixelloom.operators import contours, editlog, everything, graph, joins, palettes, reach, sets, windows
 from pixelloom.plans import shared
 from pixelloom.plans.image_plan import Options, run_plan
-from pixelloom.sources import formats
+from pixelloom.sources import formats, sinks
 from pixelloom.streaming import events as ev
 
 PX = "image_id long, x int, y int, r int, g int, b int, a int"
@@ -181,6 +181,22 @@ def test_embedding_files(spark, tmp_path):
     assert tensors == {0: ([2, 3], a.ravel().tolist()), 1: ([4], b.tolist())}
 
 
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, kind string")
+    sinks.write_output(df, str(tmp_path / "deep" / "er"), by=("kind",))
+    assert {(r.id, r.kind) for r in spark.read.parquet(str(tmp_path / "deep" / "er")).collect()} == {(1, "a"), (2, "b")}
+    drawings = {"one": '<svg width="3">\n<path/>\n</svg>', "two": "<svg/>"}
+    sinks.write_texts(spark.createDataFrame(list(drawings.items()), "name string, text string"), str(tmp_path / "svg"))
+    found = {r.path.split("name=")[1].split("/")[0]: r.text for r in sinks.texts(spark, str(tmp_path / "svg" / "*")).collect()}
+    assert found == {k: v + "\n" for k, v in drawings.items()}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "log.txt").write_text('{"type":"progress","stage":"a"}\n{"type":"error","code":"E"}\n{"type":"result","stage":"b"}\nnoise')
+    events = ev.line_stream(spark, str(tmp_path / "in")).select("type", "stage", "code")
+    sinks.event_sink(events, str(tmp_path / "log"), str(tmp_path / "state"), once=True).awaitTermination()
+    read = lambda name: sorted(r.value for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "log" / name)).collect())
+    assert read("err") == ['{"type":"error","code":"E"}'] and read("out") == ['{"type":"progress","stage":"a"}', '{"type":"result","stage":"b"}']
+
+
 def test_palette_merge(spark):
     rows = [(0, i, *c) for i, c in enumerate([(0, 0, 0, 10), (2, 2, 2, 5), (255, 0, 0, 8), (250, 0, 0, 2), (0, 255, 0, 1)])]
     df = spark.createDataFrame(rows, "image_id long, idx int, r int, g int, b int, cnt long")
