@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,25 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
+    if _scopes:
+        _scopes[-1].append(table)
+    return table
+
+
+#: Tables stored within each settled() that is under way, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+def settled(build: Callable[[], DataFrame], name: str = "step") -> DataFrame:
+    """What build() gives, stored; the tables that it stored on the way are deleted."""
+    _scopes.append([])
+    try:
+        table = stored(build(), name)
+    finally:
+        inner = _scopes.pop()
+    discard(*(t for t in inner if t is not table))
+    if _scopes:
+        _scopes[-1].append(table)
     return table
 
 
