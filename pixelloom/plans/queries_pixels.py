@@ -85,10 +85,8 @@ _halo("gentle")
 @query("PF6", f"""WITH {TILES}, v AS (SELECT image_id, x, y, {LUMA} AS l FROM px), m AS (SELECT *, min(l) OVER w AS lo, max(l) OVER w AS hi FROM v WINDOW w AS (PARTITION BY image_id))
 SELECT image_id, x, y, {sql_byte('(l - lo) / CASE WHEN hi = lo THEN 1e0 ELSE hi - lo END * 255')} AS v FROM m""")
 def normalized_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("image_id")
-    v = fx.tiles(spark, sf_dir).withColumn("l", cl.luma(col("r"), col("g"), col("b"))).withColumns({"lo": F.min("l").over(w), "hi": F.max("l").over(w)})
+    v = fx.tiles(spark, sf_dir).withColumn("l", cl.luma(col("r"), col("g"), col("b")))
+    v = v.join(v.groupBy("image_id").agg(F.min("l").alias("lo"), F.max("l").alias("hi")), "image_id")
     span = F.when(col("hi") == col("lo"), 1.0).otherwise(col("hi") - col("lo"))
     return v.select(*AT, F.least(F.lit(255), F.greatest(F.lit(0), half_up((col("l") - col("lo")) / span * 255))).alias("v"))
 
@@ -215,7 +213,7 @@ def wand_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = px.where("x = 5 AND y = 5").select("image_id", *(col(c).alias(f"s{c}") for c in "rgb"))
     d = F.sqrt(cl.distance2([col(c) for c in "rgb"], [col(f"s{c}") for c in "rgb"]).cast("double"))
     inside = col("x").between(10, 40) & col("y").between(20, 90) & (col("a") >= 128)
-    return px.join(F.broadcast(seed), "image_id").select(*AT, inside.alias("in_box"), F.when(d <= 60, 0).otherwise(col("a")).alias("a"))
+    return px.join(seed, "image_id").select(*AT, inside.alias("in_box"), F.when(d <= 60, 0).otherwise(col("a")).alias("a"))
 
 
 @query("PF24", f"""WITH {STATUS}, near AS (SELECT * FROM px WHERE (r - 30) * (r - 30) + (g - 144) * (g - 144) + (b - 255) * (b - 255) < 144)
