@@ -40,43 +40,3 @@ def agglomerated(palette: DataFrame, tolerance: int = 24, target: int = 8) -> Da
         return pd.DataFrame(rows, columns=["image_id", "idx", "r", "g", "b", "cnt"])
 
     return palette.groupBy("image_id").applyInPandas(merge, "image_id long, idx int, r int, g int, b int, cnt long")
-
-
-def nearest_marked(px: DataFrame, above: int = 128) -> DataFrame:
-    """(image_id, x, y, d, nx, ny): city-block distance to the nearest pixel with alpha above, and that pixel (the first in row
-    order on a tie). A two-sweep feature transform for each image (images are bounded; larger ones are tiled first)."""
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        w, h = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
-        far = w + h + 1
-        src = np.full((h, w), -1, np.int64)
-        on = pdf[pdf["a"] > above]
-        src[on["y"], on["x"]] = on["y"] * w + on["x"]
-        ys, xs = np.mgrid[0:h, 0:w]
-
-        def cost(s: np.ndarray) -> np.ndarray:
-            return np.where(s < 0, far, abs(s // w - ys) + abs(s % w - xs))
-
-        def take(s: np.ndarray, other: np.ndarray) -> np.ndarray:
-            a, b = cost(s), cost(other)
-            return np.where((b < a) | ((b == a) & (other >= 0) & (other < s)), other, s)
-
-        while True:
-            before = src
-            for axis, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
-                moved = np.roll(src, step, axis)
-                edge = [slice(None), slice(None)]
-                edge[axis] = 0 if step == 1 else -1
-                moved[tuple(edge)] = -1
-                src = take(src, moved)
-            if (before == src).all():
-                break
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        s = src[y, x]
-        found = pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "x": x, "y": y, "d": cost(src)[y, x], "nx": s % w, "ny": s // w})
-        return found[s >= 0]
-
-    return px.groupBy("image_id").applyInPandas(transform, "image_id long, x int, y int, d int, nx int, ny int")
-

@@ -166,30 +166,64 @@ def significant(px: DataFrame, above: int, least: int, share: float, grow: int)
 
 def border_islands(px: DataFrame, share: float = 0.03, alpha: int = 128) -> DataFrame:
     """(image_id, comp, area): opaque components that touch the border, are smaller than `share` of the image and not its largest."""
-    marked = on_border(px).where(col("a") >= alpha).withColumn("_one", F.lit(1))
-    comps = stored(labelled(marked, "_one").groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.bool_or("edge").alias("touches")), "comps")
+    return _islands(labelled(on_border(px).where(col("a") >= alpha).withColumn("_one", F.lit(1)), "_one"), px, share)
+
+
+def _islands(pixels: DataFrame, px: DataFrame, share: float) -> DataFrame:
+    """Of px: the islands among the components of `pixels` (with comp and edge)."""
+    comps = stored(pixels.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.bool_or("edge").alias("touches")), "comps")
     largest = comps.groupBy(IMAGE).agg(F.min(F.struct((-col("area")).alias("n"), "comp")).alias("_m"))
     totals = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n"))
     joined = comps.join(largest, IMAGE).join(totals, IMAGE)
     return joined.where(col("touches") & (col("comp") != col("_m.comp")) & (col("area") < col("_n") * share)).select(IMAGE, "comp", "area")
 
 
-def enclosed_background(px: DataFrame, background: tuple[int, int, int], near: int = 42, share: float = 0.0015, ring: int = 6, other: float = 0.02) -> DataFrame:
-    """(image_id, comp, area): small components near the background colour with hardly any other candidate pixel around them
-    (in their box widened by `ring`)."""
+def enclosed_background(px: DataFrame, background: tuple[int, int, int], near: int = 42, share: float = 0.0015, ring: int = 6, other: float = 0.02, alpha: int = 8) -> DataFrame:
+    """(image_id, comp, area): small components near the background colour with hardly any other candidate pixel around them: of the
+    pixels of the image no further than `ring`, in either direction, from one of theirs, `other` at most are candidates."""
     d2 = distance2([col(c) for c in "rgb"], [F.lit(v) for v in background])
-    candidate = px.where((d2 < near * near) & (col("a") > 0)).withColumn("_one", F.lit(1))
-    comps = stored(labelled(candidate, "_one"), "comps")
-    totals = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n"))
-    boxes = comps.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    boxes = boxes.join(totals, IMAGE).where(col("area") <= col("_n") * share)
-    rows = boxes.withColumn("y", F.explode(F.sequence(col("y0") - ring, col("y1") + ring)))
-    others = comps.select(IMAGE, "y", "x", col("comp").alias("_c"))
-    seen = rows.join(others, [IMAGE, "y"]).where((col("x") >= col("x0") - ring) & (col("x") <= col("x1") + ring) & (col("_c") != col("comp")))
-    counts = seen.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("others"))
-    square = (col("x1") - col("x0") + 1 + 2 * ring) * (col("y1") - col("y0") + 1 + 2 * ring) - col("area")
-    joined = boxes.join(counts, [IMAGE, "comp"], "left").withColumn("others", F.coalesce("others", F.lit(0).cast("long")))
-    return joined.where(col("others") <= square * other).select(IMAGE, "comp", "area")
+    candidate = px.where((d2 < near * near) & (col("a") >= alpha)).withColumn("_one", F.lit(1))
+    return _enclosed(stored(labelled(candidate, "_one"), "comps"), px, share, ring, other)
+
+
+def _enclosed(comps: DataFrame, px: DataFrame, share: float = 0.0015, ring: int = 6, other: float = 0.02) -> DataFrame:
+    """Of px: the enclosed ones among the components of its candidates `comps` (with comp)."""
+    totals = sized(px).groupBy(IMAGE, "_w", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    small = comps.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area")).join(totals, IMAGE).where(col("area") <= col("_n") * share)
+    small = stored(small.select(IMAGE, "comp", "area", "_w", "_h"), "small")
+    # only what may go is widened: each row of a pixel's square is cut at the image's border, and equal pixels are one
+    own = comps.join(small, [IMAGE, "comp"])
+    rows = own.select(IMAGE, "comp", "x", "_w", F.explode(F.sequence(F.greatest(F.lit(0), col("y") - ring), F.least(col("_h") - 1, col("y") + ring))).alias("y")).distinct()
+    around = rows.select(IMAGE, "comp", "y", F.explode(F.sequence(F.greatest(F.lit(0), col("x") - ring), F.least(col("_w") - 1, col("x") + ring))).alias("x")).distinct()
+    seen = around.join(comps.select(IMAGE, "x", "y", col("comp").alias("_c")), [IMAGE, "x", "y"], "left").where(~col("comp").eqNullSafe(col("_c")))
+    counts = seen.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("_ring"), F.count("_c").alias("_others"))
+    joined = small.join(counts, [IMAGE, "comp"], "left")
+    return joined.where(F.coalesce(col("_others") <= col("_ring") * other, F.lit(True))).select(IMAGE, "comp", "area")
+
+
+def keyed_out(px: DataFrame, background: DataFrame, solid: float, cut: float) -> DataFrame:
+    """px (image_id, x, y, r, g, b, a) without its image's background colour (image_id, r, g, b): what the border reaches through
+    pixels nearer than `cut` fades and loses its tint, then enclosed patches of that colour, and what is left as islands at the border
+    goes. Further columns stay."""
+    names = px.columns
+    px = on_border(px).join(background.select(IMAGE, *(col(c).alias(f"_b{c}") for c in "rgb")), IMAGE)
+    d = F.sqrt(distance2([col(c) for c in "rgb"], [col(f"_b{c}") for c in "rgb"]).cast("double"))
+
+    def faded(px: DataFrame, where: Column, d: Column) -> DataFrame:
+        px = px.withColumn("_k", key_alpha(d, solid, cut)).withColumn("_a", half_up(col("_k") * 255)).withColumn("_clear", where & (col("_a") < col("a")))
+        parts = {c: F.when(col("_clear"), despilled(col(c), col("_k"), col(f"_b{c}"))).otherwise(col(c)).alias(c) for c in "rgb"}
+        return px.select(*(parts.get(c, F.when(col("_clear"), col("_a")).otherwise(col("a")).cast("int").alias("a") if c == "a" else col(c)) for c in [*names, "edge", "_br", "_bg", "_bb"]))
+
+    def without(px: DataFrame, passable: Column, choose, d: Column) -> DataFrame:
+        """px where the chosen ones among the components of its passable pixels have faded."""
+        comps = stored(labelled(px.withColumn("_open", F.when(passable, 1)), "_open"), "comps")
+        gone = choose(comps.where("_open = 1"), comps).select(IMAGE, "comp", F.lit(1).alias("_open"), F.lit(True).alias("_gone"))
+        return faded(comps.join(gone, [IMAGE, "comp", "_open"], "left"), F.coalesce("_gone", F.lit(False)), d)
+
+    px = faded(with_reach(px.withColumn("_d", d), col("_d") < cut, col("edge")), col("hit"), col("_d"))
+    px = without(px, (col("a") >= 8) & (d < 42), _enclosed, d)
+    px = without(px, col("a") >= 8, lambda comps, px: _islands(comps, px, 0.03), F.lit(0.0))
+    return px.select(*names)
 
 
 def figures_in(px: DataFrame, box: tuple[int, int, int, int], share: float = 0.6, bits: int = 5) -> DataFrame:
@@ -201,6 +235,25 @@ def figures_in(px: DataFrame, box: tuple[int, int, int, int], share: float = 0.6
     return counts.where((col("within") >= col("area") * share) & (col("within") > 0)).select(IMAGE, "comp", "area")
 
 
+def figure_mask(px: DataFrame, box: tuple[int, int, int, int], share: float = 0.6, bits: int = 5, fringe: int = 95) -> DataFrame:
+    """(image_id, x, y, ring): the pixels of the components that figures_in finds, and around each the opaque neighbours within
+    `fringe` of its colour (that of its first pixel in the box), which do not spread further."""
+    inside = col("x").between(box[0], box[2]) & col("y").between(box[1], box[3])
+    opaque = px.where(col("a") >= 128).select(IMAGE, "x", "y", *"rgb")
+    comps = stored(labelled(opaque.withColumn("label", bucket_key(bits, *(col(c) for c in "rgb"))).withColumn("_in", inside), "label"), "comps")
+    first = F.min(F.when(col("_in"), F.struct("y", "x", *"rgb"))).alias("_first")
+    figures = comps.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.count_if("_in").alias("within"), first)
+    figures = figures.where((col("within") >= col("area") * share) & (col("within") > 0)).select(IMAGE, "comp", "_first")
+    body = stored(comps.join(figures, [IMAGE, "comp"]).select(IMAGE, "x", "y", "_first"), "figures")
+    steps = F.array(*(F.struct((col("x") + dx).alias("x"), (col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))
+    # equal neighbours of one figure are one row before they meet the pixels
+    beside = body.select(IMAGE, F.explode(steps).alias("p"), *(col(f"_first.{c}").alias(f"_{c}") for c in "rgb")).select(IMAGE, "p.x", "p.y", "_r", "_g", "_b").distinct()
+    near = distance2([col(c) for c in "rgb"], [col(f"_{c}") for c in "rgb"]) < fringe * fringe
+    ring = opaque.join(beside, [IMAGE, "x", "y"]).where(near).select(IMAGE, "x", "y").distinct()
+    marked = body.select(IMAGE, "x", "y", F.lit(False).alias("ring")).unionByName(ring.withColumn("ring", F.lit(True)))
+    return marked.groupBy(IMAGE, "x", "y").agg(F.bool_and("ring").alias("ring"))
+
+
 def grown(mask: DataFrame, px: DataFrame, passes: int) -> DataFrame:
     """(image_id, x, y): the mask and what is up to `passes` steps (four neighbours) from it, within the image."""
     for _ in range(passes):

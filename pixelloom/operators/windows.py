@@ -4,7 +4,7 @@ as many tasks as it has rows or columns. tiles_with_halo() cuts larger images in
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,12 +131,17 @@ def eroded_alpha(px: DataFrame, passes: int, above: int = 30) -> DataFrame:
 def defringed(px: DataFrame, passes: int = 2) -> DataFrame:
     """Edge pixels (0 < a < 250) take the mean colour of their eight neighbours with an alpha larger by more than 8, else larger;
     each pass sees the colours that the one before left."""
-    for _ in range(passes):
-        px = _defringed_once(px)
+    return defringed_by(px, F.lit(passes), passes)
+
+
+def defringed_by(px: DataFrame, passes: Column, most: int) -> DataFrame:
+    """As defringed, with a number of passes for each image, `most` at most. Further columns stay."""
+    for i in range(most):
+        px = _defringed_once(px, passes > i)
     return px
 
 
-def _defringed_once(px: DataFrame) -> DataFrame:
+def _defringed_once(px: DataFrame, where: Column) -> DataFrame:
     names = ["r", "g", "b", "a"]
     row = F.struct(*names)
     across = px.withColumn("_0", row).withColumns({"_1": F.lag("_0").over(along("x")), "_2": F.lead("_0").over(along("x"))})
@@ -146,9 +151,9 @@ def _defringed_once(px: DataFrame) -> DataFrame:
     near = near.withColumn("_n", around)
     strong, weak = F.filter("_n", lambda n: n["a"] > col("a") + 8), F.filter("_n", lambda n: n["a"] > col("a"))
     near = near.withColumn("_m", F.when(F.size(strong) > 0, strong).otherwise(weak))
-    edge = (col("a") > 0) & (col("a") < 250) & (F.size("_m") > 0)
+    edge = where & (col("a") > 0) & (col("a") < 250) & (F.size("_m") > 0)
     mean = lambda c: (F.aggregate("_m", F.lit(0), lambda s, n: s + n[c]) / F.size("_m")).cast("int")
-    return near.select(IMAGE, "x", "y", *(F.when(edge, mean(c)).otherwise(col(c)).alias(c) for c in "rgb"), "a")
+    return near.select(*(F.when(edge, mean(c)).otherwise(col(c)).alias(c) if c in "rgb" else col(c) for c in px.columns))
 
 
 def border_ring(mask: DataFrame, groups: tuple[str, ...] = (IMAGE,)) -> DataFrame:
@@ -159,8 +164,9 @@ def border_ring(mask: DataFrame, groups: tuple[str, ...] = (IMAGE,)) -> DataFram
     return mask.withColumn("_i", inner).where("NOT _i").select(*groups, "x", "y")
 
 
-def guided_alpha(px: DataFrame, r: int = 12, eps: float = (0.012 * 255) ** 2) -> DataFrame:
-    """Edge-aware smoothing of alpha, guided by luma: a = cov / (var + eps), b = mean alpha - a * mean luma, averaged."""
+def guided_alpha(px: DataFrame, r: int = 12, eps: float = (0.012 * 255) ** 2, keep: Sequence[str] = ()) -> DataFrame:
+    """(image_id, x, y, alpha, and the columns to keep): edge-aware smoothing of alpha, guided by luma: a = cov / (var + eps), b = mean
+    alpha - a * mean luma, averaged."""
     px = px.withColumn("l", luma(col("r"), col("g"), col("b"))).withColumns({"ll": col("l") * col("l"), "la": col("l") * col("a"), "ad": col("a").cast("double")})
     px = box_sums(px, ["l", "ll", "la", "ad"], r)
     m = {v: col(f"s_{v}") / col("n") for v in ("l", "ll", "la", "ad")}
@@ -168,17 +174,18 @@ def guided_alpha(px: DataFrame, r: int = 12, eps: float = (0.012 * 255) ** 2) ->
     px = px.withColumn("_a", slope).withColumn("_b", m["ad"] - col("_a") * m["l"]).drop("s_l", "s_ll", "s_la", "s_ad", "n")
     px = box_sums(px, ["_a", "_b"], r)
     found = col("s__a") / col("n") * col("l") + col("s__b") / col("n")
-    return px.select(IMAGE, "x", "y", F.round(found, 4).alias("alpha"))
+    return px.select(IMAGE, "x", "y", F.round(found, 4).alias("alpha"), *keep)
 
 
-def snapped_alpha(px: DataFrame, solid: int = 160, r: int = 3, window: int = 9, gain: float = 10.0) -> DataFrame:
-    """Steepens alpha about one half near edges between a solid body and the void."""
-    body = opened(px.withColumn("_s", (col("a") >= solid).cast("int")), "_s", r, "_body").withColumn("_void", (col("a") <= 255 - solid).cast("int"))
+def snapped_alpha(px: DataFrame, solid: int = 160, r: int = 3, window: int = 9, gain: float = 10.0, keep: Sequence[str] = ()) -> DataFrame:
+    """(image_id, x, y, alpha, and the columns to keep): alpha from 0 to 1, steepened about one half where a solid body (what an
+    opening leaves) borders on the rest; the gain there is 1 + (gain - 1) * gate ** 2, and the gate the product of both shares of the
+    window over its largest value."""
+    body = opened(px.withColumn("_s", (col("a") >= solid).cast("int")), "_s", r, "_body").withColumn("_void", 1 - col("_body"))
     sums = box_sums(body, ["_body", "_void"], window)
     gate = F.least(F.lit(1.0), (col("s__body") / col("n")) * (col("s__void") / col("n")) / F.lit(0.25))
-    t = col("a") / F.lit(255.0)
-    steep = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (t - 0.5) * F.lit(gain) + 0.5))
-    return sums.select(IMAGE, "x", "y", F.round(t + (steep - t) * gate * gate, 6).alias("alpha"))
+    steep = F.lit(0.5) + (col("a") / F.lit(255.0) - 0.5) * (1 + (F.lit(gain) - 1) * gate * gate)
+    return sums.select(IMAGE, "x", "y", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), steep)), 6).alias("alpha"), *keep)
 
 
 def distance_band(px: DataFrame, band: int, above: int = 128) -> DataFrame:

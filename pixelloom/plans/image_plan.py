@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import MATTES, halo_alpha, halo_bounds, matte, over
-from ..operators.aggregates import border_uniformity, bounding_box, color_cardinality
-from ..operators.windows import IMAGE, sobel
+from ..functions.numeric import clamp, half_up
+from ..operators.aggregates import border_median, border_uniformity, bounding_box, color_cardinality
+from ..operators.reach import keyed_out
+from ..operators.windows import IMAGE, defringed, defringed_by, eroded_alpha, guided_alpha, snapped_alpha, sobel
+from .shared import stored
 
 #: The order of the default plan.
 DEFAULT_STEPS = ("analyze", "upscale-input", "remove-bg", "clean-halo", "fix-color", "auto-crop", "bg-fill", "fix-dpi", "export")
-PROFILE_MATTES = {"logo": "crisp", "ilustracion": "crisp", "producto": "medium", "foto": "soft"}
+PROFILE_MATTES = {"logo": "crisp", "ilustracion": "medium", "producto": "medium", "foto": "soft"}
+PROFILE_DEFRINGE = {"logo": 0, "ilustracion": 1, "producto": 1, "foto": 2}
+KEYED, FLAT = ("logo", "ilustracion"), 0.62  # profiles whose flat ground is taken out by its colour, and how flat it must be
 
 
 @dataclass(frozen=True)
@@ -47,16 +52,32 @@ def features(px: DataFrame) -> DataFrame:
     return found.withColumn("profile", profile(F.col("unique_colors"), F.col("edge_density"), F.col("uniformity")))
 
 
-def by_profile(px: DataFrame, options: Options) -> DataFrame:
-    """Alpha through the matte of each image's profile, or of the options."""
-    cases = {name: matte(F.col("a"), *MATTES[name]) for name in MATTES}
-    if options.matte:
-        return px.withColumn("a", cases[options.matte])
-    kinds = features(px).select(IMAGE, "profile")
-    chosen = F.col("a")
-    for kind, name in PROFILE_MATTES.items():
-        chosen = F.when(F.col("profile") == kind, cases[name]).otherwise(chosen)
-    return px.join(kinds, IMAGE).withColumn("a", chosen).drop("profile")
+def remove_background(px: DataFrame, options: Options) -> DataFrame:
+    """Each image by its own way: graphics on a flat ground lose the ground's colour from the border on; of all others the given alpha
+    is a matte, which is aligned to the image's edges where the profile wants it soft, cleaned of the ground's tint, and drawn
+    through the profile's curve (or the one of the options). The ways are two branches of one plan."""
+    kinds = features(px).select(IMAGE, "profile", (F.col("profile").isin(*KEYED) & (F.col("uniformity") > FLAT)).alias("_flat"))
+    px = stored(px.join(kinds, IMAGE, "left").withColumn("_flat", F.coalesce("_flat", F.lit(False))), "profiled")
+    names = [c for c in px.columns if c not in ("profile", "_flat")]
+    flat, rest = px.where("_flat").select(names), px.where("NOT _flat")
+
+    cut = 90 + options.tolerance / 100 * 150
+    keyed = keyed_out(flat, border_median(flat), max(6.0, cut - (10 + options.softness / 100 * 22)), cut)
+    keyed = eroded_alpha(defringed(keyed, 4), 1)
+
+    wanted = F.lit(options.matte) if options.matte else F.element_at(F.create_map(*(F.lit(v) for pair in PROFILE_MATTES.items() for v in pair)), F.col("profile"))
+    passes = F.element_at(F.create_map(*(F.lit(v) for pair in PROFILE_DEFRINGE.items() for v in pair)), F.col("profile"))
+    rest = rest.withColumns({"_matte": wanted, "_passes": F.coalesce(passes, F.lit(0))})
+    keep = ["r", "g", "b", "_matte", "_passes", *(c for c in names if c not in (IMAGE, *"xyrgba"))]
+    soft = guided_alpha(rest.where("_matte = 'soft'"), keep=keep).withColumn("a", clamp(half_up(F.col("alpha")), 0, 255).cast("int")).drop("alpha")
+    soft = snapped_alpha(soft, keep=keep).withColumn("a", half_up(F.col("alpha") * 255).cast("int")).drop("alpha")
+    rest = rest.where("_matte IS DISTINCT FROM 'soft'").select(*soft.columns).unionByName(soft)
+    rest = defringed_by(rest, F.col("_passes"), max(PROFILE_DEFRINGE.values()))
+    drawn = F.col("a")
+    for name, bounds in MATTES.items():
+        drawn = F.when(F.col("_matte") == name, matte(F.col("a"), *bounds)).otherwise(drawn)
+    rest = defringed(rest.withColumn("a", drawn.cast("int")), 3)
+    return stored(keyed.unionByName(rest.select(*names)), "removed")  # the steps that follow read it more than once
 
 
 def clean_halo(px: DataFrame, options: Options) -> DataFrame:
@@ -81,7 +102,7 @@ def fill_background(px: DataFrame, options: Options) -> DataFrame:
     return px.withColumns(filled).withColumn("a", F.lit(255))
 
 
-STEPS: dict[str, Callable[[DataFrame, Options], DataFrame]] = {"remove-bg": by_profile, "clean-halo": clean_halo, "auto-crop": auto_crop, "bg-fill": fill_background}
+STEPS: dict[str, Callable[[DataFrame, Options], DataFrame]] = {"remove-bg": remove_background, "clean-halo": clean_halo, "auto-crop": auto_crop, "bg-fill": fill_background}
 
 
 def run_plan(px: DataFrame, options: Options) -> DataFrame:

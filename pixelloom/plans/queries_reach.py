@@ -12,7 +12,7 @@ from ..operators import reach as rc
 from ..operators import sets as st
 from ..sources import fixtures as fx
 from ..streaming import events as ev
-from .catalogue import DECODED, FRAMED, LOG, MASKS, PATCHES, SHEET, TILES, bucket_sql, col, query, sql_byte, sql_half_up
+from .catalogue import DECODED, FRAMED, LOG, MASKS, PATCHES, SHEET, TILES, bucket_sql, col, d2_sql, query, sql_byte, sql_half_up
 from .queries_regions import IOU
 from .shared import stored
 
@@ -74,12 +74,13 @@ def flood_border(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.flood_border(fx.sheet(spark, sf_dir), (128, 128, 128), 60.0, 90.0)
 
 
-@query("S13", f"""WITH RECURSIVE {SHEET}, src AS (SELECT * FROM px WHERE (r - 128) * (r - 128) + (g - 128) * (g - 128) + (b - 128) * (b - 128) < 42 * 42 AND a > 0), {walk_sql('src')},
-b AS (SELECT image_id, c, count(*) AS area, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM comps GROUP BY ALL),
-o AS (SELECT b.image_id, b.c, b.area, b.x0, b.x1, b.y0, b.y1, count(q.x) AS others FROM b LEFT JOIN comps q ON q.image_id = b.image_id AND q.c <> b.c AND q.x BETWEEN b.x0 - 6 AND b.x1 + 6 AND q.y BETWEEN b.y0 - 6 AND b.y1 + 6 GROUP BY ALL)
-SELECT image_id, c[1] AS cy, c[2] AS cx, area FROM o WHERE area <= (SELECT count(*) FROM px) * 0.0015e0 AND others <= ((x1 - x0 + 13) * (y1 - y0 + 13) - area) * 0.02e0""")
+@query("S13", f"""WITH RECURSIVE {SHEET}, src AS (SELECT * FROM px WHERE (r - 128) * (r - 128) + (g - 128) * (g - 128) + (b - 128) * (b - 128) < 16 * 16 AND a >= 8), {walk_sql('src')},
+b AS (SELECT image_id, c, count(*) AS area FROM comps GROUP BY ALL HAVING count(*) <= (SELECT count(*) FROM px) * 0.0015e0),
+ring AS (SELECT DISTINCT b.image_id, b.c, p.x, p.y FROM b JOIN comps k ON k.image_id = b.image_id AND k.c = b.c JOIN px p ON p.image_id = b.image_id AND abs(p.x - k.x) <= 6 AND abs(p.y - k.y) <= 6),
+o AS (SELECT ring.image_id, ring.c, count(*) AS total, count(q.c) AS others FROM ring LEFT JOIN comps q ON q.image_id = ring.image_id AND q.x = ring.x AND q.y = ring.y WHERE q.c IS DISTINCT FROM ring.c GROUP BY ALL)
+SELECT b.image_id, b.c[1] AS cy, b.c[2] AS cx, area FROM b LEFT JOIN o ON o.image_id = b.image_id AND o.c = b.c WHERE coalesce(others <= total * 0.02e0, true)""")
 def enclosed_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rc.enclosed_background(fx.sheet(spark, sf_dir), (128, 128, 128))
+    found = rc.enclosed_background(fx.sheet(spark, sf_dir), (128, 128, 128), near=16)
     return found.select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area")
 
 
@@ -101,6 +102,16 @@ def figures_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.figures_in(fx.sheet(spark, sf_dir), (8, 8, 30, 60), bits=3).select("image_id", col("comp.y").alias("cy"), col("comp.x").alias("cx"), "area")
 
 
+@query("S21", f"""WITH RECURSIVE {SHEET}, src AS (SELECT *, {bucket_sql(3)} AS l, x BETWEEN 8 AND 30 AND y BETWEEN 8 AND 60 AS inside FROM px WHERE a >= 128), {walk_sql('src', label='l')},
+body AS MATERIALIZED (SELECT c.image_id, c.c, x, y, r, g, b, inside FROM comps c JOIN src USING (image_id, x, y)),
+figures AS MATERIALIZED (SELECT image_id, c, min((y, x, r, g, b)) FILTER (inside) AS f FROM body GROUP BY 1, 2 HAVING count(*) FILTER (inside) >= count(*) * 0.6e0 AND count(*) FILTER (inside) > 0),
+core AS MATERIALIZED (SELECT body.image_id, x, y, f[3] AS fr, f[4] AS fg, f[5] AS fb FROM body JOIN figures USING (image_id, c))
+SELECT image_id, x, y, false AS ring FROM core UNION ALL
+SELECT DISTINCT s.image_id, s.x, s.y, true FROM src s JOIN core c ON c.image_id = s.image_id AND abs(c.x - s.x) + abs(c.y - s.y) = 1 WHERE {d2_sql('s.', 'c.f')} < 95 * 95 AND NOT EXISTS (SELECT 1 FROM core k WHERE k.image_id = s.image_id AND k.x = s.x AND k.y = s.y)""")
+def figure_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rc.figure_mask(fx.sheet(spark, sf_dir), (8, 8, 30, 60), bits=3)
+
+
 @query("S22 J13", f"WITH {SHEET}, m AS (SELECT * FROM px WHERE r >= 180) SELECT DISTINCT p.image_id, p.x, p.y FROM px p JOIN m ON m.image_id = p.image_id AND abs(m.x - p.x) + abs(m.y - p.y) <= 2")
 def mask_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = fx.sheet(spark, sf_dir)

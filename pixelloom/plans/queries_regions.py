@@ -9,6 +9,7 @@ from ..functions.numeric import half_up, percentile_95, pick
 from ..functions.text import crop_boxes, grid_points
 from ..operators import aggregates as ag
 from ..operators import joins as jn
+from ..operators import nearest as nr
 from ..operators import palettes as pl
 from ..operators import windows as wn
 from ..sources import fixtures as fx
@@ -454,9 +455,9 @@ def guided_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("S5", f"""WITH {TILES}, b0 AS (SELECT image_id, x, y, CASE WHEN a >= 160 THEN 1 ELSE 0 END AS v FROM px), {_extreme('min', 'v', 'x', 1, 'b0', 'b1')}, {_extreme('min', 'v', 'y', 1, 'b1', 'b2')}, {_extreme('max', 'v', 'x', 1, 'b2', 'b3')}, {_extreme('max', 'v', 'y', 1, 'b3', 'b4')},
-m AS (SELECT p.image_id, p.x, p.y, p.a, b4.v AS body, CASE WHEN p.a <= 95 THEN 1 ELSE 0 END AS void FROM px p JOIN b4 USING (image_id, x, y)), {sums_sql(['body', 'void'], 'm', 'g', 2)},
+m AS (SELECT p.image_id, p.x, p.y, p.a, b4.v AS body, 1 - b4.v AS void FROM px p JOIN b4 USING (image_id, x, y)), {sums_sql(['body', 'void'], 'm', 'g', 2)},
 k AS (SELECT image_id, x, y, a / 255e0 AS t, least(1e0, (t_body::DOUBLE / n) * (t_void::DOUBLE / n) / 0.25e0) AS k FROM g)
-SELECT image_id, x, y, round(t + (least(1e0, greatest(0e0, (t - 0.5e0) * 10e0 + 0.5e0)) - t) * k * k, 6) AS alpha FROM k""")
+SELECT image_id, x, y, round(least(1e0, greatest(0e0, 0.5e0 + (t - 0.5e0) * (1e0 + 9e0 * k * k))), 6) AS alpha FROM k""")
 def snap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.snapped_alpha(fx.tiles(spark, sf_dir), r=1, window=2)
 
@@ -552,13 +553,32 @@ def palette_agglomerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.agglomerated(ag.palette(fx.tiles(spark, sf_dir), share=0.0), 48, 6)
 
 
-@query("J14", f"""WITH {TILES}, s AS (SELECT image_id, x AS sx, y AS sy FROM px WHERE a > 200), m AS (SELECT p.image_id, p.x, p.y, min({{'d': abs(p.x - sx) + abs(p.y - sy), 'ny': sy, 'nx': sx}}) AS m FROM px p JOIN s USING (image_id) GROUP BY ALL)
-SELECT image_id, x, y, m.d AS d, m.nx AS nx, m.ny AS ny FROM m""")
+def _nearest_sql(name: str, mark: str) -> str:
+    """name(image_id, x, y, m): the nearest marked pixel of px, as a struct (d, part, tie, x, y, r, g, b)."""
+    return f"""{name}_s AS (SELECT image_id, x AS sx, y AS sy, r, g, b FROM px WHERE {mark}),
+{name}_p AS (SELECT p.image_id, p.x, p.y, s.sx, s.sy, s.r, s.g, s.b, CASE WHEN sy <= p.y THEN CASE WHEN sx <= p.x THEN 0 ELSE 1 END WHEN sx > p.x THEN 2 ELSE 3 END AS part FROM px p JOIN {name}_s s USING (image_id)),
+{name} AS (SELECT image_id, x, y, min({{'d': abs(x - sx) + abs(y - sy), 'part': part, 'tie': CASE WHEN part = 2 THEN -sx ELSE sx END, 'x': sx, 'y': sy, 'r': r, 'g': g, 'b': b}}) AS m FROM {name}_p GROUP BY image_id, x, y)"""
+
+
+@query("J14", f"WITH {TILES}, {_nearest_sql('near', 'a > 200')} SELECT image_id, x, y, m.d AS d, m.x AS nx, m.y AS ny FROM near")
 def feature_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.nearest_marked(fx.tiles(spark, sf_dir), 200)
+    found = nr.nearest_marked(fx.tiles(spark, sf_dir), {"near": col("a") > 200}).where("near IS NOT NULL")
+    return found.select(*AT, col("near.d").alias("d"), col("near.x").alias("nx"), col("near.y").alias("ny"))
+
+
+_MASKED = "CASE WHEN 10 - f.m.d < 4 THEN CAST(floor(o.g * (10 - f.m.d) / 4e0 + 0.5e0) AS INT) ELSE o.g END"
+
+
+@query("S25", f"""WITH {TILES}, {_nearest_sql('fg', 'a > 128')}, {_nearest_sql('bg', 'a < 16')},
+t AS (SELECT p.*, o.r AS nr, o.g AS ng, o.b AS nb, {_MASKED} AS m, coalesce(f.m.d <= 10 AND {_MASKED} > p.a AND NOT coalesce({d2_sql('bg.m.', 'o.')} < {d2_sql('f.m.', 'o.')}, false), false) AS take
+  FROM px p JOIN px o ON o.image_id = p.image_id AND o.y = p.y AND o.x = 7 - p.x LEFT JOIN fg f ON f.image_id = p.image_id AND f.x = p.x AND f.y = p.y LEFT JOIN bg ON bg.image_id = p.image_id AND bg.x = p.x AND bg.y = p.y)
+SELECT image_id, x, y, {', '.join(f'CASE WHEN take THEN n{c} ELSE {c} END AS {c}' for c in 'rgb')}, CASE WHEN take THEN m ELSE a END AS a FROM t""")
+def edge_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = fx.tiles(spark, sf_dir)
+    return nr.recovered(px, px.withColumns({"x": 7 - col("x"), "m": col("g")}))
 
 
-@query("O2 O3")
+@query("D18 O2 O3")
 def image_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_plan(fx.tiles(spark, sf_dir), Options(background=(255, 255, 255)))
 

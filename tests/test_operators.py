@@ -12,9 +12,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pixelloom.functions import numeric as nm
-from pixelloom.operators import contours, editlog, everything, graph, joins, palettes, reach, sets, windows
+from pixelloom.operators import contours, editlog, everything, graph, joins, nearest, palettes, reach, sets, windows
 from pixelloom.plans import shared
-from pixelloom.plans.image_plan import Options, run_plan
+from pixelloom.plans.image_plan import Options, features, remove_background, run_plan
 from pixelloom.sources import formats, sinks
 from pixelloom.streaming import events as ev
 
@@ -205,12 +205,144 @@ def test_palette_merge(spark):
     assert palettes.agglomerated(df, 24, 2).count() == 2
 
 
+def noise(rng, image, w, h, clear=0.3):
+    return [(image, x, y, *(rng.randrange(256) for _ in "rgb"), rng.choice((0, 10)) if rng.random() < clear else rng.randrange(256)) for y in range(h) for x in range(w)]
+
+
 def test_nearest_marked(spark):
     px = raster(spark, ["#..", "...", "..#"])
-    found = {(r.x, r.y): (r.d, r.nx, r.ny) for r in palettes.nearest_marked(px).collect()}
+    found = {(r.x, r.y): (r.near.d, r.near.x, r.near.y) for r in nearest.nearest_marked(px, {"near": F.col("a") > 128}).collect()}
     assert found[(1, 0)] == (1, 0, 0) and found[(2, 1)] == (1, 2, 2) and found[(1, 1)] == (2, 0, 0)
 
 
+def test_nearest_marked_ties(spark):
+    """Against two sweeps over the image that take a neighbour's pixel only where it is strictly nearer: left, then up; right, then
+    down. Images without any mark have none."""
+    rng = random.Random(4)
+    rows = [r for i in range(6) for r in noise(rng, i, 11, 9)] + [(6, x, 0, 0, 0, 0, 0) for x in range(3)]
+    found = nearest.nearest_marked(spark.createDataFrame(rows, PX), {"near": F.col("a") > 225 - 20 * F.col("image_id")}, "r")
+    wanted = {}
+    for i in range(7):
+        pixels = {(x, y): a for n, x, y, *_, a in rows if n == i}
+        best = {p: (0, p) if a > 225 - 20 * i else (10**6, None) for p, a in pixels.items()}
+        for order, steps in ((sorted(pixels, key=lambda p: p[::-1]), ((-1, 0), (0, -1))), (sorted(pixels, key=lambda p: p[::-1], reverse=True), ((1, 0), (0, 1)))):
+            for x, y in order:
+                for dx, dy in steps:
+                    d, at_ = best.get((x + dx, y + dy), (10**6, None))
+                    if d + 1 < best[(x, y)][0]:
+                        best[(x, y)] = (d + 1, at_)
+        wanted |= {(i, *p): (d, *q) if q else None for p, (d, q) in best.items()}
+    colors = {r[:3]: r[3] for r in rows}
+    got = found.collect()
+    assert {(r.image_id, r.x, r.y): r.near and (r.near.d, r.near.x, r.near.y) for r in got} == wanted
+    assert all(r.near is None or r.near.r == colors[(r.image_id, r.near.x, r.near.y)] for r in got)
+
+
+def test_recovered(spark):
+    rng = random.Random(8)
+    rows = noise(rng, 0, 40, 3) + noise(rng, 1, 5, 5, 1.0)
+    rows = [r if r[1] < 12 or r[0] else (*r[:6], r[6] % 100) for r in rows]  # nothing solid on the right: there the band ends
+    source = [(*r[:3], *(rng.randrange(256) for _ in "rgb"), rng.randrange(256)) for r in rows if r[1] != 2]
+    out = nearest.recovered(spark.createDataFrame(rows, PX), spark.createDataFrame(source, PX).withColumnRenamed("a", "m"))
+    near = nearest.nearest_marked(spark.createDataFrame(rows, PX), {"fg": F.col("a") > 128, "bg": F.col("a") < 16}, "rgb")
+    around, given = {(r.image_id, r.x, r.y): (r.fg, r.bg) for r in near.collect()}, {r[:3]: r[3:] for r in source}
+    wanted, taken = {}, 0
+    for *p, r, g, b, a in rows:
+        new, (f, c) = given.get(tuple(p)), around[tuple(p)]
+        wanted[tuple(p)] = (r, g, b, a)
+        if new is None or f is None or f.d > 10:
+            continue
+        m = new[3] if f.d <= 6 else int(new[3] * (10 - f.d) / 4 + 0.5)
+        far = lambda at_: sum((p - q) ** 2 for p, q in zip((at_.r, at_.g, at_.b), new, strict=False))  # noqa: B023, E731
+        if m > a and (c is None or far(c) >= far(f)):
+            wanted[tuple(p)], taken = (*new[:3], m), taken + 1
+    assert {(r.image_id, r.x, r.y): (r.r, r.g, r.b, r.a) for r in out.collect()} == wanted and taken > 5
+
+
+def test_contours(spark):
+    """Every segment is part of a line, closed ones come back whole, and what is left out is no further from the line than allowed."""
+    rng = random.Random(2)
+    blob = [(0, x, y, 0, 0, 0, max(0, min(255, 290 - 6 * ((x - 9) ** 2 + (y - 8) ** 2)))) for y in range(18) for x in range(20)]
+    rows = blob + noise(rng, 1, 12, 12) + [(2, x, y, 0, 0, 0, 255) for y in range(3) for x in range(3)]
+    segments = contours.contour_segments(spark.createDataFrame(rows, PX))
+    sides = {}
+    for r in segments.collect():
+        sides.setdefault(r.image_id, []).append(frozenset([(r.ax, r.ay), (r.bx, r.by)]))
+    assert set(sides) == {0, 1}
+
+    def lines(tolerance):
+        out = {}
+        for r in sorted(contours.contours(segments, tolerance).collect()):
+            out.setdefault((r.image_id, r.ring), []).append((r.x, r.y))
+        return out
+
+    whole = lines(-1.0)
+    steps = {i: [frozenset(pair) for (n, _), line in whole.items() if n == i for pair in zip(line, [*line[1:], line[0]])] for i in (0, 1)}
+    assert sorted(map(sorted, steps[0])) == sorted(map(sorted, sides[0])) and len([k for k in whole if k[0] == 0]) == 1
+    assert len([s for s in steps[1] if s in sides[1]]) == len({s for s in steps[1] if s in sides[1]})
+    ends = [p for s in sides[1] for p in s]
+    loose = {p for p in ends if ends.count(p) == 1}
+    assert all(p[0] in (0, 11) or p[1] in (0, 11) for p in loose)
+
+    few = lines(0.6)
+
+    def away(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        long = (dx * dx + dy * dy) ** 0.5
+        return abs(dx * (p[1] - a[1]) - dy * (p[0] - a[0])) / long if long else ((p[0] - a[0]) ** 2 + (p[1] - a[1]) ** 2) ** 0.5
+
+    def fewer(line):
+        if len(line) < 3:
+            return line
+        d = [away(p, line[0], line[-1]) for p in line[1:-1]]
+        k = max(range(len(d)), key=lambda i: d[i])
+        return fewer(line[: k + 2])[:-1] + fewer(line[k + 1 :]) if d[k] > 0.6 else [line[0], line[-1]]
+
+    simple = [fewer([*line, line[0]])[:-1] for _, line in sorted(whole.items())]
+    assert [line for _, line in sorted(few.items())] == [line for line in simple if len(line) >= 3]
+    assert 4 <= len(few[(0, 0)]) < len(whole[(0, 0)])
+
+
+def test_figure_mask(spark):
+    """A red figure in the box takes its pink neighbours, but not theirs; a figure that leaves the box stays out."""
+    colors = {"r": (200, 0, 0, 255), "p": (240, 60, 60, 255), "g": (0, 200, 0, 255), "c": (0, 0, 0, 0)}
+    drawing = ["cccccccc", "pprrpccc", "ccrrppgg", "cccpcggg", "cccccggg"]
+    px = spark.createDataFrame([(0, x, y, *colors[c]) for y, line in enumerate(drawing) for x, c in enumerate(line)], PX)
+    found = {(r.x, r.y): r.ring for r in reach.figure_mask(px, (2, 1, 5, 2), bits=3).collect()}
+    body, ring = [(2, 1), (3, 1), (2, 2), (3, 2), (4, 1), (4, 2), (5, 2)], [(1, 1), (3, 3)]
+    assert found == dict.fromkeys(body, False) | dict.fromkeys(ring, True)
+
+
+def test_remove_background(spark):
+    """On a flat ground: a dark ring whose hole has the ground's colour, and a speck in the corner. On noise: the matte of its profile."""
+    ground, dark = (200, 200, 200, 255), (20, 20, 20, 255)
+    ring = lambda x, y: 12 <= x < 48 and 12 <= y < 48 and not (29 <= x < 31 and 29 <= y < 31)
+    flat = [(0, x, y, *(dark if ring(x, y) or (x > 56 and y > 57) else ground)) for y in range(60) for x in range(60)]
+    rng = random.Random(6)
+    px = spark.createDataFrame(flat + noise(rng, 1, 24, 24, 0.1), PX)
+    kinds = {r.image_id: r.profile for r in features(px).collect()}
+    assert kinds == {0: "logo", 1: "foto"}
+    out = remove_background(px, Options())
+    seen = {(r.x, r.y): r.a for r in out.where("image_id = 0 AND a > 0").collect()}
+    inner = {(x, y) for y in range(60) for x in range(60) if ring(x, y)}
+    edge = {(x, y) for x, y in inner if not {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} <= inner}
+    assert seen == dict.fromkeys(inner - edge, 255)
+    photo = px.where("image_id = 1")
+    soft = windows.guided_alpha(photo, keep="rgb").withColumn("a", nm.clamp(nm.half_up(F.col("alpha")), 0, 255).cast("int"))
+    soft = windows.snapped_alpha(soft, keep="rgb").withColumn("a", nm.half_up(F.col("alpha") * 255).cast("int")).select("image_id", "x", "y", *"rgb", "a")
+    soft = windows.defringed(soft, 2).withColumn("a", F.expr("CASE WHEN a <= 13 THEN 0 WHEN a >= 217 THEN 255 ELSE a END"))
+    assert sorted(map(tuple, out.where("image_id = 1").collect())) == sorted(map(tuple, windows.defringed(soft, 3).collect()))
+
+
+def test_enclosed_background(spark):
+    """Holes of the ground's colour go, unless other pixels of that colour stand near; the ring follows the hole's own shape."""
+    holes = {(30, 30), (31, 31), (31, 30), (10, 50), (13, 50), (50, 0), (59, 59)}
+    px = spark.createDataFrame([(0, x, y, *((128, 128, 128) if (x, y) in holes else (0, 0, 0)), 7 if (x, y) == (59, 59) else 255) for y in range(60) for x in range(60)], PX)
+    found = reach.enclosed_background(px, (128, 128, 128), other=0.002)
+    assert {(r.comp.x, r.comp.y, r.area) for r in found.collect()} == {(30, 30, 3), (50, 0, 1)}
+    assert reach.enclosed_background(px, (128, 128, 128)).count() == 4
+
+
 def test_thin_merge(spark):
     rows = [(0, x, y, 9 if (x, y) == (1, 1) else (1 if x < 2 else 2)) for y in range(3) for x in range(4)]
     df = spark.createDataFrame(rows, "image_id long, x int, y int, label int")
@@ -294,8 +426,8 @@ def test_smallest_box(spark):
 
 
 def test_plan(spark):
-    px = raster(spark, ["....", ".##.", ".##.", "...."])
-    out = run_plan(px, Options(matte="crisp"))
+    px = raster(spark, ["......", ".####.", ".####.", ".####.", ".####.", "......"])
+    out = run_plan(px, Options(matte="crisp"))  # a graphic on a flat ground, whose outermost pixels go with the ground
     assert at(out.where("a > 0")) == {(0, 0), (1, 0), (0, 1), (1, 1)}
     try:
         run_plan(px, Options(steps=("nothing",)))
