@@ -13,22 +13,28 @@ from ..functions.color import MATTES, halo_alpha, halo_bounds, matte, over
 from ..functions.numeric import clamp, half_up
 from ..operators.aggregates import border_median, border_uniformity, bounding_box, color_cardinality
 from ..operators.reach import keyed_out
-from ..operators.windows import IMAGE, defringed, defringed_by, eroded_alpha, guided_alpha, snapped_alpha, sobel
+from ..operators.windows import IMAGE, defringed, defringed_by, dilated_one, eroded_alpha, guided_alpha, snapped_alpha, sobel
 from .shared import stored
 
 #: The order of the default plan.
 DEFAULT_STEPS = ("analyze", "upscale-input", "remove-bg", "clean-halo", "fix-color", "auto-crop", "bg-fill", "fix-dpi", "export")
 PROFILE_MATTES = {"logo": "crisp", "ilustracion": "medium", "producto": "medium", "foto": "soft"}
 PROFILE_DEFRINGE = {"logo": 0, "ilustracion": 1, "producto": 1, "foto": 2}
+GENTLE = ("foto",)  # profiles whose faint edges are mostly kept
+EXPANDED = ("logo", "ilustracion")  # profiles whose edge grows by a pixel
 KEYED, FLAT = ("logo", "ilustracion"), 0.62  # profiles whose flat ground is taken out by its colour, and how flat it must be
 
 
 @dataclass(frozen=True)
 class Options:
-    matte: str | None = None  # None: by profile
-    halo_mode: str = "normal"
+    profile: str | None = None  # None, here and below: by the image's content
+    matte: str | None = None
+    halo_mode: str | None = None
     tolerance: float = 10
-    softness: float = 30
+    softness: float = 10
+    hard_edge: bool = False
+    expand_edge: bool = True
+    contract: int = 0
     background: tuple[int, int, int] | None = None
     steps: Sequence[str] = field(default_factory=lambda: DEFAULT_STEPS)
 
@@ -52,17 +58,24 @@ def features(px: DataFrame) -> DataFrame:
     return found.withColumn("profile", profile(F.col("unique_colors"), F.col("edge_density"), F.col("uniformity")))
 
 
-def remove_background(px: DataFrame, options: Options) -> DataFrame:
+def routed(px: DataFrame, options: Options) -> DataFrame:
+    """(image_id, profile, flat): what decides an image's way through the steps, one row for each image."""
+    kinds = features(px).select(IMAGE, "profile", F.coalesce(F.col("uniformity") > FLAT, F.lit(False)).alias("flat"))
+    return stored(kinds.withColumn("profile", F.lit(options.profile)) if options.profile else kinds, "routed")
+
+
+def remove_background(px: DataFrame, options: Options, kinds: DataFrame) -> DataFrame:
     """Each image by its own way: graphics on a flat ground lose the ground's colour from the border on; of all others the given alpha
     is a matte, which is aligned to the image's edges where the profile wants it soft, cleaned of the ground's tint, and drawn
     through the profile's curve (or the one of the options). The ways are two branches of one plan."""
-    kinds = features(px).select(IMAGE, "profile", (F.col("profile").isin(*KEYED) & (F.col("uniformity") > FLAT)).alias("_flat"))
-    px = stored(px.join(kinds, IMAGE, "left").withColumn("_flat", F.coalesce("_flat", F.lit(False))), "profiled")
-    names = [c for c in px.columns if c not in ("profile", "_flat")]
+    names = px.columns
+    keyed = F.col("profile").isin(*KEYED) & F.col("flat")
+    px = stored(px.join(kinds.select(IMAGE, "profile", keyed.alias("_flat")), IMAGE), "profiled")
     flat, rest = px.where("_flat").select(names), px.where("NOT _flat")
 
     cut = 90 + options.tolerance / 100 * 150
-    keyed = keyed_out(flat, border_median(flat), max(6.0, cut - (10 + options.softness / 100 * 22)), cut)
+    ramp = 2 if options.hard_edge else 10 + options.softness / 100 * 22
+    keyed = keyed_out(flat, border_median(flat), max(6.0, cut - ramp), cut)
     keyed = eroded_alpha(defringed(keyed, 4), 1)
 
     wanted = F.lit(options.matte) if options.matte else F.element_at(F.create_map(*(F.lit(v) for pair in PROFILE_MATTES.items() for v in pair)), F.col("profile"))
@@ -77,16 +90,28 @@ def remove_background(px: DataFrame, options: Options) -> DataFrame:
     for name, bounds in MATTES.items():
         drawn = F.when(F.col("_matte") == name, matte(F.col("a"), *bounds)).otherwise(drawn)
     rest = defringed(rest.withColumn("a", drawn.cast("int")), 3)
-    return stored(keyed.unionByName(rest.select(*names)), "removed")  # the steps that follow read it more than once
-
-
-def clean_halo(px: DataFrame, options: Options) -> DataFrame:
-    if options.halo_mode == "off":
-        return px
-    return px.withColumn("a", halo_alpha(F.col("a"), *halo_bounds(options.tolerance, options.softness, options.halo_mode)))
-
-
-def auto_crop(px: DataFrame, options: Options) -> DataFrame:
+    every = eroded_alpha(keyed.unionByName(rest.select(*names)), options.contract)
+    if options.hard_edge:
+        every = every.withColumn("a", F.when(F.col("a") >= 128, 255).otherwise(0))
+    return stored(every, "removed")  # the steps that follow read it more than once
+
+
+def clean_halo(px: DataFrame, options: Options, kinds: DataFrame) -> DataFrame:
+    """Faint pixels go, by the profile's mode or the one of the options; then the edge of graphics grows by a pixel."""
+    names = px.columns
+    px = px.join(kinds.select(IMAGE, F.col("profile").alias("_profile")), IMAGE)
+    cleaned = lambda mode: halo_alpha(F.col("a"), *halo_bounds(options.tolerance, options.softness, mode))
+    if options.halo_mode is None:
+        px = px.withColumn("a", F.when(F.col("_profile").isin(*GENTLE), cleaned("gentle")).otherwise(cleaned("normal")).cast("int"))
+    elif options.halo_mode != "off":
+        px = px.withColumn("a", cleaned(options.halo_mode).cast("int"))
+    if not options.expand_edge:
+        return px.select(*names)
+    grown = dilated_one(px.where(F.col("_profile").isin(*EXPANDED)).select(*names)).select(*names)
+    return grown.unionByName(px.where(~F.col("_profile").isin(*EXPANDED)).select(*names))
+
+
+def auto_crop(px: DataFrame, options: Options, kinds: DataFrame) -> DataFrame:
     """Cut to the box of visible pixels; images without any stay whole."""
     box = bounding_box(px).select(IMAGE, "x0", "y0", "x1", "y1")
     joined = px.join(box, IMAGE, "left")
@@ -95,20 +120,24 @@ def auto_crop(px: DataFrame, options: Options) -> DataFrame:
     return joined.where(inside).select(IMAGE, shift("x"), shift("y"), "r", "g", "b", "a")
 
 
-def fill_background(px: DataFrame, options: Options) -> DataFrame:
+def fill_background(px: DataFrame, options: Options, kinds: DataFrame) -> DataFrame:
     if options.background is None:
         return px
     filled = {c: over(F.col(c), F.col("a"), v) for c, v in zip("rgb", options.background, strict=True)}
     return px.withColumns(filled).withColumn("a", F.lit(255))
 
 
-STEPS: dict[str, Callable[[DataFrame, Options], DataFrame]] = {"remove-bg": remove_background, "clean-halo": clean_halo, "auto-crop": auto_crop, "bg-fill": fill_background}
+STEPS: dict[str, Callable[[DataFrame, Options, DataFrame], DataFrame]] = {"remove-bg": remove_background, "clean-halo": clean_halo, "auto-crop": auto_crop, "bg-fill": fill_background}
 
 
 def run_plan(px: DataFrame, options: Options) -> DataFrame:
-    """px through the options' steps, in their order; steps that only concern codecs or metadata pass pixels on."""
+    """px (image_id, x, y, r, g, b, a) through the options' steps, in their order; each image takes the way that its content, as
+    given, decides. Steps that only concern codecs or metadata pass pixels on. Images have an id."""
+    unknown = [name for name in options.steps if name not in DEFAULT_STEPS]
+    if unknown:
+        raise ValueError(f"no step {unknown[0]}")
+    kinds = routed(px, options)
     for name in options.steps:
-        if name not in DEFAULT_STEPS:
-            raise ValueError(f"no step {name}")
-        px = STEPS.get(name, lambda p, _: p)(px, options)
+        if name in STEPS:
+            px = STEPS[name](px, options, kinds)
     return px

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import numeric as nm
 from pixelloom.operators import contours, editlog, everything, graph, joins, nearest, palettes, reach, sets, windows
 from pixelloom.plans import shared
-from pixelloom.plans.image_plan import Options, features, remove_background, run_plan
+from pixelloom.plans.image_plan import Options, clean_halo, features, remove_background, routed, run_plan
 from pixelloom.sources import formats, sinks
 from pixelloom.streaming import events as ev
 
@@ -322,7 +322,8 @@ def test_remove_background(spark):
     px = spark.createDataFrame(flat + noise(rng, 1, 24, 24, 0.1), PX)
     kinds = {r.image_id: r.profile for r in features(px).collect()}
     assert kinds == {0: "logo", 1: "foto"}
-    out = remove_background(px, Options())
+    kinds = routed(px, Options())
+    out = remove_background(px, Options(), kinds)
     seen = {(r.x, r.y): r.a for r in out.where("image_id = 0 AND a > 0").collect()}
     inner = {(x, y) for y in range(60) for x in range(60) if ring(x, y)}
     edge = {(x, y) for x, y in inner if not {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} <= inner}
@@ -332,6 +333,11 @@ def test_remove_background(spark):
     soft = windows.snapped_alpha(soft, keep="rgb").withColumn("a", nm.half_up(F.col("alpha") * 255).cast("int")).select("image_id", "x", "y", *"rgb", "a")
     soft = windows.defringed(soft, 2).withColumn("a", F.expr("CASE WHEN a <= 13 THEN 0 WHEN a >= 217 THEN 255 ELSE a END"))
     assert sorted(map(tuple, out.where("image_id = 1").collect())) == sorted(map(tuple, windows.defringed(soft, 3).collect()))
+    grown = {(r.x, r.y) for r in clean_halo(out, Options(), kinds).where("image_id = 0 AND a > 0").collect()}
+    core = inner - edge
+    assert grown == core | {(x + dx, y + dy) for x, y in core for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))}
+    faint = clean_halo(out, Options(), kinds).where("image_id = 1").join(out.withColumnRenamed("a", "b4"), ["image_id", "x", "y"])
+    assert all(r.a == (0 if r.b4 <= 9 else int(r.b4 * (r.b4 - 9) / 6 + 0.5) if r.b4 < 15 else r.b4) for r in faint.collect())
 
 
 def test_enclosed_background(spark):
@@ -427,8 +433,9 @@ def test_smallest_box(spark):
 
 def test_plan(spark):
     px = raster(spark, ["......", ".####.", ".####.", ".####.", ".####.", "......"])
-    out = run_plan(px, Options(matte="crisp"))  # a graphic on a flat ground, whose outermost pixels go with the ground
+    out = run_plan(px, Options(matte="crisp", expand_edge=False))  # a graphic on a flat ground, whose outermost pixels go with the ground
     assert at(out.where("a > 0")) == {(0, 0), (1, 0), (0, 1), (1, 1)}
+    assert run_plan(px, Options(steps=("remove-bg", "auto-crop", "clean-halo"), hard_edge=True, contract=1)).where("a > 0").count() == 0
     try:
         run_plan(px, Options(steps=("nothing",)))
     except ValueError:
