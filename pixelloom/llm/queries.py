@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
+from .lexical import ranked_search
 from .media import media_digests
+from .merkle import FIELDS, TAMPERED, manifest_proofs
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -16,12 +18,15 @@ from .secrets import scan_secrets, secret_digests
 from .suffix_dedup import remove_repeats
 from .toxicity import score_toxicity
 from .url_filter import canonical, filter_urls, url_host
+from .warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixed value: a term of ranked search, as its contract defines it.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Host, path and verdict of the URL rules.
 URL_RULES = (
     ("org", "/", "allow"),
@@ -77,6 +82,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_proofs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_packing": op2_packing,
@@ -88,6 +105,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_warc": op12_warc,
+    "op13_merkle": op13_merkle,
 }
 
 def _rules_sql(index: int) -> str:
@@ -95,6 +115,33 @@ def _rules_sql(index: int) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[index]}'" for h, p, v in ordered) + " END"
 
 
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of ASCII text, four bits at a time, by a table made from the reflected polynomial."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    step = lambda crc, bits: f"xor({crc} >> 4, {table}[1 + ({bits})])"
+    low = step("c", "xor(c, b) & 15")
+    both = step(low, f"xor({low}, b >> 4) & 15")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {both}), 4294967295::BIGINT)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _climb_sql(name: str, levels: str, of: str, i: str, seed: str) -> str:
+    """A node's way up: at each level the sibling joins on its side, or the node is hashed alone."""
+    return f"""
+  SELECT {seed}
+  UNION ALL
+  SELECT f.{of}, f.{i}, f.k // 2, f.lvl + 1, (f.n + 1) // 2,
+         sha256(CASE WHEN s.node IS NULL THEN f.node WHEN f.k % 2 = 1 THEN s.node || f.node ELSE f.node || s.node END), f.proof || coalesce(s.node, '')
+  FROM {name} f LEFT JOIN {levels} s ON s.{of} IS NOT DISTINCT FROM f.{of} AND s.lvl = f.lvl AND s.i = xor(f.k, 1) WHERE f.n > 1"""
+
+
 ORACLES = {
     "op3_url_filter": rf"""
 WITH parts AS (
@@ -143,5 +190,59 @@ FROM queued q LEFT JOIN taken t USING (doc_id)
 WITH b AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
 FROM b WINDOW w AS (PARTITION BY text_sha256)
+""",
+    "op11_lexical_search": rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM documents),
+counted AS (
+  SELECT row, doc_id, len(terms) AS n, terms FROM words WHERE len(terms) > 0),
+whole AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM counted),
+tf AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM counted) GROUP BY row, term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scores AS (
+  SELECT item_id, c.doc_id, c.row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN counted c ON c.row = tf.row, whole GROUP BY item_id, c.doc_id, c.row),
+ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+""",
+    "op12_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages),
+d AS (
+  SELECT *, sha1(html) AS hex FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (k // 4)::INTEGER, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM d
+""",
+    "op13_merkle": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, sha256({" || ".join(map(_field_sql, FIELDS))}) AS leaf,
+         CASE WHEN {_crc_sql("doc_id::VARCHAR")} % {TAMPERED} = 0 THEN sha256({" || ".join(_field_sql(f if f != "n_chars" else "n_chars::HUGEINT + 1") for f in FIELDS)}) END AS changed
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS lvl, i, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, lvl, i // 2),
+subroots AS (
+  SELECT 0 AS tree, lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT tree, 0 AS lvl, i, n, node FROM subroots
+  UNION ALL
+  SELECT tree, lvl + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY tree, lvl, i // 2),
+ways AS ({_climb_sql("ways", "nodes", "lang", "i", "lang, i, i AS k, 0 AS lvl, n, coalesce(changed, leaf) AS node, '' AS proof FROM placed")}),
+climbs AS ({_climb_sql("climbs", "tops", "tree", "own", "w.tree, w.own, s.i AS k, 0 AS lvl, s.n, w.node, w.proof FROM (SELECT 0 AS tree, {'lang': lang, 'i': i} AS own, lang, node, proof FROM ways WHERE n = 1) w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang")})
+SELECT p.doc_id, p.leaf, s.node AS subroot, t.node AS root, sha256(o.proof) AS proof_sha256, o.node AS folded_root, o.node = t.node AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT node FROM tops WHERE n = 1) t ON true
+JOIN climbs o ON o.n = 1 AND o.own.i = p.i AND o.own.lang IS NOT DISTINCT FROM p.lang
 """,
 }
