@@ -1,9 +1,8 @@
-"""Edges of soft masks: refined region edges, contour segments, texture in flat dark zones, median filters, job timeouts."""
+"""Edges of soft masks: refined region edges, contour cells, texture in flat dark zones, median filters, job timeouts. Contour lines are
+in contour_lines."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,95 +44,6 @@ def contour_length(cells: DataFrame) -> DataFrame:
     return cells.groupBy(IMAGE).agg(F.sum(F.when(col("code").isin(5, 10), 2).otherwise(1)).alias("segments"))
 
 
-def contour_segments(px: DataFrame) -> DataFrame:
-    """(image_id, cy, cx, k, ax, ay, bx, by): segment k of each cell of 2 x 2 pixel centres in which alpha crosses one half, from
-    (ax, ay) to (bx, by) in pixels, placed on the cell's sides by linear interpolation and rounded to six digits. Saddle cells hold
-    two segments, which keep the side of the cell's mean together. Two cells that share a side have the same point on it."""
-    beside = lambda axis, value: F.when(F.lead(axis).over(along(axis)) == col(axis) + 1, F.lead(value).over(along(axis)))
-    rows = px.select(IMAGE, "x", "y", col("a").alias("_tl"), beside("x", "a").alias("_tr")).withColumn("_top", F.struct("_tl", "_tr"))
-    below = beside("y", "_top")
-    cells = rows.withColumn("_low", below).select(IMAGE, "x", "y", "_tl", "_tr", col("_low._tl").alias("_bl"), col("_low._tr").alias("_br"))
-    corners = ("_tl", "_tr", "_br", "_bl")
-    code = sum(((col(c) > 127.5).cast("int") * k for c, k in zip(corners[1:], (4, 2, 1), strict=True)), (col("_tl") > 127.5).cast("int") * 8)
-    cells = cells.where(" AND ".join(f"{c} IS NOT NULL" for c in corners)).withColumn("_code", code).where("_code NOT IN (0, 15)")
-    cross = lambda start, a, b: F.round(col(start) + (127.5 - col(a)) / (col(b) - col(a)), 6)
-    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    top, bottom = point(cross("x", "_tl", "_tr"), col("y")), point(cross("x", "_bl", "_br"), col("y") + 1)
-    left, right = point(col("x"), cross("y", "_tl", "_bl")), point(col("x") + 1, cross("y", "_tr", "_br"))
-    one = lambda *ends: F.array(*(F.struct(a.alias("a"), b.alias("b")) for a, b in ends))
-    full = sum((col(c) for c in corners[1:]), col("_tl")) >= 510
-    cut_left, cut_right = one((left, top), (bottom, right)), one((left, bottom), (top, right))
-    single = {(1, 14): one((left, bottom)), (2, 13): one((bottom, right)), (3, 12): one((left, right)), (4, 11): one((top, right)), (6, 9): one((top, bottom)), (7, 8): one((left, top))}
-    found = F.when(col("_code") == 5, F.when(full, cut_left).otherwise(cut_right)).when(col("_code") == 10, F.when(full, one((top, right), (left, bottom))).otherwise(cut_left))
-    for codes, segment in single.items():
-        found = found.when(col("_code").isin(*codes), segment)
-    laid = cells.select(IMAGE, col("y").alias("cy"), col("x").alias("cx"), F.posexplode(found).alias("k", "s"))
-    return laid.select(IMAGE, "cy", "cx", "k", *(col(f"s.{end}.{c}").alias(f"{end}{c}") for end in "ab" for c in "xy"))
-
-
-def _rings(segments: list[tuple[tuple[float, float], tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Lines through all segments, each used once, from points in the order in which the segments name them. A point ends at most two
-    segments, so a closed line comes whole, and an open one as its two halves from its first named point."""
-    ends: dict[tuple[float, float], list[int]] = {}
-    for i, pair in enumerate(segments):
-        for point in pair:
-            ends.setdefault(point, []).append(i)
-    free = [True] * len(segments)
-    lines = []
-    for start, around in ends.items():
-        for first in around:
-            if not free[first]:
-                continue
-            line, at, segment = [start], start, first
-            while segment is not None:
-                free[segment] = False
-                a, b = segments[segment]
-                at = b if at == a else a
-                line.append(at)
-                segment = None if at == start else next((i for i in ends[at] if free[i]), None)
-            lines.append(line)
-    return lines
-
-
-def _simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Of an open line, both ends and each point that is further than the tolerance from the chord of the part it is furthest in."""
-    keep = np.zeros(len(points), bool)
-    keep[[0, -1]] = True
-    parts = [(0, len(points) - 1)]
-    while parts:
-        low, high = parts.pop()
-        if high - low < 2:
-            continue
-        chord, off = points[high] - points[low], points[low + 1 : high] - points[low]
-        length = np.hypot(*chord)
-        away = np.abs(chord[0] * off[:, 1] - chord[1] * off[:, 0]) / length if length else np.hypot(off[:, 0], off[:, 1])
-        furthest = int(away.argmax())
-        if away[furthest] > tolerance:
-            middle = low + 1 + furthest
-            keep[middle] = True
-            parts += [(low, middle), (middle, high)]
-    return points[keep]
-
-
-def contours(segments: DataFrame, tolerance: float = 0.6) -> DataFrame:
-    """(image_id, ring, idx, x, y): the segments of each image stitched into closed lines and simplified. Lines of fewer than four
-    points, and those of which fewer than three are left, are no contours. Only an image's contour meets in one task, not its pixels."""
-    shape = pa.schema([("image_id", pa.int64()), ("ring", pa.int32()), ("idx", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
-
-    def stitch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cy", "ascending"), ("cx", "ascending"), ("k", "ascending")])
-        ax, ay, bx, by = (table.column(c).to_pylist() for c in ("ax", "ay", "bx", "by"))
-        rings = [_simplified(np.array(line if line[0] == line[-1] else [*line, line[0]]), tolerance)[:-1] for line in _rings(list(zip(zip(ax, ay), zip(bx, by)))) if len(line) >= 4]
-        rings = [r for r in rings if len(r) >= 3]
-        every = np.concatenate(rings) if rings else np.empty((0, 2))
-        number = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
-        idx = np.concatenate([np.arange(len(r)) for r in rings]) if rings else []
-        image = pa.array([key[0].as_py()] * len(every), pa.int64())
-        return pa.Table.from_arrays([image, pa.array(number, pa.int32()), pa.array(idx, pa.int32()), pa.array(every[:, 0]), pa.array(every[:, 1])], schema=shape)
-
-    return segments.groupBy(IMAGE).applyInArrow(stitch, "image_id long, ring int, idx int, x double, y double")
-
-
 def median_filtered(px: DataFrame, value: str = "a", r: int = 1) -> DataFrame:
     """(image_id, x, y, v): upper median of the box, cut at the border."""
     rows = px.withColumn("_r", F.collect_list(value).over(along("x").rangeBetween(-r, r)))

@@ -70,6 +70,9 @@ FRAMED = f"""{TILES.replace('px AS', 'tile AS')}, px AS (SELECT image_id, x, y,
   CASE WHEN image_id % 10 = 0 AND x < 3 THEN 0 ELSE 255 END AS a FROM tile)"""
 _PATCH = lambda k: "CASE (y // 40) % 5 " + " ".join(f"WHEN {i} THEN {c[k]}" for i, c in enumerate(fx.PATCH_COLORS)) + " END"
 PATCHES = f"""{SHEET.replace('px AS', 'sheet AS')}, px AS (SELECT image_id, x, y, {', '.join(f'CASE WHEN x BETWEEN 8 AND 31 AND y % 40 BETWEEN 4 AND 19 THEN {_PATCH(k)} + {c} // 32 ELSE 240 + {c} // 32 END::INT AS {c}' for k, c in enumerate('rgb'))}, 255 AS a FROM sheet)"""
+_FILL = lambda i: "CASE (p_partkey // 3) % 5 " + " ".join(f"WHEN {k} THEN " + ("NULL" if f[i] is None else f"'{f[i]}'") for k, f in enumerate(fx.FILLS)) + " END"
+_SHAPE = lambda fill: f"""CASE p_partkey % 3 WHEN 0 THEN '<path' || {fill} || ' d="M' || p_size || '"/>' WHEN 1 THEN '<circle' || {fill} || '><title>' || p_brand || '</title></circle>' ELSE '<rect' || {fill} || '/>' END"""
+DRAWINGS = f"shapes AS (SELECT p_partkey // 20 AS doc_id, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS i, {_FILL(2)} AS color, {_SHAPE(_FILL(0))} AS element, {_SHAPE(_FILL(1))} AS bare FROM part)"
 LOG = "log AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS op, ts, value FROM events)"
 LUMA = "0.299e0 * r + 0.587e0 * g + 0.114e0 * b"
 

@@ -13,6 +13,7 @@ from ..functions.color import MATTES, halo_alpha, halo_bounds, matte, over
 from ..functions.numeric import clamp, half_up
 from ..operators.aggregates import border_median, border_uniformity, bounding_box, color_cardinality
 from ..operators.reach import keyed_out
+from ..operators.resample import shrunken
 from ..operators.windows import IMAGE, defringed, defringed_by, dilated_one, eroded_alpha, guided_alpha, snapped_alpha, sobel
 from .shared import stored
 
@@ -51,7 +52,8 @@ def profile(unique_colors: Column, edge_density: Column, uniformity: Column) ->
 
 
 def features(px: DataFrame) -> DataFrame:
-    """(image_id, unique_colors, edge_density, uniformity, profile)"""
+    """(image_id, unique_colors, edge_density, uniformity, profile), as an image of ANALYSIS_SIDE pixels at most shows them."""
+    px = shrunken(px)
     edges = sobel(px).groupBy(IMAGE).agg((F.count_if(F.col("magnitude") > 48) / F.count(F.lit(1))).alias("edge_density"))
     found = px.select(IMAGE).distinct().join(color_cardinality(px), IMAGE, "left").join(edges, IMAGE, "left").join(border_uniformity(px), IMAGE, "left")
     found = found.withColumns({"unique_colors": F.coalesce("unique_colors", F.lit(0).cast("long")), "edge_density": F.coalesce("edge_density", F.lit(0.0))})
@@ -60,7 +62,8 @@ def features(px: DataFrame) -> DataFrame:
 
 def routed(px: DataFrame, options: Options) -> DataFrame:
     """(image_id, profile, flat): what decides an image's way through the steps, one row for each image."""
-    kinds = features(px).select(IMAGE, "profile", F.coalesce(F.col("uniformity") > FLAT, F.lit(False)).alias("flat"))
+    flat = border_uniformity(px).select(IMAGE, (F.col("uniformity") > FLAT).alias("_flat"))  # at full size, unlike the profile
+    kinds = features(px).select(IMAGE, "profile").join(flat, IMAGE, "left").select(IMAGE, "profile", F.coalesce("_flat", F.lit(False)).alias("flat"))
     return stored(kinds.withColumn("profile", F.lit(options.profile)) if options.profile else kinds, "routed")
 
 

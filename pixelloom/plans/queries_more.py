@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import contour_lines as cn
 from ..operators import contours as ct
 from ..operators import sets as st
 from ..sources import fixtures as fx
@@ -34,23 +35,22 @@ def contour_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.contour_length(ct.contour_cells(fx.tiles(spark, sf_dir)))
 
 
-_SIDES = """cells AS (SELECT p.image_id, p.x AS cx, p.y AS cy, p.a AS tl, r.a AS tr, d.a AS bl, e.a AS br FROM px p JOIN px r ON r.image_id = p.image_id AND r.x = p.x + 1 AND r.y = p.y
+_SIDES = """cells AS (SELECT p.image_id, p.x AS cx, p.y AS cy, [p.a, r.a, e.a, d.a] AS c FROM px p JOIN px r ON r.image_id = p.image_id AND r.x = p.x + 1 AND r.y = p.y
   JOIN px d ON d.image_id = p.image_id AND d.x = p.x AND d.y = p.y + 1 JOIN px e ON e.image_id = p.image_id AND e.x = p.x + 1 AND e.y = p.y + 1),
-sides AS (SELECT *, tl + tr + bl + br >= 510 AS full_cell, (tl >= 128)::INT * 8 + (tr >= 128)::INT * 4 + (br >= 128)::INT * 2 + (bl >= 128)::INT AS code,
-  {'x': round(cx + (127.5e0 - tl) / (tr - tl), 6), 'y': cy::DOUBLE} AS t, {'x': round(cx + (127.5e0 - bl) / (br - bl), 6), 'y': cy + 1e0} AS b,
-  {'x': cx::DOUBLE, 'y': round(cy + (127.5e0 - tl) / (bl - tl), 6)} AS l, {'x': cx + 1e0, 'y': round(cy + (127.5e0 - tr) / (br - tr), 6)} AS r FROM cells)"""
+sides AS (SELECT image_id, cx, cy, i, c[i + 1] >= 128 AS here, c[(i + 1) % 4 + 1] >= 128 AS there, list_sum(c) >= 510 AS full_cell, round((127.5e0 - c[i + 1]) / (c[(i + 1) % 4 + 1] - c[i + 1]), 12) AS t FROM cells, range(4) s(i)),
+crossed AS (SELECT *, count(*) OVER (PARTITION BY image_id, cx, cy) AS n,
+  round(CASE i WHEN 0 THEN cx + t WHEN 1 THEN cx + 1 WHEN 2 THEN cx + 1 - t ELSE cx END, 6) AS x, round(CASE i WHEN 0 THEN cy WHEN 1 THEN cy + t WHEN 2 THEN cy + 1 ELSE cy + 1 - t END, 6) AS y FROM sides WHERE here <> there)"""
 
 
-@query("", f"""WITH {TILES}, {_SIDES}, s AS (SELECT image_id, cy, cx, CASE WHEN code IN (1, 14) THEN [[l, b]] WHEN code IN (2, 13) THEN [[b, r]] WHEN code IN (3, 12) THEN [[l, r]] WHEN code IN (4, 11) THEN [[t, r]] WHEN code IN (6, 9) THEN [[t, b]] WHEN code IN (7, 8) THEN [[l, t]]
-  WHEN code = 5 AND full_cell OR code = 10 AND NOT full_cell THEN [[l, t], [b, r]] WHEN code = 5 THEN [[l, b], [t, r]] ELSE [[t, r], [l, b]] END AS s FROM sides WHERE code NOT IN (0, 15)),
-k AS (SELECT image_id, cy, cx, (i - 1)::INT AS k, s[i] AS s FROM s, unnest(range(1, len(s) + 1)) u(i)) SELECT image_id, cy, cx, k, s[1].x AS ax, s[1].y AS ay, s[2].x AS bx, s[2].y AS by FROM k""")
+@query("", f"""WITH {TILES}, {_SIDES} SELECT a.image_id, a.cy, a.cx, a.i::INT AS side, b.i::INT AS to_side, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by
+FROM crossed a JOIN crossed b ON b.image_id = a.image_id AND b.cx = a.cx AND b.cy = a.cy AND a.here AND b.there AND (a.n = 2 OR b.i = (a.i + CASE WHEN a.full_cell THEN 1 ELSE 3 END) % 4)""")
 def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ct.contour_segments(fx.tiles(spark, sf_dir))
+    return cn.segments(fx.tiles(spark, sf_dir)).drop("from_point", "to_point")
 
 
 @query("S26")
 def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ct.contours(ct.contour_segments(fx.tiles(spark, sf_dir)))
+    return cn.contours(cn.segments(fx.tiles(spark, sf_dir)))
 
 
 @query("S29", f"""WITH {TILES}, b AS (SELECT p.image_id, p.x, p.y, list_sort(list(q.a)) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)

@@ -291,7 +291,7 @@ def hex_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for c, n in zip(cl.channels_of_hex(text), "rgb", strict=True)))
 
 
-@query("F4 F5 IO12 A22", r"""WITH el AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:p|li|h1|article|nav)\b[^>]*>')) AS e FROM pages)
+@query("", r"""WITH el AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:p|li|h1|article|nav)\b[^>]*>')) AS e FROM pages)
 SELECT page_id, regexp_extract(e, '<([a-z0-9]+)', 1) AS tag, count(*) AS n FROM el GROUP BY 1, 2""")
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fx.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<(?:p|li|h1|article|nav)\b[^>]*>"), F.lit(0))).alias("e"))

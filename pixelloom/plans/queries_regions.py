@@ -44,17 +44,17 @@ def color_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.color_cardinality(fx.tiles(spark, sf_dir))
 
 
-_SOBEL = f"""l AS (SELECT image_id, x, y, {LUMA} AS l FROM px),
+SOBEL_SQL = f"""l AS (SELECT image_id, x, y, {LUMA} AS l FROM px),
 row_parts AS (SELECT image_id, x, y, lead(l) OVER w - lag(l) OVER w AS d, lag(l) OVER w + 2 * l + lead(l) OVER w AS m FROM l WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
 sobel AS (SELECT image_id, x, y, abs(lag(d) OVER h + 2 * d + lead(d) OVER h) + abs(lead(m) OVER h - lag(m) OVER h) AS magnitude FROM row_parts WINDOW h AS (PARTITION BY image_id, x ORDER BY y))"""
 
 
-@query("S1", f"WITH {TILES}, {_SOBEL} SELECT * FROM sobel WHERE magnitude IS NOT NULL")
+@query("S1", f"WITH {TILES}, {SOBEL_SQL} SELECT * FROM sobel WHERE magnitude IS NOT NULL")
 def sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.sobel(fx.tiles(spark, sf_dir))
 
 
-@query("A4", f"WITH {TILES}, {_SOBEL} SELECT image_id, count(*) FILTER (magnitude > 48)::DOUBLE / count(*) AS edge_density FROM sobel WHERE magnitude IS NOT NULL GROUP BY image_id")
+@query("A4", f"WITH {TILES}, {SOBEL_SQL} SELECT image_id, count(*) FILTER (magnitude > 48)::DOUBLE / count(*) AS edge_density FROM sobel WHERE magnitude IS NOT NULL GROUP BY image_id")
 def edge_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.sobel(fx.tiles(spark, sf_dir)).groupBy("image_id").agg((F.count_if(col("magnitude") > 48) / F.count(F.lit(1))).alias("edge_density"))
 
@@ -64,15 +64,15 @@ def border_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.border_median(fx.tiles(spark, sf_dir))
 
 
-_UNIFORM = "uniform AS (SELECT b.image_id, count(*) FILTER (sqrt(((b.r - m.r) * (b.r - m.r) + (b.g - m.g) * (b.g - m.g) + (b.b - m.b) * (b.b - m.b))::DOUBLE) < 40)::DOUBLE / count(*) AS uniformity FROM border b JOIN median m USING (image_id) GROUP BY b.image_id)"
+UNIFORM_SQL = "uniform AS (SELECT b.image_id, count(*) FILTER (sqrt(((b.r - m.r) * (b.r - m.r) + (b.g - m.g) * (b.g - m.g) + (b.b - m.b) * (b.b - m.b))::DOUBLE) < 40)::DOUBLE / count(*) AS uniformity FROM border b JOIN median m USING (image_id) GROUP BY b.image_id)"
 
 
-@query("A5 A6", f"WITH {TILES}, {MEDIAN}, {_UNIFORM} SELECT image_id, uniformity, uniformity > 0.62e0 AS flat FROM uniform")
+@query("A5 A6", f"WITH {TILES}, {MEDIAN}, {UNIFORM_SQL} SELECT image_id, uniformity, uniformity > 0.62e0 AS flat FROM uniform")
 def flat_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.border_uniformity(fx.tiles(spark, sf_dir)).withColumn("flat", col("uniformity") > 0.62)
 
 
-@query("A4 A5 PF25 PF26 O3", f"""WITH {TILES}, {MEDIAN}, {_UNIFORM}, {_SOBEL},
+@query("A4 A5 PF25 PF26 O3", f"""WITH {TILES}, {MEDIAN}, {UNIFORM_SQL}, {SOBEL_SQL},
 e AS (SELECT image_id, count(*) FILTER (magnitude > 48)::DOUBLE / count(*) AS edge_density FROM sobel WHERE magnitude IS NOT NULL GROUP BY image_id),
 c AS (SELECT image_id, count(DISTINCT {bucket_sql(4)}) FILTER (a > 16) AS unique_colors FROM px GROUP BY image_id)
 SELECT image_id, unique_colors, edge_density, uniformity, CASE WHEN uniformity >= 0.7e0 AND unique_colors <= 90 THEN 'logo' WHEN uniformity >= 0.7e0 THEN 'ilustracion'

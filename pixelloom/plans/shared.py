@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; an own folder only where that is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where that is unset, an own folder if driver and tasks are one process; on a cluster, whose
+    executors would not see it, an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pixelloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)

@@ -120,6 +120,31 @@ def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.where(inside).select("image_id", F.lit(1).alias("region_id"), "x", "y")
 
 
+#: What each drawing begins with, and the fills of its elements in turn: attribute, what is left of it without its fill, colour.
+DRAWING_HEAD = '<svg width="64" height="48"><defs><linearGradient id="g"/></defs>'
+FILLS = (
+    (' fill="#1e90ff"', "", "#1e90ff"),
+    (' style="stroke:red;fill: rgb(10, 20,30);x:1"', ' style="stroke:red;x:1"', "#0a141e"),
+    (' fill="url(#g)"', ' fill="url(#g)"', None),
+    (' fill="Red"', "", "#ff0000"),
+    ("", "", None),
+)
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, svg): a drawing for every 20 parts, an element for each; three neighbours have one fill."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    fill = F.element_at(F.array(*(F.lit(f[0]) for f in FILLS)), (F.floor(key / 3) % 5 + 1).cast("int"))
+    shape = (
+        F.when(key % 3 == 0, F.concat(F.lit("<path"), fill, F.lit(' d="M'), size, F.lit('"/>')))
+        .when(key % 3 == 1, F.concat(F.lit("<circle"), fill, F.lit("><title>"), "p_brand", F.lit("</title></circle>")))
+        .otherwise(F.concat(F.lit("<rect"), fill, F.lit("/>")))
+    )
+    docs = table(spark, sf_dir, "part").groupBy(F.floor(key / 20).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", shape.alias("s")))).alias("all"))
+    body = F.array_join(F.transform("all", lambda e: e["s"]), "\n")
+    return docs.select("doc_id", F.concat(F.lit(DRAWING_HEAD), body, F.lit("</svg>")).alias("svg"))
+
+
 def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, seq, op, event_id, ts): error is undo, signup is redo, all else an edit."""
     kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")

@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pixelloom.functions import numeric as nm
-from pixelloom.operators import contours, editlog, everything, graph, joins, nearest, palettes, reach, sets, windows
+from pixelloom.operators import contour_lines, contours, editlog, everything, graph, joins, nearest, palettes, reach, sets, windows
 from pixelloom.plans import shared
 from pixelloom.plans.image_plan import Options, clean_halo, features, remove_background, routed, run_plan
 from pixelloom.sources import formats, sinks
@@ -259,50 +259,6 @@ def test_recovered(spark):
     assert {(r.image_id, r.x, r.y): (r.r, r.g, r.b, r.a) for r in out.collect()} == wanted and taken > 5
 
 
-def test_contours(spark):
-    """Every segment is part of a line, closed ones come back whole, and what is left out is no further from the line than allowed."""
-    rng = random.Random(2)
-    blob = [(0, x, y, 0, 0, 0, max(0, min(255, 290 - 6 * ((x - 9) ** 2 + (y - 8) ** 2)))) for y in range(18) for x in range(20)]
-    rows = blob + noise(rng, 1, 12, 12) + [(2, x, y, 0, 0, 0, 255) for y in range(3) for x in range(3)]
-    segments = contours.contour_segments(spark.createDataFrame(rows, PX))
-    sides = {}
-    for r in segments.collect():
-        sides.setdefault(r.image_id, []).append(frozenset([(r.ax, r.ay), (r.bx, r.by)]))
-    assert set(sides) == {0, 1}
-
-    def lines(tolerance):
-        out = {}
-        for r in sorted(contours.contours(segments, tolerance).collect()):
-            out.setdefault((r.image_id, r.ring), []).append((r.x, r.y))
-        return out
-
-    whole = lines(-1.0)
-    steps = {i: [frozenset(pair) for (n, _), line in whole.items() if n == i for pair in zip(line, [*line[1:], line[0]])] for i in (0, 1)}
-    assert sorted(map(sorted, steps[0])) == sorted(map(sorted, sides[0])) and len([k for k in whole if k[0] == 0]) == 1
-    assert len([s for s in steps[1] if s in sides[1]]) == len({s for s in steps[1] if s in sides[1]})
-    ends = [p for s in sides[1] for p in s]
-    loose = {p for p in ends if ends.count(p) == 1}
-    assert all(p[0] in (0, 11) or p[1] in (0, 11) for p in loose)
-
-    few = lines(0.6)
-
-    def away(p, a, b):
-        dx, dy = b[0] - a[0], b[1] - a[1]
-        long = (dx * dx + dy * dy) ** 0.5
-        return abs(dx * (p[1] - a[1]) - dy * (p[0] - a[0])) / long if long else ((p[0] - a[0]) ** 2 + (p[1] - a[1]) ** 2) ** 0.5
-
-    def fewer(line):
-        if len(line) < 3:
-            return line
-        d = [away(p, line[0], line[-1]) for p in line[1:-1]]
-        k = max(range(len(d)), key=lambda i: d[i])
-        return fewer(line[: k + 2])[:-1] + fewer(line[k + 1 :]) if d[k] > 0.6 else [line[0], line[-1]]
-
-    simple = [fewer([*line, line[0]])[:-1] for _, line in sorted(whole.items())]
-    assert [line for _, line in sorted(few.items())] == [line for line in simple if len(line) >= 3]
-    assert 4 <= len(few[(0, 0)]) < len(whole[(0, 0)])
-
-
 def test_figure_mask(spark):
     """A red figure in the box takes its pink neighbours, but not theirs; a figure that leaves the box stays out."""
     colors = {"r": (200, 0, 0, 255), "p": (240, 60, 60, 255), "g": (0, 200, 0, 255), "c": (0, 0, 0, 0)}
