@@ -38,6 +38,7 @@ PIECE = 1 << 18
 QUERY_BLOCK = 512
 #: Asked terms that are sent to every task; more meet the postings by a shuffle.
 SENT_TERMS = 1 << 18
+MAX_TASKS = 1 << 14
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -325,7 +326,9 @@ def search(index: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_n - 1).cast("long"))).alias("block")
     of_shards = shards.select("shard", each, "postings", "ids")
     rows = postings.select("shard", "block", "postings", "weight", "queries", F.lit(None).cast("binary").alias("ids")).unionByName(of_shards.select("shard", "block", "postings", F.lit(0).cast("long").alias("weight"), F.array().cast("array<struct<query:long>>").alias("queries"), "ids"))
-    dealt = rows.repartition("shard", "block").sortWithinPartitions("shard", "block")
+    # a group is small but takes long to search: their number, not their bytes, decides the number of tasks
+    tasks = min(MAX_TASKS, max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards.count() * blocks_n))
+    dealt = rows.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block")
     found = dealt.mapInArrow(_searcher(n, max(terms, 1), k), "query long, key long, score long")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key")))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "key", "score")
