@@ -1,9 +1,10 @@
 """HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass 1 decides each block by link density, length and stop-word density; text
-inside navigation, headers, footers and asides is decided at once. So is text in forms and in elements whose class, id or role
-names an advert, menu, notice or comment list and nothing else, unless nothing else of the page stays; these marks end at an article
-or main element. A name that is only the end of a longer one (entry-header) makes pass 1 stricter. Pass 2 gives each ambiguous
+inside navigation, headers, footers and asides is decided at once. So is text in forms that hold less than half of the page, and in
+elements whose class, id or role names an advert, menu or notice and nothing else, or tells of comments or cookies at either end
+(user-comments, cookie-message), unless nothing else of the page stays; these marks end at an article or main element, those of comments
+do not, and an article may be a comment itself. A name that is only the end of a longer one (entry-header) makes pass 1 stricter. Pass 2 gives each ambiguous
 short block the label of its nearest decided neighbour: within an article only text passes on its label, elsewhere both do, and
 on a tie the text stays. A page without any decided block keeps its blocks. Where the articles of a page hold at least half of
 the text kept, text outside them goes; else only articles without decided text go.
@@ -42,8 +43,12 @@ NAMES = frozenset(
 PLACES = frozenset("site page top bottom left right main primary secondary global inner outer box bar list item items link links slot unit container wrapper wrap block section area body row col panel form text icon icons".split())
 NEGATED = frozenset("no non has have with without hide hides hidden show shows is not".split())
 TITLES = frozenset("header head masthead banner".split())
-#: How far an element's mark goes: a name makes pass 1 stricter, a name or form drops its blocks, a tag does so for good.
-FREE, HINTED, NAMED, TAGGED = range(4)
+#: Beginnings of words, at either end of a name, that tell reader comments or notices whatever else the name says; unless it tells a state.
+COMMENTS, NOTICES = ("comment", "disqus", "reply", "replies"), ("cookie", "consent", "gdpr")
+STATES = frozenset("open closed enabled disabled allowed count counts number off on status ping pings free".split())
+#: How far an element's mark goes: a name makes pass 1 stricter; a form drops its blocks, unless it holds most of the page; a name drops
+#: them up to an article in it, a name of comments also beyond; a tag does so for good.
+FREE, HINTED, FORMED, NAMED, COMMENTED, TAGGED = range(6)
 STOP_WORDS = frozenset(
     "the of and to in is that it was for on are as with be at by this have from or an not but which they you his her he she we their has had were been one all there who what when "
     "de la le les des du et un une en que qui est pour dans sur au aux par pas plus ne ce il elle avec sont ou son sa ses "
@@ -66,14 +71,21 @@ _EDGE = re.compile(r"^\W+|\W+$")
 def mark(tag: str, attrs: str, in_article: bool) -> int:
     if tag in BOILERPLATE or (tag == "header" and not in_article):
         return TAGGED
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body", "main"):
         return FREE
-    level = NAMED if tag == "form" else FREE
+    level = FORMED if tag == "form" else FREE
     for values in _NAMED.findall(attrs) if attrs else ():
         for token in "".join(values).lower().split():
             parts = [p for p in re.split(r"[^a-z]+", token) if p]
+            if not parts or not NEGATED.isdisjoint(parts):
+                continue
+            ends = parts[0], parts[-1]
+            told = [k for k, stems in ((COMMENTED, COMMENTS), (NAMED, NOTICES)) if any(e.startswith(s) or e.endswith((s, s + "s")) for e in ends for s in stems)]
+            if told and STATES.isdisjoint(parts):
+                level = max(level, *told)
+                continue
             named = [p for p in parts if p in NAMES and not (in_article and p in TITLES)]
-            if not named or not NEGATED.isdisjoint(parts):
+            if not named or told or tag == "article":
                 continue
             if all(p in NAMES or p in PLACES for p in parts):
                 level = max(level, NAMED)
@@ -175,11 +187,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                         pop()
                     top = stack[-1] if stack else ("", FREE, 0)
                     article = top[2]
-                    if tag in ("article", "main") and not article:
+                    if tag in ("article", "main") and not article and max(top[1], level) < COMMENTED:
                         articles += 1
                         article = articles
-                        level = mark(tag, content, True)
-                    above = FREE if tag in ("article", "main") and top[1] != TAGGED else top[1]
+                    above = FREE if tag in ("article", "main") and top[1] < COMMENTED else top[1]
                     stack.append((tag, max(above, level), article))
                     opened[tag] += 1
         token = _after(stream, go)
@@ -197,7 +208,7 @@ def _after(stream: Generator, place: int | None) -> tuple | None:
 
 def first_pass(text: str, linked: int, level: int) -> bool | None:
     """True: text, False: boilerplate, None: ambiguous."""
-    if level >= NAMED or linked > (LINKS / 2 if level else LINKS) * len(text):
+    if level >= FORMED or linked > (LINKS / 2 if level else LINKS) * len(text):
         return False
     words = text.split()
     density = sum(_EDGE.sub("", w).lower() in STOP_WORDS for w in words) / len(words)
@@ -233,11 +244,14 @@ def second_pass(labels: list[bool | None], groups: list[int]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
+    formed, open_ = (sum(len(text) for text, _, level, _ in found if level in levels) for levels in ((FORMED,), (FREE, HINTED)))
+    if formed > open_:  # a form around the page
+        found = [(text, linked, FREE if level == FORMED else level, article) for text, linked, level, article in found]
     articles = [article for *_, article in found]
     labels = [first_pass(text, linked, level) for text, linked, level, _ in found]
     kept = second_pass(labels, articles)
-    if True not in kept and any(level == NAMED for *_, level, _ in found):  # names alone don't empty a page
-        labels = [first_pass(text, linked, HINTED if level == NAMED else level) for text, linked, level, _ in found]
+    if True not in kept and any(FORMED <= level < TAGGED for *_, level, _ in found):  # names alone don't empty a page
+        labels = [first_pass(text, linked, HINTED if FORMED <= level < TAGGED else level) for text, linked, level, _ in found]
         kept = second_pass(labels, articles) if True in labels else kept
     inside, outside = (sum(len(b[0]) for b, keep in zip(found, kept, strict=True) if keep and bool(b[3]) == x) for x in (True, False))
     solid = {article for article, label in zip(articles, labels, strict=True) if label}

@@ -80,7 +80,7 @@ def generated(seed):
     def junk(inside):
         tag, attrs = rng.choice((
             ("nav", ""), ("aside", ""), ("div", 'class="ad"'), ("div", 'class="cookie-notice"'), ("div", "id=sidebar"), ("section", 'id="comments"'), ("div", 'class="share"'),
-            ("div", 'role="navigation"'), ("form", ""), ("div", 'class="newsletter box"'), ("footer", ""), *((() if inside else (("header", ""),))),
+            ("div", 'role="navigation"'), ("form", ""), ("div", 'class="newsletter box"'), ("footer", ""), ("div", 'id="user-comments"'), ("div", 'class="commentlist"'), ("div", 'class="cookie-message"'), ("section", 'class="js-consent"'), *((() if inside else (("header", ""),))),
         ))
         body = rng.choice((f"<p>{prose(30)}</p>", "".join(f"<a href='/{i}'>{prose(2)}</a> " for i in range(6)), "<ul>" + "".join(f"<li><a href=#>{rng.choice(RARE)}</a></li>" for _ in range(5)) + "</ul>"))
         return f"<{tag} {attrs} data-junk>{body}</{tag}>"
@@ -93,6 +93,11 @@ def generated(seed):
     parts.append(block(False))
     around = rng.choice(("content has-sidebar", "no-ads", "layout-nav", "with-comments", "container", "page-wrap"))
     before, after = "".join(junk(False) for _ in range(rng.randint(0, 3))), "".join(junk(False) for _ in range(rng.randint(0, 3)))
+    if rng.random() < 0.3:  # replies below the article, each an article
+        replies = "".join(f"<article class='comment depth-{i}' data-junk><p>{prose(40)}</p></article>" for i in range(3))
+        after = f"<ol class=\"comment-list\" data-junk>{replies}</ol>{after}" if rng.random() < 0.5 else replies + after
+    if rng.random() < 0.2 and "<form" not in before + after + "".join(parts):  # the whole page in a form
+        before, after = f"<form id='aspnetForm' action=x>{before}", f"{after}</form><p data-junk></p>"
     return f"<!DOCTYPE html><html><head><title>{prose(3)}</title><style>p > a {{}}</style></head><body class='home nav-open'>{before}<div class=\"{around}\"><{holder} {attrs}>{''.join(parts)}</{holder}></div>{after}</body></html>"
 
 
@@ -102,6 +107,18 @@ def test_generated_pages():
         assert main_text(page) == reference(page), seed
 
 
+def test_comments_notices_and_forms():
+    text, other = " ".join(STOPS * 4), " ".join(["or an not but which they you his"] * 6)
+    for around in ("<article class=comment>{}</article>", "<div id='user-comments'><p>{}</p></div>", "<ol class='commentlist'><li><article><p>{}</p></article></ol>", "<div class='cookie-message'>{}</div>", "<div id=comment-12><p>{}</p></div>", "<div class='GDPR_consent-text'>{}</div>"):
+        assert main_text(f"<article><p>{text}</p></article>{around.format(other)}") == text, around
+        assert main_text(f"<div><p>{text}</p></div>{around.format(other)}") == text, around
+        assert main_text(around.format(other)) == other, around  # alone on its page it stays
+    for name in ("comments-open", "no-comments", "has-comments", "comment-count-3"):
+        assert main_text(f"<div class='{name}'><p>{text}</p></div>") == text and main_text(f"<article class='{name}'><p>{text}</p></article><p>{other}</p>").startswith(text), name
+    assert main_text(f"<form id=aspnetForm><div><p>{text}</p><p>{other}</p></div></form><p>{text[:80]}</p>").startswith(f"{text}\n\n{other}")
+    assert main_text(f"<p>{text}</p><p>{text}</p><form><p>{other}</p></form>") == f"{text}\n\n{text}"
+
+
 def test_page_table_against_the_reference(spark):
     class Article(Reference):
         def handle_starttag(self, tag, attrs):
