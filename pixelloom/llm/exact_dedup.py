@@ -8,7 +8,9 @@ hits twice-filled cells only, so a row that fails the test is unique and passes
 rows (of unique ones about 1.5 %) shuffle, and grouping by the SHA-256 of the normalised text removes false positives.
 
 The filter has one to two blocks for each row, whatever the number of rows. Of these only blocks with cells hit twice are kept; they
-are broadcast up to FILTER_ROWS of them, and joined by block beyond.
+are broadcast up to FILTER_ROWS of them, and joined by block beyond: keys and digests shuffle then, each once, but never a text. What
+is read with its text are the groups of two rows or more that come out; where they are too many to be broadcast, only rows that hit a
+Bloom filter of their digests shuffle with their text.
 
 Cases: null text counts as empty, and all empty texts are one group. A null id is smaller than any other. Rows that
 repeat an id within a group share their fate in exact_dedup (all are kept if the id is the largest); drop_exact_copies
@@ -22,13 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, lowered, power_of_two, stored
+from .url_filter import possible_hits
 
 CELLS = 20
 #: Lowest bit of each counter, and the step of a block's count of texts: the eighth one overflows.
 ONES = sum(1 << 3 * i for i in range(CELLS))
 TEXT = 1 << 60
 MAX_BLOCKS = 1 << 40
+#: Rows of a filter or of a table of groups that are sent to every task (some 100 MB); larger ones are joined.
 FILTER_ROWS = 1 << 21
+#: Blocks of the filter that keeps texts from shuffling where there are more groups.
+MAX_SENT = 1 << 20
 
 
 def text_digest(text: Column) -> Column:
@@ -64,24 +70,49 @@ def flag_possible_repeats(rows: DataFrame, digest: Column, digests: DataFrame, n
     return joined.withColumn(flag, hit).drop(block_name, twice_name)
 
 
+def repeated_groups(digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, digest): the rows with the flag `maybe`, and (digest, keep, n, n_keep) of the digests that more than one row has: the
+    largest key, the number of rows, and of rows with that key."""
+    flagged = stored(flag_possible_repeats(digests, F.col("digest"), digests, digests.count(), "maybe"), "flagged")
+    each = flagged.where("maybe").groupBy("digest", "key").agg(F.count(F.lit(1)).alias("n"))
+    groups = each.groupBy("digest").agg(F.max(F.struct("key", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1")
+    return flagged, stored(groups.select("digest", F.col("top.key").alias("keep"), "n", F.col("top.n").alias("n_keep")), "groups")
+
+
+def split_by_groups(rows: DataFrame, digest: str, groups: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose digest is in none of the groups, and the others with keep, n and n_keep as a struct. Up to FILTER_ROWS groups
+    are broadcast, and no row shuffles; beyond, only rows that hit a blocked Bloom filter of the groups' digests do."""
+    packed = groups.select(F.col("digest").alias(digest), F.struct("keep", "n", "n_keep").alias(group))
+    count = groups.count()
+    if count <= FILTER_ROWS:
+        joined = rows.join(F.broadcast(packed), digest, "left")
+        return joined.where(F.col(group).isNull()).select(*rows.columns), joined.where(F.col(group).isNotNull()).select(*rows.columns, group)
+    (maybe,) = fresh(rows.columns, "maybe")
+    tested = possible_hits(rows, F.col(digest), groups, "digest", count, maybe, MAX_SENT)
+    hits = tested.where(maybe).join(packed, digest, "left")
+    straight = tested.where(~F.col(maybe)).select(*rows.columns).unionByName(hits.where(F.col(group).isNull()).select(*rows.columns))
+    return straight, hits.where(F.col(group).isNotNull()).select(*rows.columns, group)
+
+
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) of every row; of equal texts the largest key stays."""
-    digests = stored(docs.select(F.col(key).alias("key"), text_digest(F.col(text)).alias("digest")), "digests")
-    flagged = flag_possible_repeats(digests, F.col("digest"), digests, digests.count(), "maybe")
+    flagged, groups = repeated_groups(stored(docs.select(F.col(key).alias("key"), text_digest(F.col(text)).alias("digest")), "digests"))
     one = F.lit(1).cast("long")
     straight = flagged.where("NOT maybe").select("key", "digest", F.col("key").alias("keep_id"), one.alias("group_size"))
-    maybe = flagged.where("maybe").select("key", "digest")
-    groups = stored(maybe.groupBy("digest").agg(F.max("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    settled = maybe.join(groups, "digest").select("key", "digest", "keep_id", "group_size")
+    found = flagged.where("maybe").join(groups.select("digest", "keep", "n"), "digest", "left")
+    alone = F.col("n").isNull()
+    settled = found.select("key", "digest", F.when(alone, F.col("key")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", one).alias("group_size"))
     sha = F.lower(F.hex("digest"))
     return straight.unionByName(settled).select(F.col("key").alias(key), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: unique texts pass straight, the others meet by digest."""
-    digest, maybe, row = fresh(docs.columns, "digest", "maybe", "row")
-    hashed = docs.withColumn(digest, text_digest(F.col(text)))
-    flagged = flag_possible_repeats(hashed, F.col(digest), hashed.select(digest), docs.count(), maybe)
-    straight = flagged.where(~F.col(maybe)).select(*docs.columns)
-    best = flagged.where(F.col(maybe)).groupBy(digest).agg(F.max_by(F.struct(*docs.columns), F.struct(key, text)).alias(row))
-    return straight.unionByName(best.select(f"{row}.*"))
+    """The rows that stay, with all their columns. Groups are found on keys and digests alone; then a row passes straight if it is of no
+    group or the only row with its group's largest key. Where several rows have that key, one of them is taken."""
+    digest, row, group = fresh(docs.columns, "digest", "row", "group")
+    _, groups = repeated_groups(stored(docs.select(F.col(key).alias("key"), text_digest(F.col(text)).alias("digest")), "digests"))
+    straight, grouped = split_by_groups(docs.withColumn(digest, text_digest(F.col(text))), digest, groups, group)
+    largest = grouped.where(F.col(key).eqNullSafe(F.col(group)["keep"]))
+    only, several = largest.where(F.col(group)["n_keep"] == 1).select(*docs.columns), largest.where(F.col(group)["n_keep"] > 1)
+    best = several.groupBy(digest).agg(F.max_by(F.struct(*docs.columns), F.struct(key, text)).alias(row))
+    return straight.select(*docs.columns).unionByName(only).unionByName(best.select(f"{row}.*"))

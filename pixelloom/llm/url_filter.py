@@ -4,8 +4,8 @@ A small ordered rule set (host and path prefixes) decides first. Every other pag
 the listed canonical URLs; a miss is certain and passes without a shuffle, a possible hit goes to an exact join on the
 canonical URL, which removes the false positives.
 
-The filter has one row of four 64-bit words for each block, MAX_BLOCKS rows at most (40 MB), and is broadcast; lists of more
-than BROADCAST_LIST entries join it by block instead.
+The filter has one row of four 64-bit words for each block, and a block for some 16 entries, however long the list (one entry in
+10,000 is a false hit). Up to SENT_BLOCKS blocks (40 MB) it is broadcast; larger filters are joined by block.
 
 Cases: a null url or one without :// has empty host and path, fits no rule and is not listed. Repeated pages are judged each.
 Rules are few and passed by the caller; the longest host-and-path wins. Other columns are not read. Empty inputs are fine.
@@ -18,10 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, power_of_two, stored
+from .common import LOWER, UPPER, fresh, power_of_two, stored
 
-MAX_BLOCKS = 1 << 20
-BROADCAST_LIST = 1 << 24
+SENT_BLOCKS, MAX_BLOCKS = 1 << 20, 1 << 40
+ENTRIES = 16
 WORDS, BITS = 4, 2
 
 
@@ -68,21 +68,28 @@ def blocked_bloom(values: DataFrame, column: str, blocks: int) -> DataFrame:
     return values.groupBy(block.alias("_block")).agg(*(F.bit_or(w).alias(f"_w{i}") for i, w in enumerate(words)))
 
 
+def possible_hits(rows: DataFrame, value: Column, listed: DataFrame, column: str, n: int, flag: str, most: int = MAX_BLOCKS) -> DataFrame:
+    """rows plus the boolean `flag`: false means that a value is not among the n values listed in a column. most: blocks of the filter; one
+    that is cut to fewer than it needs has more false hits, but stays right."""
+    blocks = power_of_two(n / ENTRIES, 64, most)
+    names = fresh(rows.columns, "_block", *(f"_w{i}" for i in range(WORDS)))
+    bloom = blocked_bloom(listed, column, blocks).toDF(*names)
+    block, words = _masks(value, blocks)
+    tested = rows.withColumn(names[0], block).join(F.broadcast(bloom) if blocks <= SENT_BLOCKS else bloom, names[0], "left")
+    hit = F.lit(True)
+    for name, w in zip(names[1:], words, strict=True):
+        hit = hit & (F.coalesce(F.col(name), F.lit(0).cast("long")).bitwiseAND(w) == w)
+    return tested.withColumn(flag, hit).drop(*names)
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = (), key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, listed) of every page. listed: canonical URLs, in a column `canonical`."""
     entries = stored(listed.select("canonical").where("canonical IS NOT NULL").distinct(), "listed")
     n = entries.count()
-    blocks = power_of_two(n / 16, 64, MAX_BLOCKS)
-    bloom = blocked_bloom(entries, "canonical", blocks)
     u = F.col(url)
     judged = pages.select(F.col(key).alias("_key"), url_host(u).alias("host"), url_path(u).alias("path"), canonical(u).alias("canonical"))
     judged = judged.withColumns({"rule": matching_rule(F.col("host"), F.col("path"), rules, 0), "_rule_verdict": matching_rule(F.col("host"), F.col("path"), rules, 1)})
-    block, words = _masks(F.col("canonical"), blocks)
-    tested = judged.withColumn("_block", block).join(F.broadcast(bloom) if n <= BROADCAST_LIST else bloom, "_block", "left")
-    hit = F.lit(True)
-    for i, w in enumerate(words):
-        hit = hit & (F.coalesce(F.col(f"_w{i}"), F.lit(0).cast("long")).bitwiseAND(w) == w)
-    tested = tested.withColumn("_maybe", hit & F.col("rule").isNull())
+    tested = possible_hits(judged, F.col("canonical"), entries, "canonical", n, "_hit").withColumn("_maybe", F.col("_hit") & F.col("rule").isNull())
     columns = ["_key", "host", "path", "rule", "_rule_verdict"]
     missed = tested.where("NOT _maybe").select(*columns, F.lit(False).alias("listed"))
     exact = entries.withColumn("_listed", F.lit(True))

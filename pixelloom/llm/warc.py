@@ -2,8 +2,8 @@
 
 Writing: each task streams its rows into archives of its own in the shared folder, a gzip member for each record, and puts out
 where each record lies. Of equal payloads (of at least `least` bytes) the row with the largest id is the response, the others
-are revisit records without a payload. Equal payloads meet by digest behind a counting Bloom filter, so unique pages never
-shuffle, and revisits shuffle without their payload.
+are revisit records without a payload. Equal payloads are found on ids and digests, behind a counting Bloom filter; payloads stay where
+they are, unless there are too many groups to be broadcast (then those of possible groups shuffle once).
 
 Index: captures are range-sorted by (URL key with the host reversed, id) into index files. A file is a run of compressed
 blocks of BLOCK_LINES lines, and behind them its directory, the first entry of each block with its byte range; the first entries
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, stored
-from .exact_dedup import flag_possible_repeats
+from .exact_dedup import repeated_groups, split_by_groups
 from .url_filter import url_host
 from ..plans.shared import shared_folder
 
@@ -46,7 +46,7 @@ BLOCK_LINES = 2048
 FILE_BLOCKS = 4096
 #: Captures of one key and id that a lookup takes; more are looked up in slices.
 SLICE = 1 << 14
-READ_BYTES = 1 << 20
+READ_BYTES, TASK_BYTES = 1 << 20, 1 << 28
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -115,19 +115,13 @@ def judged_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """(id, url, payload, sha1, refers) of every page: payload is null in revisits, refers null in responses."""
     text = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), text.cast("binary").alias("payload"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    digests = stored(rows.where(F.octet_length("payload") >= least).select("digest"), "digests")
-    flagged = flag_possible_repeats(rows, F.col("digest"), digests, digests.count(), "maybe")
-    flagged = flagged.withColumn("maybe", F.col("maybe") & (F.octet_length("payload") >= least))
-    none = F.lit(None)
+    light = rows.where(F.octet_length("payload") >= least).select(F.col("id").alias("key"), "digest")
+    _, groups = repeated_groups(stored(light, "digests"))
+    alone, grouped = split_by_groups(rows, "digest", groups, "group")
+    none, first = F.lit(None), F.col("id").eqNullSafe(F.col("group.keep"))
     kind, sha = pages.schema[key].dataType, F.sha1("payload").alias("sha1")
-    maybe = flagged.where("maybe")
-    groups = stored(maybe.groupBy("digest").agg(F.max("id").alias("keep")), "groups")
-    straight = flagged.where("NOT maybe").select("id", "url", "payload", sha, none.cast(kind).alias("refers"))
-    keeps = groups.withColumnRenamed("digest", "of")
-    kept = maybe.join(keeps, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep"))).select("id", "url", "payload", sha, none.cast(kind).alias("refers"))
-    light = maybe.select("id", "url", "digest", sha)
-    again = light.join(keeps, F.col("digest") == F.col("of")).where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "url", none.cast("binary").alias("payload"), "sha1", F.col("keep").alias("refers"))
-    return straight.unionByName(kept).unionByName(again)
+    again = grouped.select("id", "url", F.when(first, F.col("payload")).alias("payload"), sha, F.when(~first, F.col("group.keep")).alias("refers"))
+    return alone.select("id", "url", "payload", sha, none.cast(kind).alias("refers")).unionByName(again)
 
 
 def write_archives(judged: DataFrame, folder: str) -> DataFrame:
@@ -297,8 +291,9 @@ def look_up(wanted: DataFrame, index: CaptureIndex) -> DataFrame:
     return ordered.mapInArrow(run, "file string, offset long, length long")
 
 
-def read_archives(places: DataFrame, folder: str) -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers) of the records at (file, offset, length); a revisit has no bytes of its own."""
+def read_archives(places: DataFrame, folder: str, size: int) -> DataFrame:
+    """(id, bytes, digest, kind, refers) of the records at (file, offset, length); a revisit has no bytes of its own. size: bytes of
+    all archives; a task reads some TASK_BYTES of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = _folder(folder)
@@ -322,7 +317,8 @@ def read_archives(places: DataFrame, folder: str) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "bytes", "digest", "kind", "refers"])
 
-    ordered = places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
+    ordered = places.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, "id string, bytes long, digest string, kind string, refers string")
 
 
@@ -345,9 +341,10 @@ def archived_pages(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     (key, payload_bytes, payload_digest, record_type, refers_to)."""
     folder = archive_folder(pages.sparkSession)
     captures = stored(write_archives(judged_pages(pages, key, url, html, least), folder), "captures")
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
     index = capture_index(captures, folder)
     wanted = pages.select(url_key(F.col(url)).alias("key"), id_text(F.col(key)).alias("id"))
-    records = stored(read_archives(look_up(wanted, index), folder), "records")
+    records = stored(read_archives(stored(look_up(wanted, index), "places"), folder, size), "records")
     responses, kind = records.where("kind = 'response'"), pages.schema[key].dataType
     known = responses.select(F.col("id").alias("of"), F.col("digest").alias("of_digest"), F.col("bytes").alias("full")).distinct()
     revisits = records.where("kind = 'revisit'").join(known, (F.col("refers") == F.col("of")) & (F.col("digest") == F.col("of_digest")))
