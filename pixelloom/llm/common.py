@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import shared_folder, stored
 
-__all__ = ["LOWER", "UPPER", "WORD", "fresh", "lowered", "mixed64", "power_of_two", "shared_folder", "ship", "stored"]
+__all__ = ["LOWER", "UPPER", "WORD", "Sent", "fresh", "lowered", "mixed64", "power_of_two", "shared_folder", "ship", "stored"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -24,6 +25,20 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+class Sent:
+    """An object for tasks, broadcast as bytes that hold its classes too: a broadcast of the object itself would name them only, and
+    executors without this package could not read it. value: the object, read once in each process."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self, "_value"):
+            self._value = pickle.loads(self._bytes.value)
+        return self._value
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case, all else untouched; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -7,7 +7,8 @@ digits or long hex pieces, and things that look like them (words, identifiers, d
 mail, hosts and pages), in running text. The threshold is the highest one at which at least RECALL of the held-back credentials are found.
 
 Cases: null counts as empty. Texts without candidates (every base hit of the kinds access and hex is inside one) cost one
-scan. Rows are handled one by one, whole, in Arrow batches; candidates are scored together for each batch.
+scan. Rows are handled one by one, whole, in Arrow batches; candidates are scored together, up to WINDOW_CHARS characters, and a run of
+any length in pieces that overlap, with the same score as whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Sent, ship
 from .textcnn import TextCnn
 
 #: The base patterns, least lengths (of group 2 for assign, else of the match), in the order of kinds.
@@ -40,6 +41,8 @@ _LABEL = re.compile(r"""(?:[:=]|\b(?:bearer|basic|credentials?|key|token|secret|
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")  # a run of the hex pattern that is long enough
 LEFT, RIGHT = 24, 8
 CHARS = 130
+#: Characters of candidates that wait to be scored; a longer candidate is scored on its own, in pieces.
+WINDOW_CHARS = 1 << 18
 RECALL = 0.98
 SAMPLES, EPOCHS = 4000, 7
 
@@ -66,12 +69,12 @@ def base_spans(text: str, candidates: list[re.Match]) -> list[tuple[int, int, st
 
 
 def codes(text: str) -> np.ndarray:
-    return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), CHARS - 2).astype(np.int64)
+    return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), CHARS - 2).astype(np.int16)
 
 
 def windowed(text: str, start: int, end: int) -> np.ndarray:
     """Character numbers of a candidate with its context; a number of its own stands at either border."""
-    border = np.array([CHARS - 1])
+    border = np.array([CHARS - 1], np.int16)
     return np.concatenate([codes(text[max(0, start - LEFT) : start]), border, codes(text[start:end]), border, codes(text[end : end + RIGHT])])
 
 
@@ -175,31 +178,44 @@ class SecretModel:
         self.false_rate = float((held[labels[back] == 0] >= self.threshold).mean())
 
     def logits(self, windows: list[np.ndarray]) -> np.ndarray:
-        if not windows:
-            return np.empty(0)
-        return np.concatenate([self.cnn.logits([np.concatenate(part)], np.array(list(map(len, part)))) for part in (windows[i : i + 512] for i in range(0, len(windows), 512))])
+        return self.cnn.logits([np.concatenate(windows)], np.array(list(map(len, windows)))) if windows else np.empty(0)
 
 
 def scan(texts: list[str], model: SecretModel) -> list[list[tuple[int, int, str]]]:
     """All spans of each text: the base ones, and the candidates not within one of them that the network takes."""
-    out, windows, where = [], [], []
+    out, windows, where, size = [], [], [], 0
+
+    def judge() -> None:
+        for (i, a, b), logit in zip(where, model.logits(windows), strict=True):
+            if logit >= model.threshold:
+                out[i].append((a, b, "network"))
+        windows.clear()
+        where.clear()
+
     for i, text in enumerate(texts):
         candidates = key_runs(text)
         base = base_spans(text, candidates)
-        out.append(base)
+        out.append(list(base))
+        widest = 0  # end of the base hits that begin no later: a candidate within one of them ends there at most
+        later = iter([*base, (len(text) + 1, 0, "")])
+        ahead = next(later)
         for c in candidates:
-            if not any(a <= c.start() and c.end() <= b for a, b, _ in base):
+            while ahead[0] <= c.start():
+                widest, ahead = max(widest, ahead[1]), next(later)
+            if c.end() > widest:
                 windows.append(windowed(text, *c.span()))
                 where.append((i, *c.span()))
-    for (i, a, b), logit in zip(where, model.logits(windows), strict=True):
-        if logit >= model.threshold:
-            out[i] = [*out[i], (a, b, "network")]
+                size += len(windows[-1])
+                if size > WINDOW_CHARS:
+                    judge()
+                    size = 0
+    judge()
     return [sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))) for spans in out]
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", model: SecretModel | None = None) -> DataFrame:
     """(key, spans array<struct<start, end, kind>>) of every row; code points, end exclusive."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or SecretModel())
+    shared = Sent(docs.sparkSession, model or SecretModel())
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

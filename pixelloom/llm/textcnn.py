@@ -6,6 +6,8 @@ import numpy as np
 
 from .common import ship
 
+#: Tokens that are scored at once.
+PIECE = 1 << 15
 
 class TextCnn:
     """sizes: entries of each embedding table; a token's vector is the sum over its tables. Entry `size` is padding (zero)."""
@@ -52,12 +54,34 @@ class TextCnn:
         found[padding] = -np.inf
         return vectors, found
 
+    def pooled(self, ids: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """The highest response of each filter in each text."""
+        laid, starts, padding = self.slots(ids, lengths)
+        return np.maximum.reduceat(self.responses(laid, padding)[1], starts, axis=0)
+
+    def pooled_long(self, ids: list[np.ndarray]) -> np.ndarray:
+        """As pooled, for one text, piece by piece. A piece ends with the tokens that its last filters reach into; what starts
+        there counts in the next piece, so the highest responses are those of the whole."""
+        reach, best = max(self.widths) - 1, np.full(len(self.bias), -np.inf, np.float32)
+        for first in range(0, len(ids[0]), PIECE):
+            part = [x[first : first + PIECE + reach] for x in ids]
+            laid, _, padding = self.slots(part, np.array([len(part[0])]))
+            best = np.maximum(best, self.responses(laid, padding)[1][:PIECE].max(axis=0))
+        return best
+
     def logits(self, ids: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """ids: for each table the tokens of all texts, one behind the other. Memory is bounded by PIECE tokens, whatever the texts."""
         if not len(lengths):
             return np.empty(0)
-        laid, starts, padding = self.slots(ids, lengths)
-        pooled = np.maximum.reduceat(self.responses(laid, padding)[1], starts, axis=0)
-        return (np.maximum(pooled + self.bias, 0) @ self.out + self.shift).astype(np.float64)
+        ends = np.cumsum(lengths)
+        found, first = [], 0
+        while first < len(lengths):
+            begin = ends[first] - lengths[first]
+            last = max(first + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
+            part = [x[begin : ends[last - 1]] for x in ids]
+            found.append(self.pooled_long(part)[None] if lengths[first] > PIECE else self.pooled(part, lengths[first:last]))
+            first = last
+        return (np.maximum(np.concatenate(found) + self.bias, 0) @ self.out + self.shift).astype(np.float64)
 
     def fit(self, ids: list[np.ndarray], ends: np.ndarray, labels: np.ndarray, chosen_from: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.1, seed: int = 1, least: int = 1) -> None:
         """ids: for each table the tokens of all texts, one behind the other; ends: where each text ends; chosen_from: numbers of

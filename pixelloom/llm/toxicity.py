@@ -2,7 +2,7 @@
 
 Words (runs of letters and digits, A-Z lower-cased) are hashed whole and by two prefixes; convolutions of several widths and
 max pooling over the whole text give one logit. The model is fitted on at most MAX_POSITIVE and MAX_NEGATIVE labelled
-rows of at most MAX_BYTES, chosen by a hash of the id. A part of them is held back from fitting, and on it the threshold of each language is set; the
+rows of at most MAX_BYTES, MAX_TOTAL together, chosen by a hash of the id. A part of them is held back from fitting, and on it the threshold of each language is set; the
 language is found from the text's own function words, never from a column. A score is the logistic of logit minus threshold,
 so 0.5 is the threshold in every language.
 
@@ -17,17 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, mixed64, ship
+from .common import Sent, fresh, mixed64, ship, stored
 from .minhash import text_chunks
 from .textcnn import TextCnn
 
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
 #: Longer texts are scored, but not learnt from.
 MAX_BYTES = 1 << 17
+#: Of all texts that are learnt from, together.
+MAX_TOTAL = 64 << 20
 CHUNK = 1 << 17
 WORD_BUCKETS, PREFIX_BUCKETS = 1 << 16, 1 << 14
 PREFIXES = (4, 6)
@@ -142,7 +144,8 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Fits on labelled rows whose id is not held out, MAX_POSITIVE and MAX_NEGATIVE of them at most: a sample of bounded rows and bytes."""
+    """Fits on labelled rows whose id is not held out, MAX_POSITIVE and MAX_NEGATIVE of them and MAX_TOTAL bytes at most, each text of an
+    id once."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64(F.col(key), F.lit(17))
     sample = None
@@ -151,7 +154,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         sample = part if sample is None else sample.unionByName(part)
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), content.alias("_text")).where(F.octet_length("_text") <= MAX_BYTES)
-    rows = rows.join(F.broadcast(sample.withColumnRenamed(key, "_key")), "_key").select("_key", "_y", F.xxhash64("_text").alias("_h"), "_text")
+    rows = rows.join(F.broadcast(sample.withColumnRenamed(key, "_key")), "_key").select("_key", "_y", F.xxhash64("_text").alias("_h"), F.octet_length("_text").alias("_bytes"), "_text")
+    # an id can have many rows: of these each text once, then as many rows of each label and bytes in all as are allowed
+    own = Window.orderBy(F.xxhash64("_key", F.lit(17)), "_key", "_h")
+    light = rows.select("_key", "_y", "_h", "_bytes").distinct()
+    few = None
+    for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
+        part = light.where(F.col("_y") == y).orderBy(F.xxhash64("_key", F.lit(17)), "_key", "_h").limit(most)
+        few = part if few is None else few.unionByName(part)
+    few = few.withColumn("_upto", F.sum("_bytes").over(own.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_upto") <= MAX_TOTAL)
+    chosen = stored(few.select("_key", "_h"), "sample")
+    rows = rows.join(F.broadcast(chosen), ["_key", "_h"]).dropDuplicates(["_key", "_h"]).select("_key", "_y", "_h", "_text")
     kind = docs.schema[key].dataType.simpleString()
     names = [f"t{i}" for i in range(1 + len(PREFIXES))]
 
@@ -176,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def with_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
     """docs plus the column `score`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
