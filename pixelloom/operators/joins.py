@@ -44,20 +44,38 @@ def edited(px: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.select(*AT, *(F.coalesce(f"t{c}", c).alias(c) for c in "rgb"), "a")
 
 
+def _level(width: Column, height: Column, cell: int) -> Column:
+    """The level whose cells are as large as a box: cells of level l are cell * 2 ** l wide, so the box touches four of them at most."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(width, height) / F.lit(float(cell))))).cast("int")
+
+
+def _levels(boxes: DataFrame) -> DataFrame:
+    """(_all): the levels that boxes have, in one array of some sixty numbers at most."""
+    return boxes.agg(F.coalesce(F.array_sort(F.collect_set("_l")), F.array().cast("array<int>")).alias("_all"))
+
+
+def _cell(value: Column, level: Column, cell: int) -> Column:
+    return F.floor(value / (F.lit(float(cell)) * F.pow(F.lit(2.0), level)))
+
+
 def overlapping(boxes: DataFrame, cell: int = 32, groups: tuple[str, ...] = ()) -> DataFrame:
-    """(groups, a, b, common, joint): pairs of boxes (cand_no, x0, y0, x1, y1, inclusive) that overlap, a < b. Boxes are dealt into the
-    grid cells that they cover, and a pair is put out only in the cell of its common upper left corner. groups: columns, such as
-    the image, of which boxes must have the same."""
-    span = lambda lo, hi: F.sequence(F.floor(col(lo) / cell), F.floor(col(hi) / cell))
-    dealt = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    b = dealt.select(*groups, "cx", "cy", *(col(c).alias(f"b_{c}") for c in ("cand_no", "x0", "y0", "x1", "y1")))
-    met = dealt.join(b, [*groups, "cx", "cy"]).where("cand_no < b_cand_no AND x0 <= b_x1 AND b_x0 <= x1 AND y0 <= b_y1 AND b_y0 <= y1")
+    """(groups, a, b, common, joint): pairs of boxes (cand_no, x0, y0, x1, y1, inclusive) that overlap, a < b. A box lies in the cells of its
+    own level, four at most whatever its size, and looks into the cells that it covers on its own level and on the coarser ones that
+    occur; a pair is put out only in the cell of its common upper left corner. groups: columns, such as the image, of which boxes must
+    have the same."""
+    names = ("cand_no", "x0", "y0", "x1", "y1")
+    boxes = boxes.select(*groups, *names).withColumn("_l", _level(col("x1") - col("x0") + 1, col("y1") - col("y0") + 1, cell))
+    span = lambda lo, hi: F.sequence(_cell(col(lo), col("_l"), cell), _cell(col(hi), col("_l"), cell))
+    dealt = lambda df: df.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    looking = boxes.withColumnRenamed("_l", "_own").join(F.broadcast(_levels(boxes))).withColumn("_l", F.explode(F.filter("_all", lambda v: v >= col("_own")))).drop("_all")
+    b = dealt(boxes).select(*groups, "_l", "_cx", "_cy", *(col(c).alias(f"b_{c}") for c in names))
+    met = dealt(looking).join(b, [*groups, "_l", "_cx", "_cy"]).where("x0 <= b_x1 AND b_x0 <= x1 AND y0 <= b_y1 AND b_y0 <= y1 AND (_own < _l OR cand_no < b_cand_no)")
     left, top = F.greatest("x0", "b_x0"), F.greatest("y0", "b_y0")
     width, height = F.least("x1", "b_x1") - left + 1, F.least("y1", "b_y1") - top + 1
-    own = met.where((F.floor(left / cell) == col("cx")) & (F.floor(top / cell) == col("cy")))
+    own = met.where((_cell(left, col("_l"), cell) == col("_cx")) & (_cell(top, col("_l"), cell) == col("_cy")))
     area = lambda p: (col(f"{p}x1") - col(f"{p}x0") + 1) * (col(f"{p}y1") - col(f"{p}y0") + 1)
     common = width * height
-    return own.select(*groups, col("cand_no").alias("a"), col("b_cand_no").alias("b"), common.alias("common"), (area("") + area("b_") - common).alias("joint"))
+    return own.select(*groups, F.least("cand_no", "b_cand_no").alias("a"), F.greatest("cand_no", "b_cand_no").alias("b"), common.alias("common"), (area("") + area("b_") - common).alias("joint"))
 
 
 def iou_pairs(masks: DataFrame, above: float) -> DataFrame:
@@ -86,14 +104,15 @@ def rescaled(px: DataFrame, labels: DataFrame, width: int, height: int, to_width
 
 def smallest_box(points: DataFrame, boxes: DataFrame, cell: int = 64) -> DataFrame:
     """points (px, py) with the smallest box (box_id, x0, y0, x1, y1; upper ends excluded) around each, the lower number on a tie, null
-    where there is none. Boxes are dealt into the grid cells that they cover, and a point looks in its own cell only."""
-    span = lambda lo, hi: F.sequence(F.floor(col(lo) / cell), F.floor((col(hi) - 1) / cell))
-    size = (col("x1") - col("x0")) * (col("y1") - col("y0"))
-    dealt = boxes.where(size > 0).select(size.alias("_size"), "box_id", "x0", "y0", "x1", "y1", F.explode(span("x0", "x1")).alias("_cx"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"))
-    dealt = dealt.withColumn("_cy", F.explode(span("_y0", "_y1"))).drop("_y0", "_y1")
-    places = points.select("px", "py").distinct().withColumns({"_cx": F.floor(col("px") / cell), "_cy": F.floor(col("py") / cell)})
+    where there is none. A box lies in the cells of its level, four at most, and a point looks into one cell of each level that occurs."""
+    width, height = col("x1") - col("x0"), col("y1") - col("y0")
+    boxes = boxes.where((width > 0) & (height > 0)).select((width * height).alias("_size"), "box_id", "x0", "y0", "x1", "y1", _level(width, height, cell).alias("_l"))
+    span = lambda lo, hi: F.sequence(_cell(col(lo), col("_l"), cell), _cell(col(hi) - 1, col("_l"), cell))
+    dealt = boxes.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    places = points.select("px", "py").distinct().join(F.broadcast(_levels(boxes))).withColumn("_l", F.explode("_all")).drop("_all")
+    places = places.withColumns({"_cx": _cell(col("px"), col("_l"), cell), "_cy": _cell(col("py"), col("_l"), cell)})
     inside = (col("px") >= col("x0")) & (col("px") < col("x1")) & (col("py") >= col("y0")) & (col("py") < col("y1"))
-    best = places.join(dealt, ["_cx", "_cy"]).where(inside).groupBy("px", "py").agg(F.min(F.struct("_size", "box_id")).alias("_m"))
+    best = places.join(dealt, ["_l", "_cx", "_cy"]).where(inside).groupBy("px", "py").agg(F.min(F.struct("_size", "box_id")).alias("_m"))
     return points.join(best, ["px", "py"], "left").select(*points.columns, col("_m.box_id").alias("box_id"))
 
 

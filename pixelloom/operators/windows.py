@@ -31,13 +31,44 @@ def sized(px: DataFrame) -> DataFrame:
     return px.join(sizes, IMAGE)
 
 
+#: Radius from which windows are put together from blocks; below, frames that look at each pixel of the window take less.
+WIDE = 4
+_KINDS = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def over_reach(px: DataFrame, axis: str, r: int, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """px plus, for each name of wanted, the sum, min or max of a column over the pixels at most r away along an axis: {name: (kind, column)}.
+    The cost of a pixel does not grow with r: rows are cut into blocks of 2 r + 1 pixels, and the values of a window are those from its
+    first pixel to that block's end, and from the beginning of the block in which it ends. Where that is one block, the window begins or
+    ends with what the block has of the row, and one of both is enough. Nothing is taken off again, so sums of fractions lose nothing."""
+    if r < WIDE:
+        w = along(axis).rangeBetween(-r, r)
+        return px.withColumns({name: _KINDS[kind][0](value).over(w) for name, (kind, value) in wanted.items()})
+    names, other = px.columns, "y" if axis == "x" else "x"
+    # one exchange by row serves all windows, also where the image is a constant that the optimizer leaves out
+    cut = px.withColumn("_row", F.xxhash64(IMAGE, other)).repartition("_row").withColumn("_k", F.floor(col(axis) / (2 * r + 1)))
+    block = Window.partitionBy("_row", IMAGE, other, "_k")
+    ahead, back = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (col(axis), F.desc(axis)))
+    to_here, from_here = ([f"_{side}{i}" for i in range(len(wanted))] for side in "pq")
+    cut = cut.withColumns({n: _KINDS[kind][0](value).over(back) for n, (kind, value) in zip(from_here, wanted.values(), strict=True)})
+    cut = cut.withColumns({n: _KINDS[kind][0](value).over(ahead) for n, (kind, value) in zip(to_here, wanted.values(), strict=True)} | {"_b": F.min(axis).over(ahead)})
+    row = Window.partitionBy("_row", IMAGE, other).orderBy("_k", axis)  # the order that the blocks are in already
+    every = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = cut.withColumns({"_end": F.struct("_k", *to_here), "_start": F.struct("_k", (col(axis) == col("_b")).alias("whole"), *from_here)})
+    cut = cut.withColumns({"_end": F.coalesce(F.lead("_end", r).over(row), F.last("_end").over(every)), "_start": F.coalesce(F.lag("_start", r).over(row), F.first("_start").over(every))})
+    found = {}
+    for name, (kind, _), p, q in zip(wanted, wanted.values(), to_here, from_here, strict=True):
+        begin, end = col(f"_start.{q}"), col(f"_end.{p}")
+        found[name] = F.when(col("_start._k") != col("_end._k"), _KINDS[kind][1](begin, end)).when(col("_start.whole"), end).otherwise(begin)
+    kept = [n for n in names if n not in wanted]
+    return cut.select(*kept, *(v.alias(n) for n, v in found.items()))
+
+
 def box_sums(px: DataFrame, values: list[str], r: int) -> DataFrame:
     """px plus, for each value, s_<value>: its sum over the box of radius r cut at the image's border, and n: the box's pixels."""
-    for axis in "xy":
-        w = along(axis).rangeBetween(-r, r)
-        first = axis == "x"
-        px = px.withColumns({f"s_{v}": F.sum(v if first else f"s_{v}").over(w) for v in values} | {"n": (F.count(F.lit(1)) if first else F.sum("n")).over(w)})
-    return px
+    px = px.withColumn("_1", F.lit(1).cast("long"))
+    px = over_reach(px, "x", r, {f"s_{v}": ("sum", v) for v in values} | {"n": ("sum", "_1")}).drop("_1")
+    return over_reach(px, "y", r, {f"s_{v}": ("sum", f"s_{v}") for v in values} | {"n": ("sum", "n")})
 
 
 def box_mean(px: DataFrame, value: str, r: int, out: str) -> DataFrame:
@@ -66,15 +97,15 @@ def feather(px: DataFrame, r: int) -> DataFrame:
 def eroded(px: DataFrame, value: str, r: int, out: str) -> DataFrame:
     """Least value of the box, where the outside counts as 0."""
     for axis in "xy":
-        w = along(axis).rangeBetween(-r, r)
-        px = px.withColumn(out, F.when(F.count(F.lit(1)).over(w) < 2 * r + 1, 0).otherwise(F.min(value).over(w)))
+        px = over_reach(px.withColumn("_1", F.lit(1)), axis, r, {out: ("min", value), "_n": ("sum", "_1")})
+        px = px.withColumn(out, F.when(col("_n") < 2 * r + 1, 0).otherwise(col(out))).drop("_n", "_1")
         value = out
     return px
 
 
 def dilated(px: DataFrame, value: str, r: int, out: str) -> DataFrame:
     for axis in "xy":
-        px = px.withColumn(out, F.max(value).over(along(axis).rangeBetween(-r, r)))
+        px = over_reach(px, axis, r, {out: ("max", value)})
         value = out
     return px
 
