@@ -1,31 +1,11 @@
-"""Edit logs (session, seq, op in edit / undo / redo) in batch. Undo takes back the last standing edit, redo brings back the last
-one taken back, a new edit drops what could be redone. The depth after each event is an ordered fold of a session's events."""
+"""Edit logs and progress events in batch: the last, the first, bursts, runs and statuses of each key. Undo and redo are in editlog_fold."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def replayed(log: DataFrame) -> DataFrame:
-    """(session, edits, undos, redos, standing, redoable, last_edit): state after the last event of each session."""
-    events = log.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "op"))).alias("events"))
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.array().cast("array<bigint>").alias("undone"))
-
-    def step(s: Column, e: Column) -> Column:
-        last = lambda a: F.element_at(a, -1)
-        cut = lambda a: F.slice(a, F.lit(1), F.size(a) - 1)
-        done, undone, empty = s["done"], s["undone"], F.array().cast("array<bigint>")
-        undo, redo = (e["op"] == "undo") & (F.size(done) > 0), (e["op"] == "redo") & (F.size(undone) > 0)
-        new_done = F.when(e["op"] == "edit", F.concat(done, F.array(e["seq"]))).when(undo, cut(done)).when(redo, F.concat(done, F.array(last(undone)))).otherwise(done)
-        new_undone = F.when(e["op"] == "edit", empty).when(undo, F.concat(undone, F.array(last(done)))).when(redo, cut(undone)).otherwise(undone)
-        return F.struct(new_done.alias("done"), new_undone.alias("undone"))
-
-    folded = events.withColumn("state", F.aggregate("events", start, step))
-    count = lambda op: F.size(F.filter("events", lambda e: e["op"] == op)).alias(f"{op}s")
-    return folded.select("session", count("edit"), count("undo"), count("redo"), F.size("state.done").alias("standing"), F.size("state.undone").alias("redoable"), F.try_element_at("state.done", F.lit(-1)).alias("last_edit"))
-
-
 def latest(events: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     """(key, order, values) of each key's last event: results that a later one overtook are dropped."""
     return events.groupBy(key).agg(F.max(F.struct(order, *values)).alias("m")).select(key, "m.*")

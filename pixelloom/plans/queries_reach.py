@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import editlog as ed
+from ..operators import editlog_fold as ef
 from ..operators import everything as ey
 from ..operators import reach as rc
 from ..operators import sets as st
 from ..sources import fixtures as fx
 from ..streaming import events as ev
+from ..streaming import undo as un
 from .catalogue import DECODED, FRAMED, LOG, MASKS, PATCHES, SHEET, TILES, bucket_sql, col, d2_sql, query, sql_byte, sql_half_up
 from .queries_regions import IOU
 from .shared import stored
@@ -264,15 +266,36 @@ def mask_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- edit logs and events ------------------------------------------------------------------------------------------------
 
 
-@query("ST6 ST8 D15", f"""WITH RECURSIVE {LOG}, n AS MATERIALIZED (SELECT session, seq, op, row_number() OVER (PARTITION BY session ORDER BY seq) AS k FROM log),
+_REPLAY = f"""WITH RECURSIVE {LOG}, n AS MATERIALIZED (SELECT session, seq, op, row_number() OVER (PARTITION BY session ORDER BY seq) AS k FROM log),
 f AS (SELECT DISTINCT session, 0::BIGINT AS k, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM log UNION ALL
  SELECT n.session, n.k, CASE WHEN op = 'edit' THEN list_append(done, seq) WHEN op = 'undo' AND len(done) > 0 THEN list_slice(done, 1, len(done) - 1) WHEN op = 'redo' AND len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END,
   CASE WHEN op = 'edit' THEN []::BIGINT[] WHEN op = 'undo' AND len(done) > 0 THEN list_append(undone, done[-1]) WHEN op = 'redo' AND len(undone) > 0 THEN list_slice(undone, 1, len(undone) - 1) ELSE undone END
  FROM f JOIN n ON n.session = f.session AND n.k = f.k + 1),
-e AS (SELECT session, arg_max(done, k) AS done, arg_max(undone, k) AS undone FROM f GROUP BY 1)
+e AS (SELECT session, arg_max(done, k) AS done, arg_max(undone, k) AS undone FROM f GROUP BY 1)"""
+
+
+@query("ST6 D15", f"""{_REPLAY}
 SELECT session, {', '.join(f"(SELECT count(*)::INT FROM log l WHERE l.session = e.session AND op = '{op}') AS {op}s" for op in ('edit', 'undo', 'redo'))}, len(done)::INT AS standing, len(undone)::INT AS redoable, done[-1] AS last_edit FROM e""")
 def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ed.replayed(fx.edit_log(spark, sf_dir))
+    return ef.replayed(fx.edit_log(spark, sf_dir))
+
+
+#: By turns, edits of one session go to one of two logs.
+_TAGGED = "CASE WHEN seq % 3 = 0 THEN 'palette' ELSE 'fill' END"
+_ROUTED = f"""WITH RECURSIVE {LOG}, n AS MATERIALIZED (SELECT session, seq, op, {_TAGGED} AS log, row_number() OVER (PARTITION BY session ORDER BY seq) AS k FROM log),
+f AS (SELECT DISTINCT session, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS op, []::BIGINT[] AS done, []::BIGINT[] AS undone, NULL::BIGINT AS hit FROM log UNION ALL
+ SELECT n.session, n.k, n.seq, n.op, CASE WHEN n.op = 'edit' THEN list_append(done, n.seq) WHEN n.op = 'undo' AND len(done) > 0 THEN list_slice(done, 1, len(done) - 1) WHEN n.op = 'redo' AND len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END,
+  CASE WHEN n.op = 'edit' THEN []::BIGINT[] WHEN n.op = 'undo' AND len(done) > 0 THEN list_append(undone, done[-1]) WHEN n.op = 'redo' AND len(undone) > 0 THEN list_slice(undone, 1, len(undone) - 1) ELSE undone END,
+  CASE n.op WHEN 'edit' THEN n.seq WHEN 'undo' THEN done[-1] ELSE undone[-1] END
+ FROM f JOIN n ON n.session = f.session AND n.k = f.k + 1)
+SELECT session, seq, op, CASE WHEN hit IS NOT NULL THEN {_TAGGED.replace('seq', 'hit')} END AS log, hit AS edit_seq FROM f WHERE k > 0"""
+
+
+@query("ST8", _ROUTED)
+def edit_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stack over two logs: where each undo and redo goes."""
+    log = F.when(col("seq") % 3 == 0, "palette").otherwise("fill")
+    return ef.routed(fx.edit_log(spark, sf_dir).withColumn("log", log))
 
 
 @query("ST3 ST5", "SELECT user_id AS session, max(event_id) AS seq, arg_max(event_type, event_id) AS stage FROM events GROUP BY user_id")
@@ -341,6 +364,13 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.withColumn("ts", col("ts").cast("timestamp_ntz"))
 
 
-@query("ST6 stream")
+@query("ST6 stream", f"{_REPLAY} SELECT session, len(done)::INT AS standing, len(undone)::INT AS redoable, done[-1] AS last_edit FROM e")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_to_table(ev.replayed(ev.event_stream(spark, sf_dir)), "update", "session")
+    log = F.when(col("seq") % 3 == 0, "palette").otherwise("fill")
+    return ev.run_to_table(un.replayed(ev.event_stream(spark, sf_dir).withColumn("log", log)), "update", "session")
+
+
+@query("ST8 stream", _ROUTED)
+def stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = F.when(col("seq") % 3 == 0, "palette").otherwise("fill")
+    return ev.run_to_table(un.routed(ev.event_stream(spark, sf_dir).withColumn("log", log)), "append", "session")

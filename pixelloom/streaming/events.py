@@ -3,7 +3,6 @@ operators.editlog; run_to_table() runs a stream over what is there and returns i
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -46,25 +45,6 @@ def once(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def replayed(events: DataFrame) -> DataFrame:
-    """(session, standing, redoable, last_edit) after each trigger: undo and redo on a stack kept as state for each session.
-    Events of a trigger are taken in order; triggers must come in order, as a log's files do."""
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done, undone = json.loads(state.get[0]) if state.exists else ([], [])
-        for seq, op in pd.concat(list(parts)).sort_values("seq")[["seq", "op"]].itertuples(index=False):
-            if op == "edit":
-                done, undone = [*done, int(seq)], []
-            elif op == "undo" and done:
-                undone.append(done.pop())
-            elif op == "redo" and undone:
-                done.append(undone.pop())
-        state.update((json.dumps([done, undone]),))
-        yield pd.DataFrame({"session": [key[0]], "standing": [len(done)], "redoable": [len(undone)], "last_edit": pd.array([done[-1] if done else None], "Int64")})
-
-    return events.groupBy("session").applyInPandasWithState(fold, "session long, standing int, redoable int, last_edit long", "stacks string", "update", "NoTimeout")
-
-
 def silent(events: DataFrame, key: str, limit_seconds: int, late: str = "1 minute") -> DataFrame:
     """(key, seq, answered): as operators.contours.timed_out, as soon as the watermark is past the limit; a key that never says anything
     again is told of too. Each key has its last event as state, which goes with the timeout."""

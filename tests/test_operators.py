@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pixelloom.functions import numeric as nm
-from pixelloom.operators import contour_lines, contours, editlog, everything, graph, joins, nearest, palettes, reach, sets, windows
+from pixelloom.operators import contours, everything, graph, joins, nearest, palettes, reach, sets, windows
 from pixelloom.plans import shared
 from pixelloom.plans.image_plan import Options, clean_halo, features, remove_background, routed, run_plan
 from pixelloom.sources import formats, sinks
@@ -103,33 +103,6 @@ def test_graph_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_edit_log_batch_and_stream(spark):
-    rng = random.Random(4)
-    rows = [(s, i, rng.choice(("edit", "edit", "undo", "redo"))) for i in range(300) for s in (rng.randrange(5),)]
-    wanted = {}
-    for s, i, op in rows:
-        done, undone = wanted.setdefault(s, ([], []))
-        if op == "edit":
-            done.append(i)
-            undone.clear()
-        elif op == "undo" and done:
-            undone.append(done.pop())
-        elif op == "redo" and undone:
-            done.append(undone.pop())
-    df = spark.createDataFrame(rows, "session long, seq long, op string")
-    found = {r.session: (r.standing, r.redoable, r.last_edit) for r in editlog.replayed(df).collect()}
-    assert found == {s: (len(d), len(u), d[-1] if d else None) for s, (d, u) in wanted.items()}
-
-
-def test_stream_equals_batch(spark):
-    sf = "/root/testdata/sf0.001"
-    from pixelloom.sources import fixtures as fx
-
-    batch = {r.session: (r.standing, r.redoable, r.last_edit) for r in editlog.replayed(fx.edit_log(spark, sf)).collect()}
-    stream = ev.run_to_table(ev.replayed(ev.event_stream(spark, sf)), "update", "session")
-    assert {r.session: (r.standing, r.redoable, r.last_edit) for r in stream.collect()} == batch
-
-
 def test_event_lines(spark, tmp_path):
     lines = ['{"type":"progress","stage":"a","progress":0.5}', "not json", '{"type":"other"}', '{"type":"error","code":"E"}', ""]
     (tmp_path / "in").mkdir()
