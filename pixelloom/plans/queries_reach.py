@@ -257,7 +257,7 @@ def pin_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toggled(fx.table(spark, sf_dir, "events").where("event_type = 'click'"), "user_id")
 
 
-@query("IO14 D4", f"WITH {SHEET} SELECT image_id, (y * 64 + x) // 32768 + 1 AS bucket, count(*) AS pixels FROM px WHERE a >= 128 GROUP BY 1, 2")
+@query("D4", f"WITH {SHEET} SELECT image_id, (y * 64 + x) // 32768 + 1 AS bucket, count(*) AS pixels FROM px WHERE a >= 128 GROUP BY 1, 2")
 def mask_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = fx.sheet(spark, sf_dir).where("a >= 128").select("image_id", "y", (col("x") + 1).alias("x"))  # bitmap positions start at 1
     return st.bitmap(shifted, 64).select("image_id", "bucket", F.bitmap_count("bits").alias("pixels"))

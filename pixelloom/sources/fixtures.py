@@ -145,6 +145,16 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit(DRAWING_HEAD), body, F.lit("</svg>")).alias("svg"))
 
 
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, stroke, seq, x, y, radius, hardness, flow, mode): points of four strokes over the sheet, by turns for each supplier."""
+    key = F.col("s_suppkey")
+    kind = key % 4
+    return table(spark, sf_dir, "supplier").select(
+        F.lit(0).cast("long").alias("image_id"), kind.cast("int").alias("stroke"), key.alias("seq"), (key * 37 % 64).cast("double").alias("x"), (key * 53 % 120).cast("double").alias("y"),
+        (kind * 3 + 4).cast("double").alias("radius"), (kind * 30).cast("double").alias("hardness"), F.lit(70.0).alias("flow"), F.when(kind % 2 == 1, "restore").otherwise("erase").alias("mode"),
+    )
+
+
 def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, seq, op, event_id, ts): error is undo, signup is redo, all else an edit."""
     kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
