@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import contour_lines as cn
 from ..operators import contours as ct
+from ..operators import curves as cv
 from ..operators import sets as st
 from ..sources import fixtures as fx
 from .catalogue import LOG, LUMA, SHEET, TILES, col, query, sql_half_up
 from .queries_regions import sums_sql
+from .shared import stored
 
 AT = ["image_id", "x", "y"]
 
@@ -53,6 +55,12 @@ def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cn.contours(cn.segments(fx.tiles(spark, sf_dir)))
 
 
+@query("S28")
+def contour_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubic curves, none further than half a pixel from the contours."""
+    return cv.curves(stored(cn.stitched(cn.segments(fx.tiles(spark, sf_dir))), "lines"), 0.5)
+
+
 @query("S29", f"""WITH {TILES}, b AS (SELECT p.image_id, p.x, p.y, list_sort(list(q.a)) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)
 SELECT image_id, x, y, v[len(v) // 2 + 1] AS v FROM b""")
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
