@@ -104,10 +104,14 @@ def dominant_color(px: DataFrame, groups: tuple[str, ...] = (IMAGE,), bits: int
     return best.select(*groups, "best.first.r", "best.first.g", "best.first.b", (-col("best.n")).alias("cnt"))
 
 
+#: The verdicts, and the shares of kept pixels below and above which they are given.
+VANISHED, UNTOUCHED = (0.015, "subject-vanished"), (0.985, "nothing-removed")
+
+
 def alpha_fractions(px: DataFrame) -> DataFrame:
     """(image_id, kept, translucent, verdict): shares of kept and translucent pixels, and the quality verdict."""
     shares = px.groupBy(IMAGE).agg((F.count_if(col("a") > 128) / F.count(F.lit(1))).alias("kept"), (F.count_if(col("a") < 239) / F.count(F.lit(1))).alias("translucent"))
-    return shares.withColumn("verdict", F.when(col("kept") < 0.015, "subject-vanished").when(col("kept") > 0.985, "nothing-removed").otherwise("ok"))
+    return shares.withColumn("verdict", F.when(col("kept") < VANISHED[0], VANISHED[1]).when(col("kept") > UNTOUCHED[0], UNTOUCHED[1]).otherwise("ok"))
 
 
 def channel_variance(px: DataFrame) -> DataFrame:

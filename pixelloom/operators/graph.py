@@ -1,11 +1,88 @@
-"""Fixpoints on edge tables: connected components by alternating stars, and greedy selection. Every round is a written table."""
+"""Fixpoints on edge tables: connected components by alternating stars, and greedy selection. Every round is a written table. What is left
+of at most SMALL edges, counted beforehand, is no more than a partition, and is finished by the same rule in one task."""
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.shared import discard, ship, stored
+
+#: Edges that one task takes.
+SMALL = 1 << 16
+
+
+def _key(v) -> tuple:
+    """A value so that it can be hashed, and compared as Spark does: null first, structs field by field."""
+    return (v is not None, tuple(map(_key, v.values())) if isinstance(v, dict) else v)
+
+
+def _value(k: tuple, kind: pa.DataType):
+    if k[0] and pa.types.is_struct(kind):
+        return {kind.field(i).name: _value(x, kind.field(i).type) for i, x in enumerate(k[1])}
+    return k[1]
+
+
+def _keys(column: pa.Array) -> list[tuple]:
+    return [_key(v) for v in column.to_pylist()]
+
 
-from ..plans.shared import discard, stored
+def _values(keys: list[tuple], kind: pa.DataType) -> pa.Array:
+    return pa.array([_value(k, kind) for k in keys], kind)
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (u, v): trees whose roots are their smallest nodes."""
+    parent: dict = {}
+    kind = None
+
+    def root(x):
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(_keys(batch.column(0)), _keys(batch.column(1)), strict=True):
+            a, b = sorted((root(u), root(v)))
+            parent[b] = a
+    if kind is not None:
+        nodes = [x for x in parent if root(x) != x]
+        yield pa.RecordBatch.from_arrays([_values(nodes, kind), _values([root(x) for x in nodes], kind)], names=["node", "root"])
+
+
+def _beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes that go, of all conflicts (better, worse): a node is decided when all better ones are."""
+    worse, waits, kind = defaultdict(list), defaultdict(int), None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(_keys(batch.column(0)), _keys(batch.column(1)), strict=True):
+            worse[a].append(b)
+            waits[b] += 1
+    gone, ready = set(), deque(a for a in worse if a not in waits)
+    while ready:
+        a = ready.popleft()
+        for b in worse.get(a, ()):
+            if a not in gone:
+                gone.add(b)
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([_values(list(gone), kind)], names=["node"])
+
+
+def _finished(edges: DataFrame, solve, *names: str) -> DataFrame:
+    kind = edges.schema.fields[0].dataType
+    return stored(edges.coalesce(1).mapInArrow(solve, T.StructType([T.StructField(n, kind) for n in names])), "finished")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,6 +105,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before, mark = None, _mark(now)
     while mark[0] and mark != before:
+        if mark[0] <= SMALL:
+            done = _finished(now, _roots, "node", "root")
+            discard(now)
+            return done
         last, now = now, stored(_star(_star(now, True), False).distinct(), "edges")
         discard(last)
         before, mark = mark, _mark(now)
@@ -44,6 +125,10 @@ def greedy(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     open_, conflicts = stored(every, "open"), stored(known.select("better", "worse").distinct(), "conflicts")
     chosen: list[DataFrame] = []
     while not open_.isEmpty():
+        if conflicts.count() <= SMALL:
+            chosen.append(stored(open_.join(_finished(conflicts, _beaten, "node"), "node", "left_anti"), "kept"))
+            discard(open_, conflicts)
+            break
         kept = stored(open_.join(conflicts.select(F.col("worse").alias("node")).distinct(), "node", "left_anti"), "kept")
         chosen.append(kept)
         beaten = conflicts.join(kept.withColumnRenamed("node", "better"), "better", "left_semi").select(F.col("worse").alias("node")).distinct()
@@ -58,3 +143,6 @@ def greedy(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     for part in chosen[1:]:
         kept = kept.union(part)
     return every.join(kept.withColumn("kept", F.lit(True)), "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+ship(__name__)

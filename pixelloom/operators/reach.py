@@ -18,19 +18,28 @@ def col(name: str) -> Column:
     return F.col(name)
 
 
-def labelled(px: DataFrame, label: str = "label", diagonal: bool = False) -> DataFrame:
-    """px plus comp, a struct (y, x) of each component's first pixel. Pixels of one label that touch are one component."""
+def _runs(px: DataFrame, label: str) -> DataFrame:
+    """px plus _x0, the first pixel of the run of equal labels that each pixel is in; written."""
     w = Window.partitionBy(IMAGE, "y").orderBy("x")
     fresh = F.when((F.lag("x").over(w) == col("x") - 1) & F.lag(label).over(w).eqNullSafe(col(label)), 0).otherwise(1)
-    runs = px.withColumn("_fresh", fresh).withColumn("_x0", F.max(F.when(col("_fresh") == 1, col("x"))).over(w)).drop("_fresh")
-    runs = stored(runs, "runs")
-    run = runs.groupBy(IMAGE, "y", label, "_x0").agg(F.max("x").alias("_x1"))
+    return stored(px.withColumn("_fresh", fresh).withColumn("_x0", F.max(F.when(col("_fresh") == 1, col("x"))).over(w)).drop("_fresh"), "runs")
+
+
+def _run_roots(run: DataFrame, label: str, diagonal: bool) -> DataFrame:
+    """(_image_id, _y, _x, _root): the first pixel of a run, and of its component; of runs (image_id, y, label, _x0, _x1). Runs that begin
+    their component are left out."""
     node = F.struct(col(IMAGE).alias("image_id"), col("y").alias("y"), col("_x0").alias("x"))
     reach = 1 if diagonal else 0
     below = run.select(col(IMAGE), (col("y") + 1).alias("y"), col(label), node.alias("above"), col("_x0").alias("_u0"), col("_x1").alias("_u1"))
     met = run.join(below, [IMAGE, "y", label]).where((col("_x0") <= col("_u1") + reach) & (col("_u0") <= col("_x1") + reach))
     found = components(met.select(node.alias("a"), col("above").alias("b")))
-    roots = found.select(*(col(f"node.{c}").alias(f"_{c}") for c in ("image_id", "y", "x")), F.struct("root.y", "root.x").alias("_root"))
+    return found.select(*(col(f"node.{c}").alias(f"_{c}") for c in ("image_id", "y", "x")), F.struct("root.y", "root.x").alias("_root"))
+
+
+def labelled(px: DataFrame, label: str = "label", diagonal: bool = False) -> DataFrame:
+    """px plus comp, a struct (y, x) of each component's first pixel. Pixels of one label that touch are one component."""
+    runs = _runs(px, label)
+    roots = _run_roots(runs.groupBy(IMAGE, "y", label, "_x0").agg(F.max("x").alias("_x1")), label, diagonal)
     joined = runs.join(roots, (col(IMAGE) == col("_image_id")) & (runs["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
     return joined.withColumn("comp", F.coalesce("_root", F.struct(runs["y"].alias("y"), col("_x0").alias("x")))).select(*px.columns, "comp")
 
@@ -44,18 +53,20 @@ def component_table(px: DataFrame, label: str = "label", diagonal: bool = False)
 
 def reached(px: DataFrame, seeds: Column, diagonal: bool = False) -> DataFrame:
     """Of px (all passable), the pixels whose component holds a seed."""
-    comps = stored(labelled(px.withColumn("_one", F.lit(1)).withColumn("_seed", seeds), "_one", diagonal), "comps")
-    hit = comps.where("_seed").select(IMAGE, "comp").distinct()
-    return comps.join(hit, [IMAGE, "comp"], "left_semi").select(*px.columns)
+    return with_reach(px, F.lit(True), seeds, diagonal).where("hit").select(*px.columns)
 
 
 def with_reach(px: DataFrame, passable: Column, seeds: Column, diagonal: bool = False) -> DataFrame:
-    """px plus hit: whether a pixel is passable and its component of passable pixels holds a seed. The flag comes by component, so
-    pixels are not joined with pixels."""
-    comps = stored(labelled(px.withColumn("_open", F.when(passable, 1)).withColumn("_seed", seeds), "_open", diagonal), "comps")
-    found = comps.where("_open = 1 AND _seed").select(IMAGE, "comp").distinct().withColumn("_hit", F.lit(True))
-    joined = comps.join(found, [IMAGE, "comp"], "left")
-    return joined.select(*px.columns, (col("_open").isNotNull() & F.coalesce("_hit", F.lit(False))).alias("hit"))
+    """px plus hit: whether a pixel is passable and its component of passable pixels holds a seed. Seeds, components and flags are those of
+    runs, far fewer than pixels; pixels are written once and get their run's flag."""
+    runs = _runs(px.withColumn("_open", F.when(passable, 1)).withColumn("_seed", seeds), "_open")
+    run = stored(runs.where("_open = 1").groupBy(IMAGE, "y", "_open", "_x0").agg(F.max("x").alias("_x1"), F.max("_seed").alias("_seed")), "runs")
+    roots = _run_roots(run, "_open", diagonal)
+    joined = run.join(roots, (col(IMAGE) == col("_image_id")) & (run["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
+    rooted = joined.select(IMAGE, run["y"].alias("y"), "_x0", "_seed", F.coalesce("_root", F.struct(run["y"].alias("y"), col("_x0").alias("x"))).alias("_root"))
+    found = rooted.where("_seed").select(IMAGE, "_root").distinct()
+    flags = rooted.join(found, [IMAGE, "_root"], "left_semi").select(IMAGE, "y", "_x0", F.lit(1).alias("_open"), F.lit(True).alias("_hit"))
+    return runs.join(flags, [IMAGE, "y", "_x0", "_open"], "left").select(*px.columns, F.coalesce("_hit", F.lit(False)).alias("hit"))
 
 
 def on_border(px: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from .shared import stored
 
 #: The order of the default plan.
 DEFAULT_STEPS = ("analyze", "upscale-input", "remove-bg", "clean-halo", "fix-color", "auto-crop", "bg-fill", "fix-dpi", "export")
+#: Names of the profiles, and what each of them decides.
 PROFILE_MATTES = {"logo": "crisp", "ilustracion": "medium", "producto": "medium", "foto": "soft"}
 PROFILE_DEFRINGE = {"logo": 0, "ilustracion": 1, "producto": 1, "foto": 2}
 GENTLE = ("foto",)  # profiles whose faint edges are mostly kept

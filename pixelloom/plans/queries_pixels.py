@@ -153,6 +153,7 @@ def print_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", "needed", small.alias("upscaled"), F.greatest("w", "needed").alias("width"), F.when(small, half_up(col("h") * (col("needed") / col("w")))).otherwise(col("h")).alias("height"))
 
 
+#: The codes of the warnings, in the query and its SQL.
 @query("PF19", """WITH info AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size * 10 END AS dpi, CASE WHEN p_partkey % 4 = 0 THEN 'cmyk' ELSE 'srgb' END AS space, p_partkey % 2 = 0 AS has_alpha, p_size * 40 AS width FROM part)
 SELECT p_partkey, 'W_DPI_UNKNOWN' AS code FROM info WHERE dpi IS NULL UNION ALL SELECT p_partkey, 'W_DPI_LOW' FROM info WHERE dpi < 300
 UNION ALL SELECT p_partkey, 'W_CMYK' FROM info WHERE space = 'cmyk' UNION ALL SELECT p_partkey, 'W_NO_ALPHA' FROM info WHERE NOT has_alpha UNION ALL SELECT p_partkey, 'W_SMALL' FROM info WHERE width < 1000""")

@@ -170,10 +170,12 @@ def stability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("stability", F.when(col("lo") == 0, 0.0).otherwise(col("hi") / col("lo")))
 
 
-@query("A23", "SELECT brand, members, pos FROM (SELECT p_brand AS brand, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS members, min(p_partkey) AS pos FROM part GROUP BY p_brand)")
+@query("A23", "SELECT p_brand AS brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS pos, p_partkey AS member, min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM part")
 def group_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = fx.table(spark, sf_dir, "part").groupBy(col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list("p_partkey")).alias("m"), F.min("p_partkey").alias("pos"))
-    return grouped.select("brand", F.array_join("m", ",").alias("members"), "pos")
+    """Each category's members in order, a row for each, and the category's first one, by which categories are ordered."""
+    w = Window.partitionBy("p_brand")
+    ordered = w.orderBy("p_partkey")
+    return fx.table(spark, sf_dir, "part").select(col("p_brand").alias("brand"), (F.row_number().over(ordered) - 1).alias("pos"), col("p_partkey").alias("member"), F.first("p_partkey").over(ordered).alias("first"))
 
 
 @query("A24 A25 A27b", """SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS done, sum(CAST(floor(value * 100 + 0.5e0) AS BIGINT))::BIGINT AS cents FROM events GROUP BY user_id""")

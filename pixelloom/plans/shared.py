@@ -34,6 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """The address of a new folder in the shared one, for files that tasks write themselves; it goes when the JVM ends."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return re.sub(r"^file:/+", "file:///", str(store.makeQualified(path).toString()))
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df, written and read again; executors that are lost later don't matter. The table goes by
     discard(), or when the JVM ends."""

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark import InheritableThread
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -73,7 +74,9 @@ def test_sets(spark):
     assert at(sets.minus(a, b)) == {(0, 0)} and at(sets.intersection(a, b)) == {(1, 0)}
 
 
-def test_greedy(spark):
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_greedy(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(2)
     conflicts = {(i, j) for i in range(60) for j in range(i) if rng.random() < 0.08}
     kept = []
@@ -85,7 +88,9 @@ def test_greedy(spark):
     assert sorted(r.node for r in graph.greedy(nodes, edges).where("kept").collect()) == kept
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("small", [0, 100, 1 << 16])
+def test_graph_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     root = {v: v for e in edges for v in e}
