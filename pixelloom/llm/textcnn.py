@@ -9,6 +9,7 @@ from .common import ship
 #: Tokens that are scored at once.
 PIECE = 1 << 15
 
+
 class TextCnn:
     """sizes: entries of each embedding table; a token's vector is the sum over its tables. Entry `size` is padding (zero)."""
 
@@ -43,13 +44,15 @@ class TextCnn:
         vectors = self.tables[0][laid[0]]
         for t, x in zip(self.tables[1:], laid[1:], strict=True):
             vectors += t[x]
-        parts = vectors @ self.kernel
         f, at, found = self.filters, 0, np.empty((len(vectors), len(self.bias)), np.float32)
         for i, width in enumerate(self.widths):
             s = found[:, i * f : (i + 1) * f]
-            s[:] = parts[:, at : at + f]
-            for j in range(1, width):
-                s[:-j] += parts[j:, at + j * f : at + (j + 1) * f]
+            for j in range(width):  # one place at a time, to hold no more than its part
+                part = vectors @ self.kernel[:, at + j * f : at + (j + 1) * f]
+                if j:
+                    s[:-j] += part[j:]
+                else:
+                    s[:] = part
             at += width * f
         found[padding] = -np.inf
         return vectors, found

@@ -182,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     lengths = np.diff(columns[0].offsets.to_numpy()).astype(np.int64)
     ids = [c.flatten().to_numpy() for c in columns]
     del found, columns
+    pa.default_memory_pool().release_unused()
     model = ToxicityModel()
     model.fit(ids, lengths, labels)
     return model
