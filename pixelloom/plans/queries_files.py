@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import datasource as ds
@@ -13,7 +13,11 @@ from .catalogue import TILES, col, query
 from .shared import own_folder
 
 AT = ["image_id", "x", "y"]
-_ID = F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("image_id")
+
+
+def _id() -> Column:
+    """The number that is a file's name."""
+    return F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("image_id")
 
 
 def _image_files(spark: SparkSession, sf_dir: str) -> str:
@@ -28,7 +32,7 @@ def _image_files(spark: SparkSession, sf_dir: str) -> str:
 def file_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tile as a PNG file, in folders, and back."""
     found = spark.read.format("image_pixels").load(_image_files(spark, sf_dir))
-    return found.select(_ID, "x", "y", *"rgba")
+    return found.select(_id(), "x", "y", *"rgba")
 
 
 @query("IO2 IO9", "SELECT vec_id AS image_id, 'png' AS format, 8 AS width, 8 AS height, 4 AS channels, true AS has_alpha, 'srgb' AS space, 300e0 AS dpi, true AS little FROM embeddings WHERE vec_id % 16 < 10")
@@ -36,7 +40,7 @@ def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers alone, of the files whose path the filter lets through."""
     columns = "path string, format string, width int, height int, channels int, has_alpha boolean, space string, dpi double, bytes_read long"
     found = spark.read.format("image_pixels").schema(columns).load(_image_files(spark, sf_dir)).where(col("path").rlike("/[0-9]/[0-9]+[.]png$"))
-    return found.select(_ID, "format", "width", "height", "channels", "has_alpha", "space", "dpi", (col("bytes_read") <= 2 * ds.STEP).alias("little"))
+    return found.select(_id(), "format", "width", "height", "channels", "has_alpha", "space", "dpi", (col("bytes_read") <= 2 * ds.STEP).alias("little"))
 
 
 @query("IO8", "SELECT vec_id // 64 AS image_id, (vec_id % 64)::INT AS row, (k - 1)::INT AS k, embedding[k]::DOUBLE AS v FROM embeddings, range(1, 65) t(k)")
@@ -57,5 +61,5 @@ def file_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files.mapInPandas(packed, "name string, content binary").write.format("named_files").mode("append").save(folder)
     found = spark.read.format("embedding_tensors").load(folder)
-    flat = found.select(_ID, F.posexplode("data").alias("at", "v"), F.element_at("dims", 2).alias("wide"))
+    flat = found.select(_id(), F.posexplode("data").alias("at", "v"), F.element_at("dims", 2).alias("wide"))
     return flat.select("image_id", F.floor(col("at") / col("wide")).cast("int").alias("row"), (col("at") % col("wide")).alias("k"), col("v").cast("double").alias("v"))
