@@ -140,8 +140,13 @@ def accents(px: DataFrame, palette: DataFrame, least: int = 200, share: float =
     known = large.join(palette.select(IMAGE, *(col(c).alias(f"_{c}") for c in "rgb")), IMAGE).where(d2 < 32 * 32).select(IMAGE, "comp")
     fresh = stored(large.join(known, [IMAGE, "comp"], "left_anti"), "fresh")
     node = F.struct(IMAGE, "comp").alias("node")
-    other = fresh.select(IMAGE, col("comp").alias("_comp"), *(col(c).alias(f"_{c}") for c in "rgb"))
-    clash = fresh.join(other, IMAGE).where((col("comp") < col("_comp")) & (d2 < 32 * 32))
+    # colours nearer than 32 lie in the same cell of side 32 or in one beside it
+    cells = [F.floor(col(c) / 32) for c in "rgb"]
+    other = fresh.select(IMAGE, col("comp").alias("_comp"), *(col(c).alias(f"_{c}") for c in "rgb"), *(v.alias(f"_c{c}") for c, v in zip("rgb", cells, strict=True)))
+    near = fresh
+    for c, v in zip("rgb", cells, strict=True):
+        near = near.withColumn(f"_c{c}", F.explode(F.sequence(v - 1, v + 1)))
+    clash = near.join(other, [IMAGE, "_cr", "_cg", "_cb"]).where((col("comp") < col("_comp")) & (d2 < 32 * 32))
     clash = clash.select(node.alias("better"), F.struct(col(IMAGE), col("_comp").alias("comp")).alias("worse"))
     kept = greedy(fresh.select(node, node.alias("rank")), clash).where("kept").select(f"node.{IMAGE}", "node.comp")
     return fresh.join(kept, [IMAGE, "comp"], "left_semi")
