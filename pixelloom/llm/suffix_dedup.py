@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes each byte that a long enough string covers which also starts in a document with a smaller id.
 
 Equal strings of LENGTH bytes must meet in one shard, whatever their documents. Texts are dealt by id into groups of bounded
-size, and each group, bucket and shard exchanges packed arrays, not a row for each string:
+size (all rows that repeat one id share a group, so an id must not repeat without bound), and each group, bucket and shard exchanges packed arrays, not a row for each string:
 
 1. Equal whole texts: all but the smallest id are covered throughout; only the first goes on.
 2. Every window of LENGTH bytes is represented by its anchor, the smallest hash of its GRAM-byte substrings. Groups send their
