@@ -377,7 +377,8 @@ def partition_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W6 T3 D5 IO15", f"WITH {_COVER}, n AS (SELECT cand_no, count(*) AS area FROM m GROUP BY 1), b AS (SELECT x, y, min((area, cand_no)) AS best FROM m JOIN n USING (cand_no) GROUP BY x, y) SELECT x, y, best[2] AS cand_no FROM b")
 def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jn.smallest_label(jn.box_pixels(fx.rectangles(spark, sf_dir).select("cand_no", "x0", "y0", "x1", "y1")))
+    area = (col("x1") - col("x0") + 1) * (col("y1") - col("y0") + 1)
+    return jn.smallest_label(jn.box_pixels(fx.rectangles(spark, sf_dir).select("cand_no", area.alias("area"), "x0", "y0", "x1", "y1")))
 
 
 @query("W8 T2", f"WITH {RECTANGLES} SELECT cand_no, score, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cand_no) AS k FROM boxes) WHERE k <= 256")

@@ -165,3 +165,27 @@ def test_time_does_not_grow_with_the_radius(spark):
 
     took(4)
     assert min(took(96) for _ in range(3)) < 2 * min(took(4) for _ in range(3)) + 0.5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixels_of_masks_by_hash(spark):
+    """Ties and numbers of any size; pixels are neither sorted before they meet nor sent to all tasks."""
+    big = 2**63 - 1
+    rows = [(5, 2**62, 1, 1), (2**62, 2**62, 1, 1), (big, 7, 1, 1), (3, big, 2, 2), (2, big, 2, 2), (9, -4, 3, 2), (8, -4, 3, 2), (1, -3, 3, 2)]
+    first = joins.first_of(spark.createDataFrame(rows, "cand_no long, pos long, x int, y int"))
+    assert {(r.x, r.y): r.cand_no for r in first.collect()} == {(x, y): min((p, c) for c, p, *at in rows if at == [x, y])[1] for *_, x, y in rows}
+    boxes = boxes_of(random.Random(5), 30)
+    boxes = [(c, x0 % 20, y0 % 20, x0 % 20 + (x1 - x0) % 9, y0 % 20 + (y1 - y0) % 7) for _, c, x0, y0, x1, y1 in boxes]
+    masks = joins.box_pixels(spark.createDataFrame(boxes, "cand_no long, x0 long, y0 long, x1 long, y1 long"))
+    wanted = {}
+    for c, x0, y0, x1, y1 in boxes:
+        for x in range(x0, x1 + 1):
+            for y in range(y0, y1 + 1):
+                wanted[x, y] = min(wanted.get((x, y), (big, big)), ((x1 - x0 + 1) * (y1 - y0 + 1), c))
+    smallest = joins.smallest_label(masks)
+    assert {(r.x, r.y): r.cand_no for r in smallest.collect()} == {k: c for k, (_, c) in wanted.items()}
+    for df in (first, smallest):
+        assert "SortAggregate" not in plan_of(df) and "Broadcast" not in plan_of(df)
