@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 import pytest
-from pixelloom.operators import drawings, joins, resample, windows
+from pixelloom.operators import drawings, everything, joins, resample, windows
 from pixelloom.plans.image_plan import features
 from pyspark.sql import functions as F
 
@@ -189,3 +189,32 @@ def test_pixels_of_masks_by_hash(spark):
     assert {(r.x, r.y): r.cand_no for r in smallest.collect()} == {k: c for k, (_, c) in wanted.items()}
     for df in (first, smallest):
         assert "SortAggregate" not in plan_of(df) and "Broadcast" not in plan_of(df)
+
+
+@pytest.mark.parametrize("above", [0.2, 0.45])
+def test_masks_in_blocks_and_rounds(spark, monkeypatch, above):
+    """Masks of one word and of several, in blocks and rounds of a few, against brute force; candidates for suppression are not all pairs."""
+    monkeypatch.setattr(joins, "BLOCK", 4)
+    monkeypatch.setattr(everything, "FIRST", 5)
+    rng = random.Random(11)
+    masks = {}
+    for i in range(120):
+        side, dx, dy = rng.choice([(8, 0, 0), (8, 0, 0), (8, 8, 0), (13, -3, 2)])
+        masks[i % 3, i] = {(x + dx, y + dy) for x in range(side) for y in range(side) if rng.random() < 0.6} or {(dx, dy)}
+    for i in range(120, 140):
+        masks[i % 3, i] = set(masks[i % 3, i - 120])  # copies
+    scores = {k: rng.choice([None, 0.5, 1.5, rng.random()]) for k in masks}
+    overlap = lambda a, b: len(a & b) / len(a | b)
+    kept = []
+    for key in sorted(masks, key=lambda k: (scores[k] is not None, -(scores[k] or 0), k[1])):
+        if not any(k[0] == key[0] and overlap(masks[k], masks[key]) > above for k in kept):
+            kept.append(key)
+    px = spark.createDataFrame([(*k, x, y) for k, m in masks.items() for x, y in m], "image_id long, cand_no long, x int, y int").repartition(5)
+    seen, real = [], everything.greedy
+    monkeypatch.setattr(everything, "greedy", lambda nodes, clash: seen.append(clash.count()) or real(nodes, clash))
+    found = everything.suppressed(px, spark.createDataFrame([(*k, s) for k, s in scores.items()], "image_id long, cand_no long, score double"), above)
+    assert {(r.image_id, r.cand_no): r.kept for r in found.collect()} == {k: k in kept for k in masks}
+    wanted = {(i, a, b): (len(masks[i, a] & masks[i, b]), len(masks[i, a] | masks[i, b])) for i, a in masks for j, b in masks if i == j and a < b and overlap(masks[i, a], masks[i, b]) > above}
+    rows = joins.iou_pairs(px, above).collect()
+    assert {(r.image_id, r.a, r.b): (r.common, r.joint) for r in rows} == wanted and len(rows) == len(wanted)
+    assert seen and sum(seen) < len(wanted)
