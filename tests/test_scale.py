@@ -218,3 +218,22 @@ def test_masks_in_blocks_and_rounds(spark, monkeypatch, above):
     rows = joins.iou_pairs(px, above).collect()
     assert {(r.image_id, r.a, r.b): (r.common, r.joint) for r in rows} == wanted and len(rows) == len(wanted)
     assert seen and sum(seen) < len(wanted)
+
+
+def test_equal_boxes(spark, monkeypatch):
+    """Many copies of few boxes: cells hold each different box once, and pairs come in blocks."""
+    monkeypatch.setattr(joins, "EQUAL", 3)
+    rng = random.Random(4)
+    few = [(i, x0, y0, x0 + w, y0 + h) for i, x0, y0, w, h in ((rng.randrange(2), rng.randrange(40), rng.randrange(40), rng.choice([0, 5, 70]), rng.randrange(9)) for _ in range(9))]
+    rows = [(b[0], c, *b[1:]) for c, b in enumerate(rng.choices(few, k=90))]
+    rng.shuffle(rows)
+    found = joins.overlapping(spark.createDataFrame(rows, "image_id long, cand_no long, x0 long, y0 long, x1 long, y1 long"), groups=("image_id",))
+    wanted = {}
+    for p in rows:
+        for q in rows:
+            w, h = min(p[4], q[4]) - max(p[2], q[2]) + 1, min(p[5], q[5]) - max(p[3], q[3]) + 1
+            if p[0] == q[0] and p[1] < q[1] and w > 0 and h > 0:
+                wanted[p[0], p[1], q[1]] = (w * h, sum((b[4] - b[2] + 1) * (b[5] - b[3] + 1) for b in (p, q)) - w * h)
+    got = found.collect()
+    assert {(r.image_id, r.a, r.b): (r.common, r.joint) for r in got} == wanted and len(got) == len(wanted)
+    assert "collect_list" in plan_of(found)
