@@ -1,4 +1,4 @@
-"""Fixpoints on edge tables: connected components by alternating stars, and greedy selection. Every round is a written table. What is left
+"""Fixpoints on edge tables: connected components by ranges, else alternating stars, and greedy selection. Every round is a written table. What is left
 of at most SMALL edges, counted beforehand, is no more than a partition, and is finished by the same rule in one task."""
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def _values(keys: list[tuple], kind: pa.DataType) -> pa.Array:
     return pa.array([_value(k, kind) for k in keys], kind)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of all edges (u, v): trees whose roots are their smallest nodes."""
+def _roots(batches: Iterator[pa.RecordBatch], own: bool = False) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (u, v): trees whose roots are their smallest nodes; own: with the roots themselves."""
     parent: dict = {}
     kind = None
 
@@ -55,7 +55,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = sorted((root(u), root(v)))
             parent[b] = a
     if kind is not None:
-        nodes = [x for x in parent if root(x) != x]
+        nodes = [x for x in parent if own or root(x) != x]
         yield pa.RecordBatch.from_arrays([_values(nodes, kind), _values([root(x) for x in nodes], kind)], names=["node", "root"])
 
 
@@ -88,7 +88,7 @@ def _finished(edges: DataFrame, solve, *names: str) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     near = edges.union(edges.select("v", "u")) if large else edges
     least = near.groupBy("u").agg(F.min("v").alias("least"))
-    joined = near.join(least, "u")
+    joined = near.join(least.hint("merge"), "u")  # files of nodes are far smaller than their rows
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
     else:
@@ -100,10 +100,35 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _roots() gives of a partition's edges, and the roots with themselves."""
+    return _roots(batches, True)
+
+
+def _contracted(edges: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) in ranges of v, of SMALL each: (node, root) by range, where a node that is in several has a row for each, written; and
+    the edges (a, b) between roots that such nodes have in common. Near nodes have near values, so hardly any are in several."""
+    kind = edges.schema.fields[0].dataType
+    dealt = edges.repartitionByRange(-(-count // SMALL), "v")
+    forest = stored(dealt.mapInArrow(_forest, T.StructType([T.StructField(n, kind) for n in ("node", "root")])), "forest")
+    least = forest.groupBy("node").agg(F.min("root").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return forest, forest.join(least.hint("merge"), "node").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): root is the smallest node in reach; nodes that are their own root are left out."""
+    """(node, root): root is the smallest node in reach; nodes that are their own root are left out. Of many edges each range is contracted
+    in one task, and what is left between ranges is solved in the same way; where that is not much less, by stars."""
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before, mark = None, _mark(now)
+    if mark[0] > SMALL:
+        forest, between = _contracted(now, mark[0])
+        between = stored(between.distinct(), "between")
+        if between.count() <= mark[0] // 4:
+            discard(now)
+            top = components(between).select(F.col("node").alias("least"), F.col("root").alias("_top"))
+            own = forest.groupBy("node").agg(F.min("root").alias("least"))
+            return own.join(top.hint("merge"), "least", "left").select("node", F.coalesce("_top", "least").alias("root")).where("node <> root")
+        discard(forest, between)
     while mark[0] and mark != before:
         if mark[0] <= SMALL:
             done = _finished(now, _roots, "node", "root")

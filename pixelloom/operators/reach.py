@@ -1,5 +1,6 @@
 """Reachability on rasters. Equal neighbours in a row are runs; runs of adjacent rows that touch are edges; components of that
-graph (far smaller than the pixels) are found by alternating stars. Floods are the components that hold a seed."""
+graph (far smaller than the pixels) are found by ranges of rows. Floods are the components that hold a seed. Joins of runs and pixels
+are shuffles by hint: files of coordinates are so much smaller than their rows that Spark would send them to all tasks."""
 
 from __future__ import annotations
 
@@ -31,7 +32,7 @@ def _run_roots(run: DataFrame, label: str, diagonal: bool) -> DataFrame:
     node = F.struct(col(IMAGE).alias("image_id"), col("y").alias("y"), col("_x0").alias("x"))
     reach = 1 if diagonal else 0
     below = run.select(col(IMAGE), (col("y") + 1).alias("y"), col(label), node.alias("above"), col("_x0").alias("_u0"), col("_x1").alias("_u1"))
-    met = run.join(below, [IMAGE, "y", label]).where((col("_x0") <= col("_u1") + reach) & (col("_u0") <= col("_x1") + reach))
+    met = run.join(below.hint("merge"), [IMAGE, "y", label]).where((col("_x0") <= col("_u1") + reach) & (col("_u0") <= col("_x1") + reach))
     found = components(met.select(node.alias("a"), col("above").alias("b")))
     return found.select(*(col(f"node.{c}").alias(f"_{c}") for c in ("image_id", "y", "x")), F.struct("root.y", "root.x").alias("_root"))
 
@@ -40,7 +41,7 @@ def labelled(px: DataFrame, label: str = "label", diagonal: bool = False) -> Dat
     """px plus comp, a struct (y, x) of each component's first pixel. Pixels of one label that touch are one component."""
     runs = _runs(px, label)
     roots = _run_roots(runs.groupBy(IMAGE, "y", label, "_x0").agg(F.max("x").alias("_x1")), label, diagonal)
-    joined = runs.join(roots, (col(IMAGE) == col("_image_id")) & (runs["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
+    joined = runs.join(roots.hint("merge"), (col(IMAGE) == col("_image_id")) & (runs["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
     return joined.withColumn("comp", F.coalesce("_root", F.struct(runs["y"].alias("y"), col("_x0").alias("x")))).select(*px.columns, "comp")
 
 
@@ -62,11 +63,11 @@ def with_reach(px: DataFrame, passable: Column, seeds: Column, diagonal: bool =
     runs = _runs(px.withColumn("_open", F.when(passable, 1)).withColumn("_seed", seeds), "_open")
     run = stored(runs.where("_open = 1").groupBy(IMAGE, "y", "_open", "_x0").agg(F.max("x").alias("_x1"), F.max("_seed").alias("_seed")), "runs")
     roots = _run_roots(run, "_open", diagonal)
-    joined = run.join(roots, (col(IMAGE) == col("_image_id")) & (run["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
+    joined = run.join(roots.hint("merge"), (col(IMAGE) == col("_image_id")) & (run["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
     rooted = joined.select(IMAGE, run["y"].alias("y"), "_x0", "_seed", F.coalesce("_root", F.struct(run["y"].alias("y"), col("_x0").alias("x"))).alias("_root"))
     found = rooted.where("_seed").select(IMAGE, "_root").distinct()
-    flags = rooted.join(found, [IMAGE, "_root"], "left_semi").select(IMAGE, "y", "_x0", F.lit(1).alias("_open"), F.lit(True).alias("_hit"))
-    return runs.join(flags, [IMAGE, "y", "_x0", "_open"], "left").select(*px.columns, F.coalesce("_hit", F.lit(False)).alias("hit"))
+    flags = rooted.join(found.hint("merge"), [IMAGE, "_root"], "left_semi").select(IMAGE, "y", "_x0", F.lit(1).alias("_open"), F.lit(True).alias("_hit"))
+    return runs.join(flags.hint("merge"), [IMAGE, "y", "_x0", "_open"], "left").select(*px.columns, F.coalesce("_hit", F.lit(False)).alias("hit"))
 
 
 def on_border(px: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def flood_color(px: DataFrame, seed: tuple[int, int], near: int = 12, fringe: in
     d2 = distance2([col(c) for c in "rgb"], [col(f"_{c}") for c in "rgb"])
     px = stored(px.join(at, IMAGE).withColumn("_d2", d2).select(IMAGE, "x", "y", "_d2"), "distances")
     core = reached(px.where(col("_d2") < near * near), (col("x") == seed[0]) & (col("y") == seed[1])).select(IMAGE, "x", "y", F.lit(True).alias("core"))
-    marked = px.join(core, [IMAGE, "x", "y"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    marked = px.join(core.hint("merge"), [IMAGE, "x", "y"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
     ringed = marked.withColumn("ring", touching(marked, col("core")) & ~col("core") & (col("_d2") < fringe * fringe))
     return ringed.where("core OR ring").select(IMAGE, "x", "y", "ring")
 
