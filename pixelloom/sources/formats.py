@@ -122,29 +122,72 @@ def png_file(px: np.ndarray, dpi: float | None = None) -> bytes:
     return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + density + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+#: Rows, about, that files are read and images written in at a time.
+BATCH = 1 << 16
+
+
 def decoded(found: DataFrame) -> DataFrame:
-    """(path, x, y, r, g, b, a) of PNG files, a row for each pixel."""
+    """(path, x, y, r, g, b, a) of PNG files, a row for each pixel. Small files share a batch."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths, parts, rows = [], [], 0
+
+        def table() -> pd.DataFrame:
+            flat = np.concatenate(parts)
+            names = np.repeat(np.array(paths, object), [len(p) for p in parts])
+            return pd.DataFrame({"path": names, **{c: flat[:, i] for i, c in enumerate("xyrgba")}})
+
         for b in batches:
             for path, data in zip(b["path"], b["content"], strict=True):
                 px = png_pixels(data)
                 y, x = np.mgrid[0 : px.shape[0], 0 : px.shape[1]].astype(np.int32)
-                flat = px.reshape(-1, 4).astype(np.int32)
-                yield pd.DataFrame({"path": path, "x": x.ravel(), "y": y.ravel(), **{c: flat[:, i] for i, c in enumerate("rgba")}})
+                paths.append(path)
+                parts.append(np.column_stack([x.ravel(), y.ravel(), px.reshape(-1, 4).astype(np.int32)]))
+                rows += len(parts[-1])
+                if rows >= BATCH:
+                    yield table()
+                    paths, parts, rows = [], [], 0
+        if parts:
+            yield table()
 
     return found.mapInPandas(read, "path string, x int, y int, r int, g int, b int, a int")
 
 
 def encoded(px: DataFrame, dpi: float | None = 300.0) -> DataFrame:
-    """(image_id, content): each image as a PNG; missing pixels are clear."""
+    """(image_id, content): each image as a PNG; missing pixels are clear. Images of a partition follow each other, and a task holds one."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, files, rows, last, held = [], [], 0, None, []
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1, 4), np.uint8)
-        grid[pdf["y"], pdf["x"]] = pdf[list("rgba")].to_numpy()
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "content": [png_file(grid, dpi)]})
+        def add() -> int:
+            x, y, *colors = np.concatenate(held, axis=1)
+            grid = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 4), np.uint8)
+            grid[y, x] = np.column_stack(colors)
+            ids.append(last)
+            files.append(png_file(grid, dpi))
+            return len(x)
 
-    return px.groupBy("image_id").applyInPandas(write, "image_id long, content binary")
+        for b in batches:
+            keys = b["image_id"].to_numpy()
+            values = np.stack([b[c].to_numpy() for c in "xyrgba"])
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin == end:
+                    continue
+                if held and keys[begin] != last:
+                    rows += add()
+                    held = []
+                    if rows >= BATCH:
+                        yield pd.DataFrame({"image_id": ids, "content": files})
+                        ids, files, rows = [], [], 0
+                last = int(keys[begin])
+                held.append(values[:, begin:end])
+        if held:
+            add()
+        if ids:
+            yield pd.DataFrame({"image_id": ids, "content": files})
+
+    return px.select("image_id", *"xyrgba").repartition("image_id").sortWithinPartitions("image_id").mapInPandas(write, "image_id long, content binary")
 
 
 # --- embedding files: a magic word, the header's length, a JSON header, one or two float tensors -------------------------
