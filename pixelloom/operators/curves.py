@@ -1,8 +1,10 @@
 """Cubic curves through contour lines. Lines are cut at their corners and after PART points, so that no more than a part meets in a task;
-each part is fitted by least squares on its own."""
+each part is fitted by least squares on its own, those of a batch together."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,46 +65,63 @@ def parts(lines: DataFrame) -> DataFrame:
 
 def _basis(t: np.ndarray) -> np.ndarray:
     s = 1 - t
-    return np.stack([s**3, 3 * s * s * t, 3 * s * t * t, t**3], axis=1)
+    return np.stack([s**3, 3 * s * s * t, 3 * s * t * t, t**3], axis=-1)
 
 
 def fitted(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The four control points of a cubic from the first to the last of some points, and how far each of these is from its place on it."""
-    steps = np.hypot(*np.diff(p, axis=0).T)
-    t = np.append(0, np.cumsum(steps)) / max(steps.sum(), 1e-12)
-    best = None
-    for _ in range(ROUNDS if len(p) > 2 else 1):
+    """p: (k, n, 2), k runs of n points. The four control points of a cubic from the first to the last of each, and how far each point is
+    from its place on it."""
+    k, n, _ = p.shape
+    steps = np.hypot(*np.moveaxis(np.diff(p, axis=1), 2, 0))
+    t = np.concatenate([np.zeros((k, 1)), np.cumsum(steps, axis=1)], axis=1) / np.maximum(steps.sum(axis=1), 1e-12)[:, None]
+    first, last = p[:, :1], p[:, -1:]
+    best = least = None
+    for _ in range(ROUNDS if n > 2 else 1):
         b = _basis(t)
-        rest = p - b[:, :1] * p[0] - b[:, 3:] * p[-1]
-        inner = np.linalg.lstsq(b[1:-1, 1:3], rest[1:-1], rcond=None)[0] if len(p) > 3 else p[0] + (p[-1] - p[0]) * np.array([[1], [2]]) / 3
-        control = np.vstack([p[:1], inner, p[-1:]])
+        if n > 3:
+            rest = p - b[..., :1] * first - b[..., 3:] * last
+            inner = np.stack([np.linalg.lstsq(f[1:-1, 1:3], r[1:-1], rcond=None)[0] for f, r in zip(b, rest, strict=True)])
+        else:
+            inner = first + (last - first) * np.array([[1], [2]]) / 3
+        control = np.concatenate([first, inner, last], axis=1)
         off = b @ control - p
-        away = np.hypot(*off.T)
-        if best is None or away.max() < best[1].max():
-            best = control, away
-        d = np.diff(control, axis=0)
-        s = (1 - t)[:, None]
-        speed = 3 * (s * s * d[0] + 2 * s * t[:, None] * d[1] + t[:, None] ** 2 * d[2])
-        bend = 6 * (s * (d[1] - d[0]) + t[:, None] * (d[2] - d[1]))
-        slope = (speed * speed).sum(axis=1) + (off * bend).sum(axis=1)
-        move = np.divide((off * speed).sum(axis=1), slope, out=np.zeros(len(t)), where=np.abs(slope) > 1e-12)
-        t = np.sort(np.clip(t - np.clip(move, -0.1, 0.1), 0, 1))
-        t[0], t[-1] = 0, 1
-    return best
-
-
-def fitted_within(p: np.ndarray, bound: float) -> list[tuple[int, int, np.ndarray, float]]:
-    """(first, last, control points, error) of curves through some points, one after the other, none further off than the bound."""
-    out, todo = [], [(0, len(p) - 1)]
-    while todo:
-        a, b = todo.pop()
-        control, away = fitted(p[a : b + 1])
-        if away.max() <= bound:
-            out.append((a, b, control, float(away.max())))
+        away = np.hypot(off[..., 0], off[..., 1])
+        if best is None:
+            best, least = control, away
         else:
-            middle = a + int(np.clip(away.argmax(), 1, b - a - 1))
-            todo += [(middle, b), (a, middle)]
-    return out
+            nearer = away.max(axis=1) < least.max(axis=1)
+            best, least = np.where(nearer[:, None, None], control, best), np.where(nearer[:, None], away, least)
+        d = np.diff(control, axis=1)[:, :, None]
+        s, u = (1 - t)[..., None], t[..., None]
+        speed = 3 * (s * s * d[:, 0] + 2 * s * u * d[:, 1] + u**2 * d[:, 2])
+        bend = 6 * (s * (d[:, 1] - d[:, 0]) + u * (d[:, 2] - d[:, 1]))
+        slope = (speed * speed).sum(axis=2) + (off * bend).sum(axis=2)
+        move = np.divide((off * speed).sum(axis=2), slope, out=np.zeros(t.shape), where=np.abs(slope) > 1e-12)
+        t = np.sort(np.clip(t - np.clip(move, -0.1, 0.1), 0, 1), axis=1)
+        t[:, 0], t[:, -1] = 0, 1
+    return best, least
+
+
+def fitted_within(p: np.ndarray, first: np.ndarray, last: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, control points, error) of curves through the runs of points p[first] to p[last], in the runs' order and one after the
+    other, none further off than the bound. Runs of one length are fitted together; those that are too far off are split and come again."""
+    out = []
+    while len(first):
+        size, again = last - first, []
+        for n in np.unique(size):
+            a, b = first[size == n], last[size == n]
+            control, away = fitted(p[a[:, None] + np.arange(n + 1)])
+            error = away.max(axis=1)
+            good = error <= bound
+            out.append((a[good], b[good], control[good], error[good]))
+            middle = a[~good] + np.clip(away[~good].argmax(axis=1), 1, n - 1)
+            again += [(a[~good], middle), (middle, b[~good])]
+        first, last = (np.concatenate(c) for c in zip(*again, strict=True))
+    if not out:
+        return first, last, np.zeros((0, 4, 2)), np.zeros(0)
+    every = [np.concatenate(c) for c in zip(*out, strict=True)]
+    order = np.argsort(every[0], kind="stable")
+    return tuple(c[order] for c in every)
 
 
 _NAMES = [f"{c}{i}" for i in range(4) for c in "xy"]
@@ -113,16 +132,38 @@ def curves(lines: DataFrame, bound: float = 0.5) -> DataFrame:
     in their order. Each point between from_idx and to_idx (a closed line's first point ends it too) is at most `bound` from its curve."""
     shape = pa.schema([(IMAGE, pa.int64()), ("ring", pa.int32()), ("part", pa.int64()), *((n, pa.int32()) for n in ("piece", "from_idx", "to_idx")), *((n, pa.float64()) for n in (*_NAMES, "error"))])
 
-    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        idx, points = table.column("idx").to_numpy(), np.stack([table.column(c).to_numpy() for c in "xy"], axis=1)
-        rows = []
-        for n, (a, b, control, error) in enumerate(fitted_within(points, bound) if len(points) > 1 else []):
-            rows.append((*(k.as_py() for k in key), n, int(idx[a]), int(idx[b]), *map(float, control.ravel()), error))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(shape), shape, strict=True)], schema=shape)
+    def fit(keys: list[np.ndarray], idx: np.ndarray, points: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        end = np.append(begin[1:], len(idx)) - 1
+        a, b, control, error = fitted_within(points, begin[end > begin], end[end > begin], bound)
+        own = begin[np.searchsorted(begin, a, side="right") - 1]
+        piece = np.arange(len(a)) - np.searchsorted(own, own)
+        values = (*(k[a] for k in keys), piece, idx[a], idx[b], *control.reshape(-1, 8).T, error)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, shape, strict=True)], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def columns() -> tuple[list[np.ndarray], np.ndarray]:
+            table = pa.Table.from_batches(held)
+            keys = [table.column(c).to_numpy() for c in (*LINE, "part")]
+            return [*keys, *(table.column(c).to_numpy() for c in ("idx", "x", "y"))], np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
+        def done(v: list[np.ndarray], begin: np.ndarray) -> pa.RecordBatch:
+            return fit(v[:3], v[3], np.stack(v[4:], axis=1), begin)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                v, begin = columns()
+                if len(begin) > 1:  # the last part may go on
+                    yield done([c[: begin[-1]] for c in v], begin[:-1])
+                    held = pa.Table.from_batches(held).slice(int(begin[-1])).to_batches()
+        if held:
+            yield done(*columns())
 
     schema = f"{IMAGE} long, ring int, part long, piece int, from_idx int, to_idx int, {', '.join(f'{n} double' for n in _NAMES)}, error double"
-    return parts(lines).groupBy(*LINE, "part").applyInArrow(fit, schema)
+    key = [*LINE, "part"]
+    return parts(lines).repartition(*key).sortWithinPartitions(*key, "idx").mapInArrow(run, schema)
 
 
 ship(__name__)

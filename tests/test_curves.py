@@ -63,3 +63,26 @@ def test_curves_of_contours(spark):
 
 def test_no_lines(spark):
     assert cv.curves(spark.createDataFrame([], LINES)).collect() == []
+
+
+def test_parts_of_a_batch_are_fitted_together(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    runs = [np.cumsum(rng.random((int(n), 2)), axis=0) for n in rng.integers(2, 12, 600)]
+    begin = np.cumsum([0] + [len(p) for p in runs[:-1]])
+    calls, fit = [], cv.fitted
+    monkeypatch.setattr(cv, "fitted", lambda p: calls.append(p.shape) or fit(p))
+    first, last, control, error = cv.fitted_within(np.concatenate(runs), begin, begin + [len(p) - 1 for p in runs], 0.2)
+    assert len(calls) < 70 and sum(k for k, *_ in calls) > 1000  # one call for each length and round, not for each run
+    alone = [cv.fitted_within(p, np.array([0]), np.array([len(p) - 1]), 0.2) for p in runs]
+    assert [list(first), list(last)] == [[i + b for b, r in zip(begin, alone) for i in r[k]] for k in (0, 1)]
+    assert np.array_equal(control, np.concatenate([r[2] for r in alone])) and np.array_equal(error, np.concatenate([r[3] for r in alone]))
+
+
+def test_parts_that_go_on_in_the_next_batch(spark):
+    df = spark.createDataFrame(lines(), LINES).repartition(3).persist()
+    whole = sorted(cv.curves(df).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(cv.curves(df).collect()) == whole and len(whole) > 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
