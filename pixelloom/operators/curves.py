@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import ship
+from .batches import whole_groups
 from .windows import IMAGE
 
 LINE = [IMAGE, "ring"]
@@ -132,37 +133,18 @@ def curves(lines: DataFrame, bound: float = 0.5) -> DataFrame:
     in their order. Each point between from_idx and to_idx (a closed line's first point ends it too) is at most `bound` from its curve."""
     shape = pa.schema([(IMAGE, pa.int64()), ("ring", pa.int32()), ("part", pa.int64()), *((n, pa.int32()) for n in ("piece", "from_idx", "to_idx")), *((n, pa.float64()) for n in (*_NAMES, "error"))])
 
-    def fit(keys: list[np.ndarray], idx: np.ndarray, points: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
-        end = np.append(begin[1:], len(idx)) - 1
-        a, b, control, error = fitted_within(points, begin[end > begin], end[end > begin], bound)
-        own = begin[np.searchsorted(begin, a, side="right") - 1]
-        piece = np.arange(len(a)) - np.searchsorted(own, own)
-        values = (*(k[a] for k in keys), piece, idx[a], idx[b], *control.reshape(-1, 8).T, error)
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, shape, strict=True)], schema=shape)
+    key = [*LINE, "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def columns() -> tuple[list[np.ndarray], np.ndarray]:
-            table = pa.Table.from_batches(held)
-            keys = [table.column(c).to_numpy() for c in (*LINE, "part")]
-            return [*keys, *(table.column(c).to_numpy() for c in ("idx", "x", "y"))], np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
-
-        def done(v: list[np.ndarray], begin: np.ndarray) -> pa.RecordBatch:
-            return fit(v[:3], v[3], np.stack(v[4:], axis=1), begin)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                v, begin = columns()
-                if len(begin) > 1:  # the last part may go on
-                    yield done([c[: begin[-1]] for c in v], begin[:-1])
-                    held = pa.Table.from_batches(held).slice(int(begin[-1])).to_batches()
-        if held:
-            yield done(*columns())
+        for v, begin in whole_groups(batches, key):
+            end = np.append(begin[1:], len(v["idx"])) - 1
+            a, b, control, error = fitted_within(np.stack([v["x"], v["y"]], axis=1), begin[end > begin], end[end > begin], bound)
+            own = begin[np.searchsorted(begin, a, side="right") - 1]
+            piece = np.arange(len(a)) - np.searchsorted(own, own)
+            values = (*(v[k][a] for k in key), piece, v["idx"][a], v["idx"][b], *control.reshape(-1, 8).T, error)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, shape, strict=True)], schema=shape)
 
     schema = f"{IMAGE} long, ring int, part long, piece int, from_idx int, to_idx int, {', '.join(f'{n} double' for n in _NAMES)}, error double"
-    key = [*LINE, "part"]
     return parts(lines).repartition(*key).sortWithinPartitions(*key, "idx").mapInArrow(run, schema)
 
 

@@ -93,3 +93,29 @@ def test_lines_and_contours(spark, seed):
 def test_no_contours(spark):
     empty = cl.segments(spark.createDataFrame([], PX))
     assert cl.contours(empty).collect() == []
+
+
+def test_small_images_take_no_rounds(spark, monkeypatch):
+    """Tables written on the way: one, however long the lines are."""
+    written = []
+    monkeypatch.setattr(cl, "stored", lambda df, name="step", store=cl.stored: written.append(name) or store(df, name))
+    found = cl.segments(spark.createDataFrame(images(random.Random(3), 20), PX).repartition(3))
+    assert cl.contours(found).count() > 40 and len(written) <= 2
+
+
+@pytest.mark.parametrize("block", [2, 3, 8])
+def test_lines_that_cross_blocks(spark, monkeypatch, block):
+    rows = images(random.Random(block), 20)
+    rows += [(100, x, y, 0, 0, 0, 255 * (x % 4 == 1 or y % 6 == 2)) for y in range(-9, 12) for x in range(-7, 9)]  # also left of and above 0
+    found = cl.stored(cl.segments(spark.createDataFrame(rows, PX).repartition(3)))
+    wanted = {(r.image_id, r.ring, r.idx): (r.x, r.y, r.closed) for r in cl.stitched(found).collect()}
+    simple = sorted(cl.contours(found).collect())
+    for image in (0, 3, 100):
+        lines = brute_lines({(r[1], r[2]): r[6] for r in rows if r[0] == image})
+        assert {k[1:]: v for k, v in wanted.items() if k[0] == image} == {(ring, i): (*p, closed) for ring, (line, closed) in enumerate(lines) for i, p in enumerate(line)}
+    monkeypatch.setattr(cl, "BLOCK", block)
+    monkeypatch.setattr(cl, "LONG", 9)
+    lines = cl.stored(cl.stitched(found))
+    assert lines.where("idx >= 9").count() > 0
+    assert {(r.image_id, r.ring, r.idx): (r.x, r.y, r.closed) for r in lines.collect()} == wanted
+    assert sorted(cl.contours(found).collect()) == simple
