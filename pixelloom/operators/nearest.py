@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import distance2
 from ..functions.numeric import clamp, half_up
-from .windows import IMAGE, sized
+from .windows import IMAGE, dealt, sized
 
 
 def col(name: str) -> Column:
@@ -56,7 +56,7 @@ def recovered(px: DataFrame, original: DataFrame) -> DataFrame:
     alpha: within a band around what is solid, faded out at the band's end, and only where the original's colour is as near to the
     nearest solid pixel as to the nearest clear one. Colours are compared with the cut-out as given, so no pixel depends on what
     another took back. Pixels that the original lacks stay."""
-    near = nearest_marked(sized(px).select(*px.columns, "_w", "_h"), {"_fg": col("a") > 128, "_bg": col("a") < 16}, "rgb")
+    near = nearest_marked(sized(dealt(px)).select(*px.columns, "_w", "_h"), {"_fg": col("a") > 128, "_bg": col("a") < 16}, "rgb")
     source = original.select(IMAGE, "x", "y", *(col(c).alias(f"_{c}") for c in "rgb"), col("m").alias("_m"))
     joined = near.join(source, [IMAGE, "x", "y"], "left")
     band = clamp(half_up(F.greatest("_w", "_h") * 0.02), 10, 60)

@@ -31,6 +31,19 @@ def sized(px: DataFrame) -> DataFrame:
     return px.join(sizes, IMAGE)
 
 
+#: Pixels of a task where images are dealt to tasks whole, and of the largest image for which that is done.
+TASK, SMALL = 65_536, 65_536
+
+
+def dealt(px: DataFrame) -> DataFrame:
+    """px dealt by image, about TASK pixels to a task, if no image has more than SMALL: then what a task holds does not grow with the number
+    of images, and windows and joins by image, row or column find their pixels where they are. Larger images spread over rows and columns."""
+    about = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("all"), F.max("_n").alias("most")).first()
+    if about["all"] is None or about["most"] > SMALL:
+        return px
+    return px.repartition(-(-about["all"] // TASK), IMAGE)
+
+
 #: Radius from which windows are put together from blocks; below, frames that look at each pixel of the window take less.
 WIDE = 4
 _KINDS = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}

@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 import pytest
-from pixelloom.operators import drawings, everything, joins, resample, windows
+from pixelloom.operators import drawings, everything, joins, nearest, resample, windows
 from pixelloom.plans.image_plan import features
 from pyspark.sql import functions as F
 
@@ -237,3 +237,17 @@ def test_equal_boxes(spark, monkeypatch):
     got = found.collect()
     assert {(r.image_id, r.a, r.b): (r.common, r.joint) for r in got} == wanted and len(got) == len(wanted)
     assert "collect_list" in plan_of(found)
+
+
+def test_small_images_are_dealt_by_their_pixels(spark, monkeypatch):
+    monkeypatch.setattr(windows, "TASK", 100)
+    rows = [(i, x, y, i, x, y, (i * x + y) % 256) for i in range(40) for x in range(5) for y in range(6)]
+    df = spark.createDataFrame(rows, PX).repartition(3)
+    tasks = windows.dealt(df)
+    assert tasks.rdd.getNumPartitions() == 12 and sorted(map(tuple, tasks.collect())) == sorted(rows)
+    assert nearest.nearest_marked(windows.sized(tasks), {"n": F.col("a") > 9}).rdd.getNumPartitions() == 12  # not put together again
+    assert windows.dealt(df.limit(0)).count() == 0
+    whole = sorted(nearest.recovered(df, df.withColumn("m", F.col("g"))).collect())
+    monkeypatch.setattr(windows, "SMALL", 29)
+    assert windows.dealt(df).rdd.getNumPartitions() == 3  # a larger image spreads over rows and columns
+    assert sorted(nearest.recovered(df, df.withColumn("m", F.col("g"))).collect()) == whole and len(whole) == len(rows)
