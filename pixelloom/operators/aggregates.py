@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import bin_24, bucket_key, distance2, exact_key
-from ..functions.numeric import half_up, pick, ratio, upper_middle
+from ..functions.numeric import half_up, ratio
 from .windows import border_ring, sized
 
 IMAGE = "image_id"
@@ -54,19 +54,23 @@ def sampled_border(px: DataFrame) -> DataFrame:
     return sized(px).select(IMAGE, "r", "g", "b", F.explode(sides).alias("side"))
 
 
+def _borders(px: DataFrame) -> DataFrame:
+    """(image_id, _b, and mr, mg, mb, the upper medians): the sampled border as an array, which has some 480 pixels at most whatever the
+    image's size, so that a task sorts an image's pixels once."""
+    borders = sampled_border(px).groupBy(IMAGE).agg(F.collect_list(F.struct(*"rgb")).alias("_b"))
+    middle = lambda c: F.get(F.sort_array(col(f"_b.{c}")), F.floor(F.size("_b") / 2).cast("int"))
+    return borders.withColumns({f"m{c}": middle(c) for c in "rgb"})
+
+
 def border_median(px: DataFrame) -> DataFrame:
     """(image_id, r, g, b): upper median of each channel on the border."""
-    border = sampled_border(px)
-    parts = [pick(c, upper_middle(), [IMAGE])(border.select(IMAGE, c)) for c in "rgb"]
-    return parts[0].join(parts[1], IMAGE).join(parts[2], IMAGE)
+    return _borders(px).select(IMAGE, *(col(f"m{c}").alias(c) for c in "rgb"))
 
 
 def border_uniformity(px: DataFrame, near: int = 40) -> DataFrame:
     """(image_id, uniformity): share of the border within `near` of its median colour."""
-    median = border_median(px).select(IMAGE, *(col(c).alias(f"m{c}") for c in "rgb"))
-    close = F.sqrt(distance2([col(c) for c in "rgb"], [col(f"m{c}") for c in "rgb"]).cast("double")) < near
-    joined = sampled_border(px).join(median, IMAGE)
-    return joined.groupBy(IMAGE).agg((F.count_if(close) / F.count(F.lit(1))).alias("uniformity"))
+    close = lambda p: F.sqrt(distance2([p[c] for c in "rgb"], [col(f"m{c}") for c in "rgb"]).cast("double")) < near
+    return _borders(px).select(IMAGE, (F.size(F.filter("_b", close)) / F.size("_b")).alias("uniformity"))
 
 
 def bounding_box(px: DataFrame, above: int = 0, groups: tuple[str, ...] = (IMAGE,)) -> DataFrame:

@@ -54,7 +54,7 @@ def profile(unique_colors: Column, edge_density: Column, uniformity: Column) ->
 
 def features(px: DataFrame) -> DataFrame:
     """(image_id, unique_colors, edge_density, uniformity, profile), as an image of ANALYSIS_SIDE pixels at most shows them."""
-    px = shrunken(px)
+    px = stored(shrunken(px), "shrunken")  # read by each of the features, which would shrink anew in one task otherwise
     edges = sobel(px).groupBy(IMAGE).agg((F.count_if(F.col("magnitude") > 48) / F.count(F.lit(1))).alias("edge_density"))
     found = px.select(IMAGE).distinct().join(color_cardinality(px), IMAGE, "left").join(edges, IMAGE, "left").join(border_uniformity(px), IMAGE, "left")
     found = found.withColumns({"unique_colors": F.coalesce("unique_colors", F.lit(0).cast("long")), "edge_density": F.coalesce("edge_density", F.lit(0.0))})

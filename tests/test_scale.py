@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 import pytest
-from pixelloom.operators import drawings, everything, joins, nearest, resample, windows
+from pixelloom.operators import aggregates, drawings, everything, joins, nearest, resample, windows
 from pixelloom.plans.image_plan import features
 from pyspark.sql import functions as F
 
@@ -251,3 +251,15 @@ def test_small_images_are_dealt_by_their_pixels(spark, monkeypatch):
     monkeypatch.setattr(windows, "SMALL", 29)
     assert windows.dealt(df).rdd.getNumPartitions() == 3  # a larger image spreads over rows and columns
     assert sorted(nearest.recovered(df, df.withColumn("m", F.col("g"))).collect()) == whole and len(whole) == len(rows)
+
+
+def test_features_sort_an_image_once(spark):
+    """The border's pixels are looked at once, not once for each channel's median and again for what is near to them."""
+    rows = [(i, x, y, (i * x) % 256, (x * y) % 256, y, 255) for i in range(6) for x in range(9) for y in range(8)]
+    df = spark.createDataFrame(rows, PX).repartition(3)
+    plan = aggregates.border_uniformity(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 0 and plan.count("Join") == 1 and plan.count("LogicalRDD") == 2
+    for r in aggregates.border_median(df).collect():
+        sides = [(x, y) for x in range(9) for y in (0, 7)] + [(x, y) for x in (0, 8) for y in range(8)]
+        own = {(q[1], q[2]): q[3:6] for q in rows if q[0] == r.image_id}
+        assert tuple(r)[1:] == tuple(sorted(own[p][k] for p in sides)[len(sides) // 2] for k in range(3))
