@@ -6,6 +6,7 @@ import time
 import numpy as np
 import pytest
 from pixelloom.operators import aggregates, drawings, everything, joins, nearest, resample, windows
+from pixelloom.plans import image_plan
 from pixelloom.plans.image_plan import features
 from pyspark.sql import functions as F
 
@@ -263,3 +264,11 @@ def test_features_sort_an_image_once(spark):
         sides = [(x, y) for x in range(9) for y in (0, 7)] + [(x, y) for x in (0, 8) for y in range(8)]
         own = {(q[1], q[2]): q[3:6] for q in rows if q[0] == r.image_id}
         assert tuple(r)[1:] == tuple(sorted(own[p][k] for p in sides)[len(sides) // 2] for k in range(3))
+
+
+def test_ways_of_a_batch_shrink_it_once(spark):
+    rows = [(i, x, y, (i * x * 40) % 256, (x * y) % 256, y, 255) for i in range(6) for x in range(9) for y in range(8)]
+    kinds = image_plan.routed(spark.createDataFrame(rows, PX).repartition(3), image_plan.Options())
+    assert sorted(r.image_id for r in kinds.collect()) == list(range(6))
+    plan = features(spark.createDataFrame(rows, PX))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Union" not in plan  # the features read what was shrunken and written
