@@ -12,7 +12,7 @@ from ..functions.numeric import clamp, half_up, percentile_95, pick, upper_middl
 from ..plans.shared import discard, stored
 from .graph import components, greedy
 from .joins import nearest
-from .windows import IMAGE, sized, touching
+from .windows import IMAGE, by_image, sized, touching
 
 
 def col(name: str) -> Column:
@@ -26,21 +26,24 @@ def _runs(px: DataFrame, label: str) -> DataFrame:
     return stored(px.withColumn("_fresh", fresh).withColumn("_x0", F.max(F.when(col("_fresh") == 1, col("x"))).over(w)).drop("_fresh"), "runs")
 
 
-def _run_roots(run: DataFrame, label: str, diagonal: bool) -> DataFrame:
+def _run_roots(run: DataFrame, label: str, diagonal: bool, tasks: int | None = None) -> DataFrame:
     """(_image_id, _y, _x, _root): the first pixel of a run, and of its component; of runs (image_id, y, label, _x0, _x1). Runs that begin
     their component are left out."""
     node = F.struct(col(IMAGE).alias("image_id"), col("y").alias("y"), col("_x0").alias("x"))
     reach = 1 if diagonal else 0
     below = run.select(col(IMAGE), (col("y") + 1).alias("y"), col(label), node.alias("above"), col("_x0").alias("_u0"), col("_x1").alias("_u1"))
-    met = run.join(below.hint("merge"), [IMAGE, "y", label]).where((col("_x0") <= col("_u1") + reach) & (col("_u0") <= col("_x1") + reach))
+    at = (IMAGE, "y", label)
+    met = by_image(run, tasks, *at).join(by_image(below, tasks, *at).hint("merge"), list(at)).where((col("_x0") <= col("_u1") + reach) & (col("_u0") <= col("_x1") + reach))
     found = components(met.select(node.alias("a"), col("above").alias("b")))
-    return found.select(*(col(f"node.{c}").alias(f"_{c}") for c in ("image_id", "y", "x")), F.struct("root.y", "root.x").alias("_root"))
+    found = found.select(*(col(f"node.{c}").alias(f"_{c}") for c in ("image_id", "y", "x")), F.struct("root.y", "root.x").alias("_root"))
+    return by_image(found, tasks, "_image_id", "_y", "_x")
 
 
-def labelled(px: DataFrame, label: str = "label", diagonal: bool = False) -> DataFrame:
-    """px plus comp, a struct (y, x) of each component's first pixel. Pixels of one label that touch are one component."""
-    runs = _runs(px, label)
-    roots = _run_roots(runs.groupBy(IMAGE, "y", label, "_x0").agg(F.max("x").alias("_x1")), label, diagonal)
+def labelled(px: DataFrame, label: str = "label", diagonal: bool = False, tasks: int | None = None) -> DataFrame:
+    """px plus comp, a struct (y, x) of each component's first pixel. Pixels of one label that touch are one component. tasks, here and
+    below: to which images are dealt whole, if they are small."""
+    runs = by_image(_runs(by_image(px, tasks), label), tasks, IMAGE, "y", "_x0")
+    roots = _run_roots(runs.groupBy(IMAGE, "y", label, "_x0").agg(F.max("x").alias("_x1")), label, diagonal, tasks)
     joined = runs.join(roots.hint("merge"), (col(IMAGE) == col("_image_id")) & (runs["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
     return joined.withColumn("comp", F.coalesce("_root", F.struct(runs["y"].alias("y"), col("_x0").alias("x")))).select(*px.columns, "comp")
 
@@ -57,17 +60,19 @@ def reached(px: DataFrame, seeds: Column, diagonal: bool = False) -> DataFrame:
     return with_reach(px, F.lit(True), seeds, diagonal).where("hit").select(*px.columns)
 
 
-def with_reach(px: DataFrame, passable: Column, seeds: Column, diagonal: bool = False) -> DataFrame:
+def with_reach(px: DataFrame, passable: Column, seeds: Column, diagonal: bool = False, tasks: int | None = None) -> DataFrame:
     """px plus hit: whether a pixel is passable and its component of passable pixels holds a seed. Seeds, components and flags are those of
     runs, far fewer than pixels; pixels are written once and get their run's flag."""
-    runs = _runs(px.withColumn("_open", F.when(passable, 1)).withColumn("_seed", seeds), "_open")
-    run = stored(runs.where("_open = 1").groupBy(IMAGE, "y", "_open", "_x0").agg(F.max("x").alias("_x1"), F.max("_seed").alias("_seed")), "runs")
-    roots = _run_roots(run, "_open", diagonal)
+    run_at = (IMAGE, "y", "_x0")  # which tells a run, whatever its label
+    runs = by_image(_runs(by_image(px, tasks).withColumn("_open", F.when(passable, 1)).withColumn("_seed", seeds), "_open"), tasks, *run_at)
+    run = by_image(stored(runs.where("_open = 1").groupBy(IMAGE, "y", "_open", "_x0").agg(F.max("x").alias("_x1"), F.max("_seed").alias("_seed")), "runs"), tasks, *run_at)
+    roots = _run_roots(run, "_open", diagonal, tasks)
     joined = run.join(roots.hint("merge"), (col(IMAGE) == col("_image_id")) & (run["y"] == col("_y")) & (col("_x0") == col("_x")), "left")
     rooted = joined.select(IMAGE, run["y"].alias("y"), "_x0", "_seed", F.coalesce("_root", F.struct(run["y"].alias("y"), col("_x0").alias("x"))).alias("_root"))
+    rooted = by_image(rooted, tasks, IMAGE, "_root")
     found = rooted.where("_seed").select(IMAGE, "_root").distinct()
-    flags = rooted.join(found.hint("merge"), [IMAGE, "_root"], "left_semi").select(IMAGE, "y", "_x0", F.lit(1).alias("_open"), F.lit(True).alias("_hit"))
-    return runs.join(flags.hint("merge"), [IMAGE, "y", "_x0", "_open"], "left").select(*px.columns, F.coalesce("_hit", F.lit(False)).alias("hit"))
+    flags = rooted.join(found.hint("merge"), [IMAGE, "_root"], "left_semi").select(*run_at, F.lit(True).alias("_hit"))
+    return runs.join(by_image(flags, tasks, *run_at).hint("merge"), list(run_at), "left").select(*px.columns, F.coalesce("_hit", F.lit(False)).alias("hit"))
 
 
 def on_border(px: DataFrame) -> DataFrame:
@@ -186,9 +191,9 @@ def border_islands(px: DataFrame, share: float = 0.03, alpha: int = 128) -> Data
     return _islands(labelled(on_border(px).where(col("a") >= alpha).withColumn("_one", F.lit(1)), "_one"), px, share)
 
 
-def _islands(pixels: DataFrame, px: DataFrame, share: float) -> DataFrame:
+def _islands(pixels: DataFrame, px: DataFrame, share: float, tasks: int | None = None) -> DataFrame:
     """Of px: the islands among the components of `pixels` (with comp and edge)."""
-    comps = stored(pixels.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.bool_or("edge").alias("touches")), "comps")
+    comps = by_image(stored(pixels.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area"), F.bool_or("edge").alias("touches")), "comps"), tasks)  # one row for each component
     largest = comps.groupBy(IMAGE).agg(F.min(F.struct((-col("area")).alias("n"), "comp")).alias("_m"))
     totals = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n"))
     joined = comps.join(largest, IMAGE).join(totals, IMAGE)
@@ -203,22 +208,22 @@ def enclosed_background(px: DataFrame, background: tuple[int, int, int], near: i
     return _enclosed(stored(labelled(candidate, "_one"), "comps"), px, share, ring, other)
 
 
-def _enclosed(comps: DataFrame, px: DataFrame, share: float = 0.0015, ring: int = 6, other: float = 0.02) -> DataFrame:
+def _enclosed(comps: DataFrame, px: DataFrame, share: float = 0.0015, ring: int = 6, other: float = 0.02, tasks: int | None = None) -> DataFrame:
     """Of px: the enclosed ones among the components of its candidates `comps` (with comp)."""
     totals = sized(px).groupBy(IMAGE, "_w", "_h").agg(F.count(F.lit(1)).alias("_n"))
     small = comps.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("area")).join(totals, IMAGE).where(col("area") <= col("_n") * share)
-    small = stored(small.select(IMAGE, "comp", "area", "_w", "_h"), "small")
+    small = by_image(stored(small.select(IMAGE, "comp", "area", "_w", "_h"), "small"), tasks, IMAGE, "comp")
     # only what may go is widened: each row of a pixel's square is cut at the image's border, and equal pixels are one
-    own = comps.join(small, [IMAGE, "comp"])
+    own = by_image(comps, tasks, IMAGE, "comp").join(small, [IMAGE, "comp"])
     rows = own.select(IMAGE, "comp", "x", "_w", F.explode(F.sequence(F.greatest(F.lit(0), col("y") - ring), F.least(col("_h") - 1, col("y") + ring))).alias("y")).distinct()
     around = rows.select(IMAGE, "comp", "y", F.explode(F.sequence(F.greatest(F.lit(0), col("x") - ring), F.least(col("_w") - 1, col("x") + ring))).alias("x")).distinct()
-    seen = around.join(comps.select(IMAGE, "x", "y", col("comp").alias("_c")), [IMAGE, "x", "y"], "left").where(~col("comp").eqNullSafe(col("_c")))
+    seen = by_image(around, tasks, IMAGE, "x", "y").join(by_image(comps.select(IMAGE, "x", "y", col("comp").alias("_c")), tasks, IMAGE, "x", "y"), [IMAGE, "x", "y"], "left").where(~col("comp").eqNullSafe(col("_c")))
     counts = seen.groupBy(IMAGE, "comp").agg(F.count(F.lit(1)).alias("_ring"), F.count("_c").alias("_others"))
     joined = small.join(counts, [IMAGE, "comp"], "left")
     return joined.where(F.coalesce(col("_others") <= col("_ring") * other, F.lit(True))).select(IMAGE, "comp", "area")
 
 
-def keyed_out(px: DataFrame, background: DataFrame, solid: float, cut: float) -> DataFrame:
+def keyed_out(px: DataFrame, background: DataFrame, solid: float, cut: float, tasks: int | None = None) -> DataFrame:
     """px (image_id, x, y, r, g, b, a) without its image's background colour (image_id, r, g, b): what the border reaches through
     pixels nearer than `cut` fades and loses its tint, then enclosed patches of that colour, and what is left as islands at the border
     goes. Further columns stay."""
@@ -233,14 +238,14 @@ def keyed_out(px: DataFrame, background: DataFrame, solid: float, cut: float) ->
 
     def without(px: DataFrame, passable: Column, choose, d: Column) -> DataFrame:
         """px where the chosen ones among the components of its passable pixels have faded."""
-        comps = stored(labelled(px.withColumn("_open", F.when(passable, 1)), "_open"), "comps")
-        gone = choose(comps.where("_open = 1"), comps).select(IMAGE, "comp", F.lit(1).alias("_open"), F.lit(True).alias("_gone"))
-        return faded(comps.join(gone, [IMAGE, "comp", "_open"], "left"), F.coalesce("_gone", F.lit(False)), d)
-
-    px = faded(with_reach(px.withColumn("_d", d), col("_d") < cut, col("edge")), col("hit"), col("_d"))
-    px = without(px, (col("a") >= 8) & (d < 42), _enclosed, d)
-    px = without(px, col("a") >= 8, lambda comps, px: _islands(comps, px, 0.03), F.lit(0.0))
-    return px.select(*names)
+        comps = by_image(stored(labelled(px.withColumn("_open", F.when(passable, 1)), "_open", tasks=tasks), "comps"), tasks)
+        gone = stored(choose(comps.where("_open = 1"), comps).select(IMAGE, "comp", F.lit(True).alias("_gone")), "gone")
+        return faded(by_image(comps, tasks, IMAGE, "comp").join(by_image(gone, tasks, IMAGE, "comp"), [IMAGE, "comp"], "left"), F.coalesce("_gone", F.lit(False)), d)
+
+    px = faded(with_reach(px.withColumn("_d", d), col("_d") < cut, col("edge"), tasks=tasks), col("hit"), col("_d"))
+    px = without(px, (col("a") >= 8) & (d < 42), lambda comps, px: _enclosed(comps, px, tasks=tasks), d)
+    px = without(px, col("a") >= 8, lambda comps, px: _islands(comps, px, 0.03, tasks), F.lit(0.0))
+    return by_image(px.select(*names), tasks)
 
 
 def figures_in(px: DataFrame, box: tuple[int, int, int, int], share: float = 0.6, bits: int = 5) -> DataFrame:

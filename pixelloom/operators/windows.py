@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import luma, over
 from ..functions.numeric import store_byte
+from ..plans.shared import stored
 
 IMAGE = "image_id"
 
@@ -35,13 +36,22 @@ def sized(px: DataFrame) -> DataFrame:
 TASK, SMALL = 65_536, 65_536
 
 
+def tasks_of(px: DataFrame) -> int | None:
+    """Tasks of about TASK pixels each, if no image has more than SMALL; else, and without pixels, None."""
+    about = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("all"), F.max("_n").alias("most")).first()
+    return None if about["all"] is None or about["most"] > SMALL else -(-about["all"] // TASK)
+
+
+def by_image(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """rows dealt by image, or by the keys, to a number of tasks; None: as they are. Spark keeps that number in windows whose keys hold these,
+    but in a join only if both sides are dealt by all of its keys."""
+    return rows if tasks is None else rows.repartition(tasks, *(keys or (IMAGE,)))
+
+
 def dealt(px: DataFrame) -> DataFrame:
     """px dealt by image, about TASK pixels to a task, if no image has more than SMALL: then what a task holds does not grow with the number
     of images, and windows and joins by image, row or column find their pixels where they are. Larger images spread over rows and columns."""
-    about = px.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("all"), F.max("_n").alias("most")).first()
-    if about["all"] is None or about["most"] > SMALL:
-        return px
-    return px.repartition(-(-about["all"] // TASK), IMAGE)
+    return by_image(px, tasks_of(px))
 
 
 #: Radius from which windows are put together from blocks; below, frames that look at each pixel of the window take less.
@@ -49,17 +59,19 @@ WIDE = 4
 _KINDS = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
 
 
-def over_reach(px: DataFrame, axis: str, r: int, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+def over_reach(px: DataFrame, axis: str, r: int, wanted: dict[str, tuple[str, str]], tasks: int | None = None) -> DataFrame:
     """px plus, for each name of wanted, the sum, min or max of a column over the pixels at most r away along an axis: {name: (kind, column)}.
     The cost of a pixel does not grow with r: rows are cut into blocks of 2 r + 1 pixels, and the values of a window are those from its
     first pixel to that block's end, and from the beginning of the block in which it ends. Where that is one block, the window begins or
-    ends with what the block has of the row, and one of both is enough. Nothing is taken off again, so sums of fractions lose nothing."""
+    ends with what the block has of the row, and one of both is enough. Nothing is taken off again, so sums of fractions lose nothing.
+    tasks: to which the rows are dealt; None, here and below: as Spark deals them."""
     if r < WIDE:
         w = along(axis).rangeBetween(-r, r)
         return px.withColumns({name: _KINDS[kind][0](value).over(w) for name, (kind, value) in wanted.items()})
     names, other = px.columns, "y" if axis == "x" else "x"
     # one exchange by row serves all windows, also where the image is a constant that the optimizer leaves out
-    cut = px.withColumn("_row", F.xxhash64(IMAGE, other)).repartition("_row").withColumn("_k", F.floor(col(axis) / (2 * r + 1)))
+    cut = px.withColumn("_row", F.xxhash64(IMAGE, other))
+    cut = (cut.repartition("_row") if tasks is None else cut.repartition(tasks, "_row")).withColumn("_k", F.floor(col(axis) / (2 * r + 1)))
     block = Window.partitionBy("_row", IMAGE, other, "_k")
     ahead, back = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (col(axis), F.desc(axis)))
     to_here, from_here = ([f"_{side}{i}" for i in range(len(wanted))] for side in "pq")
@@ -77,11 +89,11 @@ def over_reach(px: DataFrame, axis: str, r: int, wanted: dict[str, tuple[str, st
     return cut.select(*kept, *(v.alias(n) for n, v in found.items()))
 
 
-def box_sums(px: DataFrame, values: list[str], r: int) -> DataFrame:
+def box_sums(px: DataFrame, values: list[str], r: int, tasks: int | None = None) -> DataFrame:
     """px plus, for each value, s_<value>: its sum over the box of radius r cut at the image's border, and n: the box's pixels."""
     px = px.withColumn("_1", F.lit(1).cast("long"))
-    px = over_reach(px, "x", r, {f"s_{v}": ("sum", v) for v in values} | {"n": ("sum", "_1")}).drop("_1")
-    return over_reach(px, "y", r, {f"s_{v}": ("sum", f"s_{v}") for v in values} | {"n": ("sum", "n")})
+    px = over_reach(px, "x", r, {f"s_{v}": ("sum", v) for v in values} | {"n": ("sum", "_1")}, tasks).drop("_1")
+    return over_reach(px, "y", r, {f"s_{v}": ("sum", f"s_{v}") for v in values} | {"n": ("sum", "n")}, tasks)
 
 
 def box_mean(px: DataFrame, value: str, r: int, out: str) -> DataFrame:
@@ -172,16 +184,18 @@ def eroded_alpha(px: DataFrame, passes: int, above: int = 30) -> DataFrame:
     return px
 
 
-def defringed(px: DataFrame, passes: int = 2) -> DataFrame:
+def defringed(px: DataFrame, passes: int = 2, tasks: int | None = None) -> DataFrame:
     """Edge pixels (0 < a < 250) take the mean colour of their eight neighbours with an alpha larger by more than 8, else larger;
     each pass sees the colours that the one before left."""
-    return defringed_by(px, F.lit(passes), passes)
+    return defringed_by(px, F.lit(passes), passes, tasks)
 
 
-def defringed_by(px: DataFrame, passes: Column, most: int) -> DataFrame:
-    """As defringed, with a number of passes for each image, `most` at most. Further columns stay."""
+def defringed_by(px: DataFrame, passes: Column, most: int, tasks: int | None = None) -> DataFrame:
+    """As defringed, with a number of passes for each image, `most` at most. Further columns stay. Where images are dealt whole, every
+    two passes are written, as all would be one stage otherwise, and a task would take the memory of each pass."""
     for i in range(most):
-        px = _defringed_once(px, passes > i)
+        px = _defringed_once(by_image(px, tasks), passes > i)
+        px = stored(px, "defringed") if tasks is not None and i % 2 else px
     return px
 
 
@@ -208,25 +222,25 @@ def border_ring(mask: DataFrame, groups: tuple[str, ...] = (IMAGE,)) -> DataFram
     return mask.withColumn("_i", inner).where("NOT _i").select(*groups, "x", "y")
 
 
-def guided_alpha(px: DataFrame, r: int = 12, eps: float = (0.012 * 255) ** 2, keep: Sequence[str] = ()) -> DataFrame:
+def guided_alpha(px: DataFrame, r: int = 12, eps: float = (0.012 * 255) ** 2, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """(image_id, x, y, alpha, and the columns to keep): edge-aware smoothing of alpha, guided by luma: a = cov / (var + eps), b = mean
     alpha - a * mean luma, averaged."""
     px = px.withColumn("l", luma(col("r"), col("g"), col("b"))).withColumns({"ll": col("l") * col("l"), "la": col("l") * col("a"), "ad": col("a").cast("double")})
-    px = box_sums(px, ["l", "ll", "la", "ad"], r)
+    px = box_sums(px, ["l", "ll", "la", "ad"], r, tasks)
     m = {v: col(f"s_{v}") / col("n") for v in ("l", "ll", "la", "ad")}
     slope = (m["la"] - m["l"] * m["ad"]) / (m["ll"] - m["l"] * m["l"] + F.lit(eps))
     px = px.withColumn("_a", slope).withColumn("_b", m["ad"] - col("_a") * m["l"]).drop("s_l", "s_ll", "s_la", "s_ad", "n")
-    px = box_sums(px, ["_a", "_b"], r)
+    px = box_sums(px, ["_a", "_b"], r, tasks)
     found = col("s__a") / col("n") * col("l") + col("s__b") / col("n")
     return px.select(IMAGE, "x", "y", F.round(found, 4).alias("alpha"), *keep)
 
 
-def snapped_alpha(px: DataFrame, solid: int = 160, r: int = 3, window: int = 9, gain: float = 10.0, keep: Sequence[str] = ()) -> DataFrame:
+def snapped_alpha(px: DataFrame, solid: int = 160, r: int = 3, window: int = 9, gain: float = 10.0, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """(image_id, x, y, alpha, and the columns to keep): alpha from 0 to 1, steepened about one half where a solid body (what an
     opening leaves) borders on the rest; the gain there is 1 + (gain - 1) * gate ** 2, and the gate the product of both shares of the
     window over its largest value."""
-    body = opened(px.withColumn("_s", (col("a") >= solid).cast("int")), "_s", r, "_body").withColumn("_void", 1 - col("_body"))
-    sums = box_sums(body, ["_body", "_void"], window)
+    body = opened(by_image(px, tasks).withColumn("_s", (col("a") >= solid).cast("int")), "_s", r, "_body").withColumn("_void", 1 - col("_body"))
+    sums = box_sums(body, ["_body", "_void"], window, tasks)
     gate = F.least(F.lit(1.0), (col("s__body") / col("n")) * (col("s__void") / col("n")) / F.lit(0.25))
     steep = F.lit(0.5) + (col("a") / F.lit(255.0) - 0.5) * (1 + (F.lit(gain) - 1) * gate * gate)
     return sums.select(IMAGE, "x", "y", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), steep)), 6).alias("alpha"), *keep)

@@ -14,7 +14,7 @@ from ..functions.numeric import clamp, half_up
 from ..operators.aggregates import border_median, border_uniformity, bounding_box, color_cardinality
 from ..operators.reach import keyed_out
 from ..operators.resample import shrunken
-from ..operators.windows import IMAGE, defringed, defringed_by, dilated_one, eroded_alpha, guided_alpha, snapped_alpha, sobel
+from ..operators.windows import IMAGE, by_image, defringed, defringed_by, dilated_one, eroded_alpha, guided_alpha, snapped_alpha, sobel, tasks_of
 from .shared import stored
 
 #: The order of the default plan.
@@ -53,17 +53,20 @@ def profile(unique_colors: Column, edge_density: Column, uniformity: Column) ->
 
 
 def features(px: DataFrame) -> DataFrame:
-    """(image_id, unique_colors, edge_density, uniformity, profile), as an image of ANALYSIS_SIDE pixels at most shows them."""
-    px = stored(shrunken(px), "shrunken")  # read by each of the features, which would shrink anew in one task otherwise
-    edges = sobel(px).groupBy(IMAGE).agg((F.count_if(F.col("magnitude") > 48) / F.count(F.lit(1))).alias("edge_density"))
-    found = px.select(IMAGE).distinct().join(color_cardinality(px), IMAGE, "left").join(edges, IMAGE, "left").join(border_uniformity(px), IMAGE, "left")
+    """(image_id, unique_colors, edge_density, uniformity, profile), as an image of ANALYSIS_SIDE pixels at most shows them. Each feature
+    is written, one row for each image, so that a task holds what one of them needs."""
+    tasks = tasks_of(px)
+    px = by_image(stored(shrunken(by_image(px, tasks)), "shrunken"), tasks)  # read by each of the features, which would shrink anew otherwise
+    edges = stored(sobel(px).groupBy(IMAGE).agg((F.count_if(F.col("magnitude") > 48) / F.count(F.lit(1))).alias("edge_density")), "edges")
+    colors, borders = stored(color_cardinality(px), "colors"), stored(border_uniformity(px), "borders")
+    found = px.select(IMAGE).distinct().join(colors, IMAGE, "left").join(edges, IMAGE, "left").join(borders, IMAGE, "left")
     found = found.withColumns({"unique_colors": F.coalesce("unique_colors", F.lit(0).cast("long")), "edge_density": F.coalesce("edge_density", F.lit(0.0))})
     return found.withColumn("profile", profile(F.col("unique_colors"), F.col("edge_density"), F.col("uniformity")))
 
 
 def routed(px: DataFrame, options: Options) -> DataFrame:
     """(image_id, profile, flat): what decides an image's way through the steps, one row for each image."""
-    flat = border_uniformity(px).select(IMAGE, (F.col("uniformity") > FLAT).alias("_flat"))  # at full size, unlike the profile
+    flat = stored(border_uniformity(by_image(px, tasks_of(px))).select(IMAGE, (F.col("uniformity") > FLAT).alias("_flat")), "flat")  # at full size, unlike the profile
     kinds = features(px).select(IMAGE, "profile").join(flat, IMAGE, "left").select(IMAGE, "profile", F.coalesce("_flat", F.lit(False)).alias("flat"))
     return stored(kinds.withColumn("profile", F.lit(options.profile)) if options.profile else kinds, "routed")
 
@@ -73,27 +76,27 @@ def remove_background(px: DataFrame, options: Options, kinds: DataFrame) -> Data
     is a matte, which is aligned to the image's edges where the profile wants it soft, cleaned of the ground's tint, and drawn
     through the profile's curve (or the one of the options). The ways are two branches of one plan."""
     names = px.columns
-    keyed = F.col("profile").isin(*KEYED) & F.col("flat")
-    px = stored(px.join(kinds.select(IMAGE, "profile", keyed.alias("_flat")), IMAGE), "profiled")
-    flat, rest = px.where("_flat").select(names), px.where("NOT _flat")
+    keyed, tasks = F.col("profile").isin(*KEYED) & F.col("flat"), tasks_of(px)
+    px = stored(by_image(px, tasks).join(by_image(kinds.select(IMAGE, "profile", keyed.alias("_flat")), tasks), IMAGE), "profiled")
+    flat, rest = by_image(px.where("_flat").select(names), tasks), px.where("NOT _flat")
 
     cut = 90 + options.tolerance / 100 * 150
     ramp = 2 if options.hard_edge else 10 + options.softness / 100 * 22
-    keyed = keyed_out(flat, border_median(flat), max(6.0, cut - ramp), cut)
-    keyed = eroded_alpha(defringed(keyed, 4), 1)
+    keyed = keyed_out(flat, by_image(stored(border_median(flat), "ground"), tasks), max(6.0, cut - ramp), cut, tasks)
+    keyed = eroded_alpha(by_image(defringed(keyed, 4, tasks), tasks), 1)
 
     wanted = F.lit(options.matte) if options.matte else F.element_at(F.create_map(*(F.lit(v) for pair in PROFILE_MATTES.items() for v in pair)), F.col("profile"))
     passes = F.element_at(F.create_map(*(F.lit(v) for pair in PROFILE_DEFRINGE.items() for v in pair)), F.col("profile"))
     rest = rest.withColumns({"_matte": wanted, "_passes": F.coalesce(passes, F.lit(0))})
     keep = ["r", "g", "b", "_matte", "_passes", *(c for c in names if c not in (IMAGE, *"xyrgba"))]
-    soft = guided_alpha(rest.where("_matte = 'soft'"), keep=keep).withColumn("a", clamp(half_up(F.col("alpha")), 0, 255).cast("int")).drop("alpha")
-    soft = snapped_alpha(soft, keep=keep).withColumn("a", half_up(F.col("alpha") * 255).cast("int")).drop("alpha")
+    soft = guided_alpha(rest.where("_matte = 'soft'"), keep=keep, tasks=tasks).withColumn("a", clamp(half_up(F.col("alpha")), 0, 255).cast("int")).drop("alpha")
+    soft = snapped_alpha(soft, keep=keep, tasks=tasks).withColumn("a", half_up(F.col("alpha") * 255).cast("int")).drop("alpha")
     rest = rest.where("_matte IS DISTINCT FROM 'soft'").select(*soft.columns).unionByName(soft)
-    rest = defringed_by(rest, F.col("_passes"), max(PROFILE_DEFRINGE.values()))
+    rest = defringed_by(rest, F.col("_passes"), max(PROFILE_DEFRINGE.values()), tasks)
     drawn = F.col("a")
     for name, bounds in MATTES.items():
         drawn = F.when(F.col("_matte") == name, matte(F.col("a"), *bounds)).otherwise(drawn)
-    rest = defringed(rest.withColumn("a", drawn.cast("int")), 3)
+    rest = defringed(rest.withColumn("a", drawn.cast("int")), 3, tasks)
     every = eroded_alpha(keyed.unionByName(rest.select(*names)), options.contract)
     if options.hard_edge:
         every = every.withColumn("a", F.when(F.col("a") >= 128, 255).otherwise(0))
@@ -102,8 +105,9 @@ def remove_background(px: DataFrame, options: Options, kinds: DataFrame) -> Data
 
 def clean_halo(px: DataFrame, options: Options, kinds: DataFrame) -> DataFrame:
     """Faint pixels go, by the profile's mode or the one of the options; then the edge of graphics grows by a pixel."""
-    names = px.columns
-    px = px.join(kinds.select(IMAGE, F.col("profile").alias("_profile")), IMAGE)
+    names, tasks = px.columns, tasks_of(px)
+    px = by_image(px, tasks).join(by_image(kinds.select(IMAGE, F.col("profile").alias("_profile")), tasks), IMAGE)
+    px = by_image(stored(px, "halo"), tasks)  # Spark may split a join in one branch below and not in the other, and then can't unite them
     cleaned = lambda mode: halo_alpha(F.col("a"), *halo_bounds(options.tolerance, options.softness, mode))
     if options.halo_mode is None:
         px = px.withColumn("a", F.when(F.col("_profile").isin(*GENTLE), cleaned("gentle")).otherwise(cleaned("normal")).cast("int"))
@@ -112,11 +116,12 @@ def clean_halo(px: DataFrame, options: Options, kinds: DataFrame) -> DataFrame:
     if not options.expand_edge:
         return px.select(*names)
     grown = dilated_one(px.where(F.col("_profile").isin(*EXPANDED)).select(*names)).select(*names)
-    return grown.unionByName(px.where(~F.col("_profile").isin(*EXPANDED)).select(*names))
+    return stored(grown.unionByName(px.where(~F.col("_profile").isin(*EXPANDED)).select(*names)), "haloed")
 
 
 def auto_crop(px: DataFrame, options: Options, kinds: DataFrame) -> DataFrame:
     """Cut to the box of visible pixels; images without any stay whole."""
+    px = by_image(px, tasks_of(px))
     box = bounding_box(px).select(IMAGE, "x0", "y0", "x1", "y1")
     joined = px.join(box, IMAGE, "left")
     inside = F.col("x0").isNull() | (F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))

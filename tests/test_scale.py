@@ -5,8 +5,8 @@ import time
 
 import numpy as np
 import pytest
-from pixelloom.operators import aggregates, drawings, everything, joins, nearest, resample, windows
-from pixelloom.plans import image_plan
+from pixelloom.operators import aggregates, drawings, everything, joins, nearest, reach, resample, windows
+from pixelloom.plans import image_plan, shared
 from pixelloom.plans.image_plan import features
 from pyspark.sql import functions as F
 
@@ -272,3 +272,31 @@ def test_ways_of_a_batch_shrink_it_once(spark):
     assert sorted(r.image_id for r in kinds.collect()) == list(range(6))
     plan = features(spark.createDataFrame(rows, PX))._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "Union" not in plan  # the features read what was shrunken and written
+
+
+def test_a_batch_is_dealt_by_its_images(spark, monkeypatch):
+    """Graphics, which lose their ground, and photos, whose alpha is a matte: no step's task holds more pixels because there are more images."""
+    rng = random.Random(8)
+    inner = lambda x, y: 0 < x < 5 and 0 < y < 4
+    rows = [(i, x, y, *((200, 200, 200) if i % 2 and not inner(x, y) else (30, 60, 90) if i % 2 else (rng.randrange(256) for _ in range(3))), 255 if i % 2 else rng.randrange(256)) for i in range(120) for x in range(6) for y in range(5)]
+    df = spark.createDataFrame(rows, PX).repartition(3)
+    options = image_plan.Options(background=(255, 255, 255))
+    written = []
+
+    def noted(df, name="step"):
+        written.append((name, shared.stored(df, name)))
+        return written[-1][1]
+
+    for module in (image_plan, reach, windows):
+        monkeypatch.setattr(module, "stored", noted)
+    monkeypatch.setattr(windows, "TASK", 100)
+    whole = sorted(map(tuple, image_plan.run_plan(df, options).collect()))
+    held = {}
+    for name, t in written:
+        if "x" in t.columns:
+            files = t.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] or 0
+            held[name] = max(files, held.get(name, 0))
+    assert {"shrunken", "profiled", "runs", "comps", "defringed", "removed", "haloed"} <= set(held)
+    assert max(held.values()) <= 450, held  # of 3,600 pixels, in four tasks otherwise
+    monkeypatch.setattr(windows, "SMALL", 29)
+    assert sorted(map(tuple, image_plan.run_plan(df, options).collect())) == whole and len({r[0] for r in whole}) == 120
