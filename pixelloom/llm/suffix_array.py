@@ -136,13 +136,13 @@ def suffix_array(s: np.ndarray, size: int = 256) -> np.ndarray:
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: by text position, the common prefix with the preceding suffix of the order, counted up to `most` bytes."""
+    """Permuted: by text position, the common prefix with the preceding suffix of the order, counted up to `most` bytes. The order may be one of
+    some of the suffixes; positions that it lacks get 0."""
     n, words = len(s), -(-most // 8)
     laid = np.concatenate([s, np.zeros(8 * words + 8, np.uint8)])
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(laid, 8)).view(np.uint64).ravel()
-    before = np.empty(n, np.int64)
+    before = np.full(n, n)
     before[order[1:]] = order[:-1]
-    before[order[0]] = n
     found = np.zeros(n, np.int64)
     active = np.flatnonzero(before < n)
     for w in range(words):

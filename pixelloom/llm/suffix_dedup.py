@@ -10,9 +10,10 @@ size (all rows that repeat one id share a group, so an id must not repeat withou
 3. Of the other anchors, each group sends the segments (maximal runs of windows with one anchor), equal ones once with their
    smallest document, dealt by anchor into shards. Anchors in HOT_DOCS or more documents, which may have any number of
    different segments, are dealt window by window instead.
-4. Each shard merges equal segments of its groups, builds their suffix array by induced sorting, and permuted common
-   prefixes; neighbours in the order with LENGTH common bytes inside their segments are one string, whose smallest
-   document is the smallest of its segments'. The groups get back the smallest document of each window that they sent.
+4. Each shard merges equal segments of its groups. Of the different segments that share their anchor with another one, it
+   builds the suffix array by induced sorting, and permuted common prefixes; neighbours in the order with LENGTH common
+   bytes inside their segments are one string, whose smallest document is the smallest of its segments'. The groups get
+   back the smallest document of each window that they sent.
 5. Windows whose smallest document is smaller than their own are covered; covered bytes are cut from the text.
 
 Cases: null text counts as empty; texts shorter than LENGTH bytes lose nothing. Matches never cross documents. Rows that repeat
@@ -87,7 +88,7 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
     starts = np.append(True, low[1:] != low[:-1])
     starts[first[some]] = True
     at = np.flatnonzero(starts & valid)
-    return np.searchsorted(offsets, at, "right") - 1, at, low[at]
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(at, offsets))), at, low[at]
 
 
 def anchor_codes(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -200,15 +201,15 @@ def answer_anchors(sent: pa.Table) -> pa.Table:
     sent = sent.sort_by("group")
     parts = [np.frombuffer(x.as_py(), np.uint32) for x in sent.column("codes")]
     code, docs = np.concatenate(parts), np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in sent.column("docs")])
-    origin = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     _, number = np.unique(code, return_inverse=True)
     total = np.bincount(number, weights=docs)[number]
-    base = np.uint64(sent.column("bucket")[0].as_py()) << np.uint64(32)
-    rows = []
-    for i, group in enumerate(sent.column("group").to_pylist()):
-        own = origin == i
-        wide = base | code.astype(np.uint64)
-        rows.append((group, wide[own & (total > 1)].tobytes(), wide[own & (total >= HOT_DOCS)].tobytes()))
+    wide = np.uint64(sent.column("bucket")[0].as_py()) << np.uint64(32) | code.astype(np.uint64)
+    ends = np.cumsum([len(x) for x in parts])
+    columns = []
+    for chosen in (np.flatnonzero(total > 1), np.flatnonzero(total >= HOT_DOCS)):
+        at, kept = np.searchsorted(chosen, np.append(0, ends)), wide[chosen]
+        columns.append([kept[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
+    rows = list(zip(sent.column("group").to_pylist(), *columns, strict=True))
     return _table([("group", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())], rows)
 
 
@@ -230,12 +231,13 @@ def group_segments(texts: pa.Table, answers: pa.Table, buckets: int) -> Iterator
 def distinct_segments(texts: pa.Table, answers: pa.Table, buckets: int, shards: int) -> dict[str, np.ndarray]:
     """One group's distinct segments by shard, their smallest keys, and for each run its segment."""
     keys = texts.column("key").to_numpy()
-    found: dict[str, list] = {k: [] for k in ("data", "size", "shard", "hash", "owner", "at", "end", "row")}
+    found: dict[str, list] = {k: [] for k in ("data", "size", "shard", "mark", "hash", "owner", "at", "end", "row")}
     for first, runs in group_segments(texts, answers, buckets):
         data, size = runs.strings()
-        shard = (mixed64(runs.code) % np.uint64(shards)).astype(np.int64)
+        code = mixed64(runs.code)
+        shard, mark = (code % np.uint64(shards)).astype(np.int64), (code >> np.uint64(32)).astype(np.uint32)
         begun = runs.offsets[runs.row]
-        for k, v in (("data", data), ("size", size), ("shard", shard), ("hash", string_hashes(data, size)), ("owner", keys[first + runs.row]), ("at", runs.at - begun), ("end", runs.end - begun), ("row", first + runs.row)):
+        for k, v in (("data", data), ("size", size), ("shard", shard), ("mark", mark), ("hash", string_hashes(data, size)), ("owner", keys[first + runs.row]), ("at", runs.at - begun), ("end", runs.end - begun), ("row", first + runs.row)):
             found[k].append(v)
     if not found["size"]:
         return {}
@@ -250,7 +252,7 @@ def distinct_segments(texts: pa.Table, answers: pa.Table, buckets: int, shards:
 
 
 def send_segments(texts: pa.Table, answers: pa.Table, buckets: int, shards: int) -> pa.Table:
-    schema = [("shard", pa.int32()), ("group", pa.int32()), ("data", pa.binary()), ("size", pa.binary()), ("smallest", pa.binary())]
+    schema = [("shard", pa.int32()), ("group", pa.int32()), ("data", pa.binary()), ("size", pa.binary()), ("mark", pa.binary()), ("smallest", pa.binary())]
     if not len(texts):
         return _table(schema, [])
     texts = _fixed(texts)
@@ -258,50 +260,69 @@ def send_segments(texts: pa.Table, answers: pa.Table, buckets: int, shards: int)
     if not d:
         return _table(schema, [])
     starts = (np.cumsum(d["size"]) - d["size"])[d["first"]]
-    size, shard, group = d["size"][d["first"]], d["shard"][d["first"]], texts.column("group")[0].as_py()
+    size, shard, mark, group = d["size"][d["first"]], d["shard"][d["first"]], d["mark"][d["first"]], texts.column("group")[0].as_py()
+    ends = np.cumsum(size)
+    data = np.empty(int(ends[-1]), np.uint8)
+    blocks = np.append(0, np.searchsorted(ends, np.arange(CHUNK, ends[-1] + CHUNK, CHUNK), "right"))  # of about CHUNK bytes, in the order of shards
+    for a, b in zip(blocks[:-1], np.append(blocks[1:-1], len(size)), strict=True):
+        begun = ends[a:b] - size[a:b]
+        if a < b:
+            data[begun[0] : ends[b - 1]] = d["data"][np.repeat(starts[a:b] - begun, size[a:b]) + np.arange(begun[0], ends[b - 1])]
     at = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+    size, bounds = size.astype(np.uint32), np.append(0, ends)[at]
     rows = []
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        own = size[a:b]
-        begun = np.cumsum(own) - own
-        data = d["data"][np.repeat(starts[a:b] - begun, own) + np.arange(int(own.sum()))]
-        rows.append((int(shard[a]), group, data.tobytes(), own.astype(np.uint32).tobytes(), d["smallest"][a:b].tobytes()))
+    for a, b, low, high in zip(at[:-1], at[1:], bounds[:-1], bounds[1:], strict=True):
+        rows.append((int(shard[a]), group, data[low:high].tobytes(), size[a:b].tobytes(), mark[a:b].tobytes(), d["smallest"][a:b].tobytes()))
     return _table(schema, rows)
 
 
-def smallest_documents(data: np.ndarray, size: np.ndarray, smallest: np.ndarray) -> np.ndarray:
-    """For each window of each segment, in order: the smallest document of any equal window of the shard."""
-    first, number = firsts(string_hashes(data, size))
-    starts = np.cumsum(size) - size
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, smallest)
-    length = size[first]
-    laid = np.cumsum(length + 1) - (length + 1)  # a separator behind each segment
-    text = np.full(int((length + 1).sum()), SEPARATOR, np.uint8)
-    begun = np.cumsum(length) - length
-    within = np.arange(int(length.sum())) - np.repeat(begun, length)
-    text[np.repeat(laid, length) + within] = data[np.repeat(starts[first], length) + within]
+def equal_windows(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each window of distinct segments, in order: the smallest of `least` (of each segment) over all equal windows, by a suffix array."""
+    laid = np.cumsum(size + 1) - (size + 1)  # a separator behind each segment
+    text = np.full(int((size + 1).sum()), SEPARATOR, np.uint8)
+    begun = np.cumsum(size) - size
+    within = np.arange(len(data)) - np.repeat(begun, size)
+    place = np.repeat(laid, size) + within
+    text[place] = data
     room = np.zeros(len(text), np.int64)  # bytes up to the end of the segment
-    room[np.repeat(laid, length) + within] = np.repeat(length, length) - within
-    owner = np.repeat(least, length + 1)
+    room[place] = np.repeat(size, size) - within
+    owner = np.repeat(least, size + 1)
     order = suffix_array(text)
-    same = common_prefixes(text, order, LENGTH) >= LENGTH
     whole = order[room[order] >= LENGTH]  # strings with one beginning are neighbours, also without the others
-    head = ~(same & (room >= LENGTH))[whole]
+    head = common_prefixes(text, whole, LENGTH)[whole] < LENGTH
     head[0] = True
     heads = np.flatnonzero(head)
     result = np.empty(len(text), np.int64)
     result[whole] = np.repeat(np.minimum.reduceat(owner[whole], heads), np.diff(np.append(heads, len(whole))))
-    windows = size - LENGTH + 1
+    return result[room >= LENGTH]
+
+
+def smallest_documents(data: np.ndarray, size: np.ndarray, smallest: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """For each window of each segment, in order: the smallest document of any equal window of the shard. mark: 32 bits of each segment's
+    anchor. Equal windows have one anchor, so a segment that no other one shares its anchor with meets no other."""
+    first, number = firsts(string_hashes(data, size))
+    starts = np.cumsum(size) - size
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, smallest)
+    length = size[first]
+    _, anchor, often = np.unique(mark[first], return_inverse=True, return_counts=True)
+    shared = often[anchor] > 1
+    windows = length - LENGTH + 1
+    result = np.repeat(least, windows)
+    if shared.any():
+        own = length[shared]
+        text = data[np.repeat(starts[first][shared] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+        result[np.repeat(shared, windows)] = equal_windows(text, own, least[shared])
+    begun, windows = np.cumsum(windows) - windows, size - LENGTH + 1
     ends = np.cumsum(windows)
-    return result[np.repeat(laid[number], windows) + np.arange(int(ends[-1])) - np.repeat(ends - windows, windows)]
+    return result[np.repeat(begun[number] - (ends - windows), windows) + np.arange(int(ends[-1]))]
 
 
 def answer_segments(sent: pa.Table) -> pa.Table:
     """Of one shard: to each group, the smallest document of each window that it sent."""
     sent = sent.sort_by("group")
     sizes = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in sent.column("size")]
-    found = smallest_documents(_joined(sent.column("data"), np.uint8), np.concatenate(sizes), _joined(sent.column("smallest"), np.int64))
+    found = smallest_documents(_joined(sent.column("data"), np.uint8), np.concatenate(sizes), _joined(sent.column("smallest"), np.int64), _joined(sent.column("mark"), np.uint32))
     ends = np.cumsum([int((s - LENGTH + 1).sum()) for s in sizes])
     shard = sent.column("shard")[0].as_py()
     rows = [(g, shard, part.tobytes()) for g, part in zip(sent.column("group").to_pylist(), np.split(found, ends[:-1]), strict=True)]
@@ -379,7 +400,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
 
     sent = texts.groupBy("group").applyInArrow(anchors, "bucket int, group int, codes binary, docs binary")
     answers = stored(sent.groupBy("bucket").applyInArrow(answer_anchors, "group int, repeated binary, hot binary"), "anchors")
-    strings = texts.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(segments, "shard int, group int, data binary, size binary, smallest binary")
+    strings = texts.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(segments, "shard int, group int, data binary, size binary, mark binary, smallest binary")
     found = strings.groupBy("shard").applyInArrow(answer_segments, "group int, shard int, found binary")
     nothing = F.lit(None).cast("binary")
     back = found.select("group", "shard", "found", nothing.alias("repeated"), nothing.alias("hot")).unionByName(

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,41 @@ def test_remove_repeats(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_anchors_of_many_groups():
+    """A bucket's time grows with its anchors, not with its groups times its anchors."""
+    groups, each = 6000, 100
+    rng = np.random.default_rng(2)
+    codes = [np.unique(rng.integers(0, 1 << 19, each).astype(np.uint32)) for _ in range(groups)]
+    docs = [np.ones(len(c), np.uint16) for c in codes]
+    columns = {"codes": [c.tobytes() for c in codes], "docs": [d.tobytes() for d in docs]}
+    sent = pa.table({"bucket": pa.array([5] * groups, pa.int32()), "group": pa.array(range(groups), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
+    begin = time.process_time()
+    rows = suffix_dedup.answer_anchors(sent).to_pylist()
+    assert time.process_time() - begin < 3
+    often = Counter(c for part in codes for c in part.tolist())
+    assert [r["group"] for r in rows] == list(range(groups)) and not any(r["hot"] for r in rows)
+    for r, part in zip(rows, codes, strict=True):
+        assert np.frombuffer(r["repeated"], np.uint64).tolist() == [5 << 32 | c for c in part.tolist() if often[c] > 1]
+
+
+def test_suffix_arrays_hold_what_may_match(monkeypatch):
+    """Segments whose anchor no other segment of the shard shares stay out of the suffix array; the answers are those of all segments."""
+    rng = random.Random(9)
+    make = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    same, core, alone = make(70), make(55), make(90)
+    segments = [(same, 7, 1), (core + b"x", 4, 2), (same, 3, 1), (b"y" + core, 2, 2), (alone, 9, 3)]
+    built = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: built.append(len(text)) or suffix_array(text))
+    data, size = np.frombuffer(b"".join(s for s, _, _ in segments), np.uint8), np.array([len(s) for s, _, _ in segments])
+    found = suffix_dedup.smallest_documents(data, size, np.array([d for _, d, _ in segments]), np.array([m for _, _, m in segments], np.uint32))
+    first = {}
+    windows = [(s[k : k + 50], d) for s, d, _ in segments for k in range(len(s) - 49)]
+    for w, d in windows:
+        first[w] = min(d, first.get(w, d))
+    assert found.tolist() == [first[w] for w, _ in windows]
+    assert built == [2 * (len(core) + 2)]
+
+
 def test_remove_repeats_of_an_id_with_other_texts(spark):
     a, b = ("".join(random.Random(seed).choice("abcdefgh ") for _ in range(300)) for seed in (1, 2))
     rows = [(3, a), (5, a), (5, b), (5, a[:200] + b[:100]), (7, b), (7, b), (7, None)]
