@@ -109,7 +109,7 @@ def _contracted(edges: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) in ranges of v, of SMALL each: (node, root) by range, where a node that is in several has a row for each, written; and
     the edges (a, b) between roots that such nodes have in common. Near nodes have near values, so hardly any are in several."""
     kind = edges.schema.fields[0].dataType
-    dealt = edges.repartitionByRange(-(-count // SMALL), "v")
+    dealt = edges.repartitionByRange(-(-count // max(1, SMALL)), "v")
     forest = stored(dealt.mapInArrow(_forest, T.StructType([T.StructField(n, kind) for n in ("node", "root")])), "forest")
     least = forest.groupBy("node").agg(F.min("root").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return forest, forest.join(least.hint("merge"), "node").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b"))
